@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from homelens.llm.langid import op3_language_codes
+from homelens.llm.mixing import op7_splitting_tree
 from homelens.llm.packing import op4_best_two_fit
+from homelens.llm.quality import op9_weak_rules
+from homelens.llm.setjoin import op1_universe_partition
 from homelens.llm.tokenfiles import op10_token_files
 
 QUERIES = {
+    "op1_universe_partition": op1_universe_partition,
+    "op3_language_codes": op3_language_codes,
     "op4_best_two_fit": op4_best_two_fit,
+    "op7_splitting_tree": op7_splitting_tree,
+    "op9_weak_rules": op9_weak_rules,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}
