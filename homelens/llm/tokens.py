@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole texts by the tokenizers library.
 
-The library runs once for each distinct chunk that a worker sees. Texts are cut before single spaces:
-the tokenizer's own pre-tokenizer begins a new word there, so the ids of the chunks, one after the
-other, are those of the text. Texts where a space stands between white space (or after it at the end)
+The library runs once for each distinct chunk that a worker sees. Texts are cut before single spaces and
+around single line feeds: the tokenizer's own pre-tokenizer begins a new word there, so the ids of the
+chunks, one after the other, are those of the text. Texts where a space stands between white space (or after it at the end)
 are encoded whole.
 """
 
@@ -14,7 +14,9 @@ import re
 import numpy as np
 
 END_ID = 0
-_ODD = re.compile(r"\s \s|\s $")
+_ODD = re.compile(r" (?=\s|$)(?<=\s )")
+_PLAIN = re.compile(r" ?\S+")
+_ODD_LINES = re.compile(r"\n(?:(?=\s|$)|(?<=\s\n))")
 
 
 def default_tokenizer() -> str:
@@ -39,19 +41,21 @@ class _Pool(dict):
 class Encoder:
     """Encodes lists of texts; keeps ids of at most ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._reset()
 
     def _reset(self) -> None:
         self.first, self.rest = _Pool(self, ""), _Pool(self, " ")
-        self.flat, self.ends = np.array([END_ID], np.uint32), np.array([0, 1], np.int64)
-        self.size, self.waiting = 1, []
+        self.flat = np.array([END_ID, *self.line], np.uint32)
+        self.begin, self.length = np.array([0, 1], np.int64), np.array([1, len(self.line)], np.int64)
+        self.size, self.waiting = 2, []
 
     def queue(self, chunk: str) -> int:
         self.waiting.append(chunk)
@@ -59,11 +63,27 @@ class Encoder:
         return self.size - 1
 
     def _flush(self) -> None:
-        for k in range(0, len(self.waiting), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting[k : k + 20_000], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        """Encode the queue. Chunks of one word go to the library in lines: a line feed is a word of its own."""
+        if not self.waiting:
+            return
+        plain = np.array([len(self.line) == 1 and _PLAIN.fullmatch(c) is not None for c in self.waiting])
+        words = [c for c, p in zip(self.waiting, plain, strict=True) if p]
+        lines = ["\n".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        others = [c for c, p in zip(self.waiting, plain, strict=True) if not p]
+        parts, length, of_words = [self.flat], np.zeros(len(plain), np.int64), []
+        for got in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(got.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.line[0])
+            of_words.append(np.diff(cut, prepend=-1, append=len(ids)) - 1)
+            parts.append(np.delete(ids, cut))
+        whole = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        length[plain] = np.concatenate([np.zeros(0, np.int64), *of_words])
+        length[~plain] = [len(x) for x in whole]
+        begin = np.zeros(len(plain), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        begin[order] = len(self.flat) + np.cumsum(length[order]) - length[order]
+        self.flat = np.concatenate([*parts, *whole])
+        self.begin, self.length = np.concatenate([self.begin, begin]), np.concatenate([self.length, length])
         self.waiting = []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +98,17 @@ class Encoder:
                 if _ODD.search(text):
                     chunks.append(self.queue(text))
                 else:
-                    head, *tail = text.split(" ")
-                    chunks.append(self.first[head])
-                    chunks.extend(map(self.rest.__getitem__, tail))
+                    for k, line in enumerate(text.split("\n") if "\n" in text and not _ODD_LINES.search(text) else [text]):
+                        if k:
+                            chunks.append(1)
+                        head, *tail = line.split(" ")
+                        chunks.append(self.first[head])
+                        chunks.extend(map(self.rest.__getitem__, tail))
             chunks.append(0)
             counts.append(len(chunks) - before)
         self._flush()
         index = np.array(chunks, np.int64)
-        begin = self.ends[index]
-        lengths = self.ends[index + 1] - begin
+        begin, lengths = self.begin[index], self.length[index]
         stops = np.cumsum(lengths)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.flat[np.arange(total) + np.repeat(begin - stops + lengths, lengths)]
