@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from homelens.llm.langid import op3_language_codes
 from homelens.llm.mixing import op7_splitting_tree
+from homelens.llm.neardup import op6_pca_tiles
 from homelens.llm.packing import op4_best_two_fit
 from homelens.llm.quality import op9_weak_rules
 from homelens.llm.setjoin import op1_universe_partition
+from homelens.llm.suffixes import op2_bucket_refinement
 from homelens.llm.tokenfiles import op10_token_files
 
 QUERIES = {
     "op1_universe_partition": op1_universe_partition,
+    "op2_bucket_refinement": op2_bucket_refinement,
     "op3_language_codes": op3_language_codes,
     "op4_best_two_fit": op4_best_two_fit,
+    "op6_pca_tiles": op6_pca_tiles,
     "op7_splitting_tree": op7_splitting_tree,
     "op9_weak_rules": op9_weak_rules,
     "op10_token_files": op10_token_files,
