@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from homelens.llm.langid import op3_language_codes
+from homelens.llm.lines import ORACLE as LINES_SQL
+from homelens.llm.lines import op8_deletion_neighbourhood
+from homelens.llm.lm import op5_kneser_ney
 from homelens.llm.mixing import op7_splitting_tree
 from homelens.llm.neardup import op6_pca_tiles
 from homelens.llm.packing import op4_best_two_fit
@@ -16,9 +19,11 @@ QUERIES = {
     "op2_bucket_refinement": op2_bucket_refinement,
     "op3_language_codes": op3_language_codes,
     "op4_best_two_fit": op4_best_two_fit,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_pca_tiles": op6_pca_tiles,
     "op7_splitting_tree": op7_splitting_tree,
+    "op8_deletion_neighbourhood": op8_deletion_neighbourhood,
     "op9_weak_rules": op9_weak_rules,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_deletion_neighbourhood": LINES_SQL}
