@@ -110,10 +110,13 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous; the text alone decides."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` with the language, its score and whether it is ambiguous under ``names``; the text alone decides.
+
+    Columns of ``docs`` with these names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "ambiguous", "_lettered")]
+    fields = [f for f in docs.schema.fields if f.name not in (*names, "_lettered")]
     kept = [f.name for f in fields]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,19 +135,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     sums = sums[:-1]
                 best, score, close = known.decode(sums, n) if known.languages else (np.zeros(len(n), int), np.zeros(len(n)), np.ones(len(n), bool))
                 plain = ~rows.column("_lettered").to_numpy(zero_copy_only=False).astype(bool) | (not known.languages)
-                names = [UNKNOWN if p else known.languages[b] for p, b in zip(plain, best, strict=True)]
-                extra = [pa.array(names, pa.string()), pa.array(np.where(plain, 0.0, score)), pa.array(close | plain)]
-                yield pa.RecordBatch.from_arrays([rows.column(k) for k in kept] + extra, names=[*kept, "lang_pred", "score", "ambiguous"])
+                labels = [UNKNOWN if p else known.languages[b] for p, b in zip(plain, best, strict=True)]
+                extra = [pa.array(labels, pa.string()), pa.array(np.where(plain, 0.0, score)), pa.array(close | plain)]
+                yield pa.RecordBatch.from_arrays([rows.column(k) for k in kept] + extra, names=[*kept, *names])
 
     lettered = docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, ambiguous boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))])
     return lettered.mapInArrow(label, schema)
 
 
-def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
+def identify(docs: DataFrame, parts: int = 4, part: int = 2, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """Train on the labelled documents outside the held-out part, then predict all of ``docs``."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
-    return predict(docs, train(labelled))
+    return predict(docs, train(labelled), names)
 
 
 def op3_language_codes(spark, sf_dir: str) -> DataFrame:

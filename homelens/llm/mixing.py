@@ -141,13 +141,16 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def mixed_documents(docs: DataFrame, size: int, shards: int = SHARDS) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, by shard, in hash order within each partition.
 
-    ``docs`` has unique doc_id; a shard is spread over several partitions once it is large.
+    Rows are told apart by doc_id, without one by their text. A shard is spread over several partitions
+    once it is large.
     """
-    taken = mix(docs, shards).filter("copies > 0").select("doc_id", F.posexplode("homes").alias("copy", "shard"))
-    rows = docs.join(taken, "doc_id")
+    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")))
+    taken = mix(docs.withColumn("doc_id", key).select("doc_id", "source", "text"), shards)
+    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_key"), F.posexplode("homes").alias("_copy", "_shard")).dropDuplicates(["_key", "_copy"])
+    rows = docs.withColumn("_key", key).join(taken, "_key")
     n = max(shards, partitions_for(size))
-    spread = rows.repartition(n, "shard", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // shards))))
-    return spread.sortWithinPartitions("shard", F.xxhash64("doc_id", "copy", "shard")).select(*docs.columns)
+    spread = rows.repartition(n, "_shard", F.pmod(F.xxhash64("_key"), F.lit(max(1, n // shards))))
+    return spread.sortWithinPartitions("_shard", F.xxhash64("_key", "_copy", "_shard")).select(*docs.columns)
 
 
 def op7_splitting_tree(spark, sf_dir: str) -> DataFrame:
