@@ -25,6 +25,7 @@ _LAST = 2**63 - 1
 _BLANK = " \t\n\x0b\f\r"
 
 
+# Joins with a side of corpus size name their strategy, so that plans do not change with the size of the input.
 def _lines(docs: DataFrame) -> DataFrame:
     """(did, no, line) of every line with a word."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
@@ -41,30 +42,39 @@ def _classes(lines: DataFrame) -> DataFrame:
 
     A line of n words may meet one of n or of n + 1 words by the halves of n, and one of n - 1 by those of n - 1.
     """
-    w = lines.select("did", "no", _words().alias("w"))
-    s = w.select("did", "no", "w", F.size("w").alias("n"), F.array_join("w", " ").alias("s"))
-    half = lambda m: f"xxhash64({m}, 0, array_join(slice(w, 1, ({m}) div 2), ' ')), xxhash64({m}, 1, array_join(slice(w, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2), ' '))"
+    w = lines.select("did", "no", _words().alias("w")).withColumn("n", F.size("w"))
+    half = lambda m: f"xxhash64({m}, 0, slice(w, 1, ({m}) div 2)), xxhash64({m}, 1, slice(w, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2))"
     halves = F.expr(f"CASE WHEN n < {FUZZY} THEN CAST(array() AS array<bigint>) WHEN n = {FUZZY} THEN array({half('n')}) ELSE array({half('n')}, {half('n - 1')}) END")
-    return s.select("did", "no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(17), "s").alias("h2"), "n", halves.alias("halves"))
+    return w.select("did", "no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(17), "w").alias("h2"), "n", halves.alias("halves"))
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """(key, at, kind) of all variants: kind 0 without word i and keyed by i, 1 without word i, 2 the line itself.
+
+    A key is the exclusive or of the words' hashes, each with its place; ``low`` runs over the words before
+    word i, ``high`` over those after it, one place lower.
+    """
+    placed = lines.select("at", "n", F.expr("transform(w, (x, i) -> xxhash64(x, i))").alias("h"), F.expr("transform(w, (x, i) -> xxhash64(x, i - 1))").alias("g"))
+    run = "aggregate({}, array(0L), (s, x) -> concat(s, array(element_at(s, -1) ^ x)))"
+    runs = placed.select("at", "n", "h", F.expr(run.format("h")).alias("low"), F.expr(run.format("reverse(g)")).alias("high"))
+    whole = F.array(F.struct(F.expr("element_at(low, -1)").alias("key"), F.lit(2).alias("kind")))
+    replaced = F.expr("transform(h, (x, i) -> named_struct('key', xxhash64(n, i, element_at(low, -1) ^ x), 'kind', 0))")
+    left_out = F.expr(f"IF(n > {FUZZY}, transform(h, (x, i) -> named_struct('key', low[i] ^ high[n - 1 - i], 'kind', 1)), CAST(array() AS array<struct<key:bigint,kind:int>>))")
+    return runs.select("at", F.explode(F.concat(whole, replaced, left_out)).alias("v")).select("v.key", "at", "v.kind")
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines that an earlier one differs from by one word."""
     keys = distinct.select("h1", F.col("at.did").alias("did"), F.col("at.no").alias("no"), F.explode("halves").alias("key"))
     shared = storage.materialize(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"), "line-halves")
-    some = storage.materialize(keys.join(shared, "key", "left_semi").select("did", "no").distinct(), "line-candidates")
-    texts = _lines(docs).join(some, ["did", "no"]).select(F.struct("did", "no").alias("at"), _words().alias("w"))
+    some = storage.materialize(keys.join(shared.hint("merge"), "key", "left_semi").select("did", "no").distinct(), "line-candidates")
+    texts = _lines(docs).join(some.hint("merge"), ["did", "no"]).select(F.struct("did", "no").alias("at"), _words().alias("w"))
     lines = storage.materialize(texts.dropDuplicates(["at"]).withColumn("n", F.size("w")), "line-words")
-    each = lines.select("at", "n", "w", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    without = each.select("at", "n", "i", F.expr("array_join(slice(w, 1, i - 1), ' ')").alias("x"), F.expr("array_join(slice(w, i + 1, n), ' ')").alias("y"))
-    replaced = without.select(F.xxhash64("n", "i", "x", "y").alias("key"), "at", F.lit(0).alias("kind"))
-    left_out = without.filter(F.col("n") > FUZZY).select(F.xxhash64(F.concat_ws(" ", F.when(F.col("x") != "", F.col("x")), F.when(F.col("y") != "", F.col("y")))).alias("key"), "at", F.lit(1).alias("kind"))
-    whole = lines.select(F.xxhash64(F.array_join("w", " ")).alias("key"), "at", F.lit(2).alias("kind"))
-    variants = replaced.unionByName(left_out).unionByName(whole)
+    variants = _variants(lines)
     firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"f{k}") for k in (0, 1, 2)], *[F.max(F.when(F.col("kind") == k, F.col("at"))).alias(f"l{k}") for k in (0, 1)])
     met = storage.materialize(firsts.filter("f0 <> l0 OR (f1 IS NOT NULL AND f2 IS NOT NULL)").select("key", "f0", "f1", "f2"), "line-keys")
     hub = F.when(F.col("kind") == 0, F.col("f0")).when(F.col("kind") == 1, F.col("f2")).otherwise(F.col("f1"))
-    pairs = variants.join(met, "key").select("at", hub.alias("hub")).filter("hub < at").distinct()
+    pairs = variants.join(met.hint("merge"), "key").select("at", hub.alias("hub")).filter("hub < at").distinct()
     pairs = storage.materialize(pairs, "line-pairs")
     a, b = lines.select("at", F.col("w").alias("aw")), lines.select(F.col("at").alias("hub"), F.col("w").alias("bw"))
     both = pairs.join(a, "at").join(b, "hub")
@@ -82,7 +92,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     placed = distinct.select("h1", "h2", "at", "times", F.col("at.did").alias("did"), F.col("at.no").alias("no"))
     judged = placed.join(near, ["did", "no"], "left").select("h1", "h2", "at", "times", F.coalesce("near", F.lit(False)).alias("near"))
     judged = storage.materialize(judged.filter("times > 1 OR near"), "line-judged")
-    gone = lines.select("did", "no", "h1", "h2").join(judged, ["h1", "h2"]).filter(F.col("near") | (F.struct("did", "no") != F.col("at")))
+    gone = lines.select("did", "no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"]).filter(F.col("near") | (F.struct("did", "no") != F.col("at")))
     return storage.materialize(gone.groupBy("did").agg(F.array_sort(F.collect_set("no")).alias("gone")), "line-gone")
 
 
@@ -90,7 +100,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with _gone (numbers of the lines removed) and _kept (the text without them; null stays null)."""
     gone = removed_lines(docs)
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.withColumn("_did", did).join(gone.withColumnRenamed("did", "_did").withColumnRenamed("gone", "_gone"), "_did", "left").drop("_did")
+    joined = docs.withColumn("_did", did).join(gone.withColumnRenamed("did", "_did").withColumnRenamed("gone", "_gone").hint("merge"), "_did", "left").drop("_did")
     split = F.expr("IF(_gone IS NULL, text, array_join(transform(array(split(text, '\\n')), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _gone), i -> x[i]), '\\n')), ''))")
     return joined.withColumn("_kept", split)
 
