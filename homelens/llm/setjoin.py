@@ -230,7 +230,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, percent: int, width: int
         empty = [np.empty(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(left or empty), pa.int64()), "b": pa.array(np.concatenate(right or empty), pa.int64())})
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members, "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.hint("merge"), "doc_id")  # one plan at every size
     made = chosen.select("cls", "cluster", "tiles", "text").mapInArrow(sets, "cls long, cluster long, tiles int, tokens binary")
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     pairs = made.withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -247,14 +247,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     clusters = connected_components(candidate_edges(classes))
     clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
     sizes = storage.materialize(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "set-sizes")
-    members = storage.materialize(clusters.join(sizes, "cluster").join(classes.select("cls", "doc_id"), "cls").select("doc_id", "cls", "cluster", "tiles"), "set-members")
+    members = storage.materialize(clusters.join(sizes.hint("merge"), "cluster").join(classes.select("cls", "doc_id"), "cls").select("doc_id", "cls", "cluster", "tiles"), "set-members")
     links = connected_components(verified_edges(docs, members, percent, width))
     linked = storage.materialize(links.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node"), "set-links")
     least = storage.materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "set-least")
     named = linked.join(least, "component").select(F.col("node").alias("cls"), "component_id")
-    lone = classes.join(named, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    lone = classes.join(named.hint("merge"), "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
     lone = storage.materialize(lone, "set-components")
-    whole = signed.select("doc_id", "n", "cls").join(lone, "cls", "left")
+    whole = signed.select("doc_id", "n", "cls").join(lone.hint("merge"), "cls", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
