@@ -1,6 +1,622 @@
-"""Queries of the household network analytics and their SQL."""
+"""Queries of the household network analytics over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from homelens.functions import normalize as N
+from homelens.operators import activity, baseline, correlate, dashboard, events, feedback, findings, health, identity
+from homelens.plans import views as V
+
+NOW, START = V.NOW, V.START
+DAY = 86400
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; ``sql`` continues the common table expressions of the views."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = V.SQL + sql
+        return f
+
+    return add
+
+
+def _volume_baseline(s: SparkSession, d: str, metric: str = "dns_query_volume") -> DataFrame:
+    samples = baseline.window_samples(V.lookups(s, d), NOW)
+    return baseline.metric_baseline(samples.select("device_id", F.col(metric).cast("double").alias("value")), ["device_id"])
+
+
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    return activity.dns_window_summary(V.lookups(s, d), START, NOW)
+
+
+@query("scan_time_range", "SELECT id, device_id, domain, status FROM win")
+def _(s, d):
+    return V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW)).select("id", "device_id", "domain", "status")
+
+
+@query("point_lookup", "SELECT device_id, display_name, is_unknown FROM devices WHERE device_id = 7")
+def _(s, d):
+    return V.table(s, d, "customer").filter("c_custkey = 7").select(F.col("c_custkey").alias("device_id"), F.col("c_name").alias("display_name"), (F.col("c_acctbal") < 0).alias("is_unknown"))
+
+
+@query("keyset_page", "SELECT id, severity FROM findings WHERE occurred_at > TIMESTAMP '1997-01-01' OR (occurred_at = TIMESTAMP '1997-01-01' AND id > 100) ORDER BY occurred_at, id LIMIT 100")
+def _(s, d):
+    return events.page_after(V.findings(s, d), "occurred_at", "id", "1997-01-01 00:00:00", 100).select("id", "severity")
+
+
+@query("normalize_domain", "SELECT page_id, regexp_replace(lower(regexp_replace('  ' || upper(regexp_extract(url, '://([^/]+)', 1)) || '.. ', '^\\s+|\\s+$', '', 'g')), '\\.+$', '') AS domain FROM pages")
+def _(s, d):
+    host = F.concat(F.lit("  "), F.upper(F.regexp_extract("url", "://([^/]+)", 1)), F.lit(".. "))
+    return V.table(s, d, "pages").select("page_id", N.normalize_domain(host).alias("domain"))
+
+
+@query("registrable_suffix", "SELECT page_id, array_to_string(list_filter(string_split(lower(regexp_extract(url, '://([^/]+)', 1)), '.'), lambda x: x <> '')[-2:], '.') AS suffix FROM pages")
+def _(s, d):
+    return V.table(s, d, "pages").select("page_id", N.registrable_suffix(F.regexp_extract("url", "://([^/]+)", 1)).alias("suffix"))
+
+
+@query("normalize_mac", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN regexp_replace(lpad(lower(hex(c_custkey)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') END AS mac FROM customer")
+def _(s, d):
+    raw = F.lpad(F.hex("c_custkey"), 12, "0")
+    messy = F.when(F.col("c_custkey") % 5 == 0, F.substring(raw, 1, 11)).otherwise(F.regexp_replace(raw, "(....)(?=.)", "$1-"))
+    return V.table(s, d, "customer").select("c_custkey", N.normalize_mac(messy).alias("mac"))
+
+
+@query("status_bucket", "SELECT code, CASE WHEN code IN ('GRAVITY', ' regex ') THEN 'blocked' WHEN code = 'Cache' THEN 'cached' ELSE 'allowed' END AS status, n FROM (SELECT CASE event_type WHEN 'error' THEN 'GRAVITY' WHEN 'view' THEN 'Cache' WHEN 'click' THEN ' regex ' WHEN 'signup' THEN '  ' ELSE 'FORWARDED' END AS code, count(*) AS n FROM events GROUP BY 1)")
+def _(s, d):
+    code = F.when(F.col("event_type") == "error", "GRAVITY").when(F.col("event_type") == "view", "Cache").when(F.col("event_type") == "click", " regex ").when(F.col("event_type") == "signup", "  ").otherwise("FORWARDED")
+    return V.table(s, d, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n")).select("code", N.status_bucket(F.col("code")).alias("status"), "n")
+
+
+@query("parse_epoch", "SELECT id, floor(epoch(queried_at))::BIGINT AS seconds FROM lookups")
+def _(s, d):
+    stamp = F.unix_timestamp(F.col("queried_at").cast("timestamp"))
+    text = F.when(F.col("id") % 3 == 0, stamp.cast("string")).when(F.col("id") % 3 == 1, F.concat((stamp * 1000).cast("string"))).otherwise(F.date_format("queried_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return V.lookups(s, d).select("id", F.unix_timestamp(N.parse_time(text, milliseconds=True)).alias("seconds"))
+
+
+@query("client_identifier", "SELECT id, CASE WHEN id % 4 = 0 THEN 'host-' || device_id ELSE ip END AS identifier FROM lookups")
+def _(s, d):
+    host, ip = F.concat(F.lit("host-"), F.col("device_id")), F.col("ip")
+    payload = F.when(F.col("id") % 4 == 0, F.to_json(F.struct(F.struct(ip.alias("ip"), host.alias("name")).alias("client")))).when(F.col("id") % 4 == 1, F.to_json(F.struct(ip.alias("client")))).when(F.col("id") % 4 == 2, F.to_json(F.struct(ip.alias("client_ip")))).otherwise(F.to_json(F.struct(F.struct(ip.alias("ip")).alias("client"))))
+    return V.lookups(s, d).withColumn("payload", payload).select("id", N.client_fields(F.col("payload"))[2].alias("identifier"))
+
+
+@query("interval_overlap_seconds", f"SELECT device_id, observed_from, greatest(0, epoch(least(coalesce(observed_to, TIMESTAMP '{NOW}'), TIMESTAMP '{NOW}')) - epoch(greatest(observed_from, TIMESTAMP '{START}'))) AS seconds FROM assignments")
+def _(s, d):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return V.assignments(s, d).select("device_id", "observed_from", N.overlap_seconds(F.col("observed_from"), F.coalesce("observed_to", at(NOW)), at(START), at(NOW)).alias("seconds"))
+
+
+@query("classify_transition", "SELECT kind, count(*) AS n FROM transitions GROUP BY 1")
+def _(s, d):
+    name = F.when(F.col("kind") == "connect", "EVT_Client_Connected").otherwise("EVT_Client_Disconnected")
+    return V.transitions(s, d).groupBy(N.classify_transition(name, F.lit("associated or not")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("subject_label", "SELECT d.device_id, coalesce(p.name, 'device ' || d.device_id) AS label FROM devices d LEFT JOIN links l ON l.device_id = d.device_id LEFT JOIN people p ON p.person_id = l.person_id")
+def _(s, d):
+    joined = V.devices(s, d).select("device_id").join(V.links(s, d).select("device_id", "person_id"), "device_id", "left").join(V.people(s, d), "person_id", "left")
+    return joined.select("device_id", N.subject_label(F.col("name"), F.lit("  "), F.col("device_id")).alias("label"))
+
+
+@query("fingerprint", "SELECT id, 'rule|' || coalesce(CASE WHEN id % 2 = 0 THEN device_id::VARCHAR END, '') || '|' || status AS mark FROM findings")
+def _(s, d):
+    return V.findings(s, d).select("id", N.fingerprint(F.lit("rule"), F.when(F.col("id") % 2 == 0, F.col("device_id")), F.col("status")).alias("mark"))
+
+
+@query("window_floor", "SELECT (floor(epoch(queried_at) / 900) * 900)::BIGINT AS bucket, count(*) AS n FROM lookups GROUP BY 1")
+def _(s, d):
+    return V.lookups(s, d).groupBy(N.window_floor(F.col("queried_at").cast("timestamp"), 900).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("feedback_status", "SELECT id, CASE id % 4 WHEN 0 THEN 'dismissed' WHEN 1 THEN 'acknowledged' WHEN 2 THEN 'resolved' ELSE 'dismissed' END AS status FROM findings")
+def _(s, d):
+    said = F.element_at(F.array(*map(F.lit, ("expected", "concerning", "resolve", "suppress_similar"))), (F.col("id") % 4 + 1).cast("int"))
+    return V.findings(s, d).select("id", feedback.feedback_status(said).alias("status"))
+
+
+@query("text_claim_scan", "SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\\b(viewed|watched|browsed|read|streamed|played)\\b')) AS hits, count(*) AS n FROM documents GROUP BY 1")
+def _(s, d):
+    return V.table(s, d, "documents").groupBy("lang").agg(F.count_if(N.claims_content(F.col("text"))).alias("hits"), F.count("*").alias("n"))
+
+
+@query("dns_window_summary", "SELECT device_id, dns_query_volume, blocked_query_count, round(100.0::DOUBLE * blocked_query_count / dns_query_volume, 4) AS blocked_query_pct, unique_domain_count, new_domain_count, active_hour_count FROM stats")
+def _(s, d):
+    return _stats(s, d).drop("active_hours_utc")
+
+
+@query("prior_domains", f"SELECT DISTINCT device_id, domain FROM lookups WHERE queried_at < TIMESTAMP '{START}'")
+def _(s, d):
+    return activity.prior_domains(V.lookups(s, d), START)
+
+
+@query("new_domains", f"SELECT device_id, domain FROM first_seen WHERE first_seen >= TIMESTAMP '{START}'")
+def _(s, d):
+    return activity.new_domains(V.lookups(s, d), START, NOW)
+
+
+@query("latest_per_key", "SELECT device_id, arg_max(id, (observed_at, id)) AS id, arg_max(upload_bytes, (observed_at, id)) AS upload_bytes FROM snapshots GROUP BY 1")
+def _(s, d):
+    return activity.latest_per_key(V.snapshots(s, d), "device_id", "observed_at", "id").select("device_id", "id", "upload_bytes")
+
+
+@query("traffic_latest_sum", "SELECT sum(upload_bytes)::BIGINT AS upload_bytes, sum(download_bytes)::BIGINT AS download_bytes, round(sum(connection_duration_seconds), 3) AS connection_duration_seconds, count(*) AS traffic_device_count FROM (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1)")
+def _(s, d):
+    return activity.traffic_latest_sum(V.snapshots(s, d))
+
+
+_SUMMARY = "summary AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, upload_bytes, download_bytes FROM stats s FULL JOIN (SELECT device_id, upload_bytes, download_bytes FROM snapshots QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1) t ON t.device_id = s.device_id)"
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    return activity.activity_summary(_stats(s, d), activity.traffic_latest_sum(V.snapshots(s, d), ["device_id"])).select("device_id", "dns_query_volume", "unique_domain_count", "new_domain_count", "upload_bytes", "download_bytes")
+
+
+@query("activity_summary", f", {_SUMMARY} SELECT * FROM summary")
+def _(s, d):
+    return _summary(s, d)
+
+
+@query("metric_unpivot", f", {_SUMMARY} SELECT device_id, metric, value::DOUBLE AS value FROM (UNPIVOT summary ON dns_query_volume, unique_domain_count, new_domain_count, upload_bytes, download_bytes INTO NAME metric VALUE value)")
+def _(s, d):
+    return activity.metric_unpivot(_summary(s, d))
+
+
+@query("activity_join", "SELECT l.device_id, l.status, count(*) AS n FROM lookups l JOIN matches m ON m.id = l.id WHERE (SELECT count(DISTINCT x.device_id) FROM matches x WHERE x.id = l.id) = 1 GROUP BY 1, 2")
+def _(s, d):
+    rows = _attributed(s, d)
+    q = V.lookups(s, d)
+    joined = activity.attributed_lookups(rows.withColumnRenamed("id", "dns_query_id"), q.withColumnRenamed("device_id", "raw_device"))
+    return joined.groupBy(F.col("raw_device").alias("device_id"), "status").agg(F.count("*").alias("n"))
+
+
+def _evidence(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q = V.lookups(s, d).filter("event_type IN ('error', 'signup')")
+    return q, correlate.interval_join(q, V.assignments(s, d)).select("id", "device_id", F.lit("ip").alias("kind"))
+
+
+def _attributed(s: SparkSession, d: str) -> DataFrame:
+    q, evidence = _evidence(s, d)
+    return correlate.attribution(q, evidence)
+
+
+@query("interval_join", "SELECT id, device_id FROM matches")
+def _(s, d):
+    return _evidence(s, d)[1].select("id", "device_id")
+
+
+@query("identifier_join", "SELECT l.id, f.device_id FROM lookups l JOIN (SELECT ip, device_id, min(queried_at) AS first_seen FROM lookups WHERE event_type = 'signup' GROUP BY 1, 2) f ON f.ip = l.ip AND f.first_seen <= l.queried_at WHERE l.event_type = 'error'")
+def _(s, d):
+    named = V.lookups(s, d).filter("event_type = 'signup'").groupBy(F.col("ip").alias("value"), "device_id").agg(F.min("queried_at").alias("first_seen")).withColumn("kind", F.lit("hostname"))
+    q = V.lookups(s, d).filter("event_type = 'error'").withColumn("client", F.concat(F.lit(" "), "ip"))
+    return correlate.identifier_join(q, named).select("id", "device_id")
+
+
+@query("ip_reassignment", f"SELECT ip, count(DISTINCT device_id) AS devices FROM assignments WHERE observed_from <= TIMESTAMP '{NOW}' AND (observed_to IS NULL OR observed_to > TIMESTAMP '{START}') GROUP BY 1 HAVING count(DISTINCT device_id) > 1")
+def _(s, d):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return correlate.ip_reassignment(V.assignments(s, d), at(START), at(NOW))
+
+
+@query("confidence_score", "SELECT ip, client, hostname, CASE WHEN ip AND client THEN 0.95 WHEN ip AND hostname THEN 0.9 WHEN ip THEN 0.8 WHEN client THEN 0.6 WHEN hostname THEN 0.55 ELSE 0 END::DECIMAL(5,4)::DOUBLE AS score FROM (SELECT DISTINCT event_id % 2 = 0 AS ip, event_id // 2 % 2 = 0 AS client, event_id // 4 % 2 = 0 AS hostname FROM events)")
+def _(s, d):
+    bit = lambda k: F.floor(F.col("event_id") / k) % 2 == 0
+    kinds = V.table(s, d, "events").select(bit(1).alias("ip"), bit(2).alias("client"), bit(4).alias("hostname")).distinct()
+    return kinds.withColumn("score", correlate.confidence_score(F.col("ip"), F.col("client"), F.col("hostname")).cast("double"))
+
+
+_ATTRIBUTED = "attributed AS (SELECT l.id, CASE WHEN count(DISTINCT m.device_id) > 1 THEN 'ambiguous' WHEN count(DISTINCT m.device_id) = 1 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN count(DISTINCT m.device_id) = 1 THEN min(m.device_id) END AS device_id, CASE WHEN count(DISTINCT m.device_id) = 1 THEN 0.8::DOUBLE ELSE 0::DOUBLE END AS confidence FROM lookups l LEFT JOIN matches m ON m.id = l.id WHERE l.event_type IN ('error', 'signup') GROUP BY 1)"
+
+
+@query("attribution", f", {_ATTRIBUTED} SELECT * FROM attributed")
+def _(s, d):
+    return _attributed(s, d).select("id", "status", "device_id", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("review_queue", f", {_ATTRIBUTED} SELECT id, status FROM attributed WHERE status <> 'attributed'")
+def _(s, d):
+    return correlate.review_queue(_attributed(s, d)).select("id", "status")
+
+
+@query("review_count", f", {_ATTRIBUTED} SELECT count(*) AS n FROM attributed WHERE status <> 'attributed'")
+def _(s, d):
+    return correlate.review_queue(_attributed(s, d)).agg(F.count("*").alias("n"))
+
+
+@query("review_candidates", f", {_ATTRIBUTED} SELECT DISTINCT a.id, m.device_id, d.display_name FROM attributed a JOIN matches m ON m.id = a.id JOIN devices d ON d.device_id = m.device_id WHERE a.status <> 'attributed'")
+def _(s, d):
+    return correlate.review_candidates(correlate.review_queue(_attributed(s, d)), V.devices(s, d))
+
+
+@query("window_samples", "SELECT device_id, idx, dns_query_volume, blocked_query_pct, unique_domain_count, new_domain_count, active_hour_count FROM samples")
+def _(s, d):
+    return baseline.window_samples(V.lookups(s, d), NOW).drop("hours").withColumn("idx", F.col("idx").cast("long"))
+
+
+QUERIES["baseline_windows"], ORACLES["baseline_windows"] = QUERIES["window_samples"], ORACLES["window_samples"]
+
+
+@query("metric_baseline", "SELECT * FROM volume_baseline")
+def _(s, d):
+    return _volume_baseline(s, d)
+
+
+_LONG = "long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE]) AS value FROM samples)"
+
+
+@query("baseline_full", f", {_LONG} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold FROM long GROUP BY 1, 2")
+def _(s, d):
+    samples = baseline.window_samples(V.lookups(s, d), NOW).drop("hours", "idx")
+    return baseline.metric_baseline(activity.metric_unpivot(samples), ["device_id", "metric"])
+
+
+@query("typical_hours", "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n")
+def _(s, d):
+    return baseline.typical_hours(baseline.window_samples(V.lookups(s, d), NOW)).withColumn("hour", F.col("hour").cast("long"))
+
+
+@query("dow_pattern", f"SELECT a.device_id, a.weekday, coalesce(round(avg(dns_query_volume), 6), 0) AS mean_volume FROM (SELECT * FROM (SELECT DISTINCT device_id FROM samples), (SELECT unnest(range(0, 7)) AS weekday)) a LEFT JOIN (SELECT *, isodow(TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER)) - 1 AS weekday FROM samples) s ON s.device_id = a.device_id AND s.weekday = a.weekday GROUP BY 1, 2")
+def _(s, d):
+    return baseline.dow_pattern(baseline.window_samples(V.lookups(s, d), NOW), NOW).withColumn("weekday", F.col("weekday").cast("long"))
+
+
+@query("window_grid", f"SELECT i AS idx, epoch(TIMESTAMP '{NOW}')::BIGINT - (i + 1) * 86400 AS start, epoch(TIMESTAMP '{NOW}')::BIGINT - i * 86400 AS stop FROM (SELECT unnest(range(0, 14)) AS i)")
+def _(s, d):
+    end = F.unix_timestamp(F.lit(NOW).cast("timestamp"))
+    return s.range(14).select(F.col("id").alias("idx"), (end - (F.col("id") + 1) * DAY).alias("start"), (end - F.col("id") * DAY).alias("stop"))
+
+
+@query("latest_baseline", "SELECT device_id, max(idx) AS idx, arg_max(dns_query_volume, idx) AS dns_query_volume FROM samples GROUP BY 1")
+def _(s, d):
+    samples = baseline.window_samples(V.lookups(s, d), NOW).withColumn("idx", F.col("idx").cast("long"))
+    return baseline.latest_baseline(samples, ["device_id"], "idx", "idx").select("device_id", "idx", "dns_query_volume")
+
+
+@query("deviations", "SELECT s.device_id, idx, dns_query_volume::DOUBLE AS value, CASE WHEN stddev > 0 AND round((dns_query_volume - mean) / stddev, 6) > 2 THEN 'z_score' WHEN stddev = 0 AND dns_query_volume > mean THEN 'above_constant_mean' ELSE 'percentile' END AS kind FROM samples s JOIN volume_baseline b ON b.device_id = s.device_id WHERE (stddev > 0 AND round((dns_query_volume - mean) / nullif(stddev, 0), 6) > 2) OR (stddev = 0 AND dns_query_volume > mean) OR dns_query_volume > p95")
+def _(s, d):
+    samples = baseline.window_samples(V.lookups(s, d), NOW).select("device_id", F.col("idx").cast("long").alias("idx"), F.col("dns_query_volume").cast("double").alias("value"))
+    found = baseline.deviations(samples, _volume_baseline(s, d), ["device_id"])
+    return found.join(samples, ["device_id", "value"]).select("device_id", "idx", "value", "kind").distinct()
+
+
+@query("identifier_claims", "SELECT ip AS value, device_id, min(queried_at) AS first_seen, max(queried_at) AS last_seen FROM (SELECT *, first_value(device_id) OVER (PARTITION BY ip ORDER BY id) AS owner FROM lookups) WHERE device_id = owner GROUP BY 1, 2")
+def _(s, d):
+    sightings = V.lookups(s, d).select(F.col("id").alias("seq"), F.lit("hostname").alias("kind"), F.col("ip").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
+    return identity.identifier_claims(sightings).drop("kind")
+
+
+@query("ip_history", "SELECT * FROM assignments")
+def _(s, d):
+    return V.assignments(s, d)
+
+
+@query("current_ip", "SELECT device_id, ip FROM assignments WHERE observed_to IS NULL")
+def _(s, d):
+    return identity.current_ip(V.assignments(s, d))
+
+
+@query("unknown_flag", "SELECT device_id, NOT bool_or(event_type = 'signup') AS is_unknown FROM lookups GROUP BY 1")
+def _(s, d):
+    return identity.unknown_flag(V.lookups(s, d).select("device_id", F.when(F.col("event_type") == "signup", "mac").otherwise("ip").alias("kind")))
+
+
+@query("device_resolution")
+def _(s, d):
+    if not s.sparkContext.getCheckpointDir():
+        import tempfile
+
+        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    seen = V.lookups(s, d).filter("event_type = 'signup'").select(F.col("id").alias("seq"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("m"), "device_id")).alias("mac"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("u"), F.col("device_id"))).alias("controller_id"))
+    return identity.resolve_devices(seen).select("seq", "device_seq")
+
+
+@query("online_devices", f"SELECT device_id FROM devices WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY")
+def _(s, d):
+    views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
+    return dashboard.filter_devices(views, online=True).select("device_id")
+
+
+@query("device_filter", f"SELECT d.device_id FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND is_unknown AND l.person_id IS NULL")
+def _(s, d):
+    views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
+    return dashboard.filter_devices(views, online=True, unknown=True, unassigned=True).select("device_id")
+
+
+@query("device_views", f"SELECT d.device_id, p.name AS person_name, p.role, coalesce(last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY, false) AS online, l.person_id IS NULL AS unassigned FROM devices d LEFT JOIN links l ON l.device_id = d.device_id LEFT JOIN people p ON p.person_id = l.person_id")
+def _(s, d):
+    views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
+    return views.select("device_id", "person_name", "role", "online", "unassigned")
+
+
+@query("active_person", "SELECT device_id, person_id FROM links")
+def _(s, d):
+    return activity.active_person(V.links(s, d))
+
+
+@query("person_devices", "SELECT person_id, count(*) AS devices FROM links GROUP BY 1")
+def _(s, d):
+    return activity.active_person(V.links(s, d)).groupBy("person_id").agg(F.count("*").alias("devices"))
+
+
+@query("semi_join", "SELECT id FROM lookups WHERE device_id IN (SELECT device_id FROM devices WHERE is_unknown)")
+def _(s, d):
+    return V.lookups(s, d).join(V.table(s, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("device_id")), "device_id", "left_semi").select("id")
+
+
+@query("finding_filter", "SELECT id, severity, status FROM findings WHERE severity = 'high' AND status = 'open' ORDER BY occurred_at DESC, id DESC LIMIT 50")
+def _(s, d):
+    return V.findings(s, d).filter("severity = 'high' AND status = 'open'").orderBy(F.col("occurred_at").desc(), F.col("id").desc()).limit(50).select("id", "severity", "status")
+
+
+@query("recent_events", "SELECT id, severity FROM findings ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, occurred_at DESC, id DESC LIMIT 50")
+def _(s, d):
+    return events.recent_events(V.findings(s, d), 50).select("id", "severity")
+
+
+@query("recent_activity", "SELECT id, tier FROM (SELECT id, queried_at, CASE WHEN status = 'blocked' THEN 0 WHEN id % 2 = 0 THEN 1 ELSE 2 END::INTEGER AS tier FROM lookups) ORDER BY tier, queried_at DESC, id DESC LIMIT 2000")
+def _(s, d):
+    return dashboard.recent_activity(V.lookups(s, d).withColumn("needs_review", F.col("id") % 2 == 0), 2000).select("id", "tier")
+
+
+_BURST = "burst AS (SELECT device_id, queried_at, id, count(*) OVER w AS n, min(queried_at) OVER w AS first FROM lookups WHERE status = 'blocked' WINDOW w AS (PARTITION BY device_id ORDER BY queried_at RANGE BETWEEN INTERVAL 72 HOURS PRECEDING AND CURRENT ROW)), spans AS (SELECT device_id, n, first, queried_at AS last FROM burst QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY n DESC, queried_at, id) = 1)"
+
+
+@query("burst_blocked", f", {_BURST} SELECT device_id, n, first, last FROM spans WHERE n >= 5")
+def _(s, d):
+    return findings.burst_spans(V.lookups(s, d).filter("status = 'blocked'"), "device_id", "queried_at", "id", 72 * 3600, 5)
+
+
+@query("rule_blocked_burst", f", {_BURST} SELECT 'blocked_query_burst|' || device_id || '|' || (floor(epoch(first) / 900) * 900)::BIGINT AS fingerprint, device_id, n FROM spans WHERE n >= 5")
+def _(s, d):
+    return findings.rule_blocked_burst(V.lookups(s, d), 72 * 3600, 5).select("fingerprint", "device_id", "n")
+
+
+_FLAP = _BURST.replace("lookups WHERE status = 'blocked'", "(SELECT *, seen_at AS queried_at FROM transitions)")
+
+
+@query("rule_flapping", f", {_FLAP} SELECT 'connection_flapping|' || s.device_id || '|' || (floor(epoch(first) / 1800) * 1800)::BIGINT AS fingerprint, s.device_id, any_value(n) AS n FROM spans s JOIN transitions t ON t.device_id = s.device_id AND t.seen_at BETWEEN first AND last WHERE n >= 6 GROUP BY 1, 2 HAVING count(DISTINCT kind) = 2")
+def _(s, d):
+    return findings.rule_flapping(V.transitions(s, d), 72 * 3600, 6).select("fingerprint", "device_id", "n")
+
+
+QUERIES["burst_flap"], ORACLES["burst_flap"] = QUERIES["rule_flapping"], ORACLES["rule_flapping"]
+
+
+@query("rule_unknown_device", f"SELECT device_id, 'unknown_device_online|' || device_id || '|' || epoch(TIMESTAMP '{NOW}')::BIGINT AS fingerprint, last_seen AS occurred_at FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY")
+def _(s, d):
+    return findings.rule_unknown_device(V.devices(s, d), NOW, DAY).select("device_id", "fingerprint", "occurred_at")
+
+
+@query("rule_volume", "SELECT s.device_id, s.dns_query_volume AS n, CASE WHEN s.dns_query_volume / mean < 4 THEN 'low' ELSE 'medium' END AS severity, CASE WHEN sample_count >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM stats s JOIN volume_baseline b ON b.device_id = s.device_id WHERE s.dns_query_volume >= 10 AND s.dns_query_volume >= 2 * mean")
+def _(s, d):
+    return findings.rule_volume(_stats(s, d), _volume_baseline(s, d), START, NOW, least=10).select("device_id", "n", "severity", "confidence")
+
+
+@query("rule_outside_hours", f"SELECT w.device_id, count(*) AS n, max(queried_at) AS occurred_at FROM win w WHERE hour(queried_at) NOT BETWEEN 8 AND 20 GROUP BY 1 HAVING count(*) >= 3")
+def _(s, d):
+    window = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW))
+    hours = window.select("device_id").distinct().withColumn("hour", F.explode(F.sequence(F.lit(8), F.lit(20))))
+    return findings.rule_outside_hours(window, hours, START).select("device_id", "n", "occurred_at")
+
+
+_NEW = "SELECT s.device_id, s.new_domain_count AS n FROM stats s LEFT JOIN (SELECT device_id, round(avg(new_domain_count), 6) AS mean FROM samples GROUP BY 1) b ON b.device_id = s.device_id WHERE s.new_domain_count >= 8 AND NOT (coalesce(mean, 0) > 0 AND s.new_domain_count < 3 * mean)"
+
+
+@query("rule_new_domains", _NEW)
+def _(s, d):
+    return findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW).select("device_id", "n")
+
+
+@query("rule_security", "SELECT id FROM findings WHERE severity = 'high'")
+def _(s, d):
+    lines = V.findings(s, d).select("id", F.col("occurred_at").alias("seen_at"), F.lit("WAN_IN").alias("event_name"), F.when(F.col("severity") == "high", "SECURITY").otherwise("System").alias("category"), F.lit(None).cast("string").alias("mac"), "device_id")
+    return findings.rule_security(lines).select(F.split("fingerprint", r"\|")[1].cast("long").alias("id"))
+
+
+QUERIES["security_events"], ORACLES["security_events"] = QUERIES["rule_security"], ORACLES["rule_security"]
+
+
+def _drafts(s: SparkSession, d: str) -> DataFrame:
+    return findings.evaluate(findings.rule_blocked_burst(V.lookups(s, d), 72 * 3600, 5), findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW), findings.rule_unknown_device(V.devices(s, d), NOW, DAY))
+
+
+_DRAFTS = f"{_BURST}, drafts AS (SELECT 'blocked_query_burst' AS rule_id, device_id FROM spans WHERE n >= 5 UNION ALL SELECT 'new_domain_burst', device_id FROM ({_NEW}) UNION ALL SELECT 'unknown_device_online', device_id FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)"
+
+
+@query("evaluate_rules", f", {_DRAFTS} SELECT rule_id, device_id FROM drafts")
+def _(s, d):
+    return _drafts(s, d).select("rule_id", "device_id")
+
+
+@query("suppress_anti", f", {_DRAFTS} SELECT rule_id, device_id FROM drafts WHERE NOT (rule_id = 'new_domain_burst' AND device_id % 2 = 0)")
+def _(s, d):
+    key = feedback.suppression_key(F.col("rule_id"), F.col("device_id"), F.lit(None), F.lit("*"))
+    muted = V.table(s, d, "customer").filter("c_custkey % 2 = 0").select(feedback.suppression_key(F.lit("new_domain_burst"), F.col("c_custkey"), F.lit(None), F.lit("*")).alias("matching_key"))
+    return feedback.suppress(_drafts(s, d).withColumn("matching_key", key), muted).select("rule_id", "device_id")
+
+
+@query("suppression_key", "SELECT device_id, 'rule|device:' || device_id || '|' || CASE WHEN count(DISTINCT domain) = 1 THEN min(domain) WHEN count(DISTINCT domain) > 1 AND count(DISTINCT array_to_string(string_split(domain, '.')[-2:], '.')) = 1 THEN '*.' || array_to_string(string_split(min(domain), '.')[-2:], '.') ELSE '*' END AS key FROM win GROUP BY 1")
+def _(s, d):
+    window = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW))
+    named = window.groupBy("device_id").agg(F.collect_set("domain").alias("domains"))
+    return named.select("device_id", feedback.suppression_key(F.lit("rule"), F.col("device_id"), F.lit(None), feedback.domain_pattern(F.col("domains"))).alias("key"))
+
+
+@query("finding_upsert", f", {_DRAFTS} SELECT rule_id, device_id, CASE WHEN device_id % 5 = 1 THEN 'acknowledged' ELSE 'open' END AS status, device_id % 5 > 1 AS created FROM drafts WHERE device_id % 5 <> 0")
+def _(s, d):
+    drafts = _drafts(s, d)
+    known = drafts.filter("device_id % 5 < 2").select("fingerprint", F.when(F.col("device_id") % 5 == 0, "dismissed").otherwise("acknowledged").alias("status"))
+    return feedback.finding_upsert(drafts, known).select("rule_id", "device_id", "status", "created")
+
+
+@query("subject_stats", "SELECT device_id, dns_query_volume, new_domain_count FROM stats")
+def _(s, d):
+    return _stats(s, d).select("device_id", "dns_query_volume", "new_domain_count")
+
+
+@query("schedule_active", "SELECT c_custkey AS device_id, unnest(range(8, 12)) AS hour, 'schedule' AS source FROM customer WHERE c_custkey % 4 = 0")
+def _(s, d):
+    c = V.table(s, d, "customer")
+    days = F.when(F.col("c_custkey") % 8 == 0, F.array(F.lit(2))).otherwise(F.lit(None))
+    plans = c.filter("c_custkey % 4 < 2").select(F.col("c_custkey").alias("device_id"), F.lit(None).cast("long").alias("person_id"), F.array(*map(F.lit, (8, 9, 10, 11, 99))).alias("expected_hours_utc"), F.when(F.col("c_custkey") % 4 == 1, F.array(F.lit(5))).otherwise(days).alias("days_of_week"), F.lit(True).alias("active"), F.col("c_custkey").alias("updated_at"))
+    none = c.filter("false").select(F.col("c_custkey").alias("device_id"), F.lit(0).alias("hour"))
+    return findings.expected_hours(plans, none, V.links(s, d).select("device_id", F.col("person_id").cast("long").alias("person_id")), 2).withColumn("hour", F.col("hour").cast("long"))
+
+
+QUERIES["expected_hours"], ORACLES["expected_hours"] = QUERIES["schedule_active"], ORACLES["schedule_active"]
+
+
+@query("findings_by_severity", "SELECT severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity) LEFT JOIN (SELECT * FROM findings WHERE status = 'open') f USING (severity) GROUP BY 1")
+def _(s, d):
+    return dashboard.findings_by_severity(V.findings(s, d))
+
+
+@query("latest_activity", "SELECT device_id, max(queried_at) AS last_activity FROM lookups GROUP BY 1")
+def _(s, d):
+    return V.lookups(s, d).groupBy("device_id").agg(F.max("queried_at").alias("last_activity"))
+
+
+@query("household_today", f"SELECT count(*) AS dns_query_volume, count(DISTINCT domain) AS unique_domain_count, count(*) FILTER (status = 'blocked') AS blocked_query_count FROM win")
+def _(s, d):
+    whole = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW)).withColumn("household", F.lit(0))
+    return activity.dns_window_summary(whole, START, NOW, "household").select("dns_query_volume", "unique_domain_count", "blocked_query_count")
+
+
+@query("trend_delta", f", {_LONG}, today AS (SELECT metric, avg(value) AS value FROM long WHERE idx < 1 GROUP BY 1), means AS (SELECT metric, avg(value) AS mean FROM long GROUP BY 1) SELECT metric, round(value - mean, 6) AS delta FROM today JOIN means USING (metric)")
+def _(s, d):
+    rows = activity.metric_unpivot(baseline.window_samples(V.lookups(s, d), NOW).drop("hours").withColumn("device_id", F.struct("device_id", "idx")))
+    today = rows.filter("device_id.idx < 1").groupBy("metric").agg(F.avg("value").alias("value"))
+    return dashboard.trend_delta(today, rows.groupBy("metric").agg(F.avg("value").alias("mean"))).select("metric", "delta")
+
+
+@query("child_baseline_means", "SELECT round(avg(mean), 6) AS mean FROM volume_baseline b JOIN links l ON l.device_id = b.device_id JOIN people p ON p.person_id = l.person_id WHERE role = 'child'")
+def _(s, d):
+    children = V.links(s, d).join(V.people(s, d).filter("role = 'child'"), "person_id").select("device_id")
+    return _volume_baseline(s, d).join(children, "device_id").agg(F.round(F.avg("mean"), 6).alias("mean"))
+
+
+@query("active_children", f"SELECT l.person_id, count(*) AS devices, max(last_seen) AS last_activity FROM devices d JOIN links l ON l.device_id = d.device_id JOIN people p ON p.person_id = l.person_id WHERE role = 'child' AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY GROUP BY 1")
+def _(s, d):
+    views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
+    recent = V.lookups(s, d).filter(F.col("queried_at") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).groupBy("device_id").agg(F.max("queried_at").alias("last_activity"))
+    return dashboard.active_children(views, recent).select("person_id", "devices", "last_activity")
+
+
+def _attempts(s: SparkSession, d: str) -> DataFrame:
+    return V.lookups(s, d).filter("device_id <= 6").select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("tried_at"), (F.col("status") != "blocked").alias("ok"))
+
+
+_HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups WHERE device_id <= 6), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"
+
+
+@query("source_health_status", f", {_HEALTH} SELECT * FROM judged")
+def _(s, d):
+    return health.source_health(_attempts(s, d), NOW, stale=90000).select("source", "consecutive_failures", "status")
+
+
+@query("source_health_all", f", {_HEALTH} SELECT a.source, coalesce(status, 'down') AS status FROM (SELECT unnest(['1', '2', 'never']) AS source) a LEFT JOIN judged j ON j.source = a.source")
+def _(s, d):
+    return health.all_sources(health.source_health(_attempts(s, d), NOW, stale=90000), ("1", "2", "never")).select("source", "status")
+
+
+@query("incomplete_sources", f", {_HEALTH} SELECT source FROM judged WHERE status = 'down'")
+def _(s, d):
+    return health.source_health(_attempts(s, d), NOW, stale=90000).filter("status = 'down'").select("source")
+
+
+def _batches(s: SparkSession, d: str) -> DataFrame:
+    return V.findings(s, d).select("id", F.col("severity").alias("source"), F.col("occurred_at").alias("started_at"), F.when(F.col("status") == "open", "failed").otherwise("succeeded").alias("status"))
+
+
+@query("last_batches", "SELECT severity AS source, arg_max(id, (occurred_at, id)) AS id FROM findings GROUP BY 1")
+def _(s, d):
+    return health.last_batches(_batches(s, d)).select("source", "id")
+
+
+@query("failed_batches", "SELECT severity AS source, count(*) FILTER (status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01') AS failed FROM findings GROUP BY 1")
+def _(s, d):
+    return health.failed_batches(_batches(s, d), "2000-01-01 00:00:00")
+
+
+@query("system_status", f", {_HEALTH} SELECT CASE max(CASE status WHEN 'down' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE CASE WHEN any_value(n) > 0 THEN 'degraded' ELSE 'ok' END END AS status, any_value(n) AS failed_batches FROM judged, (SELECT count(*) AS n FROM findings WHERE status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01')")
+def _(s, d):
+    return health.system_status(health.source_health(_attempts(s, d), NOW, stale=90000), health.failed_batches(_batches(s, d), "2000-01-01 00:00:00"))
+
+
+@query("attention_items", f", {_HEALTH} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
+def _(s, d):
+    views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
+    return dashboard.attention_items(health.source_health(_attempts(s, d), NOW, stale=90000), V.lookups(s, d).filter("false"), views).select("tier", "item")
+
+
+@query("household_status", f", {_HEALTH} SELECT CASE WHEN count(*) FILTER (status = 'down') > 0 THEN 'incomplete' WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'attention' ELSE 'ok' END AS status FROM judged")
+def _(s, d):
+    sources = health.source_health(_attempts(s, d), NOW, stale=90000)
+    items = sources.filter("status <> 'ok'").select(F.lit(0).alias("tier"), F.col("source").alias("item"), "status", F.col("source").alias("summary"))
+    return dashboard.household_status(sources, items, items.agg(F.count("*").alias("n"))).select("status")
+
+
+@query("mac_lookup", "SELECT d.device_id, count(*) AS n FROM lookups l JOIN devices d ON d.device_id = l.device_id GROUP BY 1")
+def _(s, d):
+    mac = lambda c: N.normalize_mac(F.lpad(F.hex(c), 12, "0"))
+    known = V.table(s, d, "customer").select(F.col("c_custkey").alias("owner"), mac("c_custkey").alias("mac"))
+    return V.lookups(s, d).withColumn("mac", mac("device_id")).join(known, "mac").groupBy(F.col("owner").alias("device_id")).agg(F.count("*").alias("n"))
+
+
+@query("lookup_context", "SELECT l.id, CASE WHEN l.id % 3 = 0 THEN d.display_name END AS display_name FROM lookups l LEFT JOIN devices d ON d.device_id = l.device_id")
+def _(s, d):
+    rows = V.lookups(s, d).select("id", F.when(F.col("id") % 3 == 0, F.col("device_id")).alias("device_id"))
+    return rows.join(V.table(s, d, "customer").select(F.col("c_custkey").alias("device_id"), F.col("c_name").alias("display_name")), "device_id", "left").select("id", "display_name")
+
+
+@query("transition_context", "SELECT t.id, t.kind, d.display_name FROM transitions t LEFT JOIN devices d ON d.device_id = t.device_id AND d.is_unknown")
+def _(s, d):
+    unknown = V.table(s, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("device_id"), F.col("c_name").alias("display_name"))
+    return V.transitions(s, d).join(unknown, "device_id", "left").select("id", "kind", "display_name")
+
+
+@query("normalize_dns", "SELECT id, domain, status, device_id::VARCHAR AS client_identifier FROM lookups")
+def _(s, d):
+    from homelens.sources import dns_log
+
+    code = F.when(F.col("status") == "blocked", "GRAVITY").when(F.col("status") == "cached", "CACHE").otherwise("FORWARDED")
+    payload = F.to_json(F.struct("id", F.unix_timestamp(F.col("queried_at").cast("timestamp")).alias("time"), F.upper("domain").alias("domain"), code.alias("status"), F.struct(F.col("device_id").cast("string").alias("ip")).alias("client")))
+    out = dns_log.normalize_queries(V.lookups(s, d).select(payload.alias("payload"))).filter("error IS NULL")
+    return out.select(F.col("source_id").cast("long").alias("id"), N.normalize_domain(F.col("domain")).alias("domain"), "status", "client_identifier")
+
+
+@query("normalize_client", "SELECT c_custkey AS device_id, c_name AS hostname, 'controller-' || c_custkey AS controller_id FROM customer")
+def _(s, d):
+    from homelens.sources import controller
+
+    payload = F.to_json(F.struct(F.concat(F.lit("controller-"), F.col("c_custkey")).alias("user_id"), F.lpad(F.hex("c_custkey"), 12, "0").alias("mac"), F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("ip")))
+    out = controller.normalize_clients(V.table(s, d, "customer").select(payload.alias("payload")), NOW)
+    return out.select(F.col("ip").cast("long").alias("device_id"), "hostname", "controller_id")
+
+
+@query("uplink_label", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ssid=' || c_mktsegment || ', ap=' || c_name ELSE 'wired' END AS uplink FROM customer")
+def _(s, d):
+    even = F.col("c_custkey") % 2 == 0
+    none = F.lit(None).cast("string")
+    return V.table(s, d, "customer").select("c_custkey", N.uplink_label(F.when(even, F.col("c_mktsegment")), none, F.when(even, F.col("c_name")), F.lit(" "), F.lit(None), F.lit(True)).alias("uplink"))
+
+
+@query("parse_syslog", "SELECT l.device_id, count(*) AS lines, count(*) FILTER (l.event_type IN ('error', 'click')) AS parsed, count(*) FILTER (l.event_type = 'error') AS security FROM lookups l GROUP BY 1")
+def _(s, d):
+    from homelens.sources import syslog
+
+    mac = N.normalize_mac(F.lpad(F.hex("device_id"), 12, "0"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit('<4>Jan  1 00:00:00 gw [WAN_IN-D] DESCR="deny" SRC='), "ip", F.lit(" DST=1.1.1.1 PROTO=TCP"))).when(F.col("event_type") == "click", F.concat(F.lit("EVT_WU_Connected: User["), mac, F.lit("] SSID[home]"))).otherwise("plain text")
+    parsed = syslog.parse_lines(V.lookups(s, d).select("device_id", line.alias("value")))
+    return parsed.groupBy("device_id").agg(F.count("*").alias("lines"), F.count("format").alias("parsed"), F.count_if(F.col("category") == "Security").alias("security"))
+
+
+QUERIES["parse_counts"], ORACLES["parse_counts"] = QUERIES["parse_syslog"], ORACLES["parse_syslog"]
