@@ -17,7 +17,7 @@ def envelope_rows(texts: DataFrame, keys: tuple[str, ...] = ("queries", "data"))
     """
     lists = [F.get_json_object("value", f"$.{k}") for k in keys]
     body = F.when(F.trim("value").startswith("["), F.trim("value")).otherwise(F.coalesce(*lists))
-    rows = F.explode(F.transform(F.expr("CAST(try_parse_json(body) AS array<variant>)"), F.to_json))
+    rows = F.explode(F.transform(F.expr("CAST(try_parse_json(body) AS array<variant>)"), lambda v: F.to_json(v)))
     each = texts.select(body.alias("body")).filter("body IS NOT NULL").select(rows.alias("payload"))
     return each.withColumn("payload", F.when(F.col("payload").startswith("["), F.concat(F.lit('{"legacy_row":'), "payload", F.lit("}"))).otherwise(F.col("payload")))
 
