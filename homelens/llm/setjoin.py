@@ -1,11 +1,14 @@
 """N-gram Jaccard self-join by partitioning the universe of shingles.
 
 Sizes fall into bands such that partners lie in the same or the next band. For the band of the larger
-partner, at most H shingles differ; the universe is hashed into H + 1 + slack segments, so partners agree
-on at least slack + 1 of them. A document indexes the segments in which it has two or more shingles;
-agreement on empty or single-shingle segments, which unrelated documents share, proves little, and slack
-is allotted so that a strong segment remains among those agreed on. Documents with more weak segments
-than slack index those as well, so nothing is lost. Both bands' segments of a document are indexed.
+partner, at most H shingles differ. The universe is hashed into segments of two kinds, worth H + 1 + spare
+together: of one kind, worth 1, a document indexes its subset as it is; of the other, worth 2, the subset
+and all its one-deletion neighbours, which meet those of any subset one shingle away. Segments in which
+partners don't meet hold at least as many differences as they are worth, so partners meet on segments worth
+more than spare. Keys of fewer than two shingles, which unrelated documents share, are left out; a document
+whose segments with such keys are worth more than spare indexes those as well, so nothing is lost. How many
+segments of each kind a band gets, and how much spare, is allotted by the least expected cost of keys and of
+such documents. Both bands' segments of a document are indexed.
 
 Documents with equal sets are one class from the start. Classes that share a segment form candidate
 clusters; inside a cluster every pair is verified exactly on the sets, in tiles of ``TILE`` classes so
@@ -19,6 +22,7 @@ doc_id can link others, but name no component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erfc
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,34 @@ from homelens.llm import bytesets, storage
 from homelens.llm.components import connected_components
 
 TILE = 256
+WEAK = 1000
 SHARD_BITS = 7
 U = np.uint64
 
 
+def allocate(size: int, differ: int) -> tuple[int, int, int]:
+    """(segments, how many of them with deletions, spare) of least expected cost for sets of ``size`` shingles.
+
+    A key costs 1, a key of fewer than two shingles ``WEAK``; shingles fall into segments as Poisson counts.
+    """
+    need, best = differ + 1, (np.inf, 0, 0, 0)
+    for spare in sorted({int(np.ceil(need * k / 10)) for k in range(21)}):
+        for deleting in sorted({(need + spare) * k // 8 for k in range(5)}):
+            exact = need + spare - 2 * deleting
+            mean = size / (exact + deleting)
+            one, two = (1 + mean) * np.exp(-mean), (1 + mean + mean**2 / 2) * np.exp(-mean)
+            expected, deviation = exact * one + 2 * deleting * two, np.sqrt(exact * one * (1 - one) + 4 * deleting * two * (1 - two))
+            over = 0.5 * erfc((spare + 0.5 - expected) / (1.4142 * deviation + 1e-9))
+            cost = exact + deleting * (1 + mean) + WEAK * over * (exact * one + deleting * two)
+            best = min(best, (cost, exact + deleting, deleting, spare))
+    return best[1:]
+
+
 class Scheme:
-    """Bands and segment counts for a threshold of ``percent`` and sets up to any size."""
+    """Bands and their allotted segments for a threshold of ``percent`` and sets up to any size."""
 
     def __init__(self, percent: int) -> None:
-        self.percent, self.starts = percent, [1]
-        self.slack = 0.1 if percent >= 90 else 0.3
+        self.percent, self.starts, self.allotted = percent, [1], []
 
     def grow(self, size: int) -> None:
         while self.starts[-1] <= size or len(self.starts) < 3:
@@ -47,8 +69,9 @@ class Scheme:
         self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         ends = np.array(self.starts[1:], np.int64) - 1
         self.differ = (100 - self.percent) * 2 * ends // (100 + self.percent)
-        self.spare = np.ceil(self.slack * self.differ).astype(np.int64)
-        self.segments = self.differ + 1 + self.spare
+        for end, differ in list(zip(ends.tolist(), self.differ.tolist(), strict=True))[len(self.allotted) :]:
+            self.allotted.append(allocate(end, differ))
+        self.segments, self.deleting, self.spare = np.array(self.allotted, np.int64).T
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         if self.starts[-3:][0] <= sizes.max(initial=1) or len(self.starts) < 4:
@@ -64,7 +87,7 @@ class Scheme:
         keys, rows = [], []
         for step in (0, 1):
             band = own + step
-            m = self.segments[band]
+            m, deleting = self.segments[band], self.deleting[band]
             live = (self.differ[band] > 0) & (sizes > 0)
             if not live.any():
                 continue
@@ -75,12 +98,17 @@ class Scheme:
             total = np.add.reduceat(scrambled, first) if len(first) else scrambled[:0]
             count = np.diff(np.append(first, len(tokens)))
             owner, segment = row[first], seg[first]
-            strong = np.bincount(owner[count > 1], minlength=len(sizes))
-            all_of = live & (m - strong > self.spare[band])
+            worth = 1 + (segment.astype(np.int64) < deleting[owner])
+            safe = np.bincount(owner, np.where(count > worth, worth, 0), minlength=len(sizes))
+            all_of = live & (m + deleting - safe > self.spare[band])
+            label = bytesets.mix((band[owner].astype(U) << U(40)) | segment)
             keep = live[owner] & ((count > 1) | all_of[owner])
-            label = (band[owner].astype(U) << U(40)) | segment
-            keys.append(bytesets.mix(total[keep] + bytesets.mix(label[keep])))
+            keys.append(bytesets.mix(total[keep] + label[keep]))
             rows.append(owner[keep])
+            run = np.cumsum(new) - 1
+            cut = np.flatnonzero(((worth == 2) & live[owner] & ((count > 2) | all_of[owner]))[run])
+            keys.append(bytesets.mix(total[run[cut]] - scrambled[cut] + label[run[cut]]))
+            rows.append(row[cut])
             for r in np.flatnonzero(all_of):
                 absent = np.setdiff1d(np.arange(m[r]), segment[owner == r].astype(np.int64))
                 keys.append(bytesets.mix(bytesets.mix((U(band[r]) << U(40)) | absent.astype(U))))
