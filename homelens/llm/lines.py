@@ -22,7 +22,6 @@ from homelens.llm import storage
 
 FUZZY = 8
 _LAST = 2**63 - 1
-_BLANK = " \t\n\x0b\f\r"
 
 
 # Joins with a side of corpus size name their strategy, so that plans do not change with the size of the input.
@@ -30,63 +29,71 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(did, no, line) of every line with a word."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     out = docs.select(did.alias("did"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return out.withColumn("line", F.trim("line", F.lit(_BLANK))).filter("line <> ''")
+    return out.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _words() -> Column:
-    return F.split("line", r"[\x20\x09-\x0D]+")
+    spaced = "IF(line rlike '[\\\\x09-\\\\x0D]', regexp_replace(line, '[\\\\x09-\\\\x0D]', ' '), line)"  # splitting at one plain character is fast
+    return F.expr(f"array_remove(split({spaced}, ' '), '')")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(did, no, h1, h2, n, halves): two 64-bit names of the words, and the line's half keys.
+    """(did, no, h1, h2, n, h3, h4): two 64-bit names of the words, and further half keys of lines over ``FUZZY`` words.
 
-    A line of n words may meet one of n or of n + 1 words by the halves of n, and one of n - 1 by those of n - 1.
+    A line of n words may meet one of n or of n + 1 words by the halves of n, and one of n - 1 by those of
+    n - 1. The keys of the halves of n name the line as well; shorter lines have names of their own.
     """
     w = lines.select("did", "no", _words().alias("w")).withColumn("n", F.size("w"))
-    half = lambda m: f"xxhash64({m}, 0, slice(w, 1, ({m}) div 2)), xxhash64({m}, 1, slice(w, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2))"
-    halves = F.expr(f"CASE WHEN n < {FUZZY} THEN CAST(array() AS array<bigint>) WHEN n = {FUZZY} THEN array({half('n')}) ELSE array({half('n')}, {half('n - 1')}) END")
-    return w.select("did", "no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(17), "w").alias("h2"), "n", halves.alias("halves"))
+    left = lambda m: f"xxhash64({m}, 0, slice(w, 1, ({m}) div 2))"
+    right = lambda m: f"xxhash64({m}, 1, slice(w, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2))"
+    names = [f"IF(n < {FUZZY}, xxhash64(w), {left('n')}) AS h1", f"IF(n < {FUZZY}, xxhash64(17, w), {right('n')}) AS h2"]
+    return w.selectExpr("did", "no", "n", *names, f"IF(n > {FUZZY}, {left('n - 1')}, NULL) AS h3", f"IF(n > {FUZZY}, {right('n - 1')}, NULL) AS h4")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, at, kind) of all variants: kind 0 without word i and keyed by i, 1 without word i, 2 the line itself.
+    """(key, rank, kind) of all variants: kind 0 without word i and keyed by i, 1 without word i, 2 the line itself.
 
     A key is the exclusive or of the words' hashes, each with its place; ``low`` runs over the words before
     word i, ``high`` over those after it, one place lower.
     """
-    placed = lines.select("at", "n", F.expr("transform(w, (x, i) -> xxhash64(x, i))").alias("h"), F.expr("transform(w, (x, i) -> xxhash64(x, i - 1))").alias("g"))
+    placed = lines.select("rank", F.size("w").alias("n"), F.expr("transform(w, (x, i) -> xxhash64(x, i))").alias("h"), F.expr("transform(w, (x, i) -> xxhash64(x, i - 1))").alias("g"))
     run = "aggregate({}, array(0L), (s, x) -> concat(s, array(element_at(s, -1) ^ x)))"
-    runs = placed.select("at", "n", "h", F.expr(run.format("h")).alias("low"), F.expr(run.format("reverse(g)")).alias("high"))
+    runs = placed.select("rank", "n", "h", F.expr(run.format("h")).alias("low"), F.expr(run.format("reverse(g)")).alias("high"))
     whole = F.array(F.struct(F.expr("element_at(low, -1)").alias("key"), F.lit(2).alias("kind")))
     replaced = F.expr("transform(h, (x, i) -> named_struct('key', xxhash64(n, i, element_at(low, -1) ^ x), 'kind', 0))")
     left_out = F.expr(f"IF(n > {FUZZY}, transform(h, (x, i) -> named_struct('key', low[i] ^ high[n - 1 - i], 'kind', 1)), CAST(array() AS array<struct<key:bigint,kind:int>>))")
-    return runs.select("at", F.explode(F.concat(whole, replaced, left_out)).alias("v")).select("v.key", "at", "v.kind")
+    return runs.select("rank", F.explode(F.concat(whole, replaced, left_out)).alias("v")).select("v.key", "rank", "v.kind")
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines that an earlier one differs from by one word."""
-    keys = distinct.select("h1", F.col("at.did").alias("did"), F.col("at.no").alias("no"), F.explode("halves").alias("key"))
-    shared = storage.materialize(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"), "line-halves")
+    """(did, no) of distinct lines that an earlier one differs from by one word.
+
+    Candidates get a number that grows with (did, no), so that the earliest of a key is a minimum of longs.
+    """
+    halves = F.when(F.col("n") > FUZZY, F.array("h1", "h2", "h3", "h4")).when(F.col("n") == FUZZY, F.array("h1", "h2"))
+    keys = distinct.select(F.xxhash64("h1", "h2").alias("name"), F.col("at.did").alias("did"), F.col("at.no").alias("no"), F.explode(halves).alias("key"))
+    shared = storage.materialize(keys.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b").select("key"), "line-halves")
     some = storage.materialize(keys.join(shared.hint("merge"), "key", "left_semi").select("did", "no").distinct(), "line-candidates")
-    texts = _lines(docs).join(some.hint("merge"), ["did", "no"]).select(F.struct("did", "no").alias("at"), _words().alias("w"))
-    lines = storage.materialize(texts.dropDuplicates(["at"]).withColumn("n", F.size("w")), "line-words")
+    some = storage.materialize(some.repartitionByRange("did", "no").sortWithinPartitions("did", "no").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+    texts = _lines(docs).join(some.hint("merge"), ["did", "no"]).dropDuplicates(["did", "no"])
+    lines = storage.materialize(texts.select("did", "no", "rank", _words().alias("w")), "line-words")
     variants = _variants(lines)
-    firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"f{k}") for k in (0, 1, 2)], *[F.max(F.when(F.col("kind") == k, F.col("at"))).alias(f"l{k}") for k in (0, 1)])
+    firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"f{k}") for k in (0, 1, 2)], *[F.max(F.when(F.col("kind") == k, F.col("rank"))).alias(f"l{k}") for k in (0, 1)])
     met = storage.materialize(firsts.filter("f0 <> l0 OR (f1 IS NOT NULL AND f2 IS NOT NULL)").select("key", "f0", "f1", "f2"), "line-keys")
     hub = F.when(F.col("kind") == 0, F.col("f0")).when(F.col("kind") == 1, F.col("f2")).otherwise(F.col("f1"))
-    pairs = variants.join(met.hint("merge"), "key").select("at", hub.alias("hub")).filter("hub < at").distinct()
+    pairs = variants.join(met.hint("merge"), "key").select("rank", hub.alias("hub")).filter("hub < rank").distinct()
     pairs = storage.materialize(pairs, "line-pairs")
-    a, b = lines.select("at", F.col("w").alias("aw")), lines.select(F.col("at").alias("hub"), F.col("w").alias("bw"))
-    both = pairs.join(a, "at").join(b, "hub")
+    a, b = lines.select("did", "no", "rank", F.col("w").alias("aw")), lines.select(F.col("rank").alias("hub"), F.col("w").alias("bw"))
+    both = pairs.join(a.hint("merge"), "rank").join(b.hint("merge"), "hub")
     apart = """CASE WHEN size(aw) = size(bw) THEN size(filter(zip_with(aw, bw, (x, y) -> x <> y), t -> t)) <= 1
         ELSE exists(sequence(1, greatest(size(aw), size(bw))), i -> IF(size(aw) > size(bw), concat(slice(aw, 1, i - 1), slice(aw, i + 1, size(aw))) = bw, concat(slice(bw, 1, i - 1), slice(bw, i + 1, size(bw))) = aw)) END"""
-    return both.filter(F.expr(apart)).select(F.col("at.did").alias("did"), F.col("at.no").alias("no")).distinct()
+    return both.filter(F.expr(apart)).select("did", "no").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(did, gone array<int>): numbers of the lines that go, for documents that lose any; did is doc_id, or the largest long."""
     lines = storage.materialize(_classes(_lines(docs)), "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("times"), F.first("halves").alias("halves"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "h3", "h4")])
     distinct = storage.materialize(distinct, "line-classes")
     near = storage.materialize(_near(docs, distinct).withColumn("near", F.lit(True)), "line-near")
     placed = distinct.select("h1", "h2", "at", "times", F.col("at.did").alias("did"), F.col("at.no").alias("no"))
@@ -108,8 +115,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op8_deletion_neighbourhood(spark, sf_dir: str) -> DataFrame:
     """Lines with words, lines removed and the text that stays, of every document."""
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    filled = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(_BLANK)) != "")
-    return found.select("doc_id", F.size(filled).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.length(F.coalesce("_kept", F.lit(""))).cast("long").alias("kept_chars"), F.md5(F.coalesce("_kept", F.lit(""))).alias("kept_md5"))
+    filled = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*"))
+    return found.select("doc_id", filled.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.length(F.coalesce("_kept", F.lit(""))).cast("long").alias("kept_chars"), F.md5(F.coalesce("_kept", F.lit(""))).alias("kept_md5"))
 
 
 ORACLE = f"""
