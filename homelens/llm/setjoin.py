@@ -1,14 +1,17 @@
 """N-gram Jaccard self-join by partitioning the universe of shingles.
 
 Sizes fall into bands such that partners lie in the same or the next band. For the band of the larger
-partner, at most H shingles differ. The universe is hashed into segments of two kinds, worth H + 1 + spare
-together: of one kind, worth 1, a document indexes its subset as it is; of the other, worth 2, the subset
-and all its one-deletion neighbours, which meet those of any subset one shingle away. Segments in which
-partners don't meet hold at least as many differences as they are worth, so partners meet on segments worth
-more than spare. Keys of fewer than two shingles, which unrelated documents share, are left out; a document
-whose segments with such keys are worth more than spare indexes those as well, so nothing is lost. How many
-segments of each kind a band gets, and how much spare, is allotted by the least expected cost of keys and of
-such documents. Both bands' segments of a document are indexed.
+partner, at most H shingles differ. The universe is hashed into segments of two kinds, worth H + 1 and more
+together: of one kind, worth 1, a document's key is its subset as it is; of the other, worth 2, its keys are
+the subset and all its one-deletion neighbours, which meet those of any subset one shingle away. Segments in
+which partners don't meet hold at least as many differences as they are worth, so partners meet in some
+segment of any choice worth H + 1. A document is indexed under its rarest keys: it ranks its keys by how many
+classes have them, and takes all up to the least rank at which segments worth H + 1 have all their keys. Of
+two partners, the one with the lower such rank meets the other at a key of one of those segments, which the
+other takes as well, so nothing is lost. Keys of a shared passage rank last, and a document with
+enough keys of its own has no partner and takes none. Segments without shingles are keys only of documents
+whose others are not worth H + 1. How many segments of each kind a band gets is allotted by the least expected
+cost. Both bands' segments of a document are indexed.
 
 Documents with equal sets are one class from the start. Classes that share a segment form candidate
 clusters; inside a cluster every pair is verified exactly on the sets, in tiles of ``TILE`` classes so
@@ -31,28 +34,32 @@ from pyspark.sql import functions as F
 
 from homelens.llm import bytesets, storage
 from homelens.llm.components import connected_components
+from homelens.llm.sizing import text_bytes
 
 TILE = 256
+PLAIN = 0.6
 WEAK = 1000
 SHARD_BITS = 7
 U = np.uint64
 
 
-def allocate(size: int, differ: int) -> tuple[int, int, int]:
-    """(segments, how many of them with deletions, spare) of least expected cost for sets of ``size`` shingles.
+def allocate(size: int, differ: int) -> tuple[int, int]:
+    """(segments, how many of them with deletions) of least expected cost for sets of ``size`` shingles.
 
-    A key costs 1, a key of fewer than two shingles ``WEAK``; shingles fall into segments as Poisson counts.
+    A key costs 1; a document whose rare shingles, taken as ``PLAIN`` of all, fill too few segments must go by
+    frequent keys, each of which costs ``WEAK``. Shingles fall into segments as Poisson counts.
     """
-    need, best = differ + 1, (np.inf, 0, 0, 0)
+    need, best = differ + 1, (np.inf, 0, 0)
     for spare in sorted({int(np.ceil(need * k / 10)) for k in range(21)}):
         for deleting in sorted({(need + spare) * k // 8 for k in range(5)}):
             exact = need + spare - 2 * deleting
             mean = size / (exact + deleting)
-            one, two = (1 + mean) * np.exp(-mean), (1 + mean + mean**2 / 2) * np.exp(-mean)
+            rare = PLAIN * mean
+            one, two = np.exp(-rare), (1 + rare) * np.exp(-rare)
             expected, deviation = exact * one + 2 * deleting * two, np.sqrt(exact * one * (1 - one) + 4 * deleting * two * (1 - two))
             over = 0.5 * erfc((spare + 0.5 - expected) / (1.4142 * deviation + 1e-9))
             cost = exact + deleting * (1 + mean) + WEAK * over * (exact * one + deleting * two)
-            best = min(best, (cost, exact + deleting, deleting, spare))
+            best = min(best, (cost, exact + deleting, deleting))
     return best[1:]
 
 
@@ -71,20 +78,24 @@ class Scheme:
         self.differ = (100 - self.percent) * 2 * ends // (100 + self.percent)
         for end, differ in list(zip(ends.tolist(), self.differ.tolist(), strict=True))[len(self.allotted) :]:
             self.allotted.append(allocate(end, differ))
-        self.segments, self.deleting, self.spare = np.array(self.allotted, np.int64).T
+        self.segments, self.deleting = np.array(self.allotted, np.int64).T
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         if self.starts[-3:][0] <= sizes.max(initial=1) or len(self.starts) < 4:
             self.grow(int(sizes.max(initial=1)))
         return np.searchsorted(self.starts, sizes, "right") - 1
 
-    def keys(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index keys, row of each) for sorted sets of hashes; sets whose partners must be equal have none."""
+    def keys(self, tokens: np.ndarray, bounds: np.ndarray, slack_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index keys, row of each, tag of each, slack of each row in its bands of even and odd number) for sorted
+        sets of hashes; sets whose partners must be equal have no keys. A tag holds the segment's number, its
+        worth (0 if a key of it may be that of no shingles) and whether the band's number is odd; slack is what
+        the filled segments are worth less what must be indexed."""
         sizes = np.diff(bounds)
         own = self.band(np.maximum(sizes, 1))
         row = np.repeat(np.arange(len(sizes)), sizes)
         scrambled = bytesets.mix(tokens ^ U(0x5851F42D4C957F2D))
-        keys, rows = [], []
+        keys, rows, tags = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        slack, every = np.zeros((len(sizes), 2), np.int64), np.arange(len(sizes))
         for step in (0, 1):
             band = own + step
             m, deleting = self.segments[band], self.deleting[band]
@@ -99,23 +110,28 @@ class Scheme:
             count = np.diff(np.append(first, len(tokens)))
             owner, segment = row[first], seg[first]
             worth = 1 + (segment.astype(np.int64) < deleting[owner])
-            safe = np.bincount(owner, np.where(count > worth, worth, 0), minlength=len(sizes))
-            all_of = live & (m + deleting - safe > self.spare[band])
+            filled = np.bincount(owner, np.where(count >= worth, worth, 0), minlength=len(sizes)).astype(np.int64)
+            slack[every, band % 2] = np.where(live, filled - self.differ[band] - 1, 0)
+            if slack_only:
+                continue
+            few = live & (filled <= self.differ[band])
             label = bytesets.mix((band[owner].astype(U) << U(40)) | segment)
-            keep = live[owner] & ((count > 1) | all_of[owner])
+            tag = (segment.astype(np.int64) << 3) | np.where(count >= worth, worth, 0) << 1 | band[owner] % 2
+            keep = np.flatnonzero(live[owner])
             keys.append(bytesets.mix(total[keep] + label[keep]))
             rows.append(owner[keep])
+            tags.append(tag[keep])
             run = np.cumsum(new) - 1
-            cut = np.flatnonzero(((worth == 2) & live[owner] & ((count > 2) | all_of[owner]))[run])
+            cut = np.flatnonzero(((worth == 2) & live[owner] & ((count > 1) | few[owner]))[run])
             keys.append(bytesets.mix(total[run[cut]] - scrambled[cut] + label[run[cut]]))
             rows.append(row[cut])
-            for r in np.flatnonzero(all_of):
+            tags.append(tag[run[cut]])
+            for r in np.flatnonzero(few):
                 absent = np.setdiff1d(np.arange(m[r]), segment[owner == r].astype(np.int64))
                 keys.append(bytesets.mix(bytesets.mix((U(band[r]) << U(40)) | absent.astype(U))))
                 rows.append(np.full(len(absent), r))
-        if not keys:
-            return np.empty(0, U), np.empty(0, np.int64)
-        return np.concatenate(keys), np.concatenate(rows)
+                tags.append((absent << 3) | band[r] % 2)
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(tags), slack
 
 
 def _classes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -134,52 +150,141 @@ def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n, cls, keys): size and class of each document's set and its index keys, packed."""
+    """(doc_id, n, cls, even, odd): size, class and slack (see ``Scheme.keys``) of each document's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         for batch in batches:
             for rows, data, offsets in bytesets.pieces(batch, "text", 1 << 20):
                 tokens, bounds = _sets(rows, data, offsets, width)
-                keys, owner = scheme.keys(tokens, bounds)
-                order = np.argsort(owner, kind="stable")
-                packed = _binaries(keys[order], np.searchsorted(owner[order], np.arange(rows.num_rows + 1)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(_classes(tokens, bounds)), packed], names=["doc_id", "n", "cls", "keys"])
+                slack = scheme.keys(tokens, bounds, slack_only=True)[-1]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, (np.diff(bounds), _classes(tokens, bounds), slack[:, 0], slack[:, 1]))], names=["doc_id", "n", "cls", "even", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n long, cls long, keys binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n long, cls long, even long, odd long")
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(hub, cls): in each segment shared by several classes, every class with the smallest one.
+def _parts(values: np.ndarray, cuts: np.ndarray, kind: type) -> pa.Array:
+    """Packed slices of ``values``."""
+    values = values.astype(kind)
+    return pa.array([values[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def _whole(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-    Keys travel in packed arrays by hash range, so the shuffle has few rows and hot keys weigh as much as others.
-    """
+
+def index_entries(docs: DataFrame, percent: int, width: int, bits: int) -> DataFrame:
+    """(shard, owners, counts, keys, low, high): index keys and tags of many classes, packed by ranges of keys, so
+    that the shuffle has few rows and hot keys weigh as much as others."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys)
-            keys, owner = keys[order], owner[order]
-            cuts = np.searchsorted(keys >> U(64 - SHARD_BITS), np.arange((1 << SHARD_BITS) + 1, dtype=U))
-            some = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), pa.array([owner[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary())], names=["shard", "keys", "owners"])
+            keys, owner, tags = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard = (keys >> U(64 - bits)).astype(np.int64)
+            order = np.lexsort((owner, shard))
+            keys, owner, tags, shard = (keys << U(bits))[order] >> U(32), owner[order], tags[order], shard[order]
+            some, start = np.unique(shard, return_index=True)
+            cuts = np.append(start, len(shard))
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])
+            first = np.flatnonzero(new)
+            each = np.searchsorted(first, cuts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), _parts(owner[first], each, np.int64), _parts(np.diff(np.append(first, len(owner))), each, np.int32), _parts(keys, cuts, np.uint32), _parts(tags & 0xFFFF, cuts, np.uint16), _parts(tags >> 16, cuts, np.uint32)],
+                names=["shard", "owners", "counts", "keys", "low", "high"],
+            )
 
         for batch in batches:
-            data, offsets = bytesets.text_buffers(batch.column("keys"))
-            if len(data):
-                held.append((np.frombuffer(data.tobytes(), U), np.repeat(batch.column("cls").to_numpy(), np.diff(offsets) // 8)))
-                size += len(held[-1][0])
-            if size > 3_000_000:
-                yield flush()
-                held, size = [], 0
+            for rows, data, offsets in bytesets.pieces(batch, "text", 1 << 20):
+                tokens, bounds = _sets(rows, data, offsets, width)
+                keys, row, tags, _ = scheme.keys(tokens, bounds)
+                if len(keys):
+                    held.append((keys, _classes(tokens, bounds)[row], tags))
+                    size += len(keys)
+                if size > 3_000_000:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
+    return docs.select(F.col("text").cast("string")).mapInArrow(deal, "shard int, owners binary, counts binary, keys binary, low binary, high binary")
+
+
+def shared_entries(entries: DataFrame, bits: int) -> DataFrame:
+    """(home, shard, owners, keys, tags, holders): the entries whose key several classes have, with how many
+    have it, packed by the range of their class."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, tags = _whole(table, "keys", np.uint32), _whole(table, "high", np.uint32).astype(np.int64) << 16 | _whole(table, "low", np.uint16)
+        owner = np.repeat(_whole(table, "owners", np.int64), _whole(table, "counts", np.int32))
+        order = np.lexsort((tags, owner, keys))
+        keys, owner, tags = keys[order], owner[order], tags[order]
+        again = np.zeros(len(keys), bool)
+        again[1:] = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
+        copy = again.copy()
+        copy[1:] &= tags[1:] == tags[:-1]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        group = np.cumsum(new) - 1
+        holders = np.bincount(group, ~again)[group].astype(np.int64)
+        keep = (holders > 1) & ~copy
+        keys, owner, tags, holders = keys[keep], owner[keep], tags[keep], holders[keep]
+        home = (owner.view(U) >> U(64 - bits)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        some, start = np.unique(home[order], return_index=True)
+        cuts = np.append(start, len(order))
+        packed = [_parts(x[order], cuts, kind) for x, kind in ((owner, np.int64), (keys, np.uint32), (tags, np.int64), (holders, np.int64))]
+        shard = pa.array(np.full(len(some), table.column("shard")[0].as_py()), pa.int32())
+        return pa.table([pa.array(some, pa.int32()), shard, *packed], names=["home", "shard", "owners", "keys", "tags", "holders"])
+
+    return entries.groupBy("shard").applyInArrow(meet, "home int, shard int, owners binary, keys binary, tags binary, holders binary")
+
+
+def rarest_entries(shared: DataFrame, signed: DataFrame, bits: int) -> DataFrame:
+    """(shard, keys, owners): of each class and band, the entries up to the least rank at which enough segments
+    have all their keys; keys rank by how many classes have them, so those of one class alone come first."""
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, first = np.unique(right.column("cls").to_numpy(), return_index=True)
+        slack = np.stack([right.column(x).to_numpy()[first] for x in ("even", "odd")], 1).ravel()
+        owner, tags, keys = _whole(left, "owners", np.int64), _whole(left, "tags", np.int64), _whole(left, "keys", np.uint32)
+        shard = np.repeat(left.column("shard").to_numpy(), [len(x) // 4 for x in left.column("keys").to_pylist()])
+        rank = _whole(left, "holders", np.int64) << 32 | keys
+        group = np.searchsorted(names, owner) * 2 + (tags & 1)
+        order = np.lexsort((rank, tags, group))
+        group, tags, rank, shard, owner, keys = (x[order] for x in (group, tags, rank, shard, owner, keys))
+        last = np.ones(len(group), bool)
+        last[:-1] = (group[1:] != group[:-1]) | (tags[1:] != tags[:-1])
+        of, worst, worth = group[last], rank[last], tags[last] >> 1 & 3
+        order = np.lexsort((worst, of))
+        of, worst, worth = of[order], worst[order], worth[order]
+        lone = slack - np.bincount(of, worth, minlength=len(slack)).astype(np.int64)
+        sums = np.cumsum(worth)
+        start = np.searchsorted(of, of)
+        enough = sums - sums[start] + worth[start] + lone[of] >= 0 if len(of) else np.zeros(0, bool)
+        top = np.full(len(slack), np.iinfo(np.int64).max)
+        np.minimum.at(top, of[enough], worst[enough])
+        top[lone >= 0] = -1
+        keep = rank <= top[group]
+        shard, keys, owner = shard[keep], keys[keep], owner[keep]
+        order = np.argsort(shard, kind="stable")
+        some, at = np.unique(shard[order], return_index=True)
+        cuts = np.append(at, len(order))
+        return pa.table([pa.array(some, pa.int32()), _parts(keys[order], cuts, np.uint32), _parts(owner[order], cuts, np.int64)], names=["shard", "keys", "owners"])
+
+    home = F.shiftrightunsigned("cls", 64 - bits).cast("int")
+    asked = signed.filter("n > 0").select(home.alias("home"), "cls", "even", "odd")
+    return shared.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(choose, "shard int, keys binary, owners binary")
+
+
+def candidate_edges(docs: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame:
+    """(hub, cls): for each key that several classes are indexed under, every class with the smallest one."""
+
     def meet(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
-        owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
+        keys, owner = _whole(table, "keys", np.uint32), _whole(table, "owners", np.int64)
         order = np.lexsort((owner, keys))
         keys, owner = keys[order], owner[order]
         new = np.ones(len(keys), bool)
@@ -188,8 +293,9 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([hub[hub != owner], owner[hub != owner]], 1), axis=0)
         return pa.table({"hub": pa.array(pairs[:, 0], pa.int64()), "cls": pa.array(pairs[:, 1], pa.int64())})
 
-    packed = classes.select("cls", "keys").mapInArrow(deal, "shard int, keys binary, owners binary")
-    return packed.groupBy("shard").applyInArrow(meet, "hub long, cls long").distinct()
+    bits = max(SHARD_BITS, (text_bytes(docs) >> 24).bit_length())
+    shared = shared_entries(index_entries(docs, percent, width, bits), bits)
+    return rarest_entries(shared, signed, bits).groupBy("shard").applyInArrow(meet, "hub long, cls long").distinct()
 
 
 def _forest(names: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +377,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     """(doc_id, n_shingles, component_id): components of documents whose sets of ``width``-word shingles have
     a Jaccard similarity of ``percent`` or more; component_id is the smallest doc_id."""
     signed = storage.materialize(signatures(docs, percent, width), "set-signatures")
-    classes = storage.materialize(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "set-classes")
-    clusters = connected_components(candidate_edges(classes))
+    classes = storage.materialize(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "set-classes")
+    clusters = connected_components(candidate_edges(docs, signed, percent, width))
     clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
     sizes = storage.materialize(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "set-sizes")
     members = storage.materialize(clusters.join(sizes.hint("merge"), "cluster").join(classes.select("cls", "doc_id"), "cls").select("doc_id", "cls", "cluster", "tiles"), "set-members")

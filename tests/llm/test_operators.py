@@ -142,10 +142,39 @@ def test_segments_find_every_pair_within_the_bound():
                 both = len(np.intersect1d(base, other))
                 if 100 * both < percent * (2 * size - both) or changes == 0:
                     continue
-                keys, row = scheme.keys(np.concatenate([np.sort(base), other]), np.array([0, size, 2 * size]))
+                keys, row, *_ = scheme.keys(np.concatenate([np.sort(base), other]), np.array([0, size, 2 * size]))
                 assert len(np.intersect1d(keys[row == 0], keys[row == 1]))
 
 
+def test_shared_passages_lose_no_link(spark):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    passages = [draw.choices(vocabulary, k=60) for _ in range(3)]
+    texts = []
+    for i in range(40):
+        own = draw.choices(vocabulary, k=draw.choice([4, 15, 40, 90]))
+        words = own[: len(own) // 2] + passages[i % 3] + own[len(own) // 2 :]
+        for _ in range(draw.choice([1, 1, 2, 6])):
+            copy = list(words)
+            for _ in range(draw.choice([0, 1, 2, 3, 4])):
+                copy[draw.randrange(len(copy))] = draw.choice(vocabulary)
+            texts.append(copy)
+    for i in range(60):
+        base = draw.choices(vocabulary, k=draw.randrange(5, 14))
+        texts += [base, base[1:], [*base, "end"]]
+    for percent, width in ((80, 5), (90, 3), (60, 2)):
+        sets = [{tuple(t[k : k + width]) for k in range(max(1, len(t) - width + 1))} for t in texts]
+        label = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label = [low if x == high else x for x in label]
+        made = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert {r[0]: r[2] for r in setjoin.jaccard_components(made, percent, width).collect()} == dict(enumerate(label))
+
+
 def test_empty_table_of_the_joins(none):
     assert setjoin.jaccard_components(none).count() == 0
     assert suffixes.remove_repeats(none).count() == 0
