@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SOURCES = ("dns_log", "controller_api", "controller_syslog")
 STALE_SECONDS, MAX_FAILURES, WORKER_STALE = 300, 3, 90
+PARTS = 16
 
 
 def status_of(last_success: Column, failures: Column, now: Column, stale: int = STALE_SECONDS, most: int = MAX_FAILURES) -> Column:
@@ -21,10 +22,14 @@ def staleness_seconds(last_success: Column, now: Column) -> Column:
 def source_health(attempts: DataFrame, now: str, stale: int = STALE_SECONDS, most: int = MAX_FAILURES) -> DataFrame:
     """(source, last_success_at, last_attempt_at, consecutive_failures, status, stale_seconds) folded from attempts
     (source, tried_at, ok): failures count since the last success."""
-    last = attempts.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("tried_at"))).alias("last_success_at"), F.max("tried_at").alias("last_attempt_at"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("tried_at")))).alias("failed"))
-    failures = F.size(F.filter("failed", lambda t: F.col("last_success_at").isNull() | (t > F.col("last_success_at")))).cast("long")
+    last = attempts.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("tried_at"))).alias("last_success_at"), F.max("tried_at").alias("last_attempt_at"))
+    part = F.array(*map(F.lit, range(PARTS)))  # a source's attempts meet its last success in parts, so a hot source is no single task
+    dealt = attempts.select(F.col("source").alias("_s"), "tried_at", "ok", F.pmod(F.xxhash64("tried_at"), F.lit(PARTS)).cast("int").alias("_p"))
+    met = dealt.join(last.withColumn("_part", F.explode(part)), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_p") == F.col("_part")))
+    failed = ~F.col("ok") & (F.col("last_success_at").isNull() | (F.col("tried_at") > F.col("last_success_at")))
+    counted = met.groupBy("source", "_part", "last_success_at", "last_attempt_at").agg(F.count_if(failed).alias("n"))
+    out = counted.groupBy("source").agg(F.max("last_success_at").alias("last_success_at"), F.max("last_attempt_at").alias("last_attempt_at"), F.sum("n").alias("consecutive_failures"))
     at = F.lit(now).cast("timestamp")
-    out = last.withColumn("consecutive_failures", failures)
     return out.select("source", "last_success_at", "last_attempt_at", "consecutive_failures", status_of(F.col("last_success_at").cast("timestamp"), F.col("consecutive_failures"), at, stale, most).alias("status"), staleness_seconds(F.col("last_success_at").cast("timestamp"), at).alias("stale_seconds"))
 
 

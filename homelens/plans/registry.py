@@ -511,7 +511,7 @@ def _(s, d):
 
 
 def _attempts(s: SparkSession, d: str) -> DataFrame:
-    return V.lookups(s, d).filter("device_id <= 6").select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("tried_at"), (F.col("status") != "blocked").alias("ok"))
+    return V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("tried_at"), (F.col("status") != "blocked").alias("ok"))
 
 
 _HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups WHERE device_id <= 6), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"

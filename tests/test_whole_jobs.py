@@ -1,0 +1,45 @@
+"""Household queries do the whole job: compared with brute force and with their SQL without its id filter."""
+
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from homelens.operators import health
+from homelens.plans import registry
+
+DATA = "/root/testdata/sf0.001"
+T0 = datetime(2024, 1, 1)
+needs_tables = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the generated tables")
+
+
+def duck(sql):
+    con = duckdb.connect()
+    for path in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con.execute(sql).fetchall()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["source_health_status", "source_health_all", "incomplete_sources", "system_status", "household_status"])
+def test_health_covers_every_source(spark, name):
+    cut = " WHERE device_id <= 6"
+    got = registry.QUERIES[name](spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(duck(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name].replace(cut, '')})"))
+    if name == "source_health_status":
+        assert got.count() == duck("SELECT count(DISTINCT user_id) FROM events")[0][0] > 7
+
+
+def test_failures_since_the_last_success(spark):
+    draw = random.Random(3)
+    tries = [(s, T0 + timedelta(seconds=draw.randrange(40)), draw.random() < 0.2) for s in "abcdef" for _ in range(draw.randrange(1, 30))]
+    tries += [("hot", T0 + timedelta(seconds=i), False) for i in range(500)]
+    want = {}
+    for s in {t[0] for t in tries}:
+        good = max((t for q, t, ok in tries if q == s and ok), default=None)
+        want[s] = (good, sum(q == s and not ok and (good is None or t > good) for q, t, ok in tries))
+    found = health.source_health(spark.createDataFrame(tries, "source string, tried_at timestamp_ntz, ok boolean"), "2024-01-02 00:00:00")
+    assert {r["source"]: (r["last_success_at"], r["consecutive_failures"]) for r in found.collect()} == want
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
