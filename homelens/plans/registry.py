@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions import normalize as N
@@ -178,26 +178,43 @@ def _(s, d):
     return joined.groupBy(F.col("raw_device").alias("device_id"), "status").agg(F.count("*").alias("n"))
 
 
-def _evidence(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q = V.lookups(s, d).filter("event_type IN ('error', 'signup')")
-    return q, correlate.interval_join(q, V.assignments(s, d)).select("id", "device_id", F.lit("ip").alias("kind"))
+def _by_address(s: SparkSession, d: str) -> DataFrame:
+    return correlate.interval_join(V.lookups(s, d), V.assignments(s, d)).select("id", "device_id")
+
+
+def _client() -> Column:
+    return F.concat(F.lit(" "), "ip").alias("client")
+
+
+def _evidence(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every lookup, its evidence of all kinds, and the addresses that changed hands while the lookups were made.
+
+    Names belong to the first device that showed them: DNS clients among the sightings that also give the
+    addresses, host names among all lookups.
+    """
+    q = V.lookups(s, d)
+    sight = lambda rows, kind: rows.select(F.col("id").alias("seq"), F.lit(kind).alias("kind"), F.col("ip").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
+    claims = identity.identifier_claims(sight(q.filter("event_type = 'signup'"), "dns_client").unionByName(sight(q, "hostname")))
+    named = correlate.identifier_join(q.select("id", "queried_at", _client()), claims)
+    evidence = _by_address(s, d).withColumn("kind", F.lit("ip")).unionByName(named)
+    span = q.agg(F.min("queried_at").alias("_from"), F.max("queried_at").alias("_to"))
+    reassigned = correlate.ip_reassignment(V.assignments(s, d).crossJoin(span), F.col("_from"), F.col("_to"))  # span is one row
+    return q, evidence, reassigned
 
 
 def _attributed(s: SparkSession, d: str) -> DataFrame:
-    q, evidence = _evidence(s, d)
-    return correlate.attribution(q, evidence)
+    return correlate.attribution(*_evidence(s, d))
 
 
 @query("interval_join", "SELECT id, device_id FROM matches")
 def _(s, d):
-    return _evidence(s, d)[1].select("id", "device_id")
+    return _by_address(s, d)
 
 
 @query("identifier_join", "SELECT l.id, f.device_id FROM lookups l JOIN (SELECT ip, device_id, min(queried_at) AS first_seen FROM lookups WHERE event_type = 'signup' GROUP BY 1, 2) f ON f.ip = l.ip AND f.first_seen <= l.queried_at WHERE l.event_type = 'error'")
 def _(s, d):
     named = V.lookups(s, d).filter("event_type = 'signup'").groupBy(F.col("ip").alias("value"), "device_id").agg(F.min("queried_at").alias("first_seen")).withColumn("kind", F.lit("hostname"))
-    q = V.lookups(s, d).filter("event_type = 'error'").withColumn("client", F.concat(F.lit(" "), "ip"))
-    return correlate.identifier_join(q, named).select("id", "device_id")
+    return correlate.identifier_join(V.lookups(s, d).select("id", "queried_at", _client()), named).select("id", "device_id")
 
 
 @query("ip_reassignment", f"SELECT ip, count(DISTINCT device_id) AS devices FROM assignments WHERE observed_from <= TIMESTAMP '{NOW}' AND (observed_to IS NULL OR observed_to > TIMESTAMP '{START}') GROUP BY 1 HAVING count(DISTINCT device_id) > 1")

@@ -43,3 +43,52 @@ def test_failures_since_the_last_success(spark):
     found = health.source_health(spark.createDataFrame(tries, "source string, tried_at timestamp_ntz, ok boolean"), "2024-01-02 00:00:00")
     assert {r["source"]: (r["last_success_at"], r["consecutive_failures"]) for r in found.collect()} == want
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@needs_tables
+def test_every_lookup_is_attributed_from_all_evidence(spark):
+    rows = duck("SELECT event_id, ts, user_id, regexp_extract(props, '[0-9]+'), event_type FROM events ORDER BY event_id")
+    runs = []
+    for device in {r[2] for r in rows}:
+        last = None
+        for _, ts, _, ip, _ in sorted((r for r in rows if r[2] == device and r[4] == "signup"), key=lambda r: (r[1], r[0])):
+            if last is None or last[0] != ip:
+                if last:
+                    last[3] = ts
+                last = [ip, device, ts, None]
+                runs.append(last)
+    first, last_seen = min(r[1] for r in rows), max(r[1] for r in rows)
+    holders: dict = {}
+    for ip, device, since, until in runs:
+        if since <= last_seen and (until is None or until > first):
+            holders.setdefault(ip, set()).add(device)
+    names = {}
+    for kind, seen in (("dns_client", [r for r in rows if r[4] == "signup"]), ("hostname", rows)):
+        for _, _, device, ip, _ in seen:
+            names.setdefault((kind, ip), device)
+        for key in [k for k in names if k[0] == kind]:
+            names[key] = (names[key], min(r[1] for r in seen if r[2] == names[key] and r[3] == key[1]))
+    want, by_address = {}, []
+    for i, ts, _, ip, _ in rows:
+        found = {("ip", device) for a, device, since, until in runs if a == ip and since <= ts and (until is None or until > ts)}
+        by_address += [(i, device) for _, device in found]
+        found |= {(kind, device) for (kind, value), (device, since) in names.items() if value == ip and since <= ts}
+        devices, kinds = {x for _, x in found}, {x for x, _ in found}
+        if len(devices) > 1 or len(holders.get(ip, ())) > 1:
+            want[i] = ("ambiguous", None, 0.0)
+            continue
+        score = 0.95 if {"ip", "dns_client"} <= kinds else 0.9 if {"ip", "hostname"} <= kinds else 0.8 if "ip" in kinds else 0.6 if "dns_client" in kinds else 0.55 if kinds else 0.0
+        want[i] = ("attributed", min(devices), score) if score >= 0.7 else ("unattributed", None, score)
+    got = {r["id"]: (r["status"], r["device_id"], r["confidence"]) for r in registry.QUERIES["attribution"](spark, DATA).collect()}
+    assert got == want and len(got) == len(rows)
+    assert {x[0] for x in want.values()} == {"attributed", "ambiguous", "unattributed"}
+    queued = {i: x[0] for i, x in want.items() if x[0] != "attributed"}
+    assert dict(map(tuple, registry.QUERIES["review_queue"](spark, DATA).collect())) == queued
+    assert registry.QUERIES["review_count"](spark, DATA).first()["n"] == len(queued)
+    assert set(map(tuple, registry.QUERIES["interval_join"](spark, DATA).collect())) == set(by_address)
+
+
+@needs_tables
+def test_identifier_join_takes_every_lookup(spark):
+    got = sorted(map(tuple, registry.QUERIES["identifier_join"](spark, DATA).select("id", "device_id").collect()))
+    assert got == sorted(duck(registry.ORACLES["identifier_join"].replace(" WHERE l.event_type = 'error'", "")))
