@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,40 +47,34 @@ def current_ip(assignments: DataFrame) -> DataFrame:
     return assignments.filter("observed_to IS NULL").groupBy("device_id").agg(F.max_by("ip", F.struct("observed_from", "ip")).alias("ip"))
 
 
-def resolve_devices(observations: DataFrame, rounds: int = 20) -> DataFrame:
+def resolve_devices(observations: DataFrame, most: int = 64) -> DataFrame:
     """``observations`` (seq, mac, controller_id, ...) with the device each belongs to.
 
     A sighting goes to the owner of its MAC, else of its controller id, else it is a new device; identifiers
-    stay with their first owner, so devices never merge. The outcome depends on order only among sightings
-    linked by shared identifiers. Those groups are found by propagating the smallest seq, then replayed
-    in order, one group at a time; a household's groups are small. Sightings without either identifier are
-    devices of their own and skip both steps.
+    stay with their first owner, so devices never merge. An identifier's owner is the device of the first
+    sighting that shows it. So only the first sighting of each distinct pair counts: it points to the first one
+    with its MAC, else with its controller id, if that is earlier, and its device is where the pointers end.
+    They are followed by doubling until none moves, so a chain of n links takes about log2(n) rounds. Sightings
+    without either identifier are devices of their own and skip these steps.
     """
-    keyed = observations.filter("mac IS NOT NULL OR controller_id IS NOT NULL").withColumn("grp", F.col("seq"))
-    for _ in range(rounds):
-        low = F.least(F.col("grp"), F.when(F.col("mac").isNotNull(), F.min("grp").over(Window.partitionBy("mac"))), F.when(F.col("controller_id").isNotNull(), F.min("grp").over(Window.partitionBy("controller_id"))))
-        moved = keyed.withColumn("low", low).checkpoint()
-        done = moved.filter("low <> grp").isEmpty()
-        keyed = moved.drop("grp").withColumnRenamed("low", "grp")
-        if done:
+    keys = ["mac", "controller_id"]
+    pairs = observations.filter("mac IS NOT NULL OR controller_id IS NOT NULL").groupBy(*keys).agg(F.min("seq").alias("seq")).checkpoint()
+    for key in keys:
+        firsts = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias(f"first_{key}"))
+        have = pairs.filter(F.col(key).isNotNull()).join(firsts, key)  # rows without the identifier do not meet in one task
+        pairs = have.unionByName(pairs.filter(F.col(key).isNull()).withColumn(f"first_{key}", F.lit(None).cast("long")))
+    earlier = lambda key: F.when(F.col(f"first_{key}") < F.col("seq"), F.col(f"first_{key}"))
+    links = pairs.select("seq", *keys, F.coalesce(earlier("mac"), earlier("controller_id"), "seq").alias("device_seq")).checkpoint()
+    for _ in range(most):
+        onward = links.filter("device_seq <> seq").select(F.col("seq").alias("device_seq"), F.col("device_seq").alias("next"))
+        moved = links.join(onward, "device_seq", "left").checkpoint()
+        links = moved.select("seq", *keys, F.coalesce("next", "device_seq").alias("device_seq"))
+        if moved.filter("next IS NOT NULL").isEmpty():
             break
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        macs: dict = {}
-        ids: dict = {}
-        found = []
-        rows = rows.sort_values("seq")
-        for seq, mac, cid in zip(rows["seq"], rows["mac"], rows["controller_id"], strict=True):
-            device = macs.get(mac) if mac is not None else None
-            device = device if device is not None else (ids.get(cid) if cid is not None else None)
-            device = seq if device is None else device
-            if mac is not None:
-                macs.setdefault(mac, device)
-            if cid is not None:
-                ids.setdefault(cid, device)
-            found.append(device)
-        return pd.DataFrame({"seq": rows["seq"], "device_seq": found})
-
-    owned = keyed.select("grp", "seq", "mac", "controller_id").groupBy("grp").applyInPandas(replay, "seq long, device_seq long")
-    lone = observations.filter("mac IS NULL AND controller_id IS NULL").select("seq", F.col("seq").alias("device_seq"))
-    return observations.join(owned.unionByName(lone), "seq")
+    else:
+        raise RuntimeError(f"devices did not settle in {most} rounds")
+    found = links.select(F.col("mac").alias("_mac"), F.col("controller_id").alias("_id"), "device_seq")
+    same = F.col("mac").eqNullSafe(F.col("_mac")) & F.col("controller_id").eqNullSafe(F.col("_id"))
+    owned = observations.join(found, same).drop("_mac", "_id")
+    lone = observations.filter("mac IS NULL AND controller_id IS NULL").withColumn("device_seq", F.col("seq"))
+    return owned.unionByName(lone)

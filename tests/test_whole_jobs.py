@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from homelens.operators import health
+from homelens.operators import health, identity
 from homelens.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -92,3 +92,30 @@ def test_every_lookup_is_attributed_from_all_evidence(spark):
 def test_identifier_join_takes_every_lookup(spark):
     got = sorted(map(tuple, registry.QUERIES["identifier_join"](spark, DATA).select("id", "device_id").collect()))
     assert got == sorted(duck(registry.ORACLES["identifier_join"].replace(" WHERE l.event_type = 'error'", "")))
+
+
+def replayed(rows):
+    macs, ids, found = {}, {}, {}
+    for seq, mac, cid in sorted(rows):
+        device = macs.get(mac, ids.get(cid, seq))
+        if mac is not None:
+            macs.setdefault(mac, device)
+        if cid is not None:
+            ids.setdefault(cid, device)
+        found[seq] = device
+    return found
+
+
+def test_devices_of_long_chains_and_hot_macs(spark):
+    forth = [(k, f"m{k // 2}", f"u{(k + 1) // 2}") for k in range(51)]
+    back = [(200 - k, f"b{k // 2}", f"v{(k + 1) // 2}") for k in range(51)]
+    hot = [(1000 + k, "hot", None if k % 3 == 0 else f"h{k % 40}") for k in range(600)]
+    nameless = [(2000 + k, None, f"h{k % 60}") for k in range(90)] + [(3000 + k, f"m{k}", None) for k in range(60)]
+    lone = [(4000 + k, None, None) for k in range(5)]
+    draw = random.Random(9)
+    mixed = [(5000 + k, draw.choice([None, *(f"x{j}" for j in range(40))]), draw.choice([None, *(f"y{j}" for j in range(40))])) for k in range(400)]
+    for data in ([*forth, *lone], [*forth, *back, *hot, *nameless, *mixed, *lone]):
+        rows = spark.createDataFrame(data, "seq long, mac string, controller_id string")
+        got = [(r["seq"], r["device_seq"]) for r in identity.resolve_devices(rows).collect()]
+        assert len(got) == len(data) and dict(got) == replayed(data)
+    assert {replayed(forth)[k] for k in range(51)} == {0}
