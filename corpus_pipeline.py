@@ -30,12 +30,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component of near copies; those without an id stay."""
-    found = setjoin.jaccard_components(docs, 80, 5)
-    first = found.filter((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
-    first = storage.materialize(first.filter("doc_id IS NOT NULL"), "first-copies")
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """Keep the first row of each component of near copies: the smallest doc_id, those without one last, then by text.
+
+    Rows with one doc_id and text are one document read twice; rows without doc_id and without shingles all stay.
+    """
+    found = setjoin.row_components(docs, 80, 5)
+    own = F.struct(F.col("doc_id").isNull().alias("idless"), "doc_id", "tid")
+    first = found.filter(F.col("component") == own).select(*setjoin.own_key(F.col("doc_id"), F.col("tid")), (F.col("doc_id").isNull() & (F.col("n") == 0)).alias("_each")).distinct()
+    first = storage.materialize(first, "first-copies")
+    keys = ["_idless", "_own", "_tid"]
+    keyed = docs.select("*", *setjoin.own_key(F.col("doc_id").cast("long"), setjoin.text_key()))
+    kept = keyed.join(first.hint("merge"), keys).withColumn("_nth", F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(0))
+    return kept.dropDuplicates([*keys, "_nth"]).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ line emit their variants: the line without its i-th word, keyed by i for replace
 words left out. Within a key the earliest line stands for all, so no key makes more rows than it has
 members, and each match is verified on the words.
 
-Defined results: null and empty text has no lines; blank lines stay; rows with the same doc_id are one
+Defined results: null and empty text has no lines; blank lines stay; rows with the same doc_id and text are one
 document read twice and keep the same lines; rows without doc_id come last; an empty table gives no rows;
-other columns, whatever their names, stay as they are.
+other columns, whatever their names, stay as they are. Different texts with one doc_id, or without any, are
+documents of their own, in the order of their hashes.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ _LAST = 2**63 - 1
 
 
 # Joins with a side of corpus size name their strategy, so that plans do not change with the size of the input.
+def _key() -> list[Column]:
+    """(did, tid) of a document: its doc_id, or the largest long, and a hash of its text and of whether it has an id."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tid")]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(did, no, line) of every line with a word."""
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    out = docs.select(did.alias("did"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    """(did, tid, no, line) of every line with a word."""
+    out = docs.select(*_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return out.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -38,16 +43,16 @@ def _words() -> Column:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(did, no, h1, h2, n, h3, h4): two 64-bit names of the words, and further half keys of lines over ``FUZZY`` words.
+    """(did, tid, no, h1, h2, n, h3, h4): two 64-bit names of the words, and further half keys of lines over ``FUZZY`` words.
 
     A line of n words may meet one of n or of n + 1 words by the halves of n, and one of n - 1 by those of
     n - 1. The keys of the halves of n name the line as well; shorter lines have names of their own.
     """
-    w = lines.select("did", "no", _words().alias("w")).withColumn("n", F.size("w"))
+    w = lines.select("did", "tid", "no", _words().alias("w")).withColumn("n", F.size("w"))
     left = lambda m: f"xxhash64({m}, 0, slice(w, 1, ({m}) div 2))"
     right = lambda m: f"xxhash64({m}, 1, slice(w, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2))"
     names = [f"IF(n < {FUZZY}, xxhash64(w), {left('n')}) AS h1", f"IF(n < {FUZZY}, xxhash64(17, w), {right('n')}) AS h2"]
-    return w.selectExpr("did", "no", "n", *names, f"IF(n > {FUZZY}, {left('n - 1')}, NULL) AS h3", f"IF(n > {FUZZY}, {right('n - 1')}, NULL) AS h4")
+    return w.selectExpr("did", "tid", "no", "n", *names, f"IF(n > {FUZZY}, {left('n - 1')}, NULL) AS h3", f"IF(n > {FUZZY}, {right('n - 1')}, NULL) AS h4")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -66,48 +71,49 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(did, no) of distinct lines that an earlier one differs from by one word.
+    """(did, tid, no) of distinct lines that an earlier one differs from by one word.
 
-    Candidates get a number that grows with (did, no), so that the earliest of a key is a minimum of longs.
+    Candidates get a number that grows with (did, tid, no), so that the earliest of a key is a minimum of longs.
     """
     halves = F.when(F.col("n") > FUZZY, F.array("h1", "h2", "h3", "h4")).when(F.col("n") == FUZZY, F.array("h1", "h2"))
-    keys = distinct.select(F.xxhash64("h1", "h2").alias("name"), F.col("at.did").alias("did"), F.col("at.no").alias("no"), F.explode(halves).alias("key"))
+    keys = distinct.select(F.xxhash64("h1", "h2").alias("name"), F.col("at.did").alias("did"), F.col("at.tid").alias("tid"), F.col("at.no").alias("no"), F.explode(halves).alias("key"))
     shared = storage.materialize(keys.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b").select("key"), "line-halves")
-    some = storage.materialize(keys.join(shared.hint("merge"), "key", "left_semi").select("did", "no").distinct(), "line-candidates")
-    some = storage.materialize(some.repartitionByRange("did", "no").sortWithinPartitions("did", "no").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
-    texts = _lines(docs).join(some.hint("merge"), ["did", "no"]).dropDuplicates(["did", "no"])
-    lines = storage.materialize(texts.select("did", "no", "rank", _words().alias("w")), "line-words")
+    some = storage.materialize(keys.join(shared.hint("merge"), "key", "left_semi").select("did", "tid", "no").distinct(), "line-candidates")
+    some = storage.materialize(some.repartitionByRange("did", "tid", "no").sortWithinPartitions("did", "tid", "no").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+    texts = _lines(docs).join(some.hint("merge"), ["did", "tid", "no"]).dropDuplicates(["did", "tid", "no"])
+    lines = storage.materialize(texts.select("did", "tid", "no", "rank", _words().alias("w")), "line-words")
     variants = _variants(lines)
     firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"f{k}") for k in (0, 1, 2)], *[F.max(F.when(F.col("kind") == k, F.col("rank"))).alias(f"l{k}") for k in (0, 1)])
     met = storage.materialize(firsts.filter("f0 <> l0 OR (f1 IS NOT NULL AND f2 IS NOT NULL)").select("key", "f0", "f1", "f2"), "line-keys")
     hub = F.when(F.col("kind") == 0, F.col("f0")).when(F.col("kind") == 1, F.col("f2")).otherwise(F.col("f1"))
     pairs = variants.join(met.hint("merge"), "key").select("rank", hub.alias("hub")).filter("hub < rank").distinct()
     pairs = storage.materialize(pairs, "line-pairs")
-    a, b = lines.select("did", "no", "rank", F.col("w").alias("aw")), lines.select(F.col("rank").alias("hub"), F.col("w").alias("bw"))
+    a, b = lines.select("did", "tid", "no", "rank", F.col("w").alias("aw")), lines.select(F.col("rank").alias("hub"), F.col("w").alias("bw"))
     both = pairs.join(a.hint("merge"), "rank").join(b.hint("merge"), "hub")
     apart = """CASE WHEN size(aw) = size(bw) THEN size(filter(zip_with(aw, bw, (x, y) -> x <> y), t -> t)) <= 1
         ELSE exists(sequence(1, greatest(size(aw), size(bw))), i -> IF(size(aw) > size(bw), concat(slice(aw, 1, i - 1), slice(aw, i + 1, size(aw))) = bw, concat(slice(bw, 1, i - 1), slice(bw, i + 1, size(bw))) = aw)) END"""
-    return both.filter(F.expr(apart)).select("did", "no").distinct()
+    return both.filter(F.expr(apart)).select("did", "tid", "no").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(did, gone array<int>): numbers of the lines that go, for documents that lose any; did is doc_id, or the largest long."""
+    """(did, tid, gone array<int>): numbers of the lines that go, for documents that lose any; see ``_key``."""
     lines = storage.materialize(_classes(_lines(docs)), "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "h3", "h4")])
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "tid", "no")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "h3", "h4")])
     distinct = storage.materialize(distinct, "line-classes")
     near = storage.materialize(_near(docs, distinct).withColumn("near", F.lit(True)), "line-near")
-    placed = distinct.select("h1", "h2", "at", "times", F.col("at.did").alias("did"), F.col("at.no").alias("no"))
-    judged = placed.join(near, ["did", "no"], "left").select("h1", "h2", "at", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    placed = distinct.select("h1", "h2", "at", "times", F.col("at.did").alias("did"), F.col("at.tid").alias("tid"), F.col("at.no").alias("no"))
+    judged = placed.join(near, ["did", "tid", "no"], "left").select("h1", "h2", "at", "times", F.coalesce("near", F.lit(False)).alias("near"))
     judged = storage.materialize(judged.filter("times > 1 OR near"), "line-judged")
-    gone = lines.select("did", "no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"]).filter(F.col("near") | (F.struct("did", "no") != F.col("at")))
-    return storage.materialize(gone.groupBy("did").agg(F.array_sort(F.collect_set("no")).alias("gone")), "line-gone")
+    gone = lines.select("did", "tid", "no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"]).filter(F.col("near") | (F.struct("did", "tid", "no") != F.col("at")))
+    return storage.materialize(gone.groupBy("did", "tid").agg(F.array_sort(F.collect_set("no")).alias("gone")), "line-gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with _gone (numbers of the lines removed) and _kept (the text without them; null stays null)."""
     gone = removed_lines(docs)
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.withColumn("_did", did).join(gone.withColumnRenamed("did", "_did").withColumnRenamed("gone", "_gone").hint("merge"), "_did", "left").drop("_did")
+    did, tid = _key()
+    named = gone.select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("gone").alias("_gone"))
+    joined = docs.withColumn("_did", did).withColumn("_tid", tid).join(named.hint("merge"), ["_did", "_tid"], "left").drop("_did", "_tid")
     split = F.expr("IF(_gone IS NULL, text, array_join(transform(array(split(text, '\\n')), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _gone), i -> x[i]), '\\n')), ''))")
     return joined.withColumn("_kept", split)
 

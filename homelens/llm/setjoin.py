@@ -19,7 +19,8 @@ that no task holds a large cluster, and each tile pair returns a spanning forest
 
 Defined results: null, empty and blank text has an empty set and links with nothing; repeated rows and
 equal texts share a component; an empty table gives no rows; other columns are ignored; rows without
-doc_id can link others, but name no component.
+doc_id can link others and are linked, but name no component. A row is told from others by its doc_id and a
+hash of its text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from math import erfc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homelens.llm import bytesets, storage
@@ -149,8 +150,17 @@ def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def own_key(doc: Column, text: Column) -> list[Column]:
+    """Join keys of a row, without nulls."""
+    return [doc.isNull().alias("_idless"), F.coalesce(doc, F.lit(0)).cast("long").alias("_own"), text.alias("_tid")]
+
+
 def signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n, cls, even, odd): size, class and slack (see ``Scheme.keys``) of each document's set."""
+    """(doc_id, tid, n, cls, even, odd): size, class and slack (see ``Scheme.keys``) of each document's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
@@ -158,9 +168,9 @@ def signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
             for rows, data, offsets in bytesets.pieces(batch, "text", 1 << 20):
                 tokens, bounds = _sets(rows, data, offsets, width)
                 slack = scheme.keys(tokens, bounds, slack_only=True)[-1]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, (np.diff(bounds), _classes(tokens, bounds), slack[:, 0], slack[:, 1]))], names=["doc_id", "n", "cls", "even", "odd"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tid"), *map(pa.array, (np.diff(bounds), _classes(tokens, bounds), slack[:, 0], slack[:, 1]))], names=["doc_id", "tid", "n", "cls", "even", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n long, cls long, even long, odd long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("tid"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, tid long, n long, cls long, even long, odd long")
 
 
 def _parts(values: np.ndarray, cuts: np.ndarray, kind: type) -> pa.Array:
@@ -333,7 +343,7 @@ def _forest(names: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np
 def verified_edges(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b) links that connect the classes of each candidate cluster as all its links do.
 
-    ``members``: (doc_id, cls, cluster, tiles); the sets are made again from the texts of these documents.
+    ``members``: (_idless, _own, _tid, cls, cluster, tiles); the sets are made again from one text of each of these.
     """
     units = 4 * max(64, docs.sparkSession.sparkContext.defaultParallelism)
 
@@ -364,7 +374,9 @@ def verified_edges(docs: DataFrame, members: DataFrame, percent: int, width: int
         empty = [np.empty(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(left or empty), pa.int64()), "b": pa.array(np.concatenate(right or empty), pa.int64())})
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.hint("merge"), "doc_id")  # one plan at every size
+    keys = ["_idless", "_own", "_tid"]
+    texts = docs.select(*own_key(F.col("doc_id").cast("long"), text_key()), F.col("text").cast("string"))
+    chosen = texts.join(members.hint("merge"), keys).dropDuplicates(keys)  # one plan at every size
     made = chosen.select("cls", "cluster", "tiles", "text").mapInArrow(sets, "cls long, cluster long, tiles int, tokens binary")
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     pairs = made.withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -373,23 +385,31 @@ def verified_edges(docs: DataFrame, members: DataFrame, percent: int, width: int
     return pairs.select(unit.alias("unit"), "cluster", "a", "b", "cls", "tokens").groupBy("unit").applyInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id): components of documents whose sets of ``width``-word shingles have
-    a Jaccard similarity of ``percent`` or more; component_id is the smallest doc_id."""
+def row_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, tid, n, component struct<idless, doc_id, tid>) of every row, see ``jaccard_components``; a component
+    is named by its first row: the smallest doc_id, rows without one last, then the smallest hash of the text."""
     signed = storage.materialize(signatures(docs, percent, width), "set-signatures")
-    classes = storage.materialize(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "set-classes")
+    named = F.struct(F.col("doc_id").isNull().alias("idless"), "doc_id", "tid")
+    classes = storage.materialize(signed.filter("n > 0").groupBy("cls").agg(F.min(named).alias("first")), "set-classes")
     clusters = connected_components(candidate_edges(docs, signed, percent, width))
     clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
     sizes = storage.materialize(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "set-sizes")
-    members = storage.materialize(clusters.join(sizes.hint("merge"), "cluster").join(classes.select("cls", "doc_id"), "cls").select("doc_id", "cls", "cluster", "tiles"), "set-members")
+    members = clusters.join(sizes.hint("merge"), "cluster").join(classes, "cls").select(*own_key(F.col("first.doc_id"), F.col("first.tid")), "cls", "cluster", "tiles")
+    members = storage.materialize(members, "set-members")
     links = connected_components(verified_edges(docs, members, percent, width))
-    linked = storage.materialize(links.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node"), "set-links")
-    least = storage.materialize(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "set-least")
-    named = linked.join(least, "component").select(F.col("node").alias("cls"), "component_id")
-    lone = classes.join(named.hint("merge"), "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = storage.materialize(links.join(classes.select(F.col("cls").alias("node"), "first"), "node"), "set-links")
+    least = storage.materialize(linked.groupBy("component").agg(F.min("first").alias("least")), "set-least")
+    found = linked.join(least, "component").select(F.col("node").alias("cls"), "least")
+    lone = classes.join(found.hint("merge"), "cls", "left").select("cls", F.coalesce("least", "first").alias("component"))
     lone = storage.materialize(lone, "set-components")
-    whole = signed.select("doc_id", "n", "cls").join(lone.hint("merge"), "cls", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    whole = signed.select("doc_id", "tid", "n", "cls").join(lone.hint("merge"), "cls", "left")
+    return whole.select("doc_id", "tid", "n", F.when(F.col("n") == 0, named).otherwise(F.col("component")).alias("component"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id): components of documents whose sets of ``width``-word shingles have
+    a Jaccard similarity of ``percent`` or more; component_id is the smallest doc_id."""
+    return row_components(docs, percent, width).select("doc_id", F.col("n").alias("n_shingles"), F.col("component.doc_id").alias("component_id"))
 
 
 def op1_universe_partition(spark, sf_dir: str) -> DataFrame:
