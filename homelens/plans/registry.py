@@ -417,11 +417,15 @@ def _(s, d):
     return findings.rule_volume(_stats(s, d), _volume_baseline(s, d), START, NOW, least=10).select("device_id", "n", "severity", "confidence")
 
 
-@query("rule_outside_hours", f"SELECT w.device_id, count(*) AS n, max(queried_at) AS occurred_at FROM win w WHERE hour(queried_at) NOT BETWEEN 8 AND 20 GROUP BY 1 HAVING count(*) >= 3")
-def _(s, d):
+def _outside_hours(s: SparkSession, d: str) -> DataFrame:
     window = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW))
     hours = window.select("device_id").distinct().withColumn("hour", F.explode(F.sequence(F.lit(8), F.lit(20))))
-    return findings.rule_outside_hours(window, hours, START).select("device_id", "n", "occurred_at")
+    return findings.rule_outside_hours(window, hours, START)
+
+
+@query("rule_outside_hours", f"SELECT w.device_id, count(*) AS n, max(queried_at) AS occurred_at FROM win w WHERE hour(queried_at) NOT BETWEEN 8 AND 20 GROUP BY 1 HAVING count(*) >= 3")
+def _(s, d):
+    return _outside_hours(s, d).select("device_id", "n", "occurred_at")
 
 
 _NEW = "SELECT s.device_id, s.new_domain_count AS n FROM stats s LEFT JOIN (SELECT device_id, round(avg(new_domain_count), 6) AS mean FROM samples GROUP BY 1) b ON b.device_id = s.device_id WHERE s.new_domain_count >= 8 AND NOT (coalesce(mean, 0) > 0 AND s.new_domain_count < 3 * mean)"
@@ -432,17 +436,29 @@ def _(s, d):
     return findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW).select("device_id", "n")
 
 
+def _security_lines(s: SparkSession, d: str) -> DataFrame:
+    return V.findings(s, d).select("id", F.col("occurred_at").alias("seen_at"), F.lit("WAN_IN").alias("event_name"), F.when(F.col("severity") == "high", "SECURITY").otherwise("System").alias("category"), F.lit(None).cast("string").alias("mac"), "device_id")
+
+
 @query("rule_security", "SELECT id FROM findings WHERE severity = 'high'")
 def _(s, d):
-    lines = V.findings(s, d).select("id", F.col("occurred_at").alias("seen_at"), F.lit("WAN_IN").alias("event_name"), F.when(F.col("severity") == "high", "SECURITY").otherwise("System").alias("category"), F.lit(None).cast("string").alias("mac"), "device_id")
-    return findings.rule_security(lines).select(F.split("fingerprint", r"\|")[1].cast("long").alias("id"))
+    return findings.rule_security(_security_lines(s, d)).select(F.split("fingerprint", r"\|")[1].cast("long").alias("id"))
 
 
 QUERIES["security_events"], ORACLES["security_events"] = QUERIES["rule_security"], ORACLES["rule_security"]
 
 
 def _drafts(s: SparkSession, d: str) -> DataFrame:
-    return findings.evaluate(findings.rule_blocked_burst(V.lookups(s, d), 72 * 3600, 5), findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW), findings.rule_unknown_device(V.devices(s, d), NOW, DAY))
+    """Drafts of all seven rules, with the values of their own queries."""
+    return findings.evaluate(
+        findings.rule_blocked_burst(V.lookups(s, d), 72 * 3600, 5),
+        findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW),
+        findings.rule_unknown_device(V.devices(s, d), NOW, DAY),
+        findings.rule_flapping(V.transitions(s, d), 72 * 3600, 6),
+        findings.rule_volume(_stats(s, d), _volume_baseline(s, d), START, NOW, least=10),
+        _outside_hours(s, d),
+        findings.rule_security(_security_lines(s, d)),
+    )
 
 
 _DRAFTS = f"{_BURST}, drafts AS (SELECT 'blocked_query_burst' AS rule_id, device_id FROM spans WHERE n >= 5 UNION ALL SELECT 'new_domain_burst', device_id FROM ({_NEW}) UNION ALL SELECT 'unknown_device_online', device_id FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)"
@@ -571,7 +587,7 @@ def _(s, d):
 @query("attention_items", f", {_HEALTH} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
-    return dashboard.attention_items(health.source_health(_attempts(s, d), NOW, stale=90000), V.lookups(s, d).filter("false"), views).select("tier", "item")
+    return dashboard.attention_items(health.source_health(_attempts(s, d), NOW, stale=90000), correlate.review_queue(_attributed(s, d)), views).select("tier", "item")
 
 
 @query("household_status", f", {_HEALTH} SELECT CASE WHEN count(*) FILTER (status = 'down') > 0 THEN 'incomplete' WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'attention' ELSE 'ok' END AS status FROM judged")

@@ -119,3 +119,22 @@ def test_devices_of_long_chains_and_hot_macs(spark):
         got = [(r["seq"], r["device_seq"]) for r in identity.resolve_devices(rows).collect()]
         assert len(got) == len(data) and dict(got) == replayed(data)
     assert {replayed(forth)[k] for k in range(51)} == {0}
+
+
+@needs_tables
+def test_all_seven_rules_are_evaluated(spark):
+    rules = {"blocked_query_burst": "rule_blocked_burst", "new_domain_burst": "rule_new_domains", "unknown_device_online": "rule_unknown_device", "connection_flapping": "rule_flapping", "dns_volume_increase": "rule_volume", "activity_outside_expected_hours": "rule_outside_hours", "controller_security_event": "rule_security"}
+    want = []
+    for rule, name in rules.items():
+        sql = registry.ORACLES[name].replace("SELECT id FROM findings", "SELECT device_id FROM findings")
+        want += [(rule, r[0]) for r in duck(f"SELECT device_id FROM ({sql})")]
+    assert sorted(map(tuple, registry.QUERIES["evaluate_rules"](spark, DATA).select("rule_id", "device_id").collect())) == sorted(want)
+    assert len({r for r, _ in want}) >= 4
+
+
+@needs_tables
+def test_the_review_queue_wants_attention(spark):
+    found = registry.QUERIES["attention_items"](spark, DATA)
+    analyzed = found._jdf.queryExecution().analyzed().toString()
+    assert "needs_review" in analyzed and registry.QUERIES["review_count"](spark, DATA).first()["n"] > 0
+    assert [r["tier"] for r in found.collect()] == sorted(r["tier"] for r in found.collect())
