@@ -2,8 +2,9 @@
 
 Documents fall into at most ``CELLS`` hash cells a source; neighbouring cells make the source's blocks.
 A source whose target is f times its size takes every block floor(f) times, then blocks in a permuted
-order until the next one would pass the target; of that last block it takes documents in a permuted
-order up to the ``BACK``-th before the gap is full, then of the next ones what fits, largest first. The block draws of all sources are dealt to output
+order, each that still fits the rest; of the first block that did not fit it takes documents in a permuted
+order, without those larger than the gap, up to the ``BACK``-th before the gap is full, then of all its other
+documents what fits, largest first, by counts of sizes. The block draws of all sources are dealt to output
 shards by a tree of multivariate hypergeometric splits: each node halves its shards and draws, source
 by source, how many of its blocks go left; blocks then go to shards in permuted order by these exact
 quotas, so draws are disjoint. Within a shard, documents are in hash order.
@@ -23,7 +24,6 @@ from homelens.llm.sizing import partitions_for
 
 CELLS = 1024
 BLOCK_DOCS = 64
-FILL = 256
 BACK = 16
 MOST = 3
 SHARDS = 16
@@ -102,11 +102,12 @@ def mix_plan(sized: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     placed = cells.select("skey", "cell", "words").join(goals.drop("docs"), "skey").withColumn("block", F.floor(F.col("cell") * F.col("blocks") / CELLS).cast("int"))
     blocks = placed.groupBy("skey", "block", "times", "rest").agg(F.sum("words").alias("words"))
-    order = Window.partitionBy("skey").orderBy(F.xxhash64("skey", "block", F.lit(13)), "block")
-    run = blocks.withColumn("upto", F.sum("words").over(order))
-    whole = F.col("upto") <= F.col("rest")
-    last = ~whole & (F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("rest") > 0)
-    chosen = run.select("skey", "block", "times", whole.cast("int").alias("extra"), last.alias("last"), F.when(last, F.col("rest") - (F.col("upto") - F.col("words"))).alias("gap"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64("skey", "block", F.lit(13)).alias("h"), "block", "words")))  # at most CELLS a source
+    taken = "aggregate(o, named_struct('room', rest, 'got', CAST(array() AS array<int>)), (s, x) -> IF(x.words <= s.room, named_struct('room', s.room - x.words, 'got', concat(s.got, array(x.block))), s))"
+    picked = blocks.groupBy("skey", "rest").agg(ordered.alias("o")).withColumn("s", F.expr(taken))
+    picked = picked.select("skey", "s.got", "s.room", F.expr("filter(o, x -> NOT array_contains(s.got, x.block))[0].block").alias("edge"))
+    whole, last = F.array_contains("got", F.col("block")), (F.col("block") == F.coalesce("edge", F.lit(-1))) & (F.col("room") > 0)
+    chosen = blocks.join(picked, "skey").select("skey", "block", "times", whole.cast("int").alias("extra"), last.alias("last"), F.when(last, F.col("room")).alias("gap"))
     chosen = storage.materialize(chosen.withColumn("draws", F.col("times") + F.col("extra") + F.col("last").cast("int")), "mix-blocks")
     quotas = split_quotas(chosen.groupBy("skey").agg(F.sum("draws").cast("long").alias("draws")), shards)
     draws = chosen.filter("draws > 0").select("skey", "block", F.explode(F.sequence(F.lit(1), "draws")).alias("copy"))
@@ -124,15 +125,20 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     joined = sized.join(plan, ["skey", "cell"])
     settled = joined.filter(~F.col("last")).withColumn("more", F.col("extra"))
     by = Window.partitionBy("skey").orderBy(F.xxhash64("doc_id", F.lit(43)), "doc_id", "size")
-    edge = joined.filter("last").withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(by))
-    edge = storage.materialize(edge.withColumn("in", F.col("upto") <= F.col("gap")), "mix-edge")
+    edge = joined.filter("last").withColumn("small", F.col("size") <= F.col("gap"))
+    edge = edge.withColumn("upto", F.sum(F.when(F.col("small"), F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(by))
+    edge = storage.materialize(edge.withColumn("in", F.col("small") & (F.col("upto") <= F.col("gap"))), "mix-edge")
     first = edge.groupBy("skey").agg(F.greatest(F.lit(0), F.coalesce(F.max(F.when(F.col("in"), F.col("at"))), F.lit(0)) - BACK).alias("end"))
-    kept = edge.join(first, "skey").withColumn("firm", F.col("at") <= F.col("end"))
+    kept = edge.join(first, "skey").withColumn("firm", F.col("small") & (F.col("at") <= F.col("end")))
     used = kept.groupBy("skey").agg(F.coalesce(F.max(F.when(F.col("firm"), F.col("upto"))), F.lit(0)).alias("used"))
-    late = kept.join(used, "skey").filter(~F.col("firm") & (F.col("at") <= F.col("end") + BACK + FILL))
-    offers = late.groupBy("skey").agg((F.first("gap") - F.first("used")).alias("room"), F.sort_array(F.collect_list(F.struct("size", "at")), asc=False).alias("o"))
-    fits = offers.select("skey", F.explode(F.expr("aggregate(o, named_struct('room', room, 'got', CAST(array() AS array<int>)), (s, x) -> IF(x.size <= s.room, named_struct('room', s.room - x.size, 'got', concat(s.got, array(x.at))), s), s -> s.got)")).alias("at"), F.lit(1).alias("fit"))
-    edges = kept.join(fits, ["skey", "at"], "left").withColumn("more", F.greatest(F.col("firm").cast("int"), F.coalesce("fit", F.lit(0))))
+    late = kept.filter("small AND NOT firm")
+    counts = late.groupBy("skey", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap")).join(used, "skey")
+    offers = counts.groupBy("skey").agg((F.first("gap") - F.first("used")).alias("room"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("o"))
+    most = "IF(x.size = 0, x.n, least(x.n, CAST(floor(s.room / x.size) AS BIGINT)))"
+    fits = offers.select("skey", F.explode(F.expr(f"aggregate(o, named_struct('room', room, 'got', CAST(array() AS array<struct<size:bigint,fit:bigint>>)), (s, x) -> named_struct('room', s.room - {most} * x.size, 'got', concat(s.got, array(named_struct('size', x.size, 'fit', {most})))), s -> s.got)")).alias("g")).select("skey", "g.size", "g.fit")
+    nth = late.select("skey", "at", "size", F.row_number().over(Window.partitionBy("skey", "size").orderBy("at")).alias("nth"))
+    filled = nth.join(fits, ["skey", "size"]).filter("nth <= fit").select("skey", "at", F.lit(1).alias("fit"))
+    edges = kept.join(filled, ["skey", "at"], "left").withColumn("more", F.greatest(F.col("firm").cast("int"), F.coalesce("fit", F.lit(0))))
     names = ["doc_id", "source", "size", "source_size", "target", "times", "more", "homes"]
     both = settled.select(*names).unionByName(edges.select(*names)).withColumn("copies", F.col("times") + F.col("more"))
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), F.col("copies")).alias("homes"))

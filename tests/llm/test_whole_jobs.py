@@ -32,3 +32,20 @@ def test_near_copies_without_an_id_or_with_one_id(spark):
     first = [x for x in got if x[1] in (text(0), near(0))]
     assert len(first) == 1 and first[0][0] is None
     assert Counter(x for x in got if x not in first) == Counter([(4, near(1)), (5, text(2)), (5, text(3)), (None, " "), (None, " "), (8, " ")])
+
+
+def test_one_very_long_document_does_not_end_the_fill(spark):
+    from homelens.llm import mixing
+
+    rows = [(k, "a", 5) for k in range(4000)] + [(k, "b", 40 if k % 400 else 20000) for k in range(10000, 10400)] + [(k, "c", 30 if k != 20007 else 9000) for k in range(20000, 20300)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        some = [r for r in got if r["source"] == s]
+        assert all(len(r["homes"]) == r["copies"] for r in some)
+        taken, target, size = sum(r["taken"] for r in some), some[0]["target"], some[0]["source_size"]
+        assert taken <= target + 1e-6
+        floor = int(target / size + 1e-12)
+        most = sum(r["size"] for r in some if r["size"] <= target - floor * size)
+        assert taken - floor * size >= 0.5 * min(target - floor * size, most), (s, taken, target, size)
