@@ -3,7 +3,7 @@
 The library runs once for each distinct chunk that a worker sees. Texts are cut before single spaces and
 around single line feeds: the tokenizer's own pre-tokenizer begins a new word there, so the ids of the
 chunks, one after the other, are those of the text. Texts where a space stands between white space (or after it at the end)
-are encoded whole.
+are encoded whole, as are texts that hold one of the tokenizer's added tokens.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.most = most
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._reset()
@@ -62,11 +62,14 @@ class Encoder:
         self.size += 1
         return self.size - 1
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _flush(self) -> None:
         """Encode the queue. Chunks of one word go to the library in lines: a line feed is a word of its own."""
         if not self.waiting:
             return
-        plain = np.array([len(self.line) == 1 and _PLAIN.fullmatch(c) is not None for c in self.waiting])
+        plain = np.array([len(self.line) == 1 and _PLAIN.fullmatch(c) is not None and not self._holds_added(c) for c in self.waiting])
         words = [c for c, p in zip(self.waiting, plain, strict=True) if p]
         lines = ["\n".join(words[k : k + 500]) for k in range(0, len(words), 500)]
         others = [c for c, p in zip(self.waiting, plain, strict=True) if not p]
@@ -95,7 +98,7 @@ class Encoder:
         for text in texts:
             before = len(chunks)
             if text:
-                if _ODD.search(text):
+                if _ODD.search(text) or self._holds_added(text):
                     chunks.append(self.queue(text))
                 else:
                     for k, line in enumerate(text.split("\n") if "\n" in text and not _ODD_LINES.search(text) else [text]):

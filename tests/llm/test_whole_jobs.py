@@ -49,3 +49,15 @@ def test_one_very_long_document_does_not_end_the_fill(spark):
         floor = int(target / size + 1e-12)
         most = sum(r["size"] for r in some if r["size"] <= target - floor * size)
         assert taken - floor * size >= 0.5 * min(target - floor * size, most), (s, taken, target, size)
+
+
+def test_added_tokens_are_the_librarys():
+    from homelens.llm import tokens
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z\nmore <|endoftext|>\n", "plain words\nand lines", "<|endoftext|><|endoftext|> two  spaces", "word", None]
+    ids, bounds = tokens.Encoder(tokens.default_tokenizer()).encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*fresh.encode(text or "", add_special_tokens=False).ids, tokens.END_ID]
+    assert bounds[2] - bounds[1] == 2
