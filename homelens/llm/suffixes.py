@@ -1,21 +1,27 @@
 """Removal of repeated byte strings by bucket-pointer refinement over sampled suffixes.
 
-A suffix of every text is sorted only where it can matter. The first buckets are those of 64-byte
-q-grams at minimizers: each 200-byte window owns the leftmost smallest q-gram in it, so equal windows own
-equal q-grams at equal offsets. A bucket with one suffix is done. The others are refined by the bucket of
-later offsets: first by the whole context in which any window with this q-gram can lie, which settles
-the inside of long repeats, and what is still open by the 200 bytes from each window start on, whose
-bucket is read from the same prefix sums as the q-gram's. Where a q-gram has open suffixes, one holder of
-each of its settled contexts takes part in the last step for all of them. A bucket's name is a 64-bit
-polynomial hash.
-
-Buckets meet by hash range: blocks of documents send each distinct name once, in packed arrays, and get
-back the names that others also have. Rows of the shuffle are pairs of block and range, so a passage in
-every document costs one name a block.
-
-Defined results: null text is empty, texts under 200 bytes lose nothing, matches never cross documents;
-repeated rows lose all they share; an empty table gives no rows; other columns are ignored.
-Memory follows ``PIECE`` or the longest document.
+Every suffix starts in the bucket of its q-gram, 8 bytes, whose code is the bucket's identifier. A bucket
+is refined by the identifiers at later offsets: the identifier of depth 2h at a place is made of those of
+depth h there and h bytes on, and each round takes up what the round before has made (``_Buckets``).
+Equality is all that is asked for, so an identifier is a 64-bit name, the same in every task, in place of a
+rank that only a global sort could give.
+
+Buckets are sorted across tasks only where a match can begin. Each window of ``window`` bytes owns the
+leftmost smallest 64-byte bucket in it, so equal windows own equal buckets at equal offsets. The buckets of
+these places meet by ranges of identifiers, and a range sorts its buckets on the identifiers, at full depth,
+of the first and the last window that the place owns. A bucket with one place is done: none of its
+windows occurs again. Places that agree on both identifiers share all their windows. The rest stays open,
+and is refined once more by the full-depth identifiers of each of its windows; where a bucket has several
+contexts, one holder of each shared context takes part for all of them. Every match rests on two 64-bit
+names, of the 64-byte bucket and of the whole string.
+
+Tasks send each distinct name once per block of documents, in packed arrays by range, and get one code
+back for each; a passage in every document costs one name a block. Blocks and ranges follow from the
+size of the corpus.
+
+Defined results: null text is empty, texts shorter than the window lose nothing, matches never cross
+documents; repeated rows lose all they share; an empty table gives no rows; other columns are ignored. A text
+of any length is worked on in pieces of ``PIECE`` bytes. The window must be longer than 64 bytes.
 """
 
 from __future__ import annotations
@@ -32,199 +38,275 @@ from homelens.llm import bytesets
 from homelens.llm.sizing import text_bytes
 
 GRAM = 64
-PIECE = 1 << 20
+PIECE = 1 << 19
 BLOCK = 4 << 20
-SHARD_BITS = 6
+RANGE = 48 << 20
 U = np.uint64
-MARK = U(0x2545F4914F6CDD1D)
-NAMES = "shard int, block long, grams binary, names binary, many binary"
-
-
-class _Piece:
-    """Windows of some whole documents of one byte array, and the buckets of their suffixes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int) -> None:
-        self.data, self.offsets, self.window = data, offsets, window
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(bytesets.BYTE[data] * bytesets.powers(bytesets.BASE, len(data)), out=self.sums[1:])
-        self.back = bytesets.powers(bytesets.INVERSE, len(data) + 1)
-        sizes = np.diff(offsets)
-        per_doc = np.maximum(sizes - window + 1, 0)
-        ends = np.cumsum(per_doc)
-        self.doc = np.repeat(np.arange(len(sizes)), per_doc)
-        self.starts = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - per_doc, per_doc) + offsets[:-1][self.doc]
-        self.anchor = self._minimizers() if len(self.starts) else self.starts
-
-    def name(self, start: np.ndarray, end: np.ndarray, level: int) -> np.ndarray:
-        return bytesets.mix((self.sums[end] - self.sums[start]) * self.back[start] + bytesets.mix((end - start).astype(U) + U(level << 40)))
-
-    def _minimizers(self) -> np.ndarray:
-        """Place of the leftmost smallest q-gram of each window: a sliding minimum of hash and place in one number."""
-        span = self.window - GRAM + 1
-        places = np.arange(len(self.data) - GRAM + 1)
-        bits = U(max(24, len(self.data).bit_length()))
-        keys = (self.name(places, places + GRAM, 0) >> bits << bits) | places.astype(U)
-        rows = -(-len(keys) // span)
-        grid = np.full(rows * span, np.iinfo(U).max, U)
-        grid[: len(keys)] = keys
-        grid = grid.reshape(rows, span)
-        ahead = np.minimum.accumulate(grid, 1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        least = np.minimum(behind[self.starts], ahead[self.starts + span - 1])
-        return (least & ((U(1) << bits) - U(1))).astype(np.int64)
-
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the minimizers, which of them each window owns)."""
-        new = np.ones(len(self.anchor), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1])
-        return self.anchor[new], np.cumsum(new) - 1
-
-    def grams(self, at: np.ndarray) -> np.ndarray:
-        return self.name(at, at + GRAM, 1)
-
-    def contexts(self, at: np.ndarray) -> np.ndarray:
-        """Names of all bytes that windows owning these suffixes can hold, and of the suffix's offset in them."""
-        doc = np.searchsorted(self.offsets, at, "right") - 1
-        first = np.maximum(at - (self.window - GRAM), self.offsets[doc])
-        last = np.minimum(at + self.window, self.offsets[doc + 1])
-        return bytesets.mix(self.name(first, last, 2) + bytesets.mix((at - first).astype(U)))
-
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.name(starts, starts + self.window, 3)
-
-
-def _within(names: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(names), bool)
-    return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
-
-
-def _open(piece: _Piece, known: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(q-grams, names) that the piece sends at a level, given the names known to be shared from the levels before.
-
-    Contexts go to the range of their q-gram, all others to that of their own name.
-    """
-    at, owner = piece.suffixes()
-    grams = piece.grams(at)
-    if level == 1:
-        return grams, grams
-    shared = _within(grams, known)
-    at, grams = at[shared], grams[shared]
-    contexts = piece.contexts(at)
-    if level == 2:
-        return grams, contexts
-    shared[shared] = ~_within(contexts, known) | _within(bytesets.mix(contexts ^ MARK), known)
-    names = piece.windows(piece.starts[shared[owner]])
-    return names, names
-
-
-def _pieces(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in table.to_batches():
-        yield from bytesets.pieces(batch, "text", PIECE)
-
-
-def _known(table: pa.Table) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(table.column("names").to_pylist()), U)) if table.num_rows else np.empty(0, U)
-
-
-def _send(block: int, sent: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """One row a hash range: each distinct name once with its q-gram, and whether this block has it more than once."""
-    grams, names = (np.concatenate([np.empty(0, U), *x]) for x in zip(*sent, strict=True)) if sent else (np.empty(0, U),) * 2
+LATER, STIR = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+UNIQUE, SHARED, SEVERAL = 0, 1, 2
+SETTLED, OPEN, HOLDER = 0, 1, 2
+SENT = "shard int, block long, names binary, checks binary, many binary"
+CODES = "shard int, block long, codes binary"
+PLACES = "block long, at binary, first binary, last binary, gram binary, context binary"
+STATES = "block long, at binary, first binary, last binary, gram binary, state binary"
+
+
+def _pair(here: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of buckets from those at a place and at a later offset."""
+    out = later * LATER
+    out ^= here
+    out ^= out >> U(32)
+    out *= STIR
+    out ^= out >> U(29)
+    return out
+
+
+class _Buckets:
+    """Bucket identifiers of all suffixes of a byte array: the q-gram's 8 bytes, then depths 16, 32 and 64."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        data = np.ascontiguousarray(data)
+        names = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,)).copy()
+        depth = 8
+        while depth < GRAM:
+            names = _pair(names[:-depth], names[depth:]) if len(names) > depth else names[:0]
+            depth *= 2
+        self.names = names
+
+    def at(self, places: np.ndarray, depth: int) -> np.ndarray:
+        """Identifiers of some suffixes at a depth of ``GRAM`` or more, from those of half the depth."""
+        if depth == GRAM:
+            return self.names[places]
+        half = GRAM
+        while 2 * half < depth:
+            half *= 2
+        return _pair(self.at(places, half), self.at(places + depth - half, half))
+
+
+def _owners(names: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Place of the leftmost smallest of ``span`` names from each start on: a sliding minimum of name and place in one number."""
+    bits = U(24)
+    keys = (names >> bits << bits) | np.arange(len(names), dtype=U)
+    rows = -(-len(keys) // span)
+    grid = np.full(rows * span, np.iinfo(U).max, U)
+    grid[: len(keys)] = keys
+    grid = grid.reshape(rows, span)
+    ahead = np.minimum.accumulate(grid, 1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(behind[starts], ahead[starts + span - 1]) & ((U(1) << bits) - U(1))).astype(np.int64)
+
+
+def _whole(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(rows in an order of their own, all their bytes, offsets)."""
+    table = table.sort_by([("doc_id", "ascending"), ("tid", "ascending")])
+    text = table.column("text").cast(pa.large_string()).combine_chunks()
+    data, offsets = bytesets.text_buffers(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+    return table, data, offsets
+
+
+def _cuts(offsets: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, first starts, number of starts of each document) of pieces of about ``PIECE`` bytes; long documents are cut."""
+    runs = []
+    for a, n in zip(offsets[:-1].tolist(), (np.diff(offsets) - window + 1).tolist(), strict=True):
+        runs += [(a + k, min(PIECE, n - k)) for k in range(0, n, PIECE)] if n > 0 else []
+    i = 0
+    while i < len(runs):
+        j = i + 1
+        while j < len(runs) and runs[j][0] + runs[j][1] + window - 1 - runs[i][0] <= PIECE + window:
+            j += 1
+        first = runs[i][0]
+        yield first, np.array([r[0] - first for r in runs[i:j]]), np.array([r[1] for r in runs[i:j]])
+        i = j
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 .. for each of the runs."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)
+
+
+def _places(data: np.ndarray, offsets: np.ndarray, window: int) -> list[np.ndarray]:
+    """[place, first and last window that owns it, 64-byte bucket, context] of all places that windows own."""
+    found = []
+    for begin, first, count in _cuts(offsets, window):
+        starts = _runs(first, count)
+        buckets = _Buckets(data[begin : begin + int(starts[-1]) + window])
+        owner = _owners(buckets.names, starts, window - GRAM + 1)
+        new = np.ones(len(starts), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)
+        head = np.flatnonzero(new)
+        at, low, high = owner[head], starts[head], starts[np.append(head[1:], len(starts)) - 1]
+        offset = (at - low).astype(U) << U(32) | (at - high).astype(U)
+        context = _pair(_pair(buckets.at(low, window), buckets.at(high, window)), offset)
+        found.append((at + begin, low + begin, high + begin, buckets.at(at, GRAM), context))
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, U)]
+
+
+def _packed(block: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], bits: int) -> pa.Table:
+    """One row for each range of (base, names in ascending order, checks, many)."""
+    rows = []
+    for base, names, checks, many in parts:
+        of, first = np.unique(names >> U(64 - bits), return_index=True)
+        for k, i, j in zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(names)][: len(of)], strict=True):
+            rows.append((base + k, block, names[i:j].tobytes(), checks[i:j].tobytes(), many[i:j].tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "names", "checks", "many"])
+
+
+def _distinct(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, first, count = np.unique(names, return_index=True, return_counts=True)
-    order = np.argsort(grams[first], kind="stable")
-    grams, names, many = grams[first][order], names[order], (count[order] > 1).astype(np.uint8)
-    cuts = np.searchsorted(grams >> U(64 - SHARD_BITS), np.arange((1 << SHARD_BITS) + 1, dtype=U))
-    some = np.flatnonzero(np.diff(cuts))
-    packed = {k: pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()) for k, x in (("names", names), ("many", many))}
-    contexts = not np.array_equal(grams, names)
-    own = pa.array([grams[cuts[s] : cuts[s + 1]].tobytes() if contexts else b"" for s in some], pa.binary())
-    return pa.table({"shard": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64()), "grams": own, **packed})
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """For each block the names of this range that another block, or another place in the block, also has.
-
-    Of a q-gram that has contexts of its own to one place, the first block with a shared context gets a
-    mark to send that context's windows on.
-    """
+    return names, checks[first], (count > 1).astype(np.uint8)
+
+
+def _array(table: pa.Table, column: str, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
+
+
+def _meet(table: pa.Table, ranges: int) -> pa.Table:
+    """A code for each name that a block sent. Ranges below ``ranges`` hold 64-byte buckets with the one context they
+    have in a block (0: several); ranges above hold strings with their bucket, and give the first block that holds a shared one another code."""
     table = table.sort_by("block")
-    sent = [np.frombuffer(x, U) for x in table.column("names").to_pylist()]
-    holder = np.repeat(np.arange(len(sent)), [len(x) for x in sent])
-    names, many = np.concatenate(sent), np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8)
-    order = np.lexsort((holder, names))
-    names, holder, many = names[order], holder[order], many[order] > 0
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
+    shard = table.column("shard")[0].as_py()
+    names, checks, many = _array(table, "names", U), _array(table, "checks", U), _array(table, "many", np.uint8)
+    each = np.array([len(x) // 8 for x in table.column("names").to_pylist()])
+    if shard < ranges:
+        order = np.argsort(names, kind="stable")
+        new = np.ones(len(names), bool)
+        new[1:] = names[order][1:] != names[order][:-1]
+    else:
+        order = np.lexsort((checks, names))
+        new = np.ones(len(names), bool)
+        new[1:] = (names[order][1:] != names[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+    head = np.flatnonzero(new)
     run = np.cumsum(new) - 1
-    shared = ((np.bincount(run) > 1) | (np.bincount(run, many) > 0))[run]
-    back, to = names[shared], holder[shared]
-    grams = b"".join(table.column("grams").to_pylist())
-    if grams:
-        gram = np.frombuffer(grams, U)[order]
-        open_grams = np.unique(gram[~shared])
-        sends = shared & new & _within(gram, open_grams)
-        back, to = np.concatenate([back, bytesets.mix(names[sends] ^ MARK)]), np.concatenate([to, holder[sends]])
-    order = np.argsort(to, kind="stable")
-    back, to = back[order], to[order]
-    ids, first = np.unique(to, return_index=True)
-    parts = np.split(back, first[1:]) if len(ids) else []
-    return pa.table({"block": table.column("block").combine_chunks().take(pa.array(ids, pa.int64())), "names": pa.array([x.tobytes() for x in parts], pa.binary())})
+    shared = (np.diff(np.append(head, len(names))) > 1) | (np.maximum.reduceat(many[order], head) > 0)
+    codes = np.empty(len(names), np.uint8)
+    if shard < ranges:
+        low, high = np.minimum.reduceat(checks[order], head), np.maximum.reduceat(checks[order], head)
+        codes[order] = np.where(shared, np.where((low == high) & (low > 0), SHARED, SEVERAL), UNIQUE)[run]
+    else:
+        codes[order] = np.where(shared[run], np.where(new, SEVERAL, SHARED), UNIQUE)
+    cuts = np.append(0, np.cumsum(each))
+    return pa.table([table.column("shard"), table.column("block"), pa.array([codes[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["shard", "block", "codes"])
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    return _array(table.sort_by("shard"), "codes", np.uint8)
+
+
+def _states(places: pa.Table, answers: pa.Table) -> pa.Table:
+    """Places whose bucket others share, with their state; see ``_meet``."""
+    at, first, last, gram, context = (_array(places, c, t) for c, t in (("at", np.int64), ("first", np.int64), ("last", np.int64), ("gram", U), ("context", U)))
+    codes = _codes(answers)
+    grams, of_gram = np.unique(gram, return_inverse=True)
+    _, lead, of_context = np.unique(context, return_index=True, return_inverse=True)
+    bucket, string = codes[: len(grams)][of_gram], codes[len(grams) :][of_context]
+    leads = np.zeros(len(at), bool)
+    leads[lead] = True
+    state = np.where((bucket == SHARED) | (string == SHARED) | ((string == SEVERAL) & ~leads), SETTLED, np.where(string == SEVERAL, HOLDER, OPEN)).astype(np.uint8)
+    keep = np.flatnonzero(bucket != UNIQUE)
+    kept = [pa.array([x[keep].tobytes()], pa.binary()) for x in (at, first, last, gram, state)]
+    return pa.table([pa.array([places.column("block")[0].as_py()], pa.int64()), *kept], names=["block", "at", "first", "last", "gram", "state"])
+
+
+def _open_windows(data: np.ndarray, states: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, identifiers at full depth, buckets) of the windows that are open or stand for a shared context."""
+    first, last, gram, state = (_array(states, c, t) for c, t in (("first", np.int64), ("last", np.int64), ("gram", U), ("state", np.uint8)))
+    asks = state != SETTLED
+    first, last, gram = first[asks], last[asks], gram[asks]
+    size = np.cumsum(last - first + window)
+    found = []
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PIECE, "right")))
+        low, high = first[i:j], last[i:j]
+        new = np.ones(j - i, bool)
+        new[1:] = low[1:] > high[:-1] + window
+        head = np.flatnonzero(new)
+        begin, stop = low[head], high[np.append(head[1:], j - i) - 1] + window
+        moved = np.cumsum(stop - begin) - (stop - begin) - begin
+        starts = _runs(low, high - low + 1)
+        buckets = _Buckets(data[_runs(begin, stop - begin)])
+        group = np.repeat(np.cumsum(new) - 1, high - low + 1)
+        found.append((starts, buckets.at(starts + moved[group], window), np.repeat(gram[i:j], high - low + 1)))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, U), np.empty(0, U))
 
 
 def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): each text without the bytes of any
     ``window``-byte string that starts anywhere else as well."""
-    blocks = max(64, text_bytes(docs) // BLOCK)
+    total = text_bytes(docs)
+    blocks = max(64, total // int(min(16 * BLOCK, max(BLOCK, 64 * total**0.5))))
+    bits = max(6, (total // RANGE).bit_length())
+    ranges = 1 << bits
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    placed = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long"), text.alias("text"))
-
-    def first(table: pa.Table) -> pa.Table:
-        return _send(table.column("block")[0].as_py(), [_open(_Piece(d, o, window), np.empty(0, U), 1) for _, d, o in _pieces(table)])
-
-    def later(level: int):
-        def refine(table: pa.Table, shared: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return _send(0, [])
-            known = _known(shared)
-            return _send(table.column("block")[0].as_py(), [_open(_Piece(d, o, window), known, level) for _, d, o in _pieces(table)] if len(known) else [])
-
-        return refine
-
-    def cut(table: pa.Table, shared: pa.Table) -> pa.Table:
-        known = _known(shared)
-        out: list[tuple] = []
-        for rows, data, offsets in _pieces(table):
-            gone = np.zeros(len(data) + 1, np.int32)
-            if len(known):
-                piece = _Piece(data, offsets, window)
-                at, owner = piece.suffixes()
-                shares = _within(piece.grams(at), known)
-                inside = shares.copy()
-                inside[shares] = _within(piece.contexts(at[shares]), known)
-                repeated = inside[owner] if len(at) else np.zeros(0, bool)
-                unsure = (shares & ~inside)[owner] if len(at) else repeated
-                repeated[unsure] = _within(piece.windows(piece.starts[unsure]), known)
-                starts = piece.starts[repeated]
-                gone += np.bincount(starts, minlength=len(gone)).astype(np.int32)
-                gone -= np.bincount(starts + window, minlength=len(gone)).astype(np.int32)
-            hit = np.cumsum(gone[:-1]) > 0
-            for doc, a, b in zip(rows.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                mine = hit[a:b]
-                kept = data[a:b][~mine].tobytes()
-                spans = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
-                out.append((doc, b - a, int(mine.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        doc_id, size, removed, spans, digest, kept = zip(*out, strict=True) if out else ([],) * 6
-        return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
-
-    def meet(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("shard").applyInArrow(_meet, "block long, names binary")
-
-    by_block = placed.groupBy("block")
-    shared = meet(by_block.applyInArrow(first, NAMES))
-    for level in (2, 3):
-        shared = shared.unionByName(meet(by_block.cogroup(shared.groupBy("block")).applyInArrow(later(level), NAMES)))
+    tid = F.xxhash64(text)
+    block = F.pmod(F.xxhash64("doc_id", tid, F.spark_partition_id()), F.lit(blocks))  # the partition parts rows that repeat
+    by_block = docs.select(block.alias("block"), F.col("doc_id").cast("long"), tid.alias("tid"), text.alias("text")).groupBy("block")
+
+    def places(table: pa.Table) -> pa.Table:
+        _, data, offsets = _whole(table)
+        found = _places(data, offsets, window)
+        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["block", "at", "first", "last", "gram", "context"])
+
+    def send(table: pa.Table) -> pa.Table:
+        gram, context = _array(table, "gram", U), _array(table, "context", U)
+        order = np.lexsort((context, gram))
+        sorted_gram, sorted_context = gram[order], context[order]
+        head = np.flatnonzero(np.append(True, sorted_gram[1:] != sorted_gram[:-1])) if len(gram) else np.empty(0, np.int64)
+        tail = np.append(head[1:], len(gram)) - 1 if len(gram) else head
+        only = np.where(sorted_context[head] == sorted_context[tail], sorted_context[head] | U(1), U(0))
+        grams = (0, sorted_gram[head], only, (tail > head).astype(np.uint8))
+        return _packed(table.column("block")[0].as_py(), [grams, (ranges, *_distinct(context, gram))], bits)
+
+    def ask(table: pa.Table, states: pa.Table) -> pa.Table:
+        if not table.num_rows or not states.num_rows:
+            return _packed(0, [], bits)
+        _, data, _ = _whole(table)
+        _, names, grams = _open_windows(data, states, window)
+        return _packed(table.column("block")[0].as_py(), [(ranges, *_distinct(names, grams))], bits)
+
+    def answer(states: pa.Table, answers: pa.Table) -> pa.Table:
+        return states.append_column("codes", pa.array([_codes(answers).tobytes() if answers.num_rows else b""] * states.num_rows, pa.binary()))
+
+    def cut(table: pa.Table, states: pa.Table) -> pa.Table:
+        rows, data, offsets = _whole(table)
+        starts = np.empty(0, np.int64)
+        if states.num_rows:
+            first, last, state = (_array(states, c, t) for c, t in (("first", np.int64), ("last", np.int64), ("state", np.uint8)))
+            done = state != OPEN
+            asked, names, _ = _open_windows(data, states, window)
+            again = _array(states, "codes", np.uint8)[np.unique(names, return_inverse=True)[1]] > 0
+            starts = np.union1d(_runs(first[done], last[done] - first[done] + 1), asked[again])
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] > starts[:-1] + window) | (doc[1:] != doc[:-1])
+        head = np.flatnonzero(new)
+        low, high = starts[head], starts[np.append(head[1:], len(starts)) - 1] + window if len(starts) else starts
+        bound = np.searchsorted(doc[head], np.arange(len(offsets)))
+        removed = np.diff(np.append(0, np.cumsum(high - low))[bound])
+        kept = []
+        raw = memoryview(data) if len(data) else memoryview(b"")
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            i, j = bound[k], bound[k + 1]
+            left = zip([a, *high[i:j].tolist()], [*low[i:j].tolist(), b], strict=True)
+            kept.append(b"".join(raw[x:y] for x, y in left))
+        digest = [hashlib.sha256(x).hexdigest() for x in kept]
+        return pa.table(
+            [rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(bound)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+        )
+
+    def meet(sent: DataFrame):
+        return sent.groupBy("shard").applyInArrow(lambda table: _meet(table, ranges), CODES).groupBy("block")
+
+    owned = by_block.applyInArrow(places, PLACES).groupBy("block")
+    states = owned.cogroup(meet(owned.applyInArrow(send, SENT))).applyInArrow(_states, STATES).groupBy("block")
+    answers = meet(by_block.cogroup(states).applyInArrow(ask, SENT))
+    judged = states.cogroup(answers).applyInArrow(answer, STATES + ", codes binary").groupBy("block")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return by_block.cogroup(shared.groupBy("block")).applyInArrow(cut, result)
+    return by_block.cogroup(judged).applyInArrow(cut, result)
 
 
 def op2_bucket_refinement(spark, sf_dir: str) -> DataFrame:
