@@ -47,8 +47,8 @@ UNIQUE, SHARED, SEVERAL = 0, 1, 2
 SETTLED, OPEN, HOLDER = 0, 1, 2
 SENT = "shard int, block long, names binary, checks binary, many binary"
 CODES = "shard int, block long, codes binary"
-PLACES = "block long, at binary, first binary, last binary, gram binary, context binary"
-STATES = "block long, at binary, first binary, last binary, gram binary, state binary"
+PLACES = "block long, at binary, back binary, gram binary, context binary"
+STATES = "block long, at binary, back binary, gram binary, state binary"
 
 
 def _pair(here: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -104,6 +104,17 @@ def _whole(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return table, data, offsets
 
 
+def _windows_out(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Places as steps, and how far back their first and last windows start."""
+    return [np.diff(at, prepend=0).astype("<u4").tobytes(), np.stack([at - first, at - last]).astype("<u2").tobytes()]
+
+
+def _windows_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.cumsum(_array(table, "at", np.uint32), dtype=np.int64)
+    back = _array(table, "back", np.uint16).reshape(2, -1)
+    return at, at - back[0], at - back[1]
+
+
 def _cuts(offsets: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first byte, first starts, number of starts of each document) of pieces of about ``PIECE`` bytes; long documents are cut."""
     runs = []
@@ -138,7 +149,7 @@ def _places(data: np.ndarray, offsets: np.ndarray, window: int) -> list[np.ndarr
         at, low, high = owner[head], starts[head], starts[np.append(head[1:], len(starts)) - 1]
         offset = (at - low).astype(U) << U(32) | (at - high).astype(U)
         context = _pair(_pair(buckets.at(low, window), buckets.at(high, window)), offset)
-        found.append((at + begin, low + begin, high + begin, buckets.at(at, GRAM), context))
+        found.append((at + begin, low + begin, high + begin, bytesets.mix(buckets.at(at, GRAM)), context))  # mixed: the least names are no even ranges
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, U)]
 
 
@@ -196,7 +207,8 @@ def _codes(table: pa.Table) -> np.ndarray:
 
 def _states(places: pa.Table, answers: pa.Table) -> pa.Table:
     """Places whose bucket others share, with their state; see ``_meet``."""
-    at, first, last, gram, context = (_array(places, c, t) for c, t in (("at", np.int64), ("first", np.int64), ("last", np.int64), ("gram", U), ("context", U)))
+    at, first, last = _windows_in(places)
+    gram, context = _array(places, "gram", U), _array(places, "context", U)
     codes = _codes(answers)
     grams, of_gram = np.unique(gram, return_inverse=True)
     _, lead, of_context = np.unique(context, return_index=True, return_inverse=True)
@@ -205,14 +217,14 @@ def _states(places: pa.Table, answers: pa.Table) -> pa.Table:
     leads[lead] = True
     state = np.where((bucket == SHARED) | (string == SHARED) | ((string == SEVERAL) & ~leads), SETTLED, np.where(string == SEVERAL, HOLDER, OPEN)).astype(np.uint8)
     keep = np.flatnonzero(bucket != UNIQUE)
-    kept = [pa.array([x[keep].tobytes()], pa.binary()) for x in (at, first, last, gram, state)]
-    return pa.table([pa.array([places.column("block")[0].as_py()], pa.int64()), *kept], names=["block", "at", "first", "last", "gram", "state"])
+    kept = [*_windows_out(at[keep], first[keep], last[keep]), gram[keep].tobytes(), state[keep].tobytes()]
+    return pa.table([pa.array([places.column("block")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in kept)], names=["block", "at", "back", "gram", "state"])
 
 
 def _open_windows(data: np.ndarray, states: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, identifiers at full depth, buckets) of the windows that are open or stand for a shared context."""
-    first, last, gram, state = (_array(states, c, t) for c, t in (("first", np.int64), ("last", np.int64), ("gram", U), ("state", np.uint8)))
-    asks = state != SETTLED
+    _, first, last = _windows_in(states)
+    gram, asks = _array(states, "gram", U), _array(states, "state", np.uint8) != SETTLED
     first, last, gram = first[asks], last[asks], gram[asks]
     size = np.cumsum(last - first + window)
     found = []
@@ -247,8 +259,9 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
 
     def places(table: pa.Table) -> pa.Table:
         _, data, offsets = _whole(table)
-        found = _places(data, offsets, window)
-        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["block", "at", "first", "last", "gram", "context"])
+        *windows, gram, context = _places(data, offsets, window)
+        found = [*_windows_out(*windows), gram.tobytes(), context.tobytes()]
+        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in found)], names=["block", "at", "back", "gram", "context"])
 
     def send(table: pa.Table) -> pa.Table:
         gram, context = _array(table, "gram", U), _array(table, "context", U)
@@ -274,8 +287,8 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
         rows, data, offsets = _whole(table)
         starts = np.empty(0, np.int64)
         if states.num_rows:
-            first, last, state = (_array(states, c, t) for c, t in (("first", np.int64), ("last", np.int64), ("state", np.uint8)))
-            done = state != OPEN
+            _, first, last = _windows_in(states)
+            done = _array(states, "state", np.uint8) != OPEN
             asked, names, _ = _open_windows(data, states, window)
             again = _array(states, "codes", np.uint8)[np.unique(names, return_inverse=True)[1]] > 0
             starts = np.union1d(_runs(first[done], last[done] - first[done] + 1), asked[again])
