@@ -13,9 +13,12 @@ enough keys of its own has no partner and takes none. Segments without shingles
 whose others are not worth H + 1. How many segments of each kind a band gets is allotted by the least expected
 cost. Both bands' segments of a document are indexed.
 
-Documents with equal sets are one class from the start. Classes that share a segment form candidate
-clusters; inside a cluster every pair is verified exactly on the sets, in tiles of ``TILE`` classes so
-that no task holds a large cluster, and each tile pair returns a spanning forest of its links only.
+Documents with equal sets are one class from the start. Classes that share a key are compared exactly on their
+sets, first each with the key's hub, the class that meets most others. A key whose other classes then lie in one
+component is settled, as nothing but components is asked for; that is how the largest groups of near copies end,
+at one comparison a copy. Classes of the other keys form clusters, inside which every pair that lies in
+different components is verified in tiles of ``TILE`` classes, so that no task holds a large cluster, and each
+tile pair returns a spanning forest of its links only.
 
 Defined results: null, empty and blank text has an empty set and links with nothing; repeated rows and
 equal texts share a component; an empty table gives no rows; other columns are ignored; rows without
@@ -37,7 +40,8 @@ from homelens.llm import bytesets, storage
 from homelens.llm.components import connected_components
 from homelens.llm.sizing import text_bytes
 
-TILE = 256
+TILE = 128
+PART = 64
 PLAIN = 0.6
 WEAK = 1000
 SHARD_BITS = 7
@@ -194,8 +198,11 @@ def index_entries(docs: DataFrame, percent: int, width: int, bits: int) -> DataF
         def flush() -> pa.RecordBatch:
             keys, owner, tags = (np.concatenate(x) for x in zip(*held, strict=True))
             shard = (keys >> U(64 - bits)).astype(np.int64)
-            order = np.lexsort((owner, shard))
-            keys, owner, tags, shard = (keys << U(bits))[order] >> U(32), owner[order], tags[order], shard[order]
+            order = np.lexsort((tags, keys, owner, shard))
+            keys, owner, tags, shard = keys[order], owner[order], tags[order], shard[order]
+            once = np.ones(len(keys), bool)  # equal sets of a batch are indexed once
+            once[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]) | (tags[1:] != tags[:-1])
+            keys, owner, tags, shard = keys[once] << U(bits) >> U(32), owner[once], tags[once], shard[once]
             some, start = np.unique(shard, return_index=True)
             cuts = np.append(start, len(shard))
             new = np.ones(len(owner), bool)
@@ -290,22 +297,69 @@ def rarest_entries(shared: DataFrame, signed: DataFrame, bits: int) -> DataFrame
     return shared.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(choose, "shard int, keys binary, owners binary")
 
 
-def candidate_edges(docs: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame:
-    """(hub, cls): for each key that several classes are indexed under, every class with the smallest one."""
+def candidate_keys(docs: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame:
+    """(key, cls, n): every class of each key that several classes are indexed under, and how many those are."""
 
     def meet(table: pa.Table) -> pa.Table:
         keys, owner = _whole(table, "keys", np.uint32), _whole(table, "owners", np.int64)
         order = np.lexsort((owner, keys))
         keys, owner = keys[order], owner[order]
         new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        hub = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([hub[hub != owner], owner[hub != owner]], 1), axis=0)
-        return pa.table({"hub": pa.array(pairs[:, 0], pa.int64()), "cls": pa.array(pairs[:, 1], pa.int64())})
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[new], owner[new]
+        _, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+        keep = n[of] > 1
+        key = np.int64(table.column("shard")[0].as_py()) << 32 | keys[keep].astype(np.int64)
+        return pa.table({"key": pa.array(key, pa.int64()), "cls": pa.array(owner[keep], pa.int64()), "n": pa.array(n[of][keep], pa.int64())})
 
     bits = max(SHARD_BITS, (text_bytes(docs) >> 24).bit_length())
     shared = shared_entries(index_entries(docs, percent, width, bits), bits)
-    return rarest_entries(shared, signed, bits).groupBy("shard").applyInArrow(meet, "hub long, cls long").distinct()
+    return rarest_entries(shared, signed, bits).groupBy("shard").applyInArrow(meet, "key long, cls long, n long")
+
+
+def key_hubs(keys: DataFrame) -> DataFrame:
+    """(key, hub): of each key the class that meets most others by all its keys, as the original of near copies does."""
+    weight = keys.groupBy("cls").agg(F.sum("n").alias("w"))
+    return keys.select("key", "cls").join(weight.hint("merge"), "cls").groupBy("key").agg(F.max_by("cls", F.struct("w", "cls")).alias("hub"))
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (hub, cls) that are alike. The classes of a hub are dealt in parts of ``PART``, each with the hub's set."""
+    units = max(64, pairs.count() // 512)
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("hub", "ascending"), ("part", "ascending")])
+        hub, part, cls = (table.column(c).to_numpy() for c in ("hub", "part", "cls"))
+        tokens = table.column("tokens").to_pylist()
+        size = np.array([len(x) // 8 for x in tokens], np.int64)
+        group = np.cumsum(np.append(False, (hub[1:] != hub[:-1]) | (part[1:] != part[:-1])))
+        centre = hub == cls
+        distinct, token = np.unique(np.frombuffer(b"".join(tokens), U), return_inverse=True)
+        row = np.repeat(np.arange(len(size)), size)
+        place = group[row] * len(distinct) + token
+        known = np.unique(place[centre[row]])
+        hit = known[np.minimum(np.searchsorted(known, place), max(len(known) - 1, 0))] == place if len(known) else np.zeros(len(place), bool)
+        both = np.bincount(row[hit], minlength=len(size))
+        of_hub = np.bincount(group[centre], size[centre], minlength=int(group[-1]) + 1).astype(np.int64)[group]
+        linked = ~centre & (100 * both >= percent * (of_hub + size - both))
+        return pa.table({"a": pa.array(hub[linked], pa.int64()), "b": pa.array(cls[linked], pa.int64())})
+
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts.hint("merge"), "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
+    centres = dealt.select("hub", F.col("hub").alias("cls"), "part").distinct()
+    rows = storage.materialize(dealt.unionByName(centres), "set-pairs").join(sets.hint("merge"), "cls")
+    unit = F.pmod(F.xxhash64("hub", "part"), F.lit(units))
+    return rows.select(unit.alias("unit"), "hub", "part", "cls", "tokens").groupBy("unit").applyInArrow(verify, "a long, b long")
+
+
+def unsettled(keys: DataFrame, hubs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, cls, part) of the keys whose classes, but the hub, whose pairs are all judged, lie in several components ``parts`` (node, component)."""
+    known = parts.select(F.col("node").alias("cls"), F.col("component").alias("part"))
+    others = keys.select("key", "cls").join(hubs.hint("merge"), "key").filter("cls <> hub")
+    placed = others.join(known.hint("merge"), "cls", "left").select("key", "cls", F.coalesce("part", "cls").alias("part"))
+    placed = storage.materialize(placed, "set-placed")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("cls").alias("first")).filter("low <> high")
+    return placed.join(mixed.select("key", "first").hint("merge"), "key")
 
 
 def _forest(names: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,49 +394,69 @@ def _forest(names: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np
     return names[label[child]], names[child]
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b) links that connect the classes of each candidate cluster as all its links do.
-
-    ``members``: (_idless, _own, _tid, cls, cluster, tiles); the sets are made again from one text of each of these.
-    """
-    units = 4 * max(64, docs.sparkSession.sparkContext.defaultParallelism)
+def class_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(cls, tokens): the sets of ``members`` (_idless, _own, _tid, cls), made again from one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in bytesets.pieces(batch, "text", 1 << 20):
                 tokens, bounds = _sets(rows, data, offsets, width)
                 right = pa.array(_classes(tokens, bounds) == rows.column("cls").to_numpy())
-                out = pa.RecordBatch.from_arrays([rows.column("cls"), rows.column("cluster"), rows.column("tiles"), _binaries(tokens, bounds)], names=["cls", "cluster", "tiles", "tokens"])
-                yield out.filter(right)
+                yield pa.RecordBatch.from_arrays([rows.column("cls"), _binaries(tokens, bounds)], names=["cls", "tokens"]).filter(right)
+
+    keys = ["_idless", "_own", "_tid"]
+    texts = docs.select(*own_key(F.col("doc_id").cast("long"), text_key()), F.col("text").cast("string"))
+    chosen = texts.join(members.hint("merge"), keys).dropDuplicates(keys)  # one plan at every size
+    return chosen.select("cls", "text").mapInArrow(sets, "cls long, tokens binary")
+
+
+def cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that connect the classes of each cluster as all its links between different parts do.
+    ``members``: (cls, part, cluster, tiles)."""
+    units = max(64, members.count() // 64)
 
     def verify(table: pa.Table) -> pa.Table:
-        cluster, a, b = (table.column(x).to_numpy() for x in ("cluster", "a", "b"))
+        cluster, a, b, part = (table.column(x).to_numpy() for x in ("cluster", "a", "b", "part"))
         names, tokens = table.column("cls").to_numpy(), table.column("tokens").to_pylist()
         order = np.lexsort((names, b, a, cluster))
-        left, right = [], []
-        group: list[int] = []
-        for place, i in enumerate(order):
-            if not group or names[i] != names[group[-1]]:
-                group.append(i)
-            after = order[place + 1] if place + 1 < len(order) else None
-            if after is None or (cluster[after], a[after], b[after]) != (cluster[i], a[i], b[i]):
-                if len(group) > 1:
-                    x, y = _forest(names[group], [np.frombuffer(tokens[j], U) for j in group], percent)
-                    left.append(x)
-                    right.append(y)
-                group = []
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(left or empty), pa.int64()), "b": pa.array(np.concatenate(right or empty), pa.int64())})
+        new = np.ones(len(order), bool)
+        new[1:] = (cluster[order][1:] != cluster[order][:-1]) | (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        head = np.flatnonzero(new)
+        for i, j in zip(head, np.append(head[1:], len(order)), strict=True):
+            group = order[i:j]
+            group = group[np.append(True, names[group][1:] != names[group][:-1])]
+            if len(group) > 1 and (part[group] != part[group[0]]).any():
+                x, y = _forest(names[group], [np.frombuffer(tokens[k], U) for k in group], percent)
+                left.append(x)
+                right.append(y)
+        return pa.table({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
 
-    keys = ["_idless", "_own", "_tid"]
-    texts = docs.select(*own_key(F.col("doc_id").cast("long"), text_key()), F.col("text").cast("string"))
-    chosen = texts.join(members.hint("merge"), keys).dropDuplicates(keys)  # one plan at every size
-    made = chosen.select("cls", "cluster", "tiles", "text").mapInArrow(sets, "cls long, cluster long, tiles int, tokens binary")
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    pairs = made.withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.withColumn("a", F.least("t", "o")).withColumn("b", F.greatest("t", "o"))
+    pairs = members.withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = pairs.withColumn("a", F.least("t", "o")).withColumn("b", F.greatest("t", "o")).join(sets.hint("merge"), "cls")
     unit = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster", "a", "b"))
-    return pairs.select(unit.alias("unit"), "cluster", "a", "b", "cls", "tokens").groupBy("unit").applyInArrow(verify, "a long, b long")
+    return pairs.select(unit.alias("unit"), "cluster", "a", "b", "cls", "part", "tokens").groupBy("unit").applyInArrow(verify, "a long, b long")
+
+
+def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, component) of all classes that link with another: stars around each key's hub first, then what they leave open."""
+    keys = storage.materialize(candidate_keys(docs, signed, percent, width), "set-keys")
+    members = keys.select("cls").distinct().join(classes.hint("merge"), "cls").select(*own_key(F.col("first.doc_id"), F.col("first.tid")), "cls")
+    sets = storage.materialize(class_sets(docs, members, width), "set-tokens")
+    hubs = storage.materialize(key_hubs(keys), "set-hubs")
+    pairs = keys.select("key", "cls").join(hubs.hint("merge"), "key").filter("cls <> hub").select("hub", "cls").distinct()
+    links = storage.materialize(star_links(storage.materialize(pairs, "set-stars"), sets, percent), "set-star-links")
+    parts = storage.materialize(connected_components(links), "set-parts")
+    left = storage.materialize(unsettled(keys, hubs, parts), "set-unsettled")
+    if left.isEmpty():
+        return parts
+    clusters = connected_components(left.select(F.col("first").alias("a"), F.col("cls").alias("b")))
+    clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = clusters.join(sizes.hint("merge"), "cluster").join(left.select("cls", "part").distinct().hint("merge"), "cls")
+    more = cluster_links(storage.materialize(placed, "set-members"), sets, percent)
+    return connected_components(links.unionByName(more))
 
 
 def row_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -391,12 +465,7 @@ def row_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFr
     signed = storage.materialize(signatures(docs, percent, width), "set-signatures")
     named = F.struct(F.col("doc_id").isNull().alias("idless"), "doc_id", "tid")
     classes = storage.materialize(signed.filter("n > 0").groupBy("cls").agg(F.min(named).alias("first")), "set-classes")
-    clusters = connected_components(candidate_edges(docs, signed, percent, width))
-    clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
-    sizes = storage.materialize(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "set-sizes")
-    members = clusters.join(sizes.hint("merge"), "cluster").join(classes, "cls").select(*own_key(F.col("first.doc_id"), F.col("first.tid")), "cls", "cluster", "tiles")
-    members = storage.materialize(members, "set-members")
-    links = connected_components(verified_edges(docs, members, percent, width))
+    links = class_links(docs, signed, classes, percent, width)
     linked = storage.materialize(links.join(classes.select(F.col("cls").alias("node"), "first"), "node"), "set-links")
     least = storage.materialize(linked.groupBy("component").agg(F.min("first").alias("least")), "set-least")
     found = linked.join(least, "component").select(F.col("node").alias("cls"), "least")

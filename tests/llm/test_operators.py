@@ -353,3 +353,37 @@ def test_shingles_of_short_and_empty_texts():
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_large_groups_of_near_copies(spark):
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size, changes in ((700, 1), (300, 3), (40, 6)):
+        base = draw.choices(vocabulary, k=80)
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(draw.randrange(changes + 1)):
+                copy[draw.randrange(80)] = draw.choice(vocabulary)
+            texts.append(copy)
+    chain = draw.choices(vocabulary, k=60)
+    for _ in range(120):
+        chain = chain[1:] + [draw.choice(vocabulary)]
+        texts.append(chain)
+    made = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for percent, width in ((90, 3), (80, 5)):
+        sets = [{tuple(t[k : k + width]) for k in range(len(t) - width + 1)} for t in texts]
+        names = {x: i for i, x in enumerate(set().union(*sets))}
+        grid = np.zeros((len(sets), len(names)), np.float32)
+        for i, s in enumerate(sets):
+            grid[i, [names[x] for x in s]] = 1
+        both, size = grid @ grid.T, grid.sum(1)
+        linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+        label = np.arange(len(sets))
+        while True:
+            low = np.where(linked, label[None], len(sets)).min(1)
+            if (low == label).all():
+                break
+            label = low
+        got = {r[0]: r[2] for r in setjoin.jaccard_components(made, percent, width).collect()}
+        assert got == dict(enumerate(label.tolist())) and len(set(label.tolist())) < len(label) - 200
