@@ -293,7 +293,7 @@ def rarest_entries(shared: DataFrame, signed: DataFrame, bits: int) -> DataFrame
         return pa.table([pa.array(some, pa.int32()), _parts(keys[order], cuts, np.uint32), _parts(owner[order], cuts, np.int64)], names=["shard", "keys", "owners"])
 
     home = F.shiftrightunsigned("cls", 64 - bits).cast("int")
-    asked = signed.filter("n > 0").select(home.alias("home"), "cls", "even", "odd")
+    asked = signed.filter("n > 0").select("cls", "even", "odd").distinct().select(home.alias("home"), "cls", "even", "odd")
     return shared.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(choose, "shard int, keys binary, owners binary")
 
 
