@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import normalize_domain, percent
 
+# Names of the metrics.
 SUMMARY_METRICS = (
     "dns_query_volume", "blocked_query_pct", "unique_domain_count", "new_domain_count", "active_hour_count",
     "upload_bytes", "download_bytes", "connection_duration_seconds",
@@ -36,30 +37,26 @@ def new_domains(lookups: DataFrame, start: str, end: str, subject: str = "device
 
 
 def dns_window_summary(lookups: DataFrame, start: str, end: str, subject: str = "device_id") -> DataFrame:
-    """Volume, blocked share, unique and new domains, active hours of each subject, in two aggregates.
+    """Volume, blocked share, unique and new domains, active hours of each subject.
 
-    Lookups are first grouped by domain, which also yields each domain's first sighting, then by subject.
+    Lookups are first grouped by domain, which also yields each domain's first sighting, and by hour, then by
+    subject: both groupings shrink before the shuffle, so no subject's rows meet in one task.
     """
     inside = in_window(F.col("queried_at"), start, end)
     upto = lookups.filter(F.col("queried_at") <= F.lit(end).cast("timestamp_ntz"))
-    by_domain = upto.groupBy(subject, normalize_domain(F.col("domain")).alias("domain")).agg(
-        F.count_if(inside).alias("n"),
-        F.count_if(inside & (F.col("status") == "blocked")).alias("blocked"),
-        F.min("queried_at").alias("first_seen"),
-        F.collect_set(F.when(inside, F.date_trunc("hour", "queried_at"))).alias("hours"),
-    )
-    seen = by_domain.filter("n > 0")
-    hours = F.array_distinct(F.flatten(F.collect_list("hours")))
-    summed = seen.groupBy(subject).agg(
+    by_domain = upto.groupBy(subject, normalize_domain(F.col("domain")).alias("domain")).agg(F.count_if(inside).alias("n"), F.count_if(inside & (F.col("status") == "blocked")).alias("blocked"), F.min("queried_at").alias("first_seen"))
+    summed = by_domain.filter("n > 0").groupBy(subject).agg(
         F.sum("n").alias("dns_query_volume"),
         F.sum("blocked").alias("blocked_query_count"),
         F.count("*").alias("unique_domain_count"),
         F.count_if(F.col("first_seen") >= F.lit(start).cast("timestamp_ntz")).alias("new_domain_count"),
-        hours.alias("hours"),
     )
-    return summed.select(
+    by_hour = upto.filter(inside).select(subject, F.date_trunc("hour", "queried_at").alias("hour")).distinct()
+    hours = by_hour.groupBy(F.col(subject).alias("_subject")).agg(F.count("*").alias("active_hour_count"), F.array_sort(F.collect_set(F.hour("hour"))).alias("active_hours_utc"))
+    joined = summed.join(hours, F.col(subject).eqNullSafe(F.col("_subject")))
+    return joined.select(
         subject, "dns_query_volume", "blocked_query_count", percent(F.col("blocked_query_count"), F.col("dns_query_volume")).alias("blocked_query_pct"), "unique_domain_count", "new_domain_count",
-        F.size("hours").cast("long").alias("active_hour_count"), F.array_sort(F.array_distinct(F.transform("hours", F.hour))).alias("active_hours_utc"),
+        "active_hour_count", "active_hours_utc",
     )
 
 

@@ -50,21 +50,48 @@ def typical_hours(samples: DataFrame, subject: str = "device_id") -> DataFrame:
 
 
 def dow_pattern(samples: DataFrame, end: str, seconds: int = 86400, subject: str = "device_id") -> DataFrame:
-    """Mean volume of each weekday (Monday 0) for every subject; weekdays without samples are 0."""
-    start = F.timestamp_seconds(F.unix_timestamp(F.lit(end).cast("timestamp")) - (F.col("idx") + 1) * seconds)
-    means = samples.groupBy(subject, F.weekday(start).alias("weekday")).agg(F.round(F.avg("dns_query_volume"), 6).alias("mean_volume"))
+    """(subject, weekday, sample_count, mean_volume) by the weekday (Monday 0) of each window's end, all seven for every
+    subject; the mean of none is NULL."""
+    stop = F.timestamp_seconds(F.unix_timestamp(F.lit(end).cast("timestamp")) - F.col("idx") * seconds)
+    means = samples.groupBy(subject, F.weekday(stop).alias("weekday")).agg(F.count("*").alias("sample_count"), F.round(F.avg("dns_query_volume"), 6).alias("mean_volume"))
     days = samples.select(subject).distinct().withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    return days.join(means, [subject, "weekday"], "left").fillna({"mean_volume": 0.0})
+    return days.join(means, [subject, "weekday"], "left").fillna({"sample_count": 0})
+
+
+def non_empty(samples: DataFrame, subject: str = "device_id") -> DataFrame:
+    """Samples with lookups or traffic; of a subject that has none of these the newest one (idx 0 is the newest)."""
+    traffic = [F.col(c).isNotNull() for c in ("upload_bytes", "download_bytes") if c in samples.columns]
+    full = F.col("dns_query_volume") > 0
+    for has in traffic:
+        full = full | has
+    held = samples.groupBy(subject).agg(F.bool_or(full).alias("_any"), F.min("idx").alias("_newest"))
+    return samples.join(held, subject).filter(full | (~F.col("_any") & (F.col("idx") == F.col("_newest")))).drop("_any", "_newest")
+
+
+def traffic_samples(snapshots: DataFrame, end: str, seconds: int = 86400, samples: int = SAMPLES) -> DataFrame:
+    """(device_id, idx, traffic metrics) of each trailing window, from the last snapshot of the device in it."""
+    step = seconds * 1_000_000
+    age = F.unix_micros(F.lit(end).cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))
+    at = F.floor(F.col("age") / step).cast("int")
+    both = F.when((F.col("age") % step == 0) & (F.col("age") > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    placed = snapshots.withColumn("age", age).filter("age >= 0").withColumn("idx", F.explode(both)).filter(F.col("idx") < samples)
+    last = placed.groupBy("device_id", "idx").agg(F.max_by(F.struct("upload_bytes", "download_bytes", "connection_duration_seconds"), F.struct("observed_at", "id")).alias("r"))
+    return last.select("device_id", "idx", "r.*")
 
 
 def deviations(values: DataFrame, baselines: DataFrame, keys: list[str]) -> DataFrame:
-    """Upward deviations of (keys, value) from their baseline: z score first, then a constant baseline, then p95."""
-    z = F.round((F.col("value") - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0)), 6)
+    """Upward deviations of (keys, value) from their baseline: z score first, then a constant baseline, then p95.
+
+    The z score is compared as it is and shown to 4 places; ``threshold`` is what the value exceeds.
+    """
+    z = (F.col("value") - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
     kind = F.when((F.col("stddev") > 0) & (z > Z_CUT), "z_score").when((F.col("stddev") == 0) & (F.col("value") > F.col("mean")), "above_constant_mean").when(F.col("value") > F.col("p95"), "percentile")
-    joined = values.join(baselines.filter("sample_count >= 1"), keys)
-    return joined.select(*keys, "value", "mean", "stddev", "p95", z.alias("z_score"), kind.alias("kind")).filter("kind IS NOT NULL")
+    joined = values.join(baselines.filter("sample_count >= 1"), keys).withColumn("kind", kind).filter("kind IS NOT NULL")
+    threshold = F.when(F.col("kind") == "z_score", F.col("high_threshold")).when(F.col("kind") == "percentile", F.col("p95")).otherwise(F.col("mean"))
+    return joined.select(*keys, "value", "mean", "stddev", "p95", F.round(z, 4).alias("z_score"), F.round(F.col("value") - F.col("mean"), 6).alias("delta"), threshold.alias("threshold"), "kind")
 
 
 def latest_baseline(rows: DataFrame, keys: list[str], computed: str = "computed_at", tie: str = "id") -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.col(computed).desc(), F.col(tie).desc())
-    return rows.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    """The newest row of each key, by a partial aggregate."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(computed, tie)).alias("_r")).select(*keys, "_r.*").select(*rows.columns)

@@ -39,25 +39,35 @@ def confidence_score(ip: Column, client: Column, hostname: Column) -> Column:
 
 
 def attribution(queries: DataFrame, evidence: DataFrame, reassigned: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, status, device_id, confidence, needs_review, candidates) of every query (id, ip, ...).
+    """(id, status, device_id, confidence, needs_review, candidates, evidence, conflicts) of every query (id, ip, ...).
 
     ``evidence``: (id, device_id, kind in ip, dns_client, hostname). Several candidate devices, or an address
     in ``reassigned`` (ip), make a query ambiguous with score 0; one candidate below the threshold keeps
-    its score but stays unattributed.
+    its score but stays unattributed. ``evidence`` holds each match with its weight, ``conflicts`` a record (reason,
+    device_ids, match_kinds) of all that blocks attribution, the address first.
     """
     has = lambda k: F.bool_or(F.col("kind") == k)
-    summed = evidence.groupBy("id").agg(F.min("device_id").alias("only"), F.array_sort(F.collect_set("device_id")).alias("candidates"), has("ip").alias("by_ip"), has("dns_client").alias("by_client"), has("hostname").alias("by_name"))
+    weight = F.when(F.col("kind") == "ip", IP).when(F.col("kind") == "dns_client", CLIENT).otherwise(HOSTNAME).cast("decimal(5,4)")
+    match = F.struct("kind", "device_id", weight.alias("weight"))
+    summed = evidence.groupBy("id").agg(F.min("device_id").alias("only"), F.array_sort(F.collect_set("device_id")).alias("candidates"), F.array_sort(F.collect_set(match)).alias("evidence"), has("ip").alias("by_ip"), has("dns_client").alias("by_client"), has("hostname").alias("by_name"))
     joined = queries.select("id", "ip").join(summed, "id", "left")
     if reassigned is None:
         joined = joined.withColumn("moved", F.lit(False))
     else:
         joined = joined.join(reassigned.select("ip").distinct().withColumn("moved", F.lit(True)), "ip", "left")
-    conflict = F.coalesce("moved", F.lit(False)) | F.coalesce(F.size("candidates") > 1, F.lit(False))
+    moved, several = F.coalesce("moved", F.lit(False)), F.coalesce(F.size("candidates") > 1, F.lit(False))
+    kinds = F.array_distinct(F.transform("evidence", lambda e: e["kind"]))
+    record = lambda reason: F.struct(F.lit(reason).alias("reason"), F.coalesce("candidates", F.array()).alias("device_ids"), F.coalesce(kinds, F.array()).alias("match_kinds"))
+    conflicts = F.concat(F.when(moved, F.array(record("ip_reassigned_in_window"))).otherwise(F.array()), F.when(several, F.array(record("multiple_candidate_devices"))).otherwise(F.array()))
+    conflict = moved | several
     score = confidence_score(F.coalesce("by_ip", F.lit(False)), F.coalesce("by_client", F.lit(False)), F.coalesce("by_name", F.lit(False)))
     scored = joined.withColumn("confidence", F.when(conflict, F.lit(0)).otherwise(score).cast("decimal(5,4)"))
     status = F.when(conflict, "ambiguous").when(F.col("only").isNotNull() & (F.col("confidence") >= threshold), "attributed").otherwise("unattributed")
     out = scored.withColumn("status", status)
-    return out.select("id", "status", F.when(F.col("status") == "attributed", F.col("only")).alias("device_id"), "confidence", (F.col("status") != "attributed").alias("needs_review"), F.coalesce("candidates", F.array()).alias("candidates"))
+    return out.select(
+        "id", "status", F.when(F.col("status") == "attributed", F.col("only")).alias("device_id"), "confidence", (F.col("status") != "attributed").alias("needs_review"),
+        F.coalesce("candidates", F.array()).alias("candidates"), F.coalesce("evidence", F.array()).alias("evidence"), conflicts.alias("conflicts"),
+    )
 
 
 def review_queue(activity: DataFrame) -> DataFrame:
@@ -66,4 +76,5 @@ def review_queue(activity: DataFrame) -> DataFrame:
 
 def review_candidates(queue: DataFrame, devices: DataFrame) -> DataFrame:
     """(id, device_id, display_name) of every device that evidence or a conflict of a queued row names."""
-    return queue.select("id", F.explode(F.array_distinct("candidates")).alias("device_id")).join(devices.select("device_id", "display_name"), "device_id", "left")
+    named = F.concat("candidates", F.flatten(F.transform("conflicts", lambda c: c["device_ids"])))
+    return queue.select("id", F.explode(F.array_distinct(named)).alias("device_id")).join(devices.select("device_id", "display_name"), "device_id", "left")

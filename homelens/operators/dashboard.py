@@ -5,7 +5,7 @@ Sections whose source is down are NULL, not zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -69,5 +69,6 @@ def active_children(views: DataFrame, recent: DataFrame) -> DataFrame:
 
 
 def first_person_devices(links: DataFrame) -> DataFrame:
-    order = Window.partitionBy("device_id").orderBy("assigned_at", "id")
-    return links.filter("active").withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    """The first active link of each device, by time of assignment, then id."""
+    rest = [c for c in links.columns if c != "device_id"]
+    return links.filter("active").groupBy("device_id").agg(F.min_by(F.struct(*rest), F.struct("assigned_at", "id")).alias("_r")).select("device_id", "_r.*").select(*links.columns)

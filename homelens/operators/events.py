@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from homelens.functions.normalize import severity_rank
 
+# Ids of the finding rules.
 RULES = ("unknown_device_online", "blocked_query_burst", "dns_volume_increase", "activity_outside_expected_hours", "new_domain_burst", "connection_flapping", "controller_security_event")
 
 

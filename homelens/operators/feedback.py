@@ -5,7 +5,7 @@ Mutable tables are append-only: a change is a new version of a row, and views ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import normalize_domain, registrable_suffix
@@ -40,8 +40,8 @@ def suppress(drafts: DataFrame, suppressions: DataFrame) -> DataFrame:
 
 def latest_version(rows: DataFrame, keys: list[str], version: str = "version", deleted: str | None = None) -> DataFrame:
     """The last version of each key; keys whose last version is deleted are gone."""
-    order = Window.partitionBy(*keys).orderBy(F.col(version).desc())
-    last = rows.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
     return last.filter(~F.col(deleted)) if deleted else last
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +14,16 @@ from homelens.plans import views as V
 NOW, START = V.NOW, V.START
 DAY = 86400
 QUERIES: dict = {}
-ORACLES: dict = {}
+SQL_OF: dict = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` continues the common table expressions of the views."""
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register a query; ``sql``, or what it returns, continues the common table expressions of the views."""
 
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = V.SQL + sql
+            SQL_OF[name] = sql
         return f
 
     return add
@@ -170,7 +172,7 @@ def _(s, d):
     return activity.metric_unpivot(_summary(s, d))
 
 
-@query("activity_join", "SELECT l.device_id, l.status, count(*) AS n FROM lookups l JOIN matches m ON m.id = l.id WHERE (SELECT count(DISTINCT x.device_id) FROM matches x WHERE x.id = l.id) = 1 GROUP BY 1, 2")
+@query("activity_join", lambda: f", {_ATTRIBUTED} SELECT l.device_id, l.status, count(*) AS n FROM lookups l JOIN attributed a ON a.id = l.id WHERE a.status = 'attributed' GROUP BY 1, 2")
 def _(s, d):
     rows = _attributed(s, d)
     q = V.lookups(s, d)
@@ -211,7 +213,7 @@ def _(s, d):
     return _by_address(s, d)
 
 
-@query("identifier_join", "SELECT l.id, f.device_id FROM lookups l JOIN (SELECT ip, device_id, min(queried_at) AS first_seen FROM lookups WHERE event_type = 'signup' GROUP BY 1, 2) f ON f.ip = l.ip AND f.first_seen <= l.queried_at WHERE l.event_type = 'error'")
+@query("identifier_join", "SELECT l.id, f.device_id FROM lookups l JOIN (SELECT ip, device_id, min(queried_at) AS first_seen FROM lookups WHERE event_type = 'signup' GROUP BY 1, 2) f ON f.ip = l.ip AND f.first_seen <= l.queried_at")
 def _(s, d):
     named = V.lookups(s, d).filter("event_type = 'signup'").groupBy(F.col("ip").alias("value"), "device_id").agg(F.min("queried_at").alias("first_seen")).withColumn("kind", F.lit("hostname"))
     return correlate.identifier_join(V.lookups(s, d).select("id", "queried_at", _client()), named).select("id", "device_id")
@@ -230,12 +232,32 @@ def _(s, d):
     return kinds.withColumn("score", correlate.confidence_score(F.col("ip"), F.col("client"), F.col("hostname")).cast("double"))
 
 
-_ATTRIBUTED = "attributed AS (SELECT l.id, CASE WHEN count(DISTINCT m.device_id) > 1 THEN 'ambiguous' WHEN count(DISTINCT m.device_id) = 1 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN count(DISTINCT m.device_id) = 1 THEN min(m.device_id) END AS device_id, CASE WHEN count(DISTINCT m.device_id) = 1 THEN 0.8::DOUBLE ELSE 0::DOUBLE END AS confidence FROM lookups l LEFT JOIN matches m ON m.id = l.id WHERE l.event_type IN ('error', 'signup') GROUP BY 1)"
+_ATTRIBUTED = """sightings AS (
+    SELECT id, 'dns_client' AS kind, ip, device_id, queried_at FROM lookups WHERE event_type = 'signup' UNION ALL SELECT id, 'hostname', ip, device_id, queried_at FROM lookups
+), names AS (
+    SELECT s.kind, s.ip, s.device_id, min(s.queried_at) AS first_seen FROM sightings s JOIN (SELECT kind, ip, arg_min(device_id, id) AS owner FROM sightings GROUP BY 1, 2) o ON o.kind = s.kind AND o.ip = s.ip AND o.owner = s.device_id GROUP BY 1, 2, 3
+), evidence AS (
+    SELECT id, 'ip' AS kind, device_id FROM matches UNION SELECT l.id, n.kind, n.device_id FROM lookups l JOIN names n ON n.ip = l.ip AND n.first_seen <= l.queried_at
+), moved AS (
+    SELECT ip FROM assignments WHERE observed_from <= (SELECT max(queried_at) FROM lookups) AND (observed_to IS NULL OR observed_to > (SELECT min(queried_at) FROM lookups)) GROUP BY 1 HAVING count(DISTINCT device_id) > 1
+), summed AS (
+    SELECT id, count(DISTINCT device_id) AS devices, min(device_id) AS lone, bool_or(kind = 'ip') AS i, bool_or(kind = 'dns_client') AS c, bool_or(kind = 'hostname') AS h, string_agg(kind || ':' || device_id, ',' ORDER BY kind, device_id) AS evidence FROM evidence GROUP BY 1
+), scored AS (
+    SELECT l.id, coalesce(s.evidence, '') AS evidence, m.ip IS NOT NULL AS moved, coalesce(devices > 1, false) AS several, lone,
+        CASE WHEN i AND c THEN 0.95 WHEN i AND h THEN 0.9 WHEN i THEN 0.8 WHEN c THEN 0.6 WHEN h THEN 0.55 ELSE 0 END::DOUBLE AS score
+    FROM lookups l LEFT JOIN summed s ON s.id = l.id LEFT JOIN moved m ON m.ip = l.ip
+), attributed AS (
+    SELECT id, CASE WHEN moved OR several THEN 'ambiguous' WHEN lone IS NOT NULL AND score >= 0.7 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN NOT moved AND NOT several AND score >= 0.7 THEN lone END AS device_id,
+        CASE WHEN moved OR several THEN 0::DOUBLE ELSE score END AS confidence, evidence, CASE WHEN moved AND several THEN 'ip_reassigned_in_window,multiple_candidate_devices' WHEN moved THEN 'ip_reassigned_in_window' WHEN several THEN 'multiple_candidate_devices' ELSE '' END AS conflicts
+    FROM scored
+)"""
 
 
 @query("attribution", f", {_ATTRIBUTED} SELECT * FROM attributed")
 def _(s, d):
-    return _attributed(s, d).select("id", "status", "device_id", F.col("confidence").cast("double").alias("confidence"))
+    kinds = F.array_join(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit(":"), e["device_id"])), ",")
+    reasons = F.array_join(F.transform("conflicts", lambda c: c["reason"]), ",")
+    return _attributed(s, d).select("id", "status", "device_id", F.col("confidence").cast("double").alias("confidence"), kinds.alias("evidence"), reasons.alias("conflicts"))
 
 
 @query("review_queue", f", {_ATTRIBUTED} SELECT id, status FROM attributed WHERE status <> 'attributed'")
@@ -248,7 +270,7 @@ def _(s, d):
     return correlate.review_queue(_attributed(s, d)).agg(F.count("*").alias("n"))
 
 
-@query("review_candidates", f", {_ATTRIBUTED} SELECT DISTINCT a.id, m.device_id, d.display_name FROM attributed a JOIN matches m ON m.id = a.id JOIN devices d ON d.device_id = m.device_id WHERE a.status <> 'attributed'")
+@query("review_candidates", f", {_ATTRIBUTED} SELECT DISTINCT a.id, e.device_id, d.display_name FROM attributed a JOIN evidence e ON e.id = a.id LEFT JOIN devices d ON d.device_id = e.device_id WHERE a.status <> 'attributed'")
 def _(s, d):
     return correlate.review_candidates(correlate.review_queue(_attributed(s, d)), V.devices(s, d))
 
@@ -258,7 +280,20 @@ def _(s, d):
     return baseline.window_samples(V.lookups(s, d), NOW).drop("hours").withColumn("idx", F.col("idx").cast("long"))
 
 
-QUERIES["baseline_windows"], ORACLES["baseline_windows"] = QUERIES["window_samples"], ORACLES["window_samples"]
+_EIGHT = f"traffic AS (SELECT device_id, idx, upload_bytes, download_bytes, connection_duration_seconds FROM snapshots JOIN (SELECT unnest(range(0, 14)) AS idx) g ON observed_at BETWEEN TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER) AND TIMESTAMP '{NOW}' - to_days(idx::INTEGER) QUALIFY row_number() OVER (PARTITION BY device_id, idx ORDER BY observed_at DESC, id DESC) = 1), eight AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(s.idx, t.idx) AS idx, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(blocked_query_pct, 0) AS blocked_query_pct, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, coalesce(active_hour_count, 0) AS active_hour_count, upload_bytes, download_bytes, connection_duration_seconds FROM samples s FULL JOIN traffic t ON t.device_id = s.device_id AND t.idx = s.idx)"
+
+
+def _eight(s: SparkSession, d: str) -> DataFrame:
+    """All eight metrics of every window that has lookups or traffic."""
+    dns = baseline.window_samples(V.lookups(s, d), NOW).drop("hours")
+    both = dns.join(baseline.traffic_samples(V.snapshots(s, d), NOW), ["device_id", "idx"], "full")
+    zero = dict.fromkeys(("dns_query_volume", "blocked_query_pct", "unique_domain_count", "new_domain_count", "active_hour_count"), 0)
+    return baseline.non_empty(both.fillna(zero)).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query("baseline_windows", f", {_EIGHT} SELECT * FROM eight")
+def _(s, d):
+    return _eight(s, d)
 
 
 @query("metric_baseline", "SELECT * FROM volume_baseline")
@@ -266,13 +301,12 @@ def _(s, d):
     return _volume_baseline(s, d)
 
 
-_LONG = "long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE]) AS value FROM samples)"
+_LONG = f"{_EIGHT}, long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count', 'upload_bytes', 'download_bytes', 'connection_duration_seconds']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE, upload_bytes::DOUBLE, download_bytes::DOUBLE, connection_duration_seconds::DOUBLE]) AS value FROM eight)"
 
 
-@query("baseline_full", f", {_LONG} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold FROM long GROUP BY 1, 2")
+@query("baseline_full", f", {_LONG} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold FROM long WHERE value IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
-    samples = baseline.window_samples(V.lookups(s, d), NOW).drop("hours", "idx")
-    return baseline.metric_baseline(activity.metric_unpivot(samples), ["device_id", "metric"])
+    return baseline.metric_baseline(activity.metric_unpivot(_eight(s, d).drop("idx")), ["device_id", "metric"])
 
 
 @query("typical_hours", "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n")
@@ -280,7 +314,7 @@ def _(s, d):
     return baseline.typical_hours(baseline.window_samples(V.lookups(s, d), NOW)).withColumn("hour", F.col("hour").cast("long"))
 
 
-@query("dow_pattern", f"SELECT a.device_id, a.weekday, coalesce(round(avg(dns_query_volume), 6), 0) AS mean_volume FROM (SELECT * FROM (SELECT DISTINCT device_id FROM samples), (SELECT unnest(range(0, 7)) AS weekday)) a LEFT JOIN (SELECT *, isodow(TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER)) - 1 AS weekday FROM samples) s ON s.device_id = a.device_id AND s.weekday = a.weekday GROUP BY 1, 2")
+@query("dow_pattern", f"SELECT a.device_id, a.weekday, count(dns_query_volume) AS sample_count, round(avg(dns_query_volume), 6) AS mean_volume FROM (SELECT * FROM (SELECT DISTINCT device_id FROM samples), (SELECT unnest(range(0, 7)) AS weekday)) a LEFT JOIN (SELECT *, isodow(TIMESTAMP '{NOW}' - to_days(idx::INTEGER)) - 1 AS weekday FROM samples) s ON s.device_id = a.device_id AND s.weekday = a.weekday GROUP BY 1, 2")
 def _(s, d):
     return baseline.dow_pattern(baseline.window_samples(V.lookups(s, d), NOW), NOW).withColumn("weekday", F.col("weekday").cast("long"))
 
@@ -297,11 +331,11 @@ def _(s, d):
     return baseline.latest_baseline(samples, ["device_id"], "idx", "idx").select("device_id", "idx", "dns_query_volume")
 
 
-@query("deviations", "SELECT s.device_id, idx, dns_query_volume::DOUBLE AS value, CASE WHEN stddev > 0 AND round((dns_query_volume - mean) / stddev, 6) > 2 THEN 'z_score' WHEN stddev = 0 AND dns_query_volume > mean THEN 'above_constant_mean' ELSE 'percentile' END AS kind FROM samples s JOIN volume_baseline b ON b.device_id = s.device_id WHERE (stddev > 0 AND round((dns_query_volume - mean) / nullif(stddev, 0), 6) > 2) OR (stddev = 0 AND dns_query_volume > mean) OR dns_query_volume > p95")
+@query("deviations", "SELECT s.device_id, idx, dns_query_volume::DOUBLE AS value, round(dns_query_volume - mean, 6) AS delta, round((dns_query_volume - mean) / nullif(stddev, 0), 4) AS z_score, CASE WHEN stddev > 0 AND (dns_query_volume - mean) / stddev > 2 THEN 'z_score' WHEN stddev = 0 AND dns_query_volume > mean THEN 'above_constant_mean' ELSE 'percentile' END AS kind FROM samples s JOIN volume_baseline b ON b.device_id = s.device_id WHERE (stddev > 0 AND (dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND dns_query_volume > mean) OR dns_query_volume > p95")
 def _(s, d):
     samples = baseline.window_samples(V.lookups(s, d), NOW).select("device_id", F.col("idx").cast("long").alias("idx"), F.col("dns_query_volume").cast("double").alias("value"))
     found = baseline.deviations(samples, _volume_baseline(s, d), ["device_id"])
-    return found.join(samples, ["device_id", "value"]).select("device_id", "idx", "value", "kind").distinct()
+    return found.join(samples, ["device_id", "value"]).select("device_id", "idx", "value", "delta", "z_score", "kind").distinct()
 
 
 @query("identifier_claims", "SELECT ip AS value, device_id, min(queried_at) AS first_seen, max(queried_at) AS last_seen FROM (SELECT *, first_value(device_id) OVER (PARTITION BY ip ORDER BY id) AS owner FROM lookups) WHERE device_id = owner GROUP BY 1, 2")
@@ -404,7 +438,9 @@ def _(s, d):
     return findings.rule_flapping(V.transitions(s, d), 72 * 3600, 6).select("fingerprint", "device_id", "n")
 
 
-QUERIES["burst_flap"], ORACLES["burst_flap"] = QUERIES["rule_flapping"], ORACLES["rule_flapping"]
+@query("burst_flap", f", {_FLAP} SELECT device_id, n, first, last FROM spans WHERE n >= 6")
+def _(s, d):
+    return findings.burst_spans(V.transitions(s, d), "device_id", "seen_at", "id", 72 * 3600, 6)
 
 
 @query("rule_unknown_device", f"SELECT device_id, 'unknown_device_online|' || device_id || '|' || epoch(TIMESTAMP '{NOW}')::BIGINT AS fingerprint, last_seen AS occurred_at FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY")
@@ -412,9 +448,18 @@ def _(s, d):
     return findings.rule_unknown_device(V.devices(s, d), NOW, DAY).select("device_id", "fingerprint", "occurred_at")
 
 
-@query("rule_volume", "SELECT s.device_id, s.dns_query_volume AS n, CASE WHEN s.dns_query_volume / mean < 4 THEN 'low' ELSE 'medium' END AS severity, CASE WHEN sample_count >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM stats s JOIN volume_baseline b ON b.device_id = s.device_id WHERE s.dns_query_volume >= 10 AND s.dns_query_volume >= 2 * mean")
+_VOLUME = "SELECT s.device_id, s.dns_query_volume AS n, CASE WHEN s.dns_query_volume / mean < 4 THEN 'low' ELSE 'medium' END AS severity, CASE WHEN sample_count >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM stats s JOIN volume_baseline b ON b.device_id = s.device_id WHERE s.dns_query_volume >= 10 AND (s.dns_query_volume >= 2 * mean OR (stddev > 0 AND (s.dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND s.dns_query_volume > mean) OR s.dns_query_volume > p95)"
+
+
+def _volume_drafts(s: SparkSession, d: str) -> DataFrame:
+    stats, usual = _stats(s, d), _volume_baseline(s, d)
+    high = baseline.deviations(stats.select("device_id", F.col("dns_query_volume").cast("double").alias("value")), usual, ["device_id"])
+    return findings.rule_volume(stats, usual, START, NOW, least=10, deviating=high)
+
+
+@query("rule_volume", _VOLUME)
 def _(s, d):
-    return findings.rule_volume(_stats(s, d), _volume_baseline(s, d), START, NOW, least=10).select("device_id", "n", "severity", "confidence")
+    return _volume_drafts(s, d).select("device_id", "n", "severity", "confidence")
 
 
 def _outside_hours(s: SparkSession, d: str) -> DataFrame:
@@ -445,7 +490,9 @@ def _(s, d):
     return findings.rule_security(_security_lines(s, d)).select(F.split("fingerprint", r"\|")[1].cast("long").alias("id"))
 
 
-QUERIES["security_events"], ORACLES["security_events"] = QUERIES["rule_security"], ORACLES["rule_security"]
+@query("security_events", "SELECT id, device_id, occurred_at AS seen_at FROM findings WHERE severity = 'high'")
+def _(s, d):
+    return _security_lines(s, d).filter(F.lower("category") == "security").select("id", "device_id", "seen_at")
 
 
 def _drafts(s: SparkSession, d: str) -> DataFrame:
@@ -455,18 +502,27 @@ def _drafts(s: SparkSession, d: str) -> DataFrame:
         findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW),
         findings.rule_unknown_device(V.devices(s, d), NOW, DAY),
         findings.rule_flapping(V.transitions(s, d), 72 * 3600, 6),
-        findings.rule_volume(_stats(s, d), _volume_baseline(s, d), START, NOW, least=10),
+        _volume_drafts(s, d),
         _outside_hours(s, d),
         findings.rule_security(_security_lines(s, d)),
     )
 
 
-_DRAFTS = f"{_BURST}, drafts AS (SELECT 'blocked_query_burst' AS rule_id, device_id FROM spans WHERE n >= 5 UNION ALL SELECT 'new_domain_burst', device_id FROM ({_NEW}) UNION ALL SELECT 'unknown_device_online', device_id FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)"
+_FLAPS = _FLAP.replace("burst AS", "flap AS").replace("FROM burst", "FROM flap").replace("spans AS", "flaps AS")
+_DRAFTS = f"""{_BURST}, {_FLAPS}, drafts AS (
+    SELECT 'blocked_query_burst' AS rule_id, 'medium' AS severity, device_id, n FROM spans WHERE n >= 5
+    UNION ALL SELECT 'new_domain_burst', 'low', device_id, n FROM ({_NEW})
+    UNION ALL SELECT 'unknown_device_online', 'medium', device_id, 1 FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY
+    UNION ALL SELECT 'connection_flapping', 'low', f.device_id, any_value(n) FROM flaps f JOIN transitions t ON t.device_id = f.device_id AND t.seen_at BETWEEN first AND last WHERE n >= 6 GROUP BY f.device_id HAVING count(DISTINCT kind) = 2
+    UNION ALL SELECT 'dns_volume_increase', severity, device_id, n FROM ({_VOLUME})
+    UNION ALL SELECT 'activity_outside_expected_hours', 'low', device_id, count(*) FROM win WHERE hour(queried_at) NOT BETWEEN 8 AND 20 GROUP BY device_id HAVING count(*) >= 3
+    UNION ALL SELECT 'controller_security_event', 'high', device_id, 1 FROM findings WHERE severity = 'high'
+)"""
 
 
-@query("evaluate_rules", f", {_DRAFTS} SELECT rule_id, device_id FROM drafts")
+@query("evaluate_rules", f", {_DRAFTS} SELECT rule_id, severity, device_id, n::BIGINT AS n FROM drafts")
 def _(s, d):
-    return _drafts(s, d).select("rule_id", "device_id")
+    return _drafts(s, d).select("rule_id", "severity", "device_id", "n")
 
 
 @query("suppress_anti", f", {_DRAFTS} SELECT rule_id, device_id FROM drafts WHERE NOT (rule_id = 'new_domain_burst' AND device_id % 2 = 0)")
@@ -495,16 +551,37 @@ def _(s, d):
     return _stats(s, d).select("device_id", "dns_query_volume", "new_domain_count")
 
 
-@query("schedule_active", "SELECT c_custkey AS device_id, unnest(range(8, 12)) AS hour, 'schedule' AS source FROM customer WHERE c_custkey % 4 = 0")
+def _schedules(s: SparkSession, d: str) -> DataFrame:
+    """Schedules of every fourth device and of people with number 5 and 6, with hours that are none and days that are not today."""
+    c, p = V.table(s, d, "customer"), V.people(s, d)
+    hours = lambda *h: F.array(*map(F.lit, h)).alias("expected_hours_utc")
+    none = F.lit(None).cast("long")
+    days = F.when(F.col("c_custkey") % 4 == 1, F.array(F.lit(5))).when(F.col("c_custkey") % 8 == 0, F.array(F.lit(2)))
+    of_devices = c.filter("c_custkey % 4 < 2").select(F.col("c_custkey").alias("device_id"), none.alias("person_id"), hours(8, 9, 10, 11, 99), days.alias("days_of_week"), F.lit(True).alias("active"), F.col("c_custkey").alias("updated_at"))
+    people = p.filter("person_id IN (5, 6)").withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    of_people = people.select(none.alias("device_id"), F.col("person_id").cast("long").alias("person_id"), F.when(F.col("turn") == 1, hours(17, 18)).otherwise(hours(3)).alias("expected_hours_utc"), F.lit(None).cast("array<int>").alias("days_of_week"), (F.col("person_id") == 5).alias("active"), F.col("turn").cast("long").alias("updated_at"))
+    return of_devices.unionByName(of_people)
+
+
+def _expected(s: SparkSession, d: str, weekday: int) -> DataFrame:
+    typical = baseline.typical_hours(baseline.window_samples(V.lookups(s, d), NOW))
+    links = V.links(s, d).select("device_id", F.col("person_id").cast("long").alias("person_id"))
+    return findings.expected_hours(_schedules(s, d), typical, links, weekday).withColumn("hour", F.col("hour").cast("long"))
+
+
+_TYPICAL = "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n"
+_EXPECTED = "{person} UNION ALL SELECT c_custkey, unnest(range(8, 12)), 'schedule' FROM customer WHERE {device} AND c_custkey NOT IN (SELECT device_id FROM links WHERE person_id = 5) UNION ALL SELECT device_id, hour, 'baseline' FROM ({typical}) WHERE NOT {device_id} AND device_id NOT IN (SELECT device_id FROM links WHERE person_id = 5)"
+_OF_PERSON = "SELECT device_id, unnest([17, 18])::BIGINT AS hour, 'schedule' AS source FROM links WHERE person_id = 5"
+
+
+@query("schedule_active", _EXPECTED.format(person=_OF_PERSON, device="c_custkey % 4 = 0", typical=_TYPICAL, device_id="device_id % 4 = 0"))
 def _(s, d):
-    c = V.table(s, d, "customer")
-    days = F.when(F.col("c_custkey") % 8 == 0, F.array(F.lit(2))).otherwise(F.lit(None))
-    plans = c.filter("c_custkey % 4 < 2").select(F.col("c_custkey").alias("device_id"), F.lit(None).cast("long").alias("person_id"), F.array(*map(F.lit, (8, 9, 10, 11, 99))).alias("expected_hours_utc"), F.when(F.col("c_custkey") % 4 == 1, F.array(F.lit(5))).otherwise(days).alias("days_of_week"), F.lit(True).alias("active"), F.col("c_custkey").alias("updated_at"))
-    none = c.filter("false").select(F.col("c_custkey").alias("device_id"), F.lit(0).alias("hour"))
-    return findings.expected_hours(plans, none, V.links(s, d).select("device_id", F.col("person_id").cast("long").alias("person_id")), 2).withColumn("hour", F.col("hour").cast("long"))
+    return _expected(s, d, 2)
 
 
-QUERIES["expected_hours"], ORACLES["expected_hours"] = QUERIES["schedule_active"], ORACLES["schedule_active"]
+@query("expected_hours", _EXPECTED.format(person=_OF_PERSON, device="(c_custkey % 8 = 4 OR c_custkey % 4 = 1)", typical=_TYPICAL, device_id="(device_id % 8 = 4 OR device_id % 4 = 1)"))
+def _(s, d):
+    return _expected(s, d, 5)
 
 
 @query("findings_by_severity", "SELECT severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity) LEFT JOIN (SELECT * FROM findings WHERE status = 'open') f USING (severity) GROUP BY 1")
@@ -517,15 +594,17 @@ def _(s, d):
     return V.lookups(s, d).groupBy("device_id").agg(F.max("queried_at").alias("last_activity"))
 
 
-@query("household_today", f"SELECT count(*) AS dns_query_volume, count(DISTINCT domain) AS unique_domain_count, count(*) FILTER (status = 'blocked') AS blocked_query_count FROM win")
+@query("household_today", f"SELECT count(*) AS dns_query_volume, count(DISTINCT domain) AS unique_domain_count, count(*) FILTER (status = 'blocked') AS blocked_query_count, round(100.0::DOUBLE * count(*) FILTER (status = 'blocked') / count(*), 4) AS blocked_query_pct, count(DISTINCT domain) FILTER (domain NOT IN (SELECT domain FROM lookups WHERE queried_at < TIMESTAMP '{START}')) AS new_domain_count, count(DISTINCT date_trunc('hour', queried_at)) AS active_hour_count, (SELECT sum(upload_bytes)::BIGINT FROM (SELECT upload_bytes FROM snapshots WHERE observed_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{NOW}' QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1)) AS upload_bytes FROM win")
 def _(s, d):
-    whole = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW)).withColumn("household", F.lit(0))
-    return activity.dns_window_summary(whole, START, NOW, "household").select("dns_query_volume", "unique_domain_count", "blocked_query_count")
+    dns = activity.dns_window_summary(V.lookups(s, d).withColumn("household", F.lit(0)), START, NOW, "household")
+    traffic = activity.traffic_latest_sum(V.snapshots(s, d).filter(activity.in_window(F.col("observed_at"), START, NOW))).withColumn("household", F.lit(0))
+    whole = activity.activity_summary(dns, traffic, "household")
+    return whole.select("dns_query_volume", "unique_domain_count", "blocked_query_count", "blocked_query_pct", "new_domain_count", "active_hour_count", "upload_bytes")
 
 
-@query("trend_delta", f", {_LONG}, today AS (SELECT metric, avg(value) AS value FROM long WHERE idx < 1 GROUP BY 1), means AS (SELECT metric, avg(value) AS mean FROM long GROUP BY 1) SELECT metric, round(value - mean, 6) AS delta FROM today JOIN means USING (metric)")
+@query("trend_delta", f", {_LONG}, today AS (SELECT metric, avg(value) AS value FROM long WHERE idx < 1 AND value IS NOT NULL GROUP BY 1), means AS (SELECT metric, avg(value) AS mean FROM long WHERE value IS NOT NULL GROUP BY 1) SELECT metric, round(value - mean, 6) AS delta FROM today JOIN means USING (metric)")
 def _(s, d):
-    rows = activity.metric_unpivot(baseline.window_samples(V.lookups(s, d), NOW).drop("hours").withColumn("device_id", F.struct("device_id", "idx")))
+    rows = activity.metric_unpivot(_eight(s, d).withColumn("device_id", F.struct("device_id", "idx")))
     today = rows.filter("device_id.idx < 1").groupBy("metric").agg(F.avg("value").alias("value"))
     return dashboard.trend_delta(today, rows.groupBy("metric").agg(F.avg("value").alias("mean"))).select("metric", "delta")
 
@@ -547,7 +626,7 @@ def _attempts(s: SparkSession, d: str) -> DataFrame:
     return V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("tried_at"), (F.col("status") != "blocked").alias("ok"))
 
 
-_HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups WHERE device_id <= 6), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"
+_HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"
 
 
 @query("source_health_status", f", {_HEALTH} SELECT * FROM judged")
@@ -584,7 +663,7 @@ def _(s, d):
     return health.system_status(health.source_health(_attempts(s, d), NOW, stale=90000), health.failed_batches(_batches(s, d), "2000-01-01 00:00:00"))
 
 
-@query("attention_items", f", {_HEALTH} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
+@query("attention_items", f", {_HEALTH}, {_ATTRIBUTED} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 1::INTEGER, 'review' FROM attributed WHERE status <> 'attributed' HAVING count(*) > 0 UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
     return dashboard.attention_items(health.source_health(_attempts(s, d), NOW, stale=90000), correlate.review_queue(_attributed(s, d)), views).select("tier", "item")
@@ -626,13 +705,18 @@ def _(s, d):
     return out.select(F.col("source_id").cast("long").alias("id"), N.normalize_domain(F.col("domain")).alias("domain"), "status", "client_identifier")
 
 
-@query("normalize_client", "SELECT c_custkey AS device_id, c_name AS hostname, 'controller-' || c_custkey AS controller_id FROM customer")
+@query("normalize_client", f"SELECT c_custkey AS device_id, c_name AS hostname, 'controller-' || c_custkey AS controller_id, CASE WHEN c_custkey % 5 <> 0 THEN regexp_replace(lpad(lower(hex(c_custkey)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') END AS mac, CASE WHEN c_custkey % 3 <> 0 THEN 1700000000 + c_custkey ELSE epoch(TIMESTAMP '{NOW}')::BIGINT END AS first_seen, CASE WHEN c_custkey % 3 <> 0 THEN 1700000600 + c_custkey ELSE epoch(TIMESTAMP '{NOW}')::BIGINT END AS last_seen, c_custkey * 10 AS download_bytes, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 3 END AS upload_bytes, c_mktsegment AS ssid, c_custkey % 2 = 1 AS is_wired FROM customer")
 def _(s, d):
     from homelens.sources import controller
 
-    payload = F.to_json(F.struct(F.concat(F.lit("controller-"), F.col("c_custkey")).alias("user_id"), F.lpad(F.hex("c_custkey"), 12, "0").alias("mac"), F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("ip")))
+    key = F.col("c_custkey")
+    times = F.when(key % 3 != 0, (F.lit(1700000600) + key) * 1000)  # reversed and in milliseconds
+    mac = F.lpad(F.hex(key), F.when(key % 5 == 0, 11).otherwise(12), F.lit("0"))
+    name, wired = F.when(key % 7 == 0, F.lit("  ")).otherwise(F.col("c_name")), F.when(key % 2 == 1, F.lit(True))
+    payload = F.to_json(F.struct(F.concat(F.lit("controller-"), key).alias("user_id"), mac.alias("mac"), name.alias("hostname"), F.col("c_name").alias("name"), key.cast("string").alias("last_ip"), times.alias("first_seen"), F.when(key % 3 != 0, F.lit(1700000000) + key).alias("last_seen"), (key * 10).alias("tx_bytes"), F.when(key % 2 == 0, (key * 3).cast("string")).alias("rx_bytes"), F.col("c_mktsegment").alias("essid"), wired.alias("is_wired")))
     out = controller.normalize_clients(V.table(s, d, "customer").select(payload.alias("payload")), NOW)
-    return out.select(F.col("ip").cast("long").alias("device_id"), "hostname", "controller_id")
+    stamp = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).alias(c)
+    return out.select(F.col("ip").cast("long").alias("device_id"), "hostname", "controller_id", "mac", stamp("first_seen"), stamp("last_seen"), "download_bytes", "upload_bytes", "ssid", "is_wired")
 
 
 @query("uplink_label", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ssid=' || c_mktsegment || ', ap=' || c_name ELSE 'wired' END AS uplink FROM customer")
@@ -642,14 +726,83 @@ def _(s, d):
     return V.table(s, d, "customer").select("c_custkey", N.uplink_label(F.when(even, F.col("c_mktsegment")), none, F.when(even, F.col("c_name")), F.lit(" "), F.lit(None), F.lit(True)).alias("uplink"))
 
 
-@query("parse_syslog", "SELECT l.device_id, count(*) AS lines, count(*) FILTER (l.event_type IN ('error', 'click')) AS parsed, count(*) FILTER (l.event_type = 'error') AS security FROM lookups l GROUP BY 1")
-def _(s, d):
+_MAC = "regexp_replace(lpad(lower(hex(device_id)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6')"
+_OF_TYPE = lambda error, click, purchase: f"CASE event_type WHEN 'error' THEN {error} WHEN 'click' THEN {click} WHEN 'purchase' THEN {purchase} END"
+
+
+def _syslog(s: SparkSession, d: str) -> DataFrame:
+    """A firewall, event or CEF line, or plain text, for each lookup."""
     from homelens.sources import syslog
 
     mac = N.normalize_mac(F.lpad(F.hex("device_id"), 12, "0"))
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit('<4>Jan  1 00:00:00 gw [WAN_IN-D] DESCR="deny" SRC='), "ip", F.lit(" DST=1.1.1.1 PROTO=TCP"))).when(F.col("event_type") == "click", F.concat(F.lit("EVT_WU_Connected: User["), mac, F.lit("] SSID[home]"))).otherwise("plain text")
-    parsed = syslog.parse_lines(V.lookups(s, d).select("device_id", line.alias("value")))
-    return parsed.groupBy("device_id").agg(F.count("*").alias("lines"), F.count("format").alias("parsed"), F.count_if(F.col("category") == "Security").alias("security"))
+    firewall = F.concat(F.lit('<4>Jan  1 00:00:00 gw [WAN_IN-D] DESCR="deny" SRC='), "ip", F.lit(" DST=1.1.1.1 PROTO=TCP"))
+    event = F.concat(F.lit("EVT_WU_Connected: User["), mac, F.lit("] SSID[home]"))
+    cef = F.concat(F.lit("<30>Jan  1 00:00:00 gw CEF:0|Maker|Gateway|9.1|400|Client Joined|2|cat=x UNIFIcategory=Monitoring UNIFIclientMac="), mac, F.lit(" src="), "ip", F.lit(r" UNIFIwifiName=guest net msg=a\=b\\c\nd"))
+    line = F.when(F.col("event_type") == "error", firewall).when(F.col("event_type") == "click", event).when(F.col("event_type") == "purchase", cef).otherwise("plain text")
+    return syslog.parse_lines(V.lookups(s, d).select("id", line.alias("value")))
+
+
+@query("parse_syslog", f"SELECT id, {_OF_TYPE("'firewall'", "'event'", "'cef'")} AS format, {_OF_TYPE("'WAN_IN-D'", "'EVT_WU_Connected'", "'Client Joined'")} AS event_name, {_OF_TYPE("'Security'", "'Monitoring'", "'Monitoring'")} AS category, {_OF_TYPE('NULL', _MAC, _MAC)} AS mac, {_OF_TYPE('ip', 'NULL', 'ip')} AS client_ip, {_OF_TYPE("'1.1.1.1'", 'NULL', 'NULL')} AS dst_ip, {_OF_TYPE('NULL', "'home'", "'guest net'")} AS ssid, {_OF_TYPE("'deny'", f"'EVT_WU_Connected: User[' || {_MAC} || '] SSID[home]'", "'a=b' || chr(92) || 'c' || chr(10) || 'd'")} AS msg, {_OF_TYPE('4', 'NULL', '30')}::INTEGER AS pri, {_OF_TYPE('NULL', 'NULL', "'2'")} AS severity FROM lookups")
+def _(s, d):
+    return _syslog(s, d).select("id", "format", "event_name", "category", "mac", "client_ip", "dst_ip", "ssid", "msg", "pri", "severity")
+
+
+@query("parse_counts", "SELECT count(*) AS lines, count(*) FILTER (event_type IN ('error', 'click', 'purchase')) AS parsed, count(*) FILTER (event_type NOT IN ('error', 'click', 'purchase')) AS unparsed FROM lookups")
+def _(s, d):
+    from homelens.sources import syslog
+
+    return syslog.parse_counts(_syslog(s, d))
+
+
+@query("confirm_identifiers", "SELECT ip AS value, coalesce(CASE WHEN ip::INTEGER % 2 = 0 THEN 900 + ip::INTEGER END, device_id)::BIGINT AS device_id, CASE WHEN ip::INTEGER % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT ip, arg_min(device_id, id) AS device_id FROM lookups GROUP BY 1)")
+def _(s, d):
+    seen = V.lookups(s, d).select(F.col("id").alias("seq"), F.lit("hostname").alias("kind"), F.col("ip").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
+    said = V.lookups(s, d).filter("CAST(ip AS INT) % 2 = 0").select(F.lit("hostname").alias("kind"), F.col("ip").alias("value"), (F.lit(900) + F.col("ip").cast("long")).alias("device_id"), F.col("id").alias("seq"))
+    found = identity.confirm_identifiers(identity.identifier_claims(seen), said)
+    return found.select("value", "device_id", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("status_changes", "SELECT device_id::VARCHAR AS source, queried_at AS checked_at FROM (SELECT *, lag(status) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS before FROM lookups) WHERE status = 'blocked' AND before <> 'blocked'")
+def _(s, d):
+    state = F.when(F.col("status") == "blocked", "down").when(F.col("status") == "cached", "degraded").otherwise("ok")
+    history = V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.struct("queried_at", "id").alias("checked_at"), state.alias("status"))
+    return health.status_changes(history).select("source", "checked_at.queried_at").withColumnRenamed("queried_at", "checked_at")
+
+
+@query("first_person_devices", "SELECT user_id AS device_id, min(event_id) AS id FROM events WHERE event_type <> 'error' GROUP BY 1")
+def _(s, d):
+    rows = V.lookups(s, d).select("id", "device_id", (F.col("event_type") != "error").alias("active"), F.col("id").alias("assigned_at"))
+    return dashboard.first_person_devices(rows).select("device_id", "id")
+
+
+@query("finding_events", f", {_DRAFTS} SELECT rule_id AS kind, severity, device_id FROM drafts WHERE device_id % 3 = 0")
+def _(s, d):
+    made = _drafts(s, d).withColumn("created", F.col("device_id") % 3 == 0)
+    return events.finding_events(made).select("kind", "severity", "device_id")
+
+
+@query("sse_frames", "SELECT 'id: ' || id || chr(10) || 'event: ' || status || chr(10) || 'data: {\"device\":' || device_id || '}' || chr(10) || chr(10) AS frame FROM lookups")
+def _(s, d):
+    return V.lookups(s, d).select(events.sse_frame(F.col("id"), F.col("status"), F.struct(F.col("device_id").alias("device"))).alias("frame"))
+
+
+@query("activity_upsert", f", {_ATTRIBUTED} SELECT id, status FROM attributed WHERE id % 10 <> 0")
+def _(s, d):
+    kept = V.lookups(s, d).select("id", (F.col("id") % 10 == 0).alias("manual"))
+    return feedback.activity_upsert(_attributed(s, d), kept).select("id", "status")
+
+
+@query("audit_rows", "SELECT id::VARCHAR AS entity_id, '{\"status\":\"open\"}' AS before, '{\"status\":\"resolved\"}' AS after FROM findings WHERE status = 'open'")
+def _(s, d):
+    changes = V.findings(s, d).filter("status = 'open'").select("id", "status", F.lit("resolved").alias("new"))
+    rows = feedback.with_audit(changes, ["status"], [F.col("new").alias("status")], "admin", "finding.status", "finding", "id", NOW)
+    return rows.select("entity_id", "before", "after")
+
+
+@query("latest_version", "SELECT device_id, max(id) AS version FROM lookups GROUP BY 1 HAVING arg_max(status, id) <> 'blocked'")
+def _(s, d):
+    rows = V.lookups(s, d).select("device_id", F.col("id").alias("version"), (F.col("status") == "blocked").alias("deleted"))
+    return feedback.latest_version(rows, ["device_id"], deleted="deleted").select("device_id", "version")
 
 
-QUERIES["parse_counts"], ORACLES["parse_counts"] = QUERIES["parse_syslog"], ORACLES["parse_syslog"]
+ORACLES = {name: V.SQL + (sql() if callable(sql) else sql) for name, sql in SQL_OF.items()}

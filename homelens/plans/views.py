@@ -100,6 +100,6 @@ WITH lookups AS (
         count(DISTINCT CASE WHEN first_seen >= TIMESTAMP '{START}' THEN w.domain END) AS new_domain_count, count(DISTINCT date_trunc('hour', queried_at)) AS active_hour_count
     FROM win w JOIN first_seen f ON f.device_id = w.device_id AND f.domain = w.domain GROUP BY 1
 ), matches AS (
-    SELECT l.id, l.ip, a.device_id FROM lookups l JOIN assignments a ON a.ip = l.ip AND a.observed_from <= l.queried_at AND (a.observed_to IS NULL OR a.observed_to > l.queried_at) WHERE l.event_type IN ('error', 'signup')
+    SELECT l.id, l.ip, a.device_id FROM lookups l JOIN assignments a ON a.ip = l.ip AND a.observed_from <= l.queried_at AND (a.observed_to IS NULL OR a.observed_to > l.queried_at)
 )
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import client_fields, parse_time, status_bucket, text_or_null
@@ -44,13 +44,15 @@ def append_batch(rows: DataFrame, path: str, on_error: str = "fail", once: bool
 
     With ``once``, rows that repeat a source id within the batch are written once. Returns the rows written.
     """
-    bad = rows.filter("error IS NOT NULL")
-    if on_error == "fail" and not bad.isEmpty():
-        raise ValueError(f"batch rejected: {bad.first()['error']}")
-    if on_error == "quarantine":
-        bad.write.mode("append").parquet(f"{path}_rejected")
+    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+    counts = rows.agg(F.count("error").alias("bad"), F.min("error").alias("why")).first()
+    if on_error == "fail" and counts["bad"]:
+        raise ValueError(f"batch rejected: {counts['why']}")
+    if on_error == "quarantine" and counts["bad"]:
+        rows.filter("error IS NOT NULL").write.mode("append").parquet(f"{path}_rejected")
     good = rows.filter("error IS NULL").drop("error")
     if once:
         good = good.filter("source_id IS NULL").unionByName(good.filter("source_id IS NOT NULL").dropDuplicates(["source_id"]))
-    good.withColumn("day", F.to_date("queried_at")).write.mode("append").partitionBy("day").parquet(path)
-    return good.count()
+    seen = Observation("appended")
+    good.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("day", F.to_date("queried_at")).write.mode("append").partitionBy("day").parquet(path)
+    return seen.get["n"]
