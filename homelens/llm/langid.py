@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homelens.llm import bytesets
+from homelens.llm import bytesets, columns
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 SURE = 0.6
+STEP = 1 << 16
 #: lower-case letters and bytes of longer characters stay; all else is a space
 _CLASS = np.where(np.arange(256) >= 128, np.arange(256), np.where(np.isin(bytesets.LOWER, np.arange(97, 123)), bytesets.LOWER, 32)).astype(np.uint32)
 
@@ -116,30 +117,30 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_
     Columns of ``docs`` with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in (*names, "_lettered")]
-    kept = [f.name for f in fields]
+    fields = [f for f in docs.schema.fields if f.name not in names]
+    kept, lettered_name = [f.name for f in fields], columns.free_name(docs, "_lettered")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for rows, data, offsets in bytesets.pieces(batch, "text", 1 << 20):
                 n = np.maximum(np.diff(offsets) - 2, 0)
-                sums = np.zeros((len(n) + 1, known.weights.shape[1]))
-                if len(data) >= 3 and known.weights.shape[1]:
-                    grams = _trigrams(data)
-                    totals = np.zeros((len(grams) + 1, known.weights.shape[1]))
-                    np.cumsum(known.weights[grams], axis=0, dtype=np.float64, out=totals[1:])
-                    first = np.minimum(offsets[:-1], len(grams))
-                    sums = totals[np.minimum(first + n, len(grams))] - totals[first]
-                else:
-                    sums = sums[:-1]
+                sums = np.zeros((len(n), known.weights.shape[1]))
+                grams = _trigrams(data) if len(data) >= 3 and known.weights.shape[1] else np.empty(0, np.uint32)
+                first = np.minimum(offsets[:-1], len(grams))
+                last = np.minimum(first + n, len(grams))
+                for k in range(0, len(grams), STEP):
+                    totals = np.zeros((min(STEP, len(grams) - k) + 1, known.weights.shape[1]))
+                    np.cumsum(known.weights[grams[k : k + STEP]], axis=0, dtype=np.float64, out=totals[1:])
+                    i, j = np.searchsorted(last, k, "right"), np.searchsorted(first, k + STEP)
+                    sums[i:j] += totals[np.clip(last[i:j] - k, 0, len(totals) - 1)] - totals[np.clip(first[i:j] - k, 0, len(totals) - 1)]
                 best, score, close = known.decode(sums, n) if known.languages else (np.zeros(len(n), int), np.zeros(len(n)), np.ones(len(n), bool))
-                plain = ~rows.column("_lettered").to_numpy(zero_copy_only=False).astype(bool) | (not known.languages)
+                plain = ~rows.column(lettered_name).to_numpy(zero_copy_only=False).astype(bool) | (not known.languages)
                 labels = [UNKNOWN if p else known.languages[b] for p, b in zip(plain, best, strict=True)]
                 extra = [pa.array(labels, pa.string()), pa.array(np.where(plain, 0.0, score)), pa.array(close | plain)]
                 yield pa.RecordBatch.from_arrays([rows.column(k) for k in kept] + extra, names=[*kept, *names])
 
-    lettered = docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
+    lettered = docs.select(*[F.col(f"`{k}`") for k in kept], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(lettered_name))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))])
     return lettered.mapInArrow(label, schema)
 

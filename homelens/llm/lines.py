@@ -1,8 +1,8 @@
 """Line dedup by deletion neighbourhoods, in DataFrame functions only.
 
 A line is its words (runs other than space, tab, line feed, vertical tab, form feed, carriage return). It
-goes if an earlier line, by doc_id and line number, has the same words, or, for lines of ``FUZZY`` words or
-more, differs by one word put in, left out or replaced. Lines are first reduced to distinct ones. Two
+goes if an earlier line, by doc_id and line number, is within its edit bound: no edit for lines under
+``FUZZY`` words, for others one word put in, left out or replaced. Lines are first reduced to distinct ones. Two
 lines one word apart agree on their first or their second half; only lines that share a half with another
 line emit their variants: the line without its i-th word, keyed by i for replacements and without i for
 words left out. Within a key the earliest line stands for all, so no key makes more rows than it has
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from homelens.llm import storage
+from homelens.llm import columns, storage
 
 FUZZY = 8
 _LAST = 2**63 - 1
@@ -55,6 +55,17 @@ def _classes(lines: DataFrame) -> DataFrame:
     return w.selectExpr("did", "tid", "no", "n", *names, f"IF(n > {FUZZY}, {left('n - 1')}, NULL) AS h3", f"IF(n > {FUZZY}, {right('n - 1')}, NULL) AS h4")
 
 
+def _running(array: str) -> Column:
+    """0 and the exclusive or of the first 1, 2 .. elements. Appending copies the array, so it is done within runs
+    of about the square root of the length, then over the runs' totals."""
+    append = "(s, x) -> concat(s, array(element_at(s, -1) ^ {}))"
+    runs = f"transform(sequence(0, (size(a) - 1) div k), c -> aggregate(slice(a, c * k + 1, k), array(0L), {append.format('x')}))"
+    totals = f"aggregate(r, array(0L), {append.format('element_at(x, -1)')})"
+    joined = "concat(flatten(transform(r, (w, c) -> transform(slice(w, 1, size(w) - 1), x -> x ^ t[c]))), array(element_at(t, -1)))"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return F.expr(let("a", array, let("k", "CAST(ceil(sqrt(size(a))) AS INT)", let("r", runs, let("t", totals, joined)))))
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """(key, rank, kind) of all variants: kind 0 without word i and keyed by i, 1 without word i, 2 the line itself.
 
@@ -62,8 +73,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     word i, ``high`` over those after it, one place lower.
     """
     placed = lines.select("rank", F.size("w").alias("n"), F.expr("transform(w, (x, i) -> xxhash64(x, i))").alias("h"), F.expr("transform(w, (x, i) -> xxhash64(x, i - 1))").alias("g"))
-    run = "aggregate({}, array(0L), (s, x) -> concat(s, array(element_at(s, -1) ^ x)))"
-    runs = placed.select("rank", "n", "h", F.expr(run.format("h")).alias("low"), F.expr(run.format("reverse(g)")).alias("high"))
+    runs = placed.select("rank", "n", "h", _running("h").alias("low"), _running("reverse(g)").alias("high"))
     whole = F.array(F.struct(F.expr("element_at(low, -1)").alias("key"), F.lit(2).alias("kind")))
     replaced = F.expr("transform(h, (x, i) -> named_struct('key', xxhash64(n, i, element_at(low, -1) ^ x), 'kind', 0))")
     left_out = F.expr(f"IF(n > {FUZZY}, transform(h, (x, i) -> named_struct('key', low[i] ^ high[n - 1 - i], 'kind', 1)), CAST(array() AS array<struct<key:bigint,kind:int>>))")
@@ -90,9 +100,12 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     pairs = storage.materialize(pairs, "line-pairs")
     a, b = lines.select("did", "tid", "no", "rank", F.col("w").alias("aw")), lines.select(F.col("rank").alias("hub"), F.col("w").alias("bw"))
     both = pairs.join(a.hint("merge"), "rank").join(b.hint("merge"), "hub")
-    apart = """CASE WHEN size(aw) = size(bw) THEN size(filter(zip_with(aw, bw, (x, y) -> x <> y), t -> t)) <= 1
-        ELSE exists(sequence(1, greatest(size(aw), size(bw))), i -> IF(size(aw) > size(bw), concat(slice(aw, 1, i - 1), slice(aw, i + 1, size(aw))) = bw, concat(slice(bw, 1, i - 1), slice(bw, i + 1, size(bw))) = aw)) END"""
-    return both.filter(F.expr(apart)).select("did", "tid", "no").distinct()
+    longer, shorter = "IF(size(aw) > size(bw), aw, bw)", "IF(size(aw) > size(bw), bw, aw)"
+    ordered = both.select("did", "tid", "no", F.expr(longer).alias("x"), F.expr(shorter).alias("y")).withColumn("unlike", F.expr("zip_with(slice(x, 1, size(y)), y, (p, q) -> p <> q)"))
+    place = ordered.withColumn("d", F.expr("CAST(array_position(unlike, true) AS INT)"))
+    apart = """IF(size(x) = size(y), d = 0 OR slice(x, d + 1, size(y)) = slice(y, d + 1, size(y)),
+        size(x) = size(y) + 1 AND (d = 0 OR slice(x, d + 1, size(y)) = slice(y, d, size(y))))"""
+    return place.filter(F.expr(apart)).select("did", "tid", "no").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -108,14 +121,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return storage.materialize(gone.groupBy("did", "tid").agg(F.array_sort(F.collect_set("no")).alias("gone")), "line-gone")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with _gone (numbers of the lines removed) and _kept (the text without them; null stays null)."""
+def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("_gone", "_kept")) -> DataFrame:
+    """``docs`` with the numbers of the lines removed and the text without them (null stays null) under ``names``;
+    columns of ``docs`` with these names are replaced, all others stay."""
     gone = removed_lines(docs)
     did, tid = _key()
-    named = gone.select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_did", did).withColumn("_tid", tid).join(named.hint("merge"), ["_did", "_tid"], "left").drop("_did", "_tid")
-    split = F.expr("IF(_gone IS NULL, text, array_join(transform(array(split(text, '\\n')), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _gone), i -> x[i]), '\\n')), ''))")
-    return joined.withColumn("_kept", split)
+    lost, left = names
+    named = gone.select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("gone").alias(lost))
+    joined = columns.packed(docs, "doc_id", "text").withColumn("_did", did).withColumn("_tid", tid).join(named.hint("merge"), ["_did", "_tid"], "left")
+    split = F.expr(f"IF(`{lost}` IS NULL, text, array_join(transform(array(split(text, '\\n')), x -> array_join(transform(array_except(sequence(0, size(x) - 1), `{lost}`), i -> x[i]), '\\n')), ''))")
+    return columns.unpacked(joined.withColumn(left, split), docs, "doc_id", "text", extra=names)
 
 
 def op8_deletion_neighbourhood(spark, sf_dir: str) -> DataFrame:

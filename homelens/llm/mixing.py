@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homelens.llm import storage
+from homelens.llm import columns, storage
 from homelens.llm.sizing import partitions_for
 
 CELLS = 1024
@@ -147,16 +147,16 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def mixed_documents(docs: DataFrame, size: int, shards: int = SHARDS) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, by shard, in hash order within each partition.
 
-    Rows are told apart by doc_id, without one by their text. A shard is spread over several partitions
+    Rows are told apart by doc_id and text. A shard is spread over several partitions
     once it is large.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")))
-    taken = mix(docs.withColumn("doc_id", key).select("doc_id", "source", "text"), shards)
+    key = F.struct(F.col("doc_id").isNull().alias("idless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tid"))
+    taken = mix(docs.select(key.alias("doc_id"), "source", "text"), shards)
     taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_key"), F.posexplode("homes").alias("_copy", "_shard")).dropDuplicates(["_key", "_copy"])
-    rows = docs.withColumn("_key", key).join(taken, "_key")
+    rows = columns.packed(docs, "doc_id", "text").withColumn("_key", key).join(taken, "_key")
     n = max(shards, partitions_for(size))
     spread = rows.repartition(n, "_shard", F.pmod(F.xxhash64("_key"), F.lit(max(1, n // shards))))
-    return spread.sortWithinPartitions("_shard", F.xxhash64("_key", "_copy", "_shard")).select(*docs.columns)
+    return columns.unpacked(spread.sortWithinPartitions("_shard", F.xxhash64("_key", "_copy", "_shard")), docs, "doc_id", "text")
 
 
 def op7_splitting_tree(spark, sf_dir: str) -> DataFrame:

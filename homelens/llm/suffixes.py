@@ -21,7 +21,7 @@ size of the corpus.
 
 Defined results: null text is empty, texts shorter than the window lose nothing, matches never cross
 documents; repeated rows lose all they share; an empty table gives no rows; other columns are ignored. A text
-of any length is worked on in pieces of ``PIECE`` bytes. The window must be longer than 64 bytes.
+of any length is worked on in pieces of ``piece`` bytes. The window must be longer than 64 bytes.
 """
 
 from __future__ import annotations
@@ -115,15 +115,15 @@ def _windows_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, at - back[0], at - back[1]
 
 
-def _cuts(offsets: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first byte, first starts, number of starts of each document) of pieces of about ``PIECE`` bytes; long documents are cut."""
+def _cuts(offsets: np.ndarray, window: int, piece: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, first starts, number of starts of each document) of pieces of about ``piece`` bytes; long documents are cut."""
     runs = []
     for a, n in zip(offsets[:-1].tolist(), (np.diff(offsets) - window + 1).tolist(), strict=True):
-        runs += [(a + k, min(PIECE, n - k)) for k in range(0, n, PIECE)] if n > 0 else []
+        runs += [(a + k, min(piece, n - k)) for k in range(0, n, piece)] if n > 0 else []
     i = 0
     while i < len(runs):
         j = i + 1
-        while j < len(runs) and runs[j][0] + runs[j][1] + window - 1 - runs[i][0] <= PIECE + window:
+        while j < len(runs) and runs[j][0] + runs[j][1] + window - 1 - runs[i][0] <= piece + window:
             j += 1
         first = runs[i][0]
         yield first, np.array([r[0] - first for r in runs[i:j]]), np.array([r[1] for r in runs[i:j]])
@@ -136,10 +136,10 @@ def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)
 
 
-def _places(data: np.ndarray, offsets: np.ndarray, window: int) -> list[np.ndarray]:
+def _places(data: np.ndarray, offsets: np.ndarray, window: int, piece: int = PIECE) -> list[np.ndarray]:
     """[place, first and last window that owns it, 64-byte bucket, context] of all places that windows own."""
     found = []
-    for begin, first, count in _cuts(offsets, window):
+    for begin, first, count in _cuts(offsets, window, piece):
         starts = _runs(first, count)
         buckets = _Buckets(data[begin : begin + int(starts[-1]) + window])
         owner = _owners(buckets.names, starts, window - GRAM + 1)
@@ -221,7 +221,7 @@ def _states(places: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array([places.column("block")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in kept)], names=["block", "at", "back", "gram", "state"])
 
 
-def _open_windows(data: np.ndarray, states: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_windows(data: np.ndarray, states: pa.Table, window: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, identifiers at full depth, buckets) of the windows that are open or stand for a shared context."""
     _, first, last = _windows_in(states)
     gram, asks = _array(states, "gram", U), _array(states, "state", np.uint8) != SETTLED
@@ -230,7 +230,7 @@ def _open_windows(data: np.ndarray, states: pa.Table, window: int) -> tuple[np.n
     found = []
     i = 0
     while i < len(first):
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PIECE, "right")))
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + piece, "right")))
         low, high = first[i:j], last[i:j]
         new = np.ones(j - i, bool)
         new[1:] = low[1:] > high[:-1] + window
@@ -245,7 +245,7 @@ def _open_windows(data: np.ndarray, states: pa.Table, window: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, U), np.empty(0, U))
 
 
-def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): each text without the bytes of any
     ``window``-byte string that starts anywhere else as well."""
     total = text_bytes(docs)
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
 
     def places(table: pa.Table) -> pa.Table:
         _, data, offsets = _whole(table)
-        *windows, gram, context = _places(data, offsets, window)
+        *windows, gram, context = _places(data, offsets, window, piece)
         found = [*_windows_out(*windows), gram.tobytes(), context.tobytes()]
         return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in found)], names=["block", "at", "back", "gram", "context"])
 
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
         if not table.num_rows or not states.num_rows:
             return _packed(0, [], bits)
         _, data, _ = _whole(table)
-        _, names, grams = _open_windows(data, states, window)
+        _, names, grams = _open_windows(data, states, window, piece)
         return _packed(table.column("block")[0].as_py(), [(ranges, *_distinct(names, grams))], bits)
 
     def answer(states: pa.Table, answers: pa.Table) -> pa.Table:
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
         if states.num_rows:
             _, first, last = _windows_in(states)
             done = _array(states, "state", np.uint8) != OPEN
-            asked, names, _ = _open_windows(data, states, window)
+            asked, names, _ = _open_windows(data, states, window, piece)
             again = _array(states, "codes", np.uint8)[np.unique(names, return_inverse=True)[1]] > 0
             starts = np.union1d(_runs(first[done], last[done] - first[done] + 1), asked[again])
         doc = np.searchsorted(offsets, starts, "right") - 1

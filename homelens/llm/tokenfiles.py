@@ -3,8 +3,10 @@
 A file holds the ids of its documents one after the other (16 bits each where the vocabulary allows),
 then the documents' ids, then their end offsets as a monotone sequence in Elias-Fano form: ``low_bits``
 low bits of each offset packed, the rest as a unary bit string, and the place of every 256th one-bit so
-that ``select`` reads one offset without decoding the others. Files are numbered in ascending order of
-doc_id, and so are the documents within.
+that ``select`` reads one offset without decoding the others; readers take the starts and ends of a batch of
+documents by one such select. Files are numbered in ascending order of doc_id, and so are the documents
+within; rows with one doc_id are in the order of a hash of their text, so that a task that runs twice writes
+the same. A task holds ``HELD`` ids at most before it closes a file.
 
 Defined results: null text is empty (only the end id); null doc_id sorts first; repeated rows are
 written as often as they occur; an empty table gives no file and no row; other columns are ignored.
@@ -27,6 +29,8 @@ from homelens.llm.sizing import partitions_for, text_bytes
 
 MAGIC = b"IDFILE01"
 EVERY = 256
+HELD = 64 << 20
+FILES = 1 << 20
 _NULL_ID = -(2**63)
 
 
@@ -66,6 +70,18 @@ class EliasFano:
                 return (byte * 8 + skip + int(bits[left]) - i << self.low_bits) | int(self._low(i, 1)[0])
             span *= 4
 
+    def between(self, first: int, last: int) -> np.ndarray:
+        """Values first to last - 1, by one select for many: the ones from the sample before the first to the sample after the last."""
+        if first >= last:
+            return np.empty(0, np.int64)
+        lead = first // EVERY
+        tail = -(-last // EVERY)
+        begin = int(self.samples[lead]) // 8
+        stop = int(self.samples[tail]) // 8 + 1 if tail < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:stop], bitorder="little")) + 8 * begin
+        ones = ones[np.searchsorted(ones, int(self.samples[lead])) + first - lead * EVERY :][: last - first]
+        return (((ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(first, last - first)).astype(np.int64)
+
     def decode(self) -> np.ndarray:
         """All values."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -100,6 +116,10 @@ class IdFile:
         """Ids of document i of this file, found by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Starts of documents first to last - 1 and the end of the last one."""
+        return self.ends.between(first - 1, last) if first else np.append(0, self.ends.between(0, last))
+
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, size: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) as files in ascending doc_id; returns (shard, uri, n_docs, n_ids), one row a file."""
@@ -109,24 +129,35 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path)
         width = 2 if encode.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        parts, ids_of, lengths = [], [], []
+        partition, files = TaskContext.get().partitionId(), 0
+        parts: list[np.ndarray] = []
+        ids_of: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal files
+            shard = partition * FILES + files
+            uri = f"{folder}/shard-{shard:014d}.ids"
+            ends = np.cumsum(np.concatenate(lengths))
+            _write(uri, parts, np.concatenate(ids_of), ends, width)
+            files += 1
+            parts.clear(), ids_of.clear(), lengths.clear()
+            return pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(ends)], "n_ids": [int(ends[-1])]}, schema=pa.schema([("shard", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+
         for batch in batches:
             for rows, _, _ in bytesets.pieces(batch, "text"):
                 ids, bounds = encode.encode(rows.column("text").to_pylist())
                 parts.append(ids.astype(f"<u{width}"))
                 lengths.append(np.diff(bounds))
                 ids_of.append(rows.column("doc_id").fill_null(_NULL_ID).to_numpy())
-        if not parts:
-            return
-        shard = TaskContext.get().partitionId()
-        uri = f"{folder}/shard-{shard:08d}.ids"
-        ends = np.cumsum(np.concatenate(lengths))
-        _write(uri, parts, np.concatenate(ids_of), ends, width)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(ends)], "n_ids": [int(ends[-1])]}, schema=pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+                if sum(map(len, parts)) > HELD:
+                    yield close()
+        if parts:
+            yield close()
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = chosen.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(write, "shard int, uri string, n_docs long, n_ids long")
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("tid"))
+    ordered = chosen.repartitionByRange(n, "doc_id", "tid").sortWithinPartitions("doc_id", "tid")
+    return ordered.select("doc_id", "text").mapInArrow(write, "shard long, uri string, n_docs long, n_ids long")
 
 
 def read_token_files(manifest: DataFrame, per_row: int = 8192) -> DataFrame:
@@ -141,14 +172,13 @@ def read_token_files(manifest: DataFrame, per_row: int = 8192) -> DataFrame:
         for batch in batches:
             for uri, before in zip(batch.column("uri").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 file = IdFile(uri)
-                ends = file.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]])
                 for k in range(0, file.n_docs, per_row):
-                    some = range(k, min(k + per_row, file.n_docs))
-                    sums = [zlib.crc32(file.ids[starts[i] : ends[i]].astype("<u4").tobytes()) for i in some]
-                    doc = file.doc_ids[k : k + per_row]
+                    last = min(k + per_row, file.n_docs)
+                    marks = file.bounds(k, last)
+                    sums = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
+                    doc = file.doc_ids[k:last]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64(), mask=doc == _NULL_ID), pa.array(before + starts[k : k + per_row]), pa.array(ends[k : k + per_row] - starts[k : k + per_row]), pa.array(sums, pa.int64())],
+                        [pa.array(doc, pa.int64(), mask=doc == _NULL_ID), pa.array(before + marks[:-1]), pa.array(np.diff(marks)), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

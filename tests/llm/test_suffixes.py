@@ -40,11 +40,10 @@ def hard_texts():
 
 
 @pytest.mark.parametrize("window", [200, 65, 128, 333])
-def test_repeats_of_hard_texts(spark, monkeypatch, window):
+def test_repeats_of_hard_texts(spark, window):
     texts = hard_texts()
-    monkeypatch.setattr(suffixes, "PIECE", 700)
     docs = spark.createDataFrame([(i if i % 7 else None, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, block string, at int").repartition(3)
-    found = suffixes.remove_repeats(docs, window)
+    found = suffixes.remove_repeats(docs, window, piece=700)
     assert Counter(tuple(r) for r in found.drop("kept").collect()) == Counter((i if i % 7 else None, *x) for i, x in enumerate(brute(texts, window)))
 
 
