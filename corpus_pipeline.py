@@ -9,24 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homelens.llm import langid, lines, mixing, packing, setjoin, storage
+from homelens.llm import columns, langid, lines, mixing, packing, setjoin, storage
 from homelens.llm.sizing import text_bytes
 
 
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known and not ambiguous."""
-    found = langid.identify(docs, names=("_lang", "_sure", "_unclear"))
-    return found.filter((F.col("_lang") != langid.UNKNOWN) & ~F.col("_unclear")).select(*docs.columns)
+    names = tuple(columns.free_name(docs, n) for n in ("_lang", "_sure", "_unclear"))
+    found = langid.identify(docs, names=names)
+    return found.filter((F.col(names[0]) != langid.UNKNOWN) & ~F.col(names[2])).select(*_own(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts; documents that lose every line they had go."""
-    found = lines.dedup_lines(docs)
-    left = F.coalesce(F.col("_kept").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    changed = found.filter(F.col("_gone").isNull() | left).withColumn("text", F.col("_kept"))
+    gone, kept = (columns.free_name(docs, n) for n in ("_gone", "_kept"))
+    found = lines.dedup_lines(docs, (gone, kept))
+    left = F.coalesce(F.col(kept).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    changed = found.filter(F.col(gone).isNull() | left).withColumn("text", F.col(kept))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*docs.columns)
+        changed = changed.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return changed.select(*_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = found.filter(F.col("component") == own).select(*setjoin.own_key(F.col("doc_id"), F.col("tid")), (F.col("doc_id").isNull() & (F.col("n") == 0)).alias("_each")).distinct()
     first = storage.materialize(first, "first-copies")
     keys = ["_idless", "_own", "_tid"]
-    keyed = docs.select("*", *setjoin.own_key(F.col("doc_id").cast("long"), setjoin.text_key()))
+    keyed = columns.packed(docs, "doc_id", "text").select("*", *setjoin.own_key(F.col("doc_id").cast("long"), setjoin.text_key()))
     kept = keyed.join(first.hint("merge"), keys).withColumn("_nth", F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(0))
-    return kept.dropDuplicates([*keys, "_nth"]).select(*docs.columns)
+    return columns.unpacked(kept.dropDuplicates([*keys, "_nth"]), docs, "doc_id", "text")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
