@@ -81,31 +81,31 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(did, tid, no) of distinct lines that an earlier one differs from by one word.
+    """(h1, h2) of distinct lines that an earlier one differs from by one word.
 
     Candidates get a number that grows with (did, tid, no), so that the earliest of a key is a minimum of longs.
     """
     halves = F.when(F.col("n") > FUZZY, F.array("h1", "h2", "h3", "h4")).when(F.col("n") == FUZZY, F.array("h1", "h2"))
-    keys = distinct.select(F.xxhash64("h1", "h2").alias("name"), F.col("at.did").alias("did"), F.col("at.tid").alias("tid"), F.col("at.no").alias("no"), F.explode(halves).alias("key"))
+    keys = distinct.select("h1", "h2", F.xxhash64("h1", "h2").alias("name"), F.col("at.did").alias("did"), F.col("at.tid").alias("tid"), F.col("at.no").alias("no"), F.explode(halves).alias("key"))
     shared = storage.materialize(keys.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b").select("key"), "line-halves")
-    some = storage.materialize(keys.join(shared.hint("merge"), "key", "left_semi").select("did", "tid", "no").distinct(), "line-candidates")
+    some = storage.materialize(keys.join(shared.hint("merge"), "key", "left_semi").select("did", "tid", "no", F.col("h1").alias("name1"), F.col("h2").alias("name2")).distinct(), "line-candidates")
     some = storage.materialize(some.repartitionByRange("did", "tid", "no").sortWithinPartitions("did", "tid", "no").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
     texts = _lines(docs).join(some.hint("merge"), ["did", "tid", "no"]).dropDuplicates(["did", "tid", "no"])
-    lines = storage.materialize(texts.select("did", "tid", "no", "rank", _words().alias("w")), "line-words")
+    lines = storage.materialize(texts.select("name1", "name2", "rank", _words().alias("w")), "line-words")
     variants = _variants(lines)
     firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"f{k}") for k in (0, 1, 2)], *[F.max(F.when(F.col("kind") == k, F.col("rank"))).alias(f"l{k}") for k in (0, 1)])
     met = storage.materialize(firsts.filter("f0 <> l0 OR (f1 IS NOT NULL AND f2 IS NOT NULL)").select("key", "f0", "f1", "f2"), "line-keys")
     hub = F.when(F.col("kind") == 0, F.col("f0")).when(F.col("kind") == 1, F.col("f2")).otherwise(F.col("f1"))
     pairs = variants.join(met.hint("merge"), "key").select("rank", hub.alias("hub")).filter("hub < rank").distinct()
     pairs = storage.materialize(pairs, "line-pairs")
-    a, b = lines.select("did", "tid", "no", "rank", F.col("w").alias("aw")), lines.select(F.col("rank").alias("hub"), F.col("w").alias("bw"))
+    a, b = lines.select("name1", "name2", "rank", F.col("w").alias("aw")), lines.select(F.col("rank").alias("hub"), F.col("w").alias("bw"))
     both = pairs.join(a.hint("merge"), "rank").join(b.hint("merge"), "hub")
     longer, shorter = "IF(size(aw) > size(bw), aw, bw)", "IF(size(aw) > size(bw), bw, aw)"
-    ordered = both.select("did", "tid", "no", F.expr(longer).alias("x"), F.expr(shorter).alias("y")).withColumn("unlike", F.expr("zip_with(slice(x, 1, size(y)), y, (p, q) -> p <> q)"))
+    ordered = both.select("name1", "name2", F.expr(longer).alias("x"), F.expr(shorter).alias("y")).withColumn("unlike", F.expr("zip_with(slice(x, 1, size(y)), y, (p, q) -> p <> q)"))
     place = ordered.withColumn("d", F.expr("CAST(array_position(unlike, true) AS INT)"))
     apart = """IF(size(x) = size(y), d = 0 OR slice(x, d + 1, size(y)) = slice(y, d + 1, size(y)),
         size(x) = size(y) + 1 AND (d = 0 OR slice(x, d + 1, size(y)) = slice(y, d, size(y))))"""
-    return place.filter(F.expr(apart)).select("did", "tid", "no").distinct()
+    return place.filter(F.expr(apart)).select(F.col("name1").alias("h1"), F.col("name2").alias("h2")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -113,10 +113,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = storage.materialize(_classes(_lines(docs)), "lines")
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "tid", "no")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "h3", "h4")])
     distinct = storage.materialize(distinct, "line-classes")
-    near = storage.materialize(_near(docs, distinct).withColumn("near", F.lit(True)), "line-near")
-    placed = distinct.select("h1", "h2", "at", "times", F.col("at.did").alias("did"), F.col("at.tid").alias("tid"), F.col("at.no").alias("no"))
-    judged = placed.join(near, ["did", "tid", "no"], "left").select("h1", "h2", "at", "times", F.coalesce("near", F.lit(False)).alias("near"))
-    judged = storage.materialize(judged.filter("times > 1 OR near"), "line-judged")
+    repeated = distinct.filter("times > 1").select("h1", "h2", "at", F.lit(False).alias("near"))
+    near = _near(docs, distinct).select("h1", "h2", F.lit(None).cast(distinct.schema["at"].dataType).alias("at"), F.lit(True).alias("near"))
+    judged = storage.materialize(repeated.unionByName(near), "line-judged")
     gone = lines.select("did", "tid", "no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"]).filter(F.col("near") | (F.struct("did", "tid", "no") != F.col("at")))
     return storage.materialize(gone.groupBy("did", "tid").agg(F.array_sort(F.collect_set("no")).alias("gone")), "line-gone")
 
