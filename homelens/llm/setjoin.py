@@ -42,6 +42,7 @@ from homelens.llm.sizing import text_bytes
 
 TILE = 128
 PART = 64
+SALTS = 32
 PLAIN = 0.6
 WEAK = 1000
 SHARD_BITS = 7
@@ -454,7 +455,9 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent:
     clusters = connected_components(left.select(F.col("first").alias("a"), F.col("cls").alias("b")))
     clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = clusters.join(sizes.hint("merge"), "cluster").join(left.select("cls", "part").distinct().hint("merge"), "cls")
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large cluster is no single task
+    placed = clusters.withColumn("salt", salt).join(sizes.hint("merge"), ["cluster", "salt"]).drop("salt").join(left.select("cls", "part").distinct().hint("merge"), "cls")
     more = cluster_links(storage.materialize(placed, "set-members"), sets, percent)
     return connected_components(links.unionByName(more))
 
