@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions import normalize as N
-from homelens.operators import activity, baseline, correlate, dashboard, events, feedback, findings, health, identity
+from homelens.functions import phrasing
+from homelens.operators import activity, baseline, changes, correlate, dashboard, events, feedback, findings, health, identity
 from homelens.plans import views as V
 
 NOW, START = V.NOW, V.START
@@ -805,4 +806,63 @@ def _(s, d):
     return feedback.latest_version(rows, ["device_id"], deleted="deleted").select("device_id", "version")
 
 
+@query("phrases", "SELECT id, CASE status WHEN 'blocked' THEN 'Blocked DNS lookup for ' ELSE 'DNS lookup for ' END || domain || CASE WHEN id % 2 = 0 THEN ' attributed to device ' || device_id ELSE '' END AS text FROM lookups")
+def _(s, d):
+    who = F.when(F.col("id") % 2 == 0, F.concat(F.lit("device "), F.col("device_id"))).otherwise("unattributed")
+    rows = V.lookups(s, d).select("id", phrasing.dns_lookup(F.col("domain"), who, F.col("status") == "blocked").alias("text"))
+    return phrasing.honest(rows, "text")
+
+
+@query("volume_phrases", "SELECT device_id, n || CASE WHEN n = 1 THEN ' DNS lookup' ELSE ' DNS lookups' END || ' attributed to device ' || device_id AS volume, n || ' blocked DNS lookups attributed to device ' || device_id || ' within 15 minutes' AS burst FROM (SELECT device_id, count(*) AS n FROM lookups GROUP BY 1)")
+def _(s, d):
+    who = F.concat(F.lit("device "), F.col("device_id"))
+    counts = V.lookups(s, d).groupBy("device_id").agg(F.count("*").alias("n"))
+    return counts.select("device_id", phrasing.dns_volume(F.col("n"), who).alias("volume"), phrasing.blocked_burst(F.col("n"), F.lit(15), who).alias("burst"))
+
+
+@query("device_patch", "SELECT c_custkey AS device_id, CASE WHEN c_custkey % 2 = 0 THEN 'renamed' ELSE c_name END AS display_name, 'note' AS notes FROM customer WHERE c_custkey % 3 = 0")
+def _(s, d):
+    rows = V.table(s, d, "customer").select(F.col("c_custkey").alias("device_id"), F.col("c_name").alias("display_name"), F.lit("").alias("notes"), F.lit(1).cast("long").alias("version"))
+    patches = rows.filter("device_id % 3 = 0").select("device_id", F.when(F.col("device_id") % 2 == 0, "renamed").alias("display_name"), F.lit("note").alias("notes"))
+    return changes.patched(rows, patches, "device_id", F.lit(2)).select("device_id", "display_name", "notes")
+
+
+@query("suppression_delete", "SELECT id FROM findings WHERE id % 5 = 0 AND status <> 'resolved'")
+def _(s, d):
+    rows = V.findings(s, d).select("id", F.lit(1).alias("version"), (F.col("status") == "resolved").alias("deleted"))
+    return changes.tombstones(rows, rows.filter("id % 5 = 0"), "id", F.lit(2)).filter("deleted AND version = 2").select("id")
+
+
+@query("review_resolution", lambda: f", {_ATTRIBUTED} SELECT id, CASE WHEN id % 2 = 0 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN id % 2 = 0 THEN 1::BIGINT END AS device_id FROM attributed WHERE status <> 'attributed' AND id % 3 = 0")
+def _(s, d):
+    said = V.lookups(s, d).filter("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.lit(1).cast("long")).alias("device_id"))
+    return changes.resolved_reviews(_attributed(s, d), said).select("id", "status", "device_id")
+
+
+@query("heartbeats", f"SELECT device_id::VARCHAR AS component, CASE WHEN epoch(TIMESTAMP '{NOW}') - floor(epoch(max(queried_at))) >= 86400 THEN 'down' ELSE 'ok' END AS status FROM lookups GROUP BY 1")
+def _(s, d):
+    beats = V.lookups(s, d).select(F.col("device_id").cast("string").alias("component"), F.col("queried_at").alias("seen_at"))
+    return changes.heartbeats(beats, NOW, DAY).select("component", "status")
+
+
+@query("silent_sources", f"SELECT event_type AS source, epoch(TIMESTAMP '{NOW}') - floor(epoch(max(queried_at))) >= 90000 AS silent FROM lookups GROUP BY 1")
+def _(s, d):
+    from homelens.streaming import live
+
+    lines = V.lookups(s, d).select(F.col("event_type").alias("source"), F.col("queried_at").alias("seen_at"))
+    return live.silent_sources(lines, NOW, 90000).select("source", "silent")
+
+
+@query("batch_rows", "SELECT 'dns_log' AS source, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END::BIGINT AS records FROM lookups GROUP BY event_type")
+def _(s, d):
+    counts = V.lookups(s, d).groupBy("event_type").agg(F.count("*").alias("records"))
+    return changes.batch_row(counts, "dns_log", NOW, F.when(F.col("event_type") == "error", "no answer")).select("source", "status", "records")
+
+
+@query("baseline_history", f", {_LONG} SELECT device_id, max(k)::BIGINT AS sample_count, count(*) AS metrics FROM (SELECT device_id, metric, count(*) AS k FROM long WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def _(s, d):
+    full = baseline.metric_baseline(activity.metric_unpivot(_eight(s, d).drop("idx")), ["device_id", "metric"])
+    return changes.baseline_history(full, "24h", NOW).select("device_id", "sample_count", F.size("metrics").cast("long").alias("metrics"))
+
+
 ORACLES = {name: V.SQL + (sql() if callable(sql) else sql) for name, sql in SQL_OF.items()}
