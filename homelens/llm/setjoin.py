@@ -324,6 +324,13 @@ def key_hubs(keys: DataFrame) -> DataFrame:
     return keys.select("key", "cls").join(weight.hint("merge"), "cls").groupBy("key").agg(F.max_by("cls", F.struct("w", "cls")).alias("hub"))
 
 
+def _join_spread(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, cls) joined with the one row of each key in ``sizes``; a frequent key is ``SALTS`` tasks' work."""
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    copies = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs (hub, cls) that are alike. The classes of a hub are dealt in parts of ``PART``, each with the hub's set."""
     units = max(64, pairs.count() // 512)
@@ -346,7 +353,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(hub[linked], pa.int64()), "b": pa.array(cls[linked], pa.int64())})
 
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = pairs.join(parts.hint("merge"), "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
+    dealt = _join_spread(pairs, parts, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
     centres = dealt.select("hub", F.col("hub").alias("cls"), "part").distinct()
     rows = storage.materialize(dealt.unionByName(centres), "set-pairs").join(sets.hint("merge"), "cls")
     unit = F.pmod(F.xxhash64("hub", "part"), F.lit(units))
@@ -455,9 +462,7 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent:
     clusters = connected_components(left.select(F.col("first").alias("a"), F.col("cls").alias("b")))
     clusters = storage.materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "set-clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large cluster is no single task
-    placed = clusters.withColumn("salt", salt).join(sizes.hint("merge"), ["cluster", "salt"]).drop("salt").join(left.select("cls", "part").distinct().hint("merge"), "cls")
+    placed = _join_spread(clusters, sizes, "cluster").join(left.select("cls", "part").distinct().hint("merge"), "cls")
     more = cluster_links(storage.materialize(placed, "set-members"), sets, percent)
     return connected_components(links.unionByName(more))
 
