@@ -1,18 +1,23 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
-
-Words are held as one sorted array of 64-bit hashes, in shards by hash range; the rank of a hash is the
-word's id. Bigram counts lie in shards by context (contexts that hold over 1/512 of all tokens are spread
-by bigram): sorted contexts, offsets, sorted words and counts of one byte with a list of larger ones.
-Numbers of continuations and of contexts' bigrams with counts 1, 2 and more are arrays by id. Every file
-is written by the task that reduced its shard, straight into the shared folder, and mapped by the workers
-that score; the driver sees counts of counts and file sizes only.
-
-Tokens are lower-cased (A-Z) words and one end a text. P(w | v) = max(c(v w) - D(c), 0) / c(v) + g(v) P(w);
-P(w) is the same over continuation counts, with the rest spread evenly over the vocabulary and one
-unknown word. After an unknown context P(w) holds.
-
-Defined results: null, empty and blank text is one end; repeated rows count each; without training
-documents all scores are 0; an empty table gives no rows; other columns are ignored. Ids are 32-bit.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from memory-mapped arrays.
+
+Words are one sorted array of 64-bit hashes, in shards by hash range; the rank of a hash is the word's id.
+An n-gram of order k is the pair of the ids of its first and its last k - 1 words, so every order is counted
+by the same two jobs from the ids of the order below, and its place among all of its order is its own id.
+Shards hold sorted first parts, offsets, sorted last parts and counts; first parts that hold over 1/512 of all
+tokens are spread by n-gram. How many different words come before an n-gram (its continuation count) and the
+sums over a first part's n-grams are arrays by id. Counts take one byte, with a list of larger ones. Every file
+is written by the task that reduced its shard, straight into the shared folder, and mapped by the workers that
+score; the driver sees counts of counts, file sizes and at most 512 frequent ids an order. The number of shards
+follows from the bytes of the texts.
+
+Tokens are lower-cased (A-Z) words and one end a text; one begin comes before each text and is never predicted.
+P(w | v) = (max(c(v w) - D(c), 0) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) P(w | v')) / c(v), where v' lacks v's first
+word; c are counts at the highest order and for n-grams at the begin of a text, continuation counts
+elsewhere. The lowest order's rest is spread evenly over the vocabulary and one unknown word. After an unknown
+context the shorter one's chance holds.
+
+Defined results: null, empty and blank text is one end; repeated rows count each; without training documents all
+scores are 0; an empty table gives no rows; other columns are ignored. Ids take 64 bits where 32 are too few.
 """
 
 from __future__ import annotations
@@ -21,118 +26,201 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.llm import bytesets, storage
 from homelens.llm.langid import held_out
+from homelens.llm.sizing import text_bytes
 
-WORD_BITS = 6
-PAIR_BITS = 7
-RANGES = 64
+ORDER = 3
+SHARD_BYTES = 16 << 20
 HOT = 512
 HELD = 4_000_000
 U = np.uint64
 PACKED = "shard int, a binary, b binary, c binary"
 
 
-def _pack(shard: np.ndarray, arrays: list[np.ndarray], bits_or_count: int) -> pa.RecordBatch:
-    """One row a shard that occurs; rows of ``arrays`` go along, in their order."""
+def _planes(x: np.ndarray, ascending: bool) -> bytes:
+    """Whole numbers byte plane by byte plane, ascending ones as steps, so that the shuffle's compression finds the zeros."""
+    x = np.diff(x.astype(U), prepend=U(0)) if ascending else x.astype("<u8")
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(table: pa.Table, column: str, ascending: bool) -> np.ndarray:
+    """All rows' numbers of a column written by ``_planes``."""
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel() for b in table.column(column).to_pylist()]
+    return np.concatenate([np.cumsum(p, dtype=U) if ascending else p for p in parts]) if parts else np.empty(0, U)
+
+
+def _pack(shard: np.ndarray, arrays: list[np.ndarray], count: int) -> pa.RecordBatch:
+    """One row a shard that occurs; the first array ascends within each."""
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(bits_or_count + 1))
+    cuts = np.searchsorted(shard[order], np.arange(count + 1))
     some = np.flatnonzero(np.diff(cuts))
     columns = [x[order] for x in arrays]
-    parts = [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()) for x in columns]
+    parts = [pa.array([_planes(x[cuts[s] : cuts[s + 1]], k == 0) for s in some], pa.binary()) for k, x in enumerate(columns)]
     parts += [pa.array([b""] * len(some), pa.binary())] * (3 - len(parts))
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *parts], names=["shard", "a", "b", "c"])
 
 
-def _join(table: pa.Table, column: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) and max(int(a.max()), int(b.max())) >> 32:
+        return np.lexsort((b, a))
+    return np.argsort((a.astype(U) << U(32)) | b.astype(U), kind="stable")
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Places where a run of equal sorted keys starts."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
+def _sum_by(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    order = _order(*keys) if len(keys) == 2 else np.argsort(keys[0], kind="stable")
+    keys, counts = tuple(k[order] for k in keys), counts[order]
+    first = _starts(*keys)
+    return tuple(k[first] for k in keys), np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], take: Callable, give: Callable) -> Iterator[pa.RecordBatch]:
     """Keys of all pieces, counted, given on whenever ``HELD`` are held."""
     held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        keys, counts = zip(*held, strict=True)
+        return give(*_sum_by(tuple(np.concatenate(k) for k in zip(*keys, strict=True)), np.concatenate(counts)))
+
     for batch in batches:
         for _, data, offsets in bytesets.pieces(batch, "text"):
-            held.append(np.unique(take(data, offsets), return_counts=True))
-            size += len(held[-1][0])
+            keys = take(data, offsets)
+            held.append(_sum_by(keys, np.ones(len(keys[0]), np.int64)))
+            size += len(held[-1][1])
             if size > HELD:
-                yield give(*_sum_by(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                yield flush()
                 held, size = [], 0
     if size:
-        yield give(*_sum_by(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        yield flush()
 
 
-class _Shards:
-    """Arrays cut by first key or id: rows of sorted keys are looked up shard by shard."""
+def _write_small(path: str, values: np.ndarray) -> None:
+    """Counts of one byte each and a list of those of 255 and more."""
+    large = np.flatnonzero(values >= 255)
+    storage.write_file(f"{path}.low", np.minimum(values, 255).astype("u1"))
+    storage.write_file(f"{path}.at", large.astype("<u8"))
+    storage.write_file(f"{path}.large", values[large].astype("<i8"))
 
-    def __init__(self, folder: str, name: str, dtype: str, sizes: dict[int, int]) -> None:
-        self.sizes = sizes
-        self.maps = {s: storage.map_array(f"{folder}/{name}-{s}", dtype) for s, n in sizes.items() if n}
+
+class _Small:
+    def __init__(self, path: str) -> None:
+        self.low, self.at, self.large = (storage.map_array(f"{path}.{k}", t) for k, t in (("low", "u1"), ("at", "<u8"), ("large", "<i8")))
+
+    def get(self, places: np.ndarray) -> np.ndarray:
+        out = self.low[places].astype(np.int64)
+        if len(self.at):
+            big = np.flatnonzero(out == 255)
+            out[big] = self.large[np.searchsorted(self.at, places[big].astype(U))]
+        return out
+
+
+class _ById:
+    """Rows of small counts by id, cut into ranges of ids; ids below 0 and ranges without a file have zeros."""
+
+    def __init__(self, path: str, rows: int, width: int, present: frozenset[int]) -> None:
+        self.rows, self.width = rows, width
+        self.maps = {r: [_Small(f"{path}-{r}.{k}") for k in range(rows)] for r in present}
+
+    def get(self, ids: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(ids, return_inverse=True)
+        out = np.zeros((self.rows, len(distinct)), np.int64)
+        known = np.searchsorted(distinct, 0)
+        parts = distinct[known:] // self.width
+        for low in _starts(parts).tolist():
+            r, high = int(parts[low]), known + int(np.searchsorted(parts, parts[low], "right"))
+            for k, small in enumerate(self.maps.get(r, [])):
+                out[k, known + low : high] = small.get(distinct[known + low : high] - r * self.width)
+        return out[:, where]
 
 
 class Vocabulary:
     """Ids and counts of words."""
 
-    def __init__(self, folder: str, sizes: dict[int, int]) -> None:
-        self.hashes = _Shards(folder, "words", "<u8", sizes).maps
-        self.counts = _Shards(folder, "counts", "<i8", sizes).maps
-        self.offset = {}
-        total = 0
-        for s in sorted(sizes):
-            self.offset[s] = total
-            total += sizes[s]
-        self.size = total
+    def __init__(self, folder: str, bits: int, sizes: dict[int, int]) -> None:
+        self.bits = bits
+        self.hashes = {s: storage.map_array(f"{folder}/words-{s}", "<u8") for s, n in sizes.items() if n}
+        self.counts = {s: storage.map_array(f"{folder}/counts-{s}", "<i8") for s, n in sizes.items() if n}
+        self.offset = _offsets(sizes)
+        self.size = sum(sizes.values())
 
     def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of ascending hashes."""
         ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
-        cuts = np.searchsorted(sorted_hashes >> U(64 - WORD_BITS), np.arange((1 << WORD_BITS) + 1, dtype=U))
-        for s, known in self.hashes.items():
-            some = sorted_hashes[cuts[s] : cuts[s + 1]]
-            if len(some):
+        parts = sorted_hashes >> U(64 - self.bits)
+        for low in _starts(parts).tolist():
+            s, high = int(parts[low]), int(np.searchsorted(parts, parts[low], "right"))
+            if s in self.hashes:
+                some, known = sorted_hashes[low:high], self.hashes[s]
                 at = np.minimum(np.searchsorted(known, some), len(known) - 1)
                 hit = known[at] == some
-                ids[cuts[s] : cuts[s + 1]] = np.where(hit, at + self.offset[s], -1)
-                counts[cuts[s] : cuts[s + 1]] = np.where(hit, self.counts[s][at], 0)
+                ids[low:high] = np.where(hit, at + self.offset[s], -1)
+                counts[low:high] = np.where(hit, self.counts[s][at], 0)
         return ids, counts
 
 
-def _token_ids(words: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids with an end after each text, counts of them, the text each belongs to); the end has the id after the last word."""
-    distinct, where = np.unique(words, return_inverse=True)
-    ids, counts = vocabulary.find(distinct)
-    n = np.diff(bounds)
-    row = np.repeat(np.arange(len(n)), n + 1)
-    ends = np.cumsum(n + 1) - 1
-    out, known = np.full(len(row), vocabulary.size, np.int64), np.zeros(len(row), np.int64)
-    inner = np.ones(len(row), bool)
-    inner[ends] = False
-    out[inner], known[inner] = ids[where], counts[where]
-    return out, known, row
+def _offsets(sizes: dict[int, int]) -> dict[int, int]:
+    out, total = {}, 0
+    for s in sorted(sizes):
+        out[s] = total
+        total += sizes[s]
+    return out
 
 
-def _pairs(ids: np.ndarray, row: np.ndarray, begin: int) -> np.ndarray:
-    """Context id of every token: the token before, or ``begin`` for the first of a text."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    if len(ids):
-        before[np.concatenate([[True], row[1:] != row[:-1]])] = begin
-    return before
+def _id_type(ids: int) -> str:
+    return "<u4" if ids <= 2**32 else "<u8"
 
 
-def _pair_shard(context: np.ndarray, pair: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    spread = np.where(np.isin(context, hot), pair, context.astype(U))
-    return (bytesets.mix(spread) >> U(64 - PAIR_BITS)).astype(np.int64)
+def _gram_shard(first: np.ndarray, last: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    spread = bytesets.mix(first.astype(U))
+    spread = np.where(np.isin(first, hot), bytesets.mix(spread ^ last.astype(U)), spread)
+    return (spread >> U(64 - bits)).astype(np.int64)
+
+
+class Grams:
+    """Ids and counts of n-grams of one order, from the ids of their first and last parts."""
+
+    def __init__(self, folder: str, order: int, bits: int, sizes: dict[int, int], below: int, hot: np.ndarray) -> None:
+        self.bits, self.hot, self.offset = bits, hot, _offsets(sizes)
+        kind = _id_type(below)
+        self.maps = {s: ([storage.map_array(f"{folder}/grams{order}-{s}.{k}", t) for k, t in (("first", kind), ("end", "<u8"), ("last", kind))], _Small(f"{folder}/grams{order}-{s}.count")) for s, n in sizes.items() if n}
+
+    def find(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count or 0) of pairs in any order; a part below 0 is unknown."""
+        ids, counts = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64)
+        known = np.flatnonzero((first >= 0) & (last >= 0))
+        shard = _gram_shard(first[known], last[known], self.hot, self.bits)
+        order = np.argsort(shard, kind="stable")
+        known, shard = known[order], shard[order]
+        for start in _starts(shard).tolist():
+            s, stop = int(shard[start]), int(np.searchsorted(shard, shard[start], "right"))
+            if s not in self.maps:
+                continue
+            (firsts, ends, lasts), small = self.maps[s]
+            mine = known[start:stop]
+            at = np.minimum(np.searchsorted(firsts, first[mine].astype(firsts.dtype)), len(firsts) - 1)
+            low, high = np.where(at > 0, ends[at - 1], 0).astype(np.int64), ends[at].astype(np.int64)
+            high = np.where(firsts[at] == first[mine], high, low)
+            most = high.copy()
+            while (live := low < high).any():
+                mid = (low + high) >> 1
+                less = live & (lasts[np.minimum(mid, len(lasts) - 1)] < last[mine])
+                low, high = np.where(less, mid + 1, low), np.where(live & ~less, mid, high)
+            safe = np.minimum(low, len(lasts) - 1)
+            hit = (low < most) & (lasts[safe] == last[mine])
+            ids[mine] = np.where(hit, safe + self.offset[s], -1)
+            counts[mine] = np.where(hit, small.get(safe), 0)
+        return ids, counts
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -142,179 +230,248 @@ def _discounts(n: list[int]) -> list[float]:
     return [0.0, *(min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(raw, 1))]
 
 
+def _counts_of_counts(values: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(values, 5), minlength=6)[1:5].astype("<i8")
+
+
 class Model:
-    """The files' sizes and the few numbers that hold for all; opens the files where it is used."""
-
-    def __init__(self, folder: str, words: dict[int, int], pairs: dict[int, tuple[int, int, int]], tokens: int, docs: int, pair_counts: list[int], word_counts: list[int], hot: np.ndarray) -> None:
-        self.folder, self.words, self.pairs, self.tokens, self.docs, self.hot = folder, words, pairs, tokens, docs, hot
-        self.distinct = sum(words.values()) + (docs > 0)
-        self.pair_discount, self.word_discount = _discounts(pair_counts), _discounts(word_counts)
-        self.pair_total = sum(x[1] for x in pairs.values())
-        d = self.word_discount
-        more = self.distinct - word_counts[0] - word_counts[1]
-        spare = d[1] * word_counts[0] + d[2] * word_counts[1] + d[3] * more
-        self.floor = (spare / self.pair_total if self.pair_total else 1.0) / (self.distinct + 1)
-
-    def open(self) -> "Model":
-        if "vocabulary" not in self.__dict__:
-            self.vocabulary = Vocabulary(self.folder, self.words)
-            self.width = max(1, -(-(self.vocabulary.size + 2) // RANGES))
-            self.by_id = {r: storage.map_array(f"{self.folder}/ids-{r}", "<u4").reshape(4, -1) for r in range(RANGES) if r * self.width < self.vocabulary.size + 2} if self.tokens else {}
-            self.grams = {s: [storage.map_array(f"{self.folder}/pairs-{s}.{k}", t) for k, t in (("context", "<u4"), ("end", "<u4"), ("word", "<u4"), ("count", "u1"), ("place", "<u4"), ("large", "<i8"))] for s in self.pairs}
-        return self
+    """File sizes and the few numbers that hold for all; opens the files where they are used."""
+
+    def __init__(self, folder: str, bits: int, order: int, words: dict[int, int], tokens: int, docs: int) -> None:
+        self.folder, self.bits, self.order, self.words, self.tokens, self.docs = folder, bits, order, words, tokens, docs
+        self.vocabulary_size = sum(words.values())
+        self.distinct = self.vocabulary_size + (docs > 0)
+        self.sizes: dict[int, dict[int, int]] = {}
+        self.hot: dict[int, np.ndarray] = {}
+        self.follows: dict[int, frozenset[int]] = {}
+        self.sums: dict[int, frozenset[int]] = {}
+        self.discounts: dict[int, list[float]] = {}
+        self.floor = 0.0
+
+    def ids(self, order: int) -> int:
+        """How many ids the n-grams of an order take; words also have the end and the begin."""
+        return self.vocabulary_size + 2 if order == 1 else sum(self.sizes[order].values())
+
+    def width(self, order: int) -> int:
+        return max(1, -(-self.ids(order) // (1 << self.bits)))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "by_id", "grams")}
-
-    def numbers(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (continuations, bigrams once, twice, more often) for ids; unknown ones have none."""
-        out = np.zeros((4, len(ids)), np.int64)
-        part = np.where(ids >= 0, ids // self.width, -1)
-        for r, numbers in self.by_id.items():
-            mine = np.flatnonzero(part == r)
-            if len(mine):
-                out[:, mine] = numbers[:, ids[mine] - r * self.width]
-        return out
-
-    def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Training counts of bigrams of known ids."""
-        out = np.zeros(len(context), np.int64)
-        shard = _pair_shard(context, (context.astype(U) << U(32)) | word.astype(U), self.hot)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << PAIR_BITS) + 1))
-        for s, (contexts, ends, words, counts, places, large) in self.grams.items():
-            mine = order[cuts[s] : cuts[s + 1]]
-            if not len(mine):
-                continue
-            at = np.minimum(np.searchsorted(contexts, context[mine]), len(contexts) - 1)
-            seen = contexts[at] == context[mine]
-            low, high = np.where(at > 0, ends[at - 1], 0).astype(np.int64), ends[at].astype(np.int64)
-            high = np.where(seen, high, low)
-            stop = high.copy()
-            while (live := low < high).any():
-                mid = (low + high) >> 1
-                less = live & (words[np.minimum(mid, len(words) - 1)] < word[mine])
-                low, high = np.where(less, mid + 1, low), np.where(live & ~less, mid, high)
-            safe = np.minimum(low, len(words) - 1)
-            hit = (low < stop) & (words[safe] == word[mine])
-            count = counts[safe].astype(np.int64)
-            if len(places):
-                big = np.minimum(np.searchsorted(places, safe), len(places) - 1)
-                count = np.where((count == 255) & (places[big] == safe), large[big], count)
-            out[mine] = np.where(hit, count, 0)
-        return out
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _opened(self, name: str, make: Callable) -> object:
+        opened = self.__dict__.setdefault("_open", {})
+        if name not in opened:
+            opened[name] = make()
+        return opened[name]
+
+    def vocabulary(self) -> Vocabulary:
+        return self._opened("words", lambda: Vocabulary(self.folder, self.bits, self.words))
+
+    def grams(self, order: int) -> Grams:
+        return self._opened(f"grams{order}", lambda: Grams(self.folder, order, self.bits, self.sizes[order], self.ids(order - 1), self.hot[order]))
+
+    def preceding(self, order: int, ids: np.ndarray) -> np.ndarray:
+        """How many different words come before n-grams of an order below the highest."""
+        return self._opened(f"follows{order}", lambda: _ById(f"{self.folder}/follows{order}", 1, self.width(order), self.follows[order])).get(ids)[0]
+
+    def context(self, order: int, ids: np.ndarray) -> np.ndarray:
+        """(sum, ones, twos, more) over the n-grams of an order with these first parts."""
+        return self._opened(f"sums{order}", lambda: _ById(f"{self.folder}/sums{order}", 4, self.width(order - 1), self.sums[order])).get(ids)
+
+    def words_of(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids with an end after each text, counts, the text each belongs to, its place there)."""
+        distinct, where = np.unique(words, return_inverse=True)
+        ids, counts = self.vocabulary().find(distinct)
+        n = np.diff(bounds)
+        row = np.repeat(np.arange(len(n)), n + 1)
+        ends = np.cumsum(n + 1) - 1
+        out, known = np.full(len(row), self.vocabulary_size if self.docs else -1, np.int64), np.full(len(row), self.docs, np.int64)
+        inner = np.ones(len(row), bool)
+        inner[ends] = False
+        out[inner], known[inner] = ids[where], counts[where]
+        return out, known, row, np.arange(len(row)) - (ends - n)[row]
+
+    def parts(self, ids: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(id of the first part or -1, whether there is an n-gram) of every token, from the ids of the order below."""
+        first = np.full(len(ids), -1, np.int64)
+        first[1:] = ids[:-1]
+        if order == 2:
+            first[place == 0] = self.vocabulary_size + 1
+        there = place >= order - 2
+        return np.where(there, first, -1), there
+
+    def above(self, ids: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first parts, ids, counts) of the n-grams of an order that end at each token."""
+        first, _ = self.parts(ids, place, order)
+        by = _order(first + 1, ids + 1)
+        starts = _starts(first[by], ids[by])
+        found, counts = self.grams(order).find(first[by[starts]], ids[by[starts]])
+        where = np.empty(len(ids), np.int64)
+        where[by] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        return first, found[where], counts[where]
 
     def score(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per text: number of tokens, known tokens, base score and model score."""
-        ids, counts, row = _token_ids(words, bounds, self.vocabulary)
-        end = self.vocabulary.size
-        counts = np.where(ids == end, self.docs, counts)
-        ids = np.where((ids == end) & (self.docs == 0), -1, ids)
+        ids, counts, row, place = self.words_of(words, bounds)
         texts = len(bounds) - 1
-        context = _pairs(ids, row, end + 1)
         base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-        pair = ((context + 1).astype(U) << U(32)) | (ids + 1).astype(U)
-        distinct, where = np.unique(pair, return_inverse=True)
-        v, w = (distinct >> U(32)).astype(np.int64) - 1, (distinct & U(0xFFFFFFFF)).astype(np.int64) - 1
-        known = (v >= 0) & (w >= 0)
-        c = np.zeros(len(v), np.int64)
-        c[known] = self.pair_counts(v[known], w[known])
-        follows = self.numbers(w)[0]
-        d = np.array(self.word_discount)
-        lower = np.maximum(follows - d[np.minimum(follows, 3)], 0) / max(self.pair_total, 1) + self.floor
-        _, once, twice, more = self.numbers(v)
-        total = np.zeros(len(v), np.int64)
-        total[where] = np.where(context == end + 1, self.docs, np.concatenate([[0], counts[:-1]]))
-        d = np.array(self.pair_discount)
-        seen = (v >= 0) & (total > 0)
-        share = np.where(seen, total, 1)
-        chance = np.where(seen, np.maximum(c - d[np.minimum(c, 3)], 0) / share + (d[1] * once + d[2] * twice + d[3] * more) / share * lower, lower)
-        model = np.log10(chance)[where]
+        chance = np.full(len(ids), 1.0)
+        if self.docs:
+            f, d = self.preceding(1, ids), np.array(self.discounts[1])
+            chance = np.maximum(f - d[np.minimum(f, 3)], 0) / self.ids(2) + self.floor
+            for order in range(2, self.order + 1):
+                first, ids, c = self.above(ids, place, order)
+                if order < self.order:
+                    before = self.preceding(order, ids)
+                    c = np.where(before > 0, before, c)
+                total, once, twice, more = self.context(order, first)
+                d, seen = np.array(self.discounts[order]), total > 0
+                mixed = (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1] * once + d[2] * twice + d[3] * more) * chance) / np.maximum(total, 1)
+                chance = np.where(seen, mixed, chance)
+        model = np.log10(chance)
         return (np.bincount(row, minlength=texts), np.bincount(row, counts > 0, minlength=texts).astype(np.int64), np.bincount(row, base, minlength=texts), np.bincount(row, model, minlength=texts))
 
 
-def train(texts: DataFrame) -> Model:
-    """Count the model from all rows of ``texts`` (text)."""
-    spark = texts.sparkSession
-    folder = storage.shared_folder(spark, "language-model")
-    only = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_docs = only.count()
+def _note(shard: int, *numbers: np.ndarray | list[int]) -> pa.RecordBatch:
+    parts = [pa.array([np.asarray(x, "<i8").tobytes()], pa.binary()) for x in numbers] + [pa.array([b""], pa.binary())] * (3 - len(numbers))
+    return pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int32()), *parts], names=["shard", "a", "b", "c"])
 
+
+def _count_words(only: DataFrame, folder: str, bits: int, docs: int, order: int) -> Model:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = lambda keys, counts: _pack((keys >> U(64 - WORD_BITS)).astype(np.int64), [keys, counts.astype("<i8")], 1 << WORD_BITS)
-        return _gathered(batches, lambda data, offsets: bytesets.word_hashes(data, offsets)[0], give)
+        give = lambda keys, counts: _pack((keys[0] >> U(64 - bits)).astype(np.int64), [keys[0], counts], 1 << bits)
+        return _gathered(batches, lambda data, offsets: (bytesets.word_hashes(data, offsets)[0],), give)
 
-    def write_words(table: pa.Table) -> pa.Table:
+    def write(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = _sum_by(_join(table, "a", "<u8"), _join(table, "b", "<i8"))
+        (keys,), counts = _sum_by((_numbers(table, "a", True),), _numbers(table, "b", False).astype(np.int64))
         storage.write_file(f"{folder}/words-{shard}", keys)
-        storage.write_file(f"{folder}/counts-{shard}", counts)
+        storage.write_file(f"{folder}/counts-{shard}", counts.astype("<i8"))
         top = np.argsort(-counts, kind="stable")[:HOT]
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())], "top": pa.array([top.astype("<i8").tobytes()], pa.binary()), "times": pa.array([counts[top].tobytes()], pa.binary())})
-
-    made = only.mapInArrow(words, PACKED).groupBy("shard").applyInArrow(write_words, "shard int, n long, tokens long, top binary, times binary").collect()
-    sizes = {r["shard"]: r["n"] for r in made}
-    tokens = sum(r["tokens"] for r in made) + n_docs
-    offset, hot = 0, [sum(sizes.values()) + 1]
-    for r in sorted(made, key=lambda r: r["shard"]):
-        hot += [offset + int(i) for i, c in zip(np.frombuffer(r["top"], "<i8"), np.frombuffer(r["times"], "<i8"), strict=True) if c * HOT > tokens]
-        offset += r["n"]
-    hot_ids = np.array(sorted(hot))
-    width = max(1, -(-(offset + 2) // RANGES))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(folder, sizes)
-
-        def take(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-            ids, _, row = _token_ids(*bytesets.word_hashes(data, offsets), vocabulary)
-            return (_pairs(ids, row, vocabulary.size + 1).astype(U) << U(32)) | ids.astype(U)
-
-        def give(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            context = (keys >> U(32)).astype(np.int64)
-            return _pack(_pair_shard(context, keys, hot_ids), [context.astype("<u4"), keys.astype("<u4"), counts.astype("<u4")], 1 << PAIR_BITS)
-
+        return pa.Table.from_batches([_note(shard, [len(keys), counts.sum()], top, counts[top])])
+
+    made = {-1 - r["shard"]: [np.frombuffer(r[k], "<i8") for k in "abc"] for r in only.mapInArrow(words, PACKED).groupBy("shard").applyInArrow(write, PACKED).collect()}
+    model = Model(folder, bits, order, {s: int(x[0][0]) for s, x in made.items()}, docs + sum(int(x[0][1]) for x in made.values()), docs)
+    at = _offsets(model.words)
+    model.hot[2] = np.array([model.vocabulary_size + 1, *sorted(at[s] + int(i) for s, (_, top, times) in made.items() for i, c in zip(top, times, strict=True) if c * HOT > model.tokens)])
+    return model
+
+
+def _count_grams(only: DataFrame, model: Model, order: int) -> list[int]:
+    """Write the n-grams of an order and how many of them end in each of the order below; counts of counts of the latter."""
+    folder, bits, hot, tokens = model.folder, model.bits, model.hot[order], model.tokens
+    below, width = model.ids(order - 1), model.width(order - 1)
+    kind = _id_type(below)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def take(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids, _, _, place = model.words_of(*bytesets.word_hashes(data, offsets))
+            for k in range(2, order):
+                ids = model.above(ids, place, k)[1]
+            first, there = model.parts(ids, place, order)
+            return first[there], ids[there]
+
+        give = lambda keys, counts: _pack(_gram_shard(*keys, hot, bits), [*keys, counts], 1 << bits)
         return _gathered(batches, take, give)
 
-    def write_pairs(table: pa.Table) -> pa.Table:
+    def write_grams(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys = (_join(table, "a", "<u4").astype(U) << U(32)) | _join(table, "b", "<u4")
-        keys, counts = _sum_by(keys, _join(table, "c", "<u4").astype(np.int64))
-        context, word = (keys >> U(32)).astype("<u4"), keys.astype("<u4")
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        large = np.flatnonzero(counts >= 255)
-        for kind, values in (("context", context[first]), ("end", np.append(first[1:], len(keys)).astype("<u4")), ("word", word), ("count", np.minimum(counts, 255).astype("u1")), ("place", large.astype("<u4")), ("large", counts[large].astype("<i8"))):
-            storage.write_file(f"{folder}/pairs-{shard}.{kind}", values)
-        numbers = [np.add.reduceat(x.astype("<u4"), first) for x in (counts == 1, counts == 2, counts > 2)]
-        known = context[first]
-        follow, times = np.unique(word, return_counts=True)
-        ids = np.concatenate([known, follow])
-        values = np.zeros((len(ids), 4), "<u4")
-        values[len(known) :, 0] = times
-        for k, x in enumerate(numbers, 1):
-            values[: len(known), k] = x
-        out = _pack((ids // width).astype(np.int64), [ids.astype("<u4"), values.view("V16").ravel()], RANGES)
-        stats = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype("<i8")
-        note = pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int32()), pa.array([stats.tobytes()], pa.binary()), pa.array([np.array([len(first), len(keys), len(large)], "<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "a", "b", "c"])
-        return pa.Table.from_batches([out, note])
-
-    def write_ids(table: pa.Table) -> pa.Table:
+        keys = (_numbers(table, "a", True).astype(np.int64), _numbers(table, "b", False).astype(np.int64))
+        (first, last), counts = _sum_by(keys, _numbers(table, "c", False).astype(np.int64))
+        starts = _starts(first)
+        for name, values in (("first", first[starts].astype(kind)), ("end", np.append(starts[1:], len(first)).astype("<u8")), ("last", last.astype(kind))):
+            storage.write_file(f"{folder}/grams{order}-{shard}.{name}", values)
+        _write_small(f"{folder}/grams{order}-{shard}.count", counts)
+        follow, times = np.unique(last, return_counts=True)
+        frequent = np.flatnonzero(counts * HOT > tokens)
+        return pa.Table.from_batches([_pack(follow // width, [follow, times], 1 << bits), _note(shard, [len(first)], frequent)])
+
+    def write_follows(table: pa.Table) -> pa.Table:
+        part = table.column("shard")[0].as_py()
+        if part < 0:
+            return table
+        values = np.zeros(min(width, below - part * width), np.int64)
+        np.add.at(values, _numbers(table, "a", True).astype(np.int64) - part * width, _numbers(table, "b", False).astype(np.int64))
+        _write_small(f"{folder}/follows{order - 1}-{part}.0", values)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([_counts_of_counts(values).tobytes()], pa.binary())] * 3], names=["shard", "a", "b", "c"])])
+
+    made = only.mapInArrow(grams, PACKED).groupBy("shard").applyInArrow(write_grams, PACKED).groupBy("shard").applyInArrow(write_follows, PACKED).collect()
+    notes = {-1 - r["shard"]: (int(np.frombuffer(r["a"], "<i8")[0]), np.frombuffer(r["b"], "<i8")) for r in made if r["shard"] < 0}
+    model.sizes[order] = {s: n for s, (n, _) in notes.items()}
+    at = _offsets(model.sizes[order])
+    model.hot[order + 1] = np.array(sorted(at[s] + int(i) for s, (_, some) in notes.items() for i in some), np.int64)
+    parts = [r for r in made if r["shard"] >= 0]
+    model.follows[order - 1] = frozenset(r["shard"] for r in parts)
+    return np.sum([np.frombuffer(r["a"], "<i8") for r in parts], axis=0).tolist() if parts else [0] * 4
+
+
+def _sum_contexts(spark: SparkSession, model: Model, order: int) -> list[int]:
+    """Write the sums over the n-grams of an order by first part; counts of counts of these n-grams."""
+    folder, bits, below, width = model.folder, model.bits, model.ids(order - 1), model.width(order - 1)
+    shards = sorted(model.sizes[order])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column("id").to_pylist():
+                grams = model.grams(order)
+                (first, end, _), small = grams.maps[s]
+                counts = small.get(np.arange(int(end[-1])))
+                if order < model.order:
+                    before = model.preceding(order, np.arange(len(counts)) + grams.offset[s])
+                    counts = np.where(before > 0, before, counts)
+                starts = np.append(0, end[:-1]).astype(np.int64)
+                rows = [np.add.reduceat(x.astype(np.int64), starts) for x in (counts, counts == 1, counts == 2)]
+                joint = _pack(first.astype(np.int64) // width, [first.astype(np.int64), rows[0], rows[1] | (rows[2] << 32)], 1 << bits)
+                kinds = _pack(first.astype(np.int64) // width, [first.astype(np.int64), np.diff(end.astype(np.int64), prepend=0), np.zeros(len(first), np.int64)], 1 << bits)
+                for made, kind in ((joint, 0), (kinds, 1)):
+                    yield pa.RecordBatch.from_arrays([*made.columns, pa.array([kind] * made.num_rows, pa.int32())], names=["shard", "a", "b", "c", "kind"])
+                note = _note(s, _counts_of_counts(counts))
+                yield pa.RecordBatch.from_arrays([*note.columns, pa.array([0], pa.int32())], names=["shard", "a", "b", "c", "kind"])
+
+    def write(table: pa.Table) -> pa.Table:
         part = table.column("shard")[0].as_py()
-        values = np.zeros((4, max(0, min(width, offset + 2 - part * width))), np.int64)
-        ids, rows = _join(table, "a", "<u4").astype(np.int64) - part * width, _join(table, "b", "<u4").reshape(-1, 4)
+        if part < 0:
+            return table.select(["shard", "a"])
+        values = np.zeros((4, min(width, below - part * width)), np.int64)
+        for kind in (0, 1):
+            some = table.filter(pc.equal(table.column("kind"), kind))
+            at, b, c = _numbers(some, "a", True).astype(np.int64) - part * width, _numbers(some, "b", False).astype(np.int64), _numbers(some, "c", False).astype(np.int64)
+            for k, x in ((3, b),) if kind else ((0, b), (1, c & 0xFFFFFFFF), (2, c >> 32)):
+                np.add.at(values[k], at, x)
+        values[3] -= values[1] + values[2]
         for k in range(4):
-            values[k] = np.bincount(ids, rows[:, k], minlength=values.shape[1])
-        storage.write_file(f"{folder}/ids-{part}", values.astype("<u4"))
-        stats = np.bincount(np.minimum(values[0], 5), minlength=6)[1:5].astype("<i8")
-        return pa.table({"shard": pa.array([part], pa.int32()), "stats": pa.array([stats.tobytes()], pa.binary())})
-
-    reduced = storage.materialize(only.mapInArrow(pairs, PACKED).groupBy("shard").applyInArrow(write_pairs, PACKED), "pair-numbers")
-    notes = reduced.filter("shard < 0").collect()
-    grams = {-1 - r["shard"]: tuple(np.frombuffer(r["b"], "<i8").tolist()) for r in notes}
-    by_id = reduced.filter("shard >= 0").groupBy("shard").applyInArrow(write_ids, "shard int, stats binary").collect()
-    for part in set(range(-(-(offset + 2) // width))) - {r["shard"] for r in by_id}:
-        storage.write_file(f"{folder}/ids-{part}", np.zeros(4 * max(0, min(width, offset + 2 - part * width)), "<u4"))
-    sums = [np.sum([np.frombuffer(r[k], "<i8") for r in rows], axis=0).tolist() if rows else [0] * 4 for rows, k in ((notes, "a"), (by_id, "stats"))]
-    return Model(folder, sizes, grams, tokens, n_docs, *sums, hot_ids)
+            _write_small(f"{folder}/sums{order}-{part}.{k}", values[k])
+        return pa.table({"shard": pa.array([part], pa.int32()), "a": pa.array([b""], pa.binary())})
+
+    if not shards:
+        model.sums[order] = frozenset()
+        return [0] * 4
+    todo = spark.createDataFrame([(s,) for s in shards], "id int").repartition(min(len(shards), 4096))
+    made = todo.mapInArrow(sums, PACKED + ", kind int").groupBy("shard").applyInArrow(write, "shard int, a binary").collect()
+    model.sums[order] = frozenset(r["shard"] for r in made if r["shard"] >= 0)
+    return np.sum([np.frombuffer(r["a"], "<i8") for r in made if r["shard"] < 0], axis=0).tolist()
+
+
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """Count the model of ``order`` words (two at least) from all rows of ``texts`` (text)."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    spark = texts.sparkSession
+    only = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs, bits = only.count(), max(6, int(np.ceil(np.log2(max(1, text_bytes(only) / SHARD_BYTES)))))
+    model = _count_words(only, storage.shared_folder(spark, "language-model"), bits, docs, order)
+    if not docs:
+        return model
+    for k in range(2, order + 1):
+        seen = _count_grams(only, model, k)
+        if k > 2:
+            seen = _sum_contexts(spark, model, k - 1)
+        model.discounts[k - 1] = _discounts(seen)
+        if k == 2:
+            d, more = model.discounts[1], model.distinct - seen[0] - seen[1]
+            model.floor = (d[1] * seen[0] + d[2] * seen[1] + d[3] * more) / model.ids(2) / (model.distinct + 1)
+    model.discounts[order] = _discounts(_sum_contexts(spark, model, order))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -322,7 +479,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.open()
+        known = shared.value
         for batch in batches:
             for rows, data, offsets in bytesets.pieces(batch, "text"):
                 n, seen, base, value = known.score(*bytesets.word_hashes(data, offsets))

@@ -286,36 +286,48 @@ def test_language_codes(spark, none):
         assert len(np.unique(langid.codewords(k), axis=0)) == k
 
 
-def test_kneser_ney(docs, rows, none):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney(docs, rows, none, order):
     train = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1]
     cut = lambda t: WORD.findall(lower(t or "")) + ["\n"]
+    ending = lambda w, i, k: tuple(["\0", *w[: i + 1]] if i == k - 2 else w[i + 1 - k : i + 1])
     counts = Counter(w for r in train for w in cut(r[1]))
     n, v = sum(counts.values()), len(counts)
-    pairs = Counter(p for r in train for p in zip(["\0", *cut(r[1])], cut(r[1])))
-    follows, context = Counter(w for _, w in pairs), {}
-    for (a, _), c in pairs.items():
-        context.setdefault(a, [0, 0, 0, 0])[0] += c
-        context[a][min(c, 3)] += 1
-    many = lambda xs: [sum(x == k for x in xs) for k in (1, 2, 3, 4)]
-    d2, d1 = lm._discounts(many(pairs.values())), lm._discounts(many(follows.values()))
-    t = len(pairs)
-    spare = sum(d1[min(c, 3)] for c in follows.values()) / t / (v + 1)
-    low = lambda w: max(follows[w] - d1[min(follows[w], 3)], 0) / t + spare
-
-    def chance(a, w):
-        if a not in context:
-            return low(w)
-        total, *seen = context[a]
-        return max(pairs[(a, w)] - d2[min(pairs[(a, w)], 3)], 0) / total + sum(d2[k] * seen[k - 1] for k in (1, 2, 3)) / total * low(w)
-
-    model = lm.train(docs.filter(~langid.held_out(F.col("doc_id"), 5, 1)))
+    raw = {k: Counter(ending(w, i, k) for w in (cut(r[1]) for r in train) for i in range(k - 2, len(w))) for k in range(2, order + 1)}
+    used, sums = {order: raw[order]}, {}
+    for k in range(order - 1, 0, -1):
+        before = Counter(g[1:] for g in raw[k + 1])
+        used[k] = before if k == 1 else {g: before.get(g, c) for g, c in raw[k].items()}
+    discount = {k: lm._discounts([sum(x == j for x in used[k].values()) for j in (1, 2, 3, 4)]) for k in used}
+    for k in range(2, order + 1):
+        for g, c in used[k].items():
+            sums.setdefault(g[:-1], [0, 0, 0, 0])[0] += c
+            sums[g[:-1]][min(c, 3)] += 1
+    types = len(raw[2])
+    spare = sum(discount[1][min(c, 3)] for c in used[1].values()) / types / (v + 1)
+
+    def chance(g):
+        c = used[len(g)].get(g, 0)
+        held = c - discount[len(g)][min(c, 3)]
+        if len(g) == 1:
+            return max(held, 0) / types + spare
+        if g[:-1] not in sums:
+            return chance(g[1:])
+        total, *seen = sums[g[:-1]]
+        return max(held, 0) / total + sum(discount[len(g)][j] * seen[j - 1] for j in (1, 2, 3)) / total * chance(g[1:])
+
+    model = lm.train(docs.filter(~langid.held_out(F.col("doc_id"), 5, 1)), order)
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(docs, model).collect()), key=str)
     want = []
     for r in rows:
         w = cut(r[1])
-        want.append((r[0], len(w), sum(counts[x] > 0 for x in w), n, round(float(sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)), 6), round(float(sum(np.log10(chance(a, x)) for a, x in zip(["\0", *w], w))), 6)))
+        score = float(sum(np.log10(chance(ending(w, i, min(order, i + 2)))) for i in range(len(w))))
+        want.append((r[0], len(w), sum(counts[x] > 0 for x in w), n, round(float(sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)), 6), round(score, 6)))
     for a, b in zip(got, sorted(want, key=str)):
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], atol=2e-6)
+
+
+def test_language_model_without_training_rows(docs, none):
     untrained = lm.score(docs, lm.train(none)).collect()
     assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in untrained)
 
