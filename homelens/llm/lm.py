@@ -150,7 +150,7 @@ class Vocabulary:
     def __init__(self, folder: str, bits: int, sizes: dict[int, int]) -> None:
         self.bits = bits
         self.hashes = {s: storage.map_array(f"{folder}/words-{s}", "<u8") for s, n in sizes.items() if n}
-        self.counts = {s: storage.map_array(f"{folder}/counts-{s}", "<i8") for s, n in sizes.items() if n}
+        self.counts = {s: _Small(f"{folder}/counts-{s}") for s, n in sizes.items() if n}
         self.offset = _offsets(sizes)
         self.size = sum(sizes.values())
 
@@ -165,7 +165,7 @@ class Vocabulary:
                 at = np.minimum(np.searchsorted(known, some), len(known) - 1)
                 hit = known[at] == some
                 ids[low:high] = np.where(hit, at + self.offset[s], -1)
-                counts[low:high] = np.where(hit, self.counts[s][at], 0)
+                counts[low:high] = np.where(hit, self.counts[s].get(at), 0)
         return ids, counts
 
 
@@ -178,7 +178,7 @@ def _offsets(sizes: dict[int, int]) -> dict[int, int]:
 
 
 def _id_type(ids: int) -> str:
-    return "<u4" if ids <= 2**32 else "<u8"
+    return "<u4" if ids < 2**32 else "<u8"
 
 
 def _gram_shard(first: np.ndarray, last: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
@@ -193,7 +193,7 @@ class Grams:
     def __init__(self, folder: str, order: int, bits: int, sizes: dict[int, int], below: int, hot: np.ndarray) -> None:
         self.bits, self.hot, self.offset = bits, hot, _offsets(sizes)
         kind = _id_type(below)
-        self.maps = {s: ([storage.map_array(f"{folder}/grams{order}-{s}.{k}", t) for k, t in (("first", kind), ("end", "<u8"), ("last", kind))], _Small(f"{folder}/grams{order}-{s}.count")) for s, n in sizes.items() if n}
+        self.maps = {s: ([storage.map_array(f"{folder}/grams{order}-{s}.{k}", t) for k, t in (("first", kind), ("end", _id_type(n)), ("last", kind))], _Small(f"{folder}/grams{order}-{s}.count")) for s, n in sizes.items() if n}
 
     def find(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of pairs in any order; a part below 0 is unknown."""
@@ -346,7 +346,7 @@ def _count_words(only: DataFrame, folder: str, bits: int, docs: int, order: int)
         shard = table.column("shard")[0].as_py()
         (keys,), counts = _sum_by((_numbers(table, "a", True),), _numbers(table, "b", False).astype(np.int64))
         storage.write_file(f"{folder}/words-{shard}", keys)
-        storage.write_file(f"{folder}/counts-{shard}", counts.astype("<i8"))
+        _write_small(f"{folder}/counts-{shard}", counts)
         top = np.argsort(-counts, kind="stable")[:HOT]
         return pa.Table.from_batches([_note(shard, [len(keys), counts.sum()], top, counts[top])])
 
@@ -379,7 +379,7 @@ def _count_grams(only: DataFrame, model: Model, order: int) -> list[int]:
         keys = (_numbers(table, "a", True).astype(np.int64), _numbers(table, "b", False).astype(np.int64))
         (first, last), counts = _sum_by(keys, _numbers(table, "c", False).astype(np.int64))
         starts = _starts(first)
-        for name, values in (("first", first[starts].astype(kind)), ("end", np.append(starts[1:], len(first)).astype("<u8")), ("last", last.astype(kind))):
+        for name, values in (("first", first[starts].astype(kind)), ("end", np.append(starts[1:], len(first)).astype(_id_type(len(first)))), ("last", last.astype(kind))):
             storage.write_file(f"{folder}/grams{order}-{shard}.{name}", values)
         _write_small(f"{folder}/grams{order}-{shard}.count", counts)
         follow, times = np.unique(last, return_counts=True)
