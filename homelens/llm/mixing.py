@@ -1,13 +1,14 @@
 """Mixing sources to target weights by a splitting tree, in DataFrame functions only.
 
 Documents fall into at most ``CELLS`` hash cells a source; neighbouring cells make the source's blocks.
-A source whose target is f times its size takes every block floor(f) times, then blocks in a permuted
-order, each that still fits the rest; of the first block that did not fit it takes documents in a permuted
+Each source lays its blocks out as a deck: whole rounds, each in a permuted order of its own, then a round in
+which blocks that do not fit the rest of the target stand at the end. Its quota is the number of draws that
+reaches the target. A tree of multivariate hypergeometric splits parts the quotas of all sources among the output
+shards: each node halves its shards and draws, source by source, how many of its blocks go left. Each shard then
+draws as many cards of every deck as its leaf says, so draws are disjoint, and a document is taken once for each
+draw of its block. Of a source's last block, the first that did not fit, the draw takes documents in a permuted
 order, without those larger than the gap, up to the ``BACK``-th before the gap is full, then of all its other
-documents what fits, largest first, by counts of sizes. The block draws of all sources are dealt to output
-shards by a tree of multivariate hypergeometric splits: each node halves its shards and draws, source
-by source, how many of its blocks go left; blocks then go to shards in permuted order by these exact
-quotas, so draws are disjoint. Within a shard, documents are in hash order.
+documents what fits, largest first, by counts of sizes. Within a shard, documents are in hash order.
 
 Everything but the documents themselves is at most ``CELLS`` rows a source. Null sources are one source
 that sorts last. Defined results: null text has size 0 and takes 0; repeated rows are documents of their
@@ -91,7 +92,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 5) -> Data
 
 
 def mix_plan(sized: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row for each (skey, cell): how often its block is taken, the gap of the last block, its draws' shards."""
+    """One row for each (skey, cell): the shards that draw its block, and the gap if it is the source's last one."""
     cells = storage.materialize(sized.groupBy("skey", "source", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-cells")
     sources = cells.groupBy("skey", "source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"))
     size, target = F.col("source_size"), F.col("target")
@@ -103,18 +104,20 @@ def mix_plan(sized: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = cells.select("skey", "cell", "words").join(goals.drop("docs"), "skey").withColumn("block", F.floor(F.col("cell") * F.col("blocks") / CELLS).cast("int"))
     blocks = placed.groupBy("skey", "block", "times", "rest").agg(F.sum("words").alias("words"))
     ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64("skey", "block", F.lit(13)).alias("h"), "block", "words")))  # at most CELLS a source
-    taken = "aggregate(o, named_struct('room', rest, 'got', CAST(array() AS array<int>)), (s, x) -> IF(x.words <= s.room, named_struct('room', s.room - x.words, 'got', concat(s.got, array(x.block))), s))"
-    picked = blocks.groupBy("skey", "rest").agg(ordered.alias("o")).withColumn("s", F.expr(taken))
-    picked = picked.select("skey", "s.got", "s.room", F.expr("filter(o, x -> NOT array_contains(s.got, x.block))[0].block").alias("edge"))
-    whole, last = F.array_contains("got", F.col("block")), (F.col("block") == F.coalesce("edge", F.lit(-1))) & (F.col("room") > 0)
-    chosen = blocks.join(picked, "skey").select("skey", "block", "times", whole.cast("int").alias("extra"), last.alias("last"), F.when(last, F.col("room")).alias("gap"))
-    chosen = storage.materialize(chosen.withColumn("draws", F.col("times") + F.col("extra") + F.col("last").cast("int")), "mix-blocks")
-    quotas = split_quotas(chosen.groupBy("skey").agg(F.sum("draws").cast("long").alias("draws")), shards)
-    draws = chosen.filter("draws > 0").select("skey", "block", F.explode(F.sequence(F.lit(1), "draws")).alias("copy"))
-    permuted = draws.withColumn("nth", F.row_number().over(Window.partitionBy("skey").orderBy(F.xxhash64("skey", "block", "copy", F.lit(29)), "block", "copy")))
-    dealt = permuted.join(quotas, "skey").withColumn("shard", F.expr(f"CAST(size(filter(sequence(1, {shards}), j -> aggregate(slice(by_shard, 1, j), 0L, (a, b) -> a + b) < nth)) AS INT)"))
-    homes = dealt.groupBy("skey", "block").agg(F.expr("transform(array_sort(collect_list(struct(copy, shard))), x -> x.shard)").alias("homes"))
-    full = chosen.join(homes, ["skey", "block"], "left").join(placed.select("skey", "block", "cell", "source_size", "target"), ["skey", "block"])
+    fitting = "aggregate(o, named_struct('room', rest, 'got', CAST(array() AS array<int>)), (s, x) -> IF(x.words <= s.room, named_struct('room', s.room - x.words, 'got', concat(s.got, array(x.block))), s))"
+    rests = blocks.groupBy("skey", "times", "rest").agg(ordered.alias("o")).withColumn("s", F.when(F.col("times") < MOST, F.expr(fitting)))
+    rests = rests.select("skey", F.size("o").alias("n"), F.coalesce("s.got", F.array().cast("array<int>")).alias("got"), F.coalesce("s.room", F.lit(0.0)).alias("room"), F.expr("get(filter(o, x -> NOT array_contains(s.got, x.block)), 0).block").alias("edge"))
+    decks = storage.materialize(blocks.drop("rest", "words").join(rests.withColumn("parted", F.col("edge").isNotNull() & (F.col("room") > 0)), "skey"), "mix-decks")
+    quota = F.max(F.col("times") * F.col("n") + F.size("got") + F.col("parted").cast("int")).cast("long")
+    quotas = split_quotas(decks.groupBy("skey").agg(quota.alias("draws")), shards)
+    place = F.when(F.col("round") > F.col("times"), F.when(F.col("block") == F.col("edge"), F.size("got") + 1).otherwise(F.nullif(F.array_position("got", F.col("block")), F.lit(0))))
+    deck = decks.select("*", F.explode(F.sequence(F.lit(1), F.col("times") + 1)).alias("round")).withColumn("place", place)
+    deck = deck.withColumn("nth", F.row_number().over(Window.partitionBy("skey").orderBy("round", F.col("place").asc_nulls_last(), F.xxhash64("skey", "block", "round", F.lit(29)), "block")))
+    drawn = deck.join(quotas, "skey").withColumn("shard", F.expr(f"CAST(size(filter(sequence(1, {shards}), j -> aggregate(slice(by_shard, 1, j), 0L, (a, b) -> a + b) < nth)) AS INT)")).filter(F.col("shard") < shards)
+    last = F.col("parted") & (F.col("block") == F.col("edge"))
+    homes = drawn.groupBy("skey", "block").agg(F.expr("transform(array_sort(collect_list(struct(round, shard))), x -> x.shard)").alias("homes"), F.max(last).alias("last"), F.max(F.when(last, F.col("room"))).alias("gap"))
+    cells_of = placed.select("skey", "block", "cell", "source_size", "target")
+    full = cells_of.join(homes, ["skey", "block"], "left").withColumn("last", F.coalesce("last", F.lit(False))).withColumn("homes", F.coalesce("homes", F.array().cast("array<int>")))
     return storage.materialize(full, "mix-plan")
 
 
@@ -123,7 +126,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sized = storage.materialize(sized_documents(docs), "mix-sizes")
     plan = mix_plan(sized, shards)
     joined = sized.join(plan, ["skey", "cell"])
-    settled = joined.filter(~F.col("last")).withColumn("more", F.col("extra"))
+    settled = joined.filter(~F.col("last")).withColumn("copies", F.size("homes"))
     by = Window.partitionBy("skey").orderBy(F.xxhash64("doc_id", F.lit(43)), "doc_id", "size")
     edge = joined.filter("last").withColumn("small", F.col("size") <= F.col("gap"))
     edge = edge.withColumn("upto", F.sum(F.when(F.col("small"), F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(by))
@@ -138,10 +141,11 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     fits = offers.select("skey", F.explode(F.expr(f"aggregate(o, named_struct('room', room, 'got', CAST(array() AS array<struct<size:bigint,fit:bigint>>)), (s, x) -> named_struct('room', s.room - {most} * x.size, 'got', concat(s.got, array(named_struct('size', x.size, 'fit', {most})))), s -> s.got)")).alias("g")).select("skey", "g.size", "g.fit")
     nth = late.select("skey", "at", "size", F.row_number().over(Window.partitionBy("skey", "size").orderBy("at")).alias("nth"))
     filled = nth.join(fits, ["skey", "size"]).filter("nth <= fit").select("skey", "at", F.lit(1).alias("fit"))
-    edges = kept.join(filled, ["skey", "at"], "left").withColumn("more", F.greatest(F.col("firm").cast("int"), F.coalesce("fit", F.lit(0))))
-    names = ["doc_id", "source", "size", "source_size", "target", "times", "more", "homes"]
-    both = settled.select(*names).unionByName(edges.select(*names)).withColumn("copies", F.col("times") + F.col("more"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), F.col("copies")).alias("homes"))
+    more = F.greatest(F.col("firm").cast("int"), F.coalesce("fit", F.lit(0)))
+    edges = kept.join(filled, ["skey", "at"], "left").withColumn("copies", F.size("homes") - 1 + more)
+    names = ["doc_id", "source", "size", "source_size", "target", "copies", "homes"]
+    both = settled.select(*names).unionByName(edges.select(*names))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice("homes", F.lit(1), F.col("copies")).alias("homes"))
 
 
 def mixed_documents(docs: DataFrame, size: int, shards: int = SHARDS) -> DataFrame:

@@ -120,6 +120,27 @@ def test_takings_of_documents(spark):
     assert set(draws) <= set(range(mixing.SHARDS))
 
 
+def test_blocks_are_taken_as_often_as_shards_draw_them(spark):
+    rows = [(i, "w " * 5, s) for s, n, at in (("a", 2000, 0), ("b", 900, 3000), ("c", 150, 5000)) for i in range(at, at + n)] + [(9000 + i, None, "d") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sized_documents(docs)
+    plan = mixing.mix_plan(sized, 8).collect()
+    decks = {}
+    for r in plan:
+        decks.setdefault(r["skey"], {})[r["block"]] = r
+    quotas = {k: sum(len(r["homes"]) for r in blocks.values()) for k, blocks in decks.items()}
+    assert quotas["sd"] <= len(decks["sd"])
+    tree = {r["skey"]: r["by_shard"] for r in mixing.split_quotas(spark.createDataFrame(sorted(quotas.items()), "skey string, draws long"), 8).collect()}
+    for k, blocks in decks.items():
+        homes = Counter(h for r in blocks.values() for h in r["homes"])
+        assert [homes[j] for j in range(8)] == tree[k]
+        counts = {len(r["homes"]) for r in blocks.values()}
+        assert max(counts) - min(counts) <= 1 and max(counts) <= 3
+    for r in mixing.mix(docs, 8).collect():
+        if r["source"] == "d":
+            assert r["taken"] == 0 and r["size"] == 0 and r["target"] == 0
+
+
 def test_posteriors_of_plain_expectation_maximisation(spark):
     draw = random.Random(6)
     k = len(quality.rules())
