@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import classify_transition, normalize_mac, parse_time, text_or_null
+from homelens.sources.dns_log import read_envelopes
 
 
 def normalize_clients(payloads: DataFrame, now: str) -> DataFrame:
@@ -28,3 +29,9 @@ def normalize_events(payloads: DataFrame, ingested_at: str) -> DataFrame:
     get = lambda k: text_or_null(F.get_json_object("payload", f"$.{k}"))
     when = F.coalesce(F.timestamp_seconds(get("time").try_cast("double")), F.try_to_timestamp(get("datetime")), F.lit(ingested_at).cast("timestamp"))
     return payloads.select(get("_id").alias("id"), when.alias("seen_at"), get("key").alias("event_name"), get("msg").alias("msg"), normalize_mac(get("mac")).alias("mac"), classify_transition(get("key"), get("msg")).alias("kind"))
+
+
+def read_snapshot(spark: SparkSession, folder: str, now: str, clients: str = "clients.json", events: str = "events.json") -> tuple[DataFrame, DataFrame]:
+    """Sightings and transitions of a recorded snapshot: two files of envelopes in one folder; a missing file is an error."""
+    rows = lambda name: read_envelopes(spark, f"{folder.rstrip('/')}/{name}", ("data",))
+    return normalize_clients(rows(clients), now), normalize_events(rows(events), now)

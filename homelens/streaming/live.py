@@ -18,6 +18,12 @@ def stream_lines(spark: SparkSession, folder: str, files_a_batch: int = 100) ->
     return syslog.parse_lines(lines.filter("trim(value) <> '' AND NOT startswith(trim(value), '#')"))
 
 
+def stream_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Parsed lines from a TCP socket. It cannot be read again after a failure: for trials; let a relay write files otherwise."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return syslog.parse_lines(lines.filter("trim(value) <> ''"))
+
+
 def stream_table(spark: SparkSession, path: str, schema: str, files_a_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
