@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from homelens.llm.infill import ORACLE as INFILL_SQL
+from homelens.llm.infill import op12_distinct_texts
 from homelens.llm.langid import op3_language_codes
 from homelens.llm.lines import ORACLE as LINES_SQL
 from homelens.llm.lines import op8_deletion_neighbourhood
@@ -25,5 +27,6 @@ QUERIES = {
     "op8_deletion_neighbourhood": op8_deletion_neighbourhood,
     "op9_weak_rules": op9_weak_rules,
     "op10_token_files": op10_token_files,
+    "op12_distinct_texts": op12_distinct_texts,
 }
-ORACLES = {"op8_deletion_neighbourhood": LINES_SQL}
+ORACLES = {"op8_deletion_neighbourhood": LINES_SQL, "op12_distinct_texts": INFILL_SQL}
