@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from homelens.llm.codebooks import ORACLE as CODEBOOKS_SQL
+from homelens.llm.codebooks import op11_integer_codebooks
 from homelens.llm.infill import ORACLE as INFILL_SQL
 from homelens.llm.infill import op12_distinct_texts
 from homelens.llm.langid import op3_language_codes
@@ -27,6 +29,7 @@ QUERIES = {
     "op8_deletion_neighbourhood": op8_deletion_neighbourhood,
     "op9_weak_rules": op9_weak_rules,
     "op10_token_files": op10_token_files,
+    "op11_integer_codebooks": op11_integer_codebooks,
     "op12_distinct_texts": op12_distinct_texts,
 }
-ORACLES = {"op8_deletion_neighbourhood": LINES_SQL, "op12_distinct_texts": INFILL_SQL}
+ORACLES = {"op8_deletion_neighbourhood": LINES_SQL, "op11_integer_codebooks": CODEBOOKS_SQL, "op12_distinct_texts": INFILL_SQL}
