@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from homelens.llm.codebooks import ORACLE as CODEBOOKS_SQL
 from homelens.llm.codebooks import op11_integer_codebooks
+from homelens.llm.factors import ORACLE as FACTORS_SQL
+from homelens.llm.factors import op13_reference_factors
 from homelens.llm.infill import ORACLE as INFILL_SQL
 from homelens.llm.infill import op12_distinct_texts
 from homelens.llm.langid import op3_language_codes
@@ -31,5 +33,11 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_integer_codebooks": op11_integer_codebooks,
     "op12_distinct_texts": op12_distinct_texts,
+    "op13_reference_factors": op13_reference_factors,
+}
+ORACLES = {
+    "op8_deletion_neighbourhood": LINES_SQL,
+    "op11_integer_codebooks": CODEBOOKS_SQL,
+    "op12_distinct_texts": INFILL_SQL,
+    "op13_reference_factors": FACTORS_SQL,
 }
-ORACLES = {"op8_deletion_neighbourhood": LINES_SQL, "op11_integer_codebooks": CODEBOOKS_SQL, "op12_distinct_texts": INFILL_SQL}
