@@ -151,13 +151,18 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def mixed_documents(docs: DataFrame, size: int, shards: int = SHARDS) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, by shard, in hash order within each partition.
 
-    Rows are told apart by doc_id and text. A shard is spread over several partitions
-    once it is large.
+    Rows are told apart by doc_id, text, source and a hash of all other columns; rows that agree in all of these are
+    one row with the draws of all. A shard is spread over several partitions once it is large.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("idless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tid"))
-    taken = mix(docs.select(key.alias("doc_id"), "source", "text"), shards)
-    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_key"), F.posexplode("homes").alias("_copy", "_shard")).dropDuplicates(["_key", "_copy"])
-    rows = columns.packed(docs, "doc_id", "text").withColumn("_key", key).join(taken, "_key")
+    packed = columns.packed(docs, "doc_id", "text")
+    source = F.col(f"{columns.OTHERS}.source")
+    named = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+    tid, rest = F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.to_json(columns.OTHERS))
+    key = F.struct(F.col("doc_id").isNull().alias("idless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.coalesce(tid, F.lit(0)).alias("tid"), named.alias("skey"), rest.alias("rest"))
+    taken = mix(packed.select(key.alias("doc_id"), source.alias("source"), "text"), shards)
+    draws = taken.filter("copies > 0").select(F.col("doc_id").alias("_key"), F.explode("homes").alias("_shard")).groupBy("_key", "_shard").agg(F.count("*").cast("int").alias("_n"))
+    draws = draws.select("_key", "_shard", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    rows = packed.withColumn("_key", key).dropDuplicates(["_key"]).join(draws, "_key")
     n = max(shards, partitions_for(size))
     spread = rows.repartition(n, "_shard", F.pmod(F.xxhash64("_key"), F.lit(max(1, n // shards))))
     return columns.unpacked(spread.sortWithinPartitions("_shard", F.xxhash64("_key", "_copy", "_shard")), docs, "doc_id", "text")
