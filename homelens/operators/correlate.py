@@ -5,24 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from homelens.operators import skew
+
 # Weight of each kind of evidence, boosts for agreeing kinds, cap and threshold.
 IP, CLIENT, HOSTNAME = 0.80, 0.60, 0.55
 IP_CLIENT, IP_HOSTNAME = 0.15, 0.10
 CAP, THRESHOLD = 0.99, 0.70
+WIDTH = 86400
+
+
+def windowed(queries: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``queries`` with the number of the window of ``width`` seconds that holds queried_at."""
+    return queries.withColumn("window", F.floor(F.unix_micros(F.col("queried_at").cast("timestamp")) / (width * 1_000_000)))
+
 
+def binned(assignments: DataFrame, queries: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Assignments once for each window that they overlap, among the windows from the first query to the last."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    size = width * 1_000_000
+    ends = windowed(queries, width).agg(F.min("window").alias("_first"), F.max("window").alias("_last"))
+    spans = assignments.select("ip", "device_id", "observed_from", "observed_to").crossJoin(F.broadcast(ends))  # one row
+    low = F.greatest("_first", F.floor(micros("observed_from") / size))
+    high = F.least("_last", F.coalesce(F.ceil(micros("observed_to") / size) - 1, F.col("_last")))
+    return spans.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high").select("ip", "device_id", "observed_from", "observed_to", F.explode(F.sequence("_low", "_high")).alias("window"))
 
-def interval_join(queries: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(id, device_id) of assignments whose half-open span holds the query: an equi join on ip, the span as its residual."""
-    q, a = queries.select("id", "ip", "queried_at"), assignments.select(F.col("ip").alias("_ip"), "device_id", "observed_from", "observed_to")
-    covers = (F.col("ip") == F.col("_ip")) & (F.col("observed_from") <= F.col("queried_at")) & (F.col("observed_to").isNull() | (F.col("observed_to") > F.col("queried_at")))
-    return q.join(a, covers).select("id", "device_id", "queried_at")
+
+def interval_join(queries: DataFrame, assignments: DataFrame, width: int = WIDTH, hot: int = skew.HOT) -> DataFrame:
+    """(id, device_id, queried_at) of assignments whose half-open span holds the query.
+
+    Spans are cut by windows of ``width`` seconds and meet the queries of the same address and window, so a query is
+    compared only with the spans of its own window; addresses that are hot in a window are dealt over several tasks.
+    """
+    covers = (F.col("observed_from") <= F.col("queried_at")) & (F.col("observed_to").isNull() | (F.col("observed_to") > F.col("queried_at")))
+    asked = windowed(queries.select("id", "ip", "queried_at"), width).filter("ip IS NOT NULL")
+    return skew.dealt_join(asked, binned(assignments, queries, width), ["ip", "window"], "id", hot).filter(covers).select("id", "device_id", "queried_at")
 
 
-def identifier_join(queries: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """(id, device_id, kind) of name evidence: identifiers with the client's value, valid since they were first seen."""
+def candidate_pairs(queries: DataFrame, assignments: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(ip, pairs, whole): how many pairs of a query and a span each address compares by windows, and would without them."""
+    asked = windowed(queries, width).groupBy("ip", "window").agg(F.count("*").alias("q"))
+    spans = binned(assignments, queries, width).groupBy("ip", "window").agg(F.count("*").alias("s"))
+    pairs = asked.join(spans, ["ip", "window"]).groupBy("ip").agg(F.sum(F.col("q") * F.col("s")).alias("pairs"))
+    whole = queries.groupBy("ip").agg(F.count("*").alias("q")).join(assignments.groupBy("ip").agg(F.count("*").alias("s")), "ip")
+    return whole.join(pairs, "ip", "left").select("ip", F.coalesce("pairs", F.lit(0)).alias("pairs"), (F.col("q") * F.col("s")).alias("whole"))
+
+
+def identifier_join(queries: DataFrame, identifiers: DataFrame, hot: int = skew.HOT) -> DataFrame:
+    """(id, device_id, kind) of name evidence: identifiers with the client's value, valid since they were first seen.
+
+    A value has one owner of each kind; clients that a great many queries name are dealt over several tasks.
+    """
     names = identifiers.filter(F.col("kind").isin("dns_client", "hostname")).select(F.col("value").alias("_value"), "kind", "device_id", "first_seen")
-    q = queries.select("id", "queried_at", F.trim("client").alias("_client"))
-    return q.join(names, (F.col("_client") == F.col("_value")) & (F.col("first_seen") <= F.col("queried_at"))).select("id", "device_id", "kind")
+    asked = queries.select("id", "queried_at", F.trim("client").alias("_value")).filter("_value <> ''")
+    return skew.dealt_join(asked, names, ["_value"], "id", hot).filter("first_seen <= queried_at").select("id", "device_id", "kind")
+
+
+def reassigned_addresses(queries: DataFrame, assignments: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(ip, window): addresses that more than one device held within a window of ``width`` seconds."""
+    return binned(assignments, queries, width).groupBy("ip", "window").agg(F.count_distinct("device_id").alias("devices")).filter("devices > 1").select("ip", "window")
 
 
 def ip_reassignment(assignments: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -41,8 +81,8 @@ def confidence_score(ip: Column, client: Column, hostname: Column) -> Column:
 def attribution(queries: DataFrame, evidence: DataFrame, reassigned: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id, status, device_id, confidence, needs_review, candidates, evidence, conflicts) of every query (id, ip, ...).
 
-    ``evidence``: (id, device_id, kind in ip, dns_client, hostname). Several candidate devices, or an address
-    in ``reassigned`` (ip), make a query ambiguous with score 0; one candidate below the threshold keeps
+    ``evidence``: (id, device_id, kind in ip, dns_client, hostname). Several candidate devices, or an address in
+    ``reassigned`` (ip, or ip and the query's window), make a query ambiguous with score 0; one candidate below the threshold keeps
     its score but stays unattributed. ``evidence`` holds each match with its weight, ``conflicts`` a record (reason,
     device_ids, match_kinds) of all that blocks attribution, the address first.
     """
@@ -50,11 +90,12 @@ def attribution(queries: DataFrame, evidence: DataFrame, reassigned: DataFrame |
     weight = F.when(F.col("kind") == "ip", IP).when(F.col("kind") == "dns_client", CLIENT).otherwise(HOSTNAME).cast("decimal(5,4)")
     match = F.struct("kind", "device_id", weight.alias("weight"))
     summed = evidence.groupBy("id").agg(F.min("device_id").alias("only"), F.array_sort(F.collect_set("device_id")).alias("candidates"), F.array_sort(F.collect_set(match)).alias("evidence"), has("ip").alias("by_ip"), has("dns_client").alias("by_client"), has("hostname").alias("by_name"))
-    joined = queries.select("id", "ip").join(summed, "id", "left")
+    where = ["ip", "window"] if reassigned is not None and "window" in reassigned.columns else ["ip"]
+    joined = queries.select("id", *where).join(summed, "id", "left")
     if reassigned is None:
         joined = joined.withColumn("moved", F.lit(False))
     else:
-        joined = joined.join(reassigned.select("ip").distinct().withColumn("moved", F.lit(True)), "ip", "left")
+        joined = joined.join(reassigned.select(*where).distinct().withColumn("moved", F.lit(True)), where, "left")
     moved, several = F.coalesce("moved", F.lit(False)), F.coalesce(F.size("candidates") > 1, F.lit(False))
     kinds = F.array_distinct(F.transform("evidence", lambda e: e["kind"]))
     record = lambda reason: F.struct(F.lit(reason).alias("reason"), F.coalesce("candidates", F.array()).alias("device_ids"), F.coalesce(kinds, F.array()).alias("match_kinds"))

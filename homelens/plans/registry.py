@@ -182,27 +182,15 @@ def _(s, d):
 
 
 def _by_address(s: SparkSession, d: str) -> DataFrame:
-    return correlate.interval_join(V.lookups(s, d), V.assignments(s, d)).select("id", "device_id")
-
-
-def _client() -> Column:
-    return F.concat(F.lit(" "), "ip").alias("client")
+    return correlate.interval_join(V.addressed(s, d), V.assignments(s, d)).select("id", "device_id")
 
 
 def _evidence(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every lookup, its evidence of all kinds, and the addresses that changed hands while the lookups were made.
-
-    Names belong to the first device that showed them: DNS clients among the sightings that also give the
-    addresses, host names among all lookups.
-    """
-    q = V.lookups(s, d)
-    sight = lambda rows, kind: rows.select(F.col("id").alias("seq"), F.lit(kind).alias("kind"), F.col("ip").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
-    claims = identity.identifier_claims(sight(q.filter("event_type = 'signup'"), "dns_client").unionByName(sight(q, "hostname")))
-    named = correlate.identifier_join(q.select("id", "queried_at", _client()), claims)
+    """Every lookup, its evidence of all kinds, and the addresses that changed hands within its day."""
+    q = V.addressed(s, d)
+    named = correlate.identifier_join(q, V.names(s, d))
     evidence = _by_address(s, d).withColumn("kind", F.lit("ip")).unionByName(named)
-    span = q.agg(F.min("queried_at").alias("_from"), F.max("queried_at").alias("_to"))
-    reassigned = correlate.ip_reassignment(V.assignments(s, d).crossJoin(span), F.col("_from"), F.col("_to"))  # span is one row
-    return q, evidence, reassigned
+    return correlate.windowed(q), evidence, correlate.reassigned_addresses(q, V.assignments(s, d))
 
 
 def _attributed(s: SparkSession, d: str) -> DataFrame:
@@ -214,10 +202,34 @@ def _(s, d):
     return _by_address(s, d)
 
 
-@query("identifier_join", "SELECT l.id, f.device_id FROM lookups l JOIN (SELECT ip, device_id, min(queried_at) AS first_seen FROM lookups WHERE event_type = 'signup' GROUP BY 1, 2) f ON f.ip = l.ip AND f.first_seen <= l.queried_at")
+@query(
+    "interval_candidates",
+    """, days AS (SELECT DISTINCT date_trunc('day', queried_at) AS day FROM lookups),
+    per_day AS (
+        SELECT a.ip, d.day, count(*) AS s FROM assignments a JOIN days d
+        ON a.observed_from < d.day + INTERVAL 1 DAY AND (a.observed_to IS NULL OR a.observed_to > d.day) GROUP BY 1, 2),
+    asked AS (SELECT ip, date_trunc('day', queried_at) AS day, count(*) AS q FROM addressed GROUP BY 1, 2),
+    pairs AS (SELECT ip, sum(q * s) AS pairs FROM asked JOIN per_day USING (ip, day) GROUP BY 1),
+    whole AS (
+        SELECT ip, q * s AS whole FROM (SELECT ip, count(*) AS q FROM addressed GROUP BY 1)
+        JOIN (SELECT ip, count(*) AS s FROM assignments GROUP BY 1) USING (ip))
+    SELECT ip, coalesce(pairs, 0)::BIGINT AS pairs, whole FROM whole LEFT JOIN pairs USING (ip)""",
+)
+def _(s, d):
+    return correlate.candidate_pairs(V.addressed(s, d), V.assignments(s, d))
+
+
+_NAMES = """names AS (
+    SELECT s.kind, s.client, s.device_id, min(s.queried_at) AS first_seen
+    FROM addressed s JOIN (SELECT kind, client, arg_min(device_id, id) AS owner FROM addressed WHERE client <> '' GROUP BY 1, 2) o
+        ON o.kind = s.kind AND o.client = s.client AND o.owner = s.device_id
+    GROUP BY 1, 2, 3
+)"""
+
+
+@query("identifier_join", f", {_NAMES} SELECT l.id, n.kind, n.device_id FROM addressed l JOIN names n ON n.client = l.client AND n.first_seen <= l.queried_at")
 def _(s, d):
-    named = V.lookups(s, d).filter("event_type = 'signup'").groupBy(F.col("ip").alias("value"), "device_id").agg(F.min("queried_at").alias("first_seen")).withColumn("kind", F.lit("hostname"))
-    return correlate.identifier_join(V.lookups(s, d).select("id", "queried_at", _client()), named).select("id", "device_id")
+    return correlate.identifier_join(V.addressed(s, d), V.names(s, d)).select("id", "kind", "device_id")
 
 
 @query("ip_reassignment", f"SELECT ip, count(DISTINCT device_id) AS devices FROM assignments WHERE observed_from <= TIMESTAMP '{NOW}' AND (observed_to IS NULL OR observed_to > TIMESTAMP '{START}') GROUP BY 1 HAVING count(DISTINCT device_id) > 1")
@@ -233,20 +245,18 @@ def _(s, d):
     return kinds.withColumn("score", correlate.confidence_score(F.col("ip"), F.col("client"), F.col("hostname")).cast("double"))
 
 
-_ATTRIBUTED = """sightings AS (
-    SELECT id, 'dns_client' AS kind, ip, device_id, queried_at FROM lookups WHERE event_type = 'signup' UNION ALL SELECT id, 'hostname', ip, device_id, queried_at FROM lookups
-), names AS (
-    SELECT s.kind, s.ip, s.device_id, min(s.queried_at) AS first_seen FROM sightings s JOIN (SELECT kind, ip, arg_min(device_id, id) AS owner FROM sightings GROUP BY 1, 2) o ON o.kind = s.kind AND o.ip = s.ip AND o.owner = s.device_id GROUP BY 1, 2, 3
-), evidence AS (
-    SELECT id, 'ip' AS kind, device_id FROM matches UNION SELECT l.id, n.kind, n.device_id FROM lookups l JOIN names n ON n.ip = l.ip AND n.first_seen <= l.queried_at
+_ATTRIBUTED = f"""{_NAMES}, evidence AS (
+    SELECT id, 'ip' AS kind, device_id FROM matches UNION SELECT l.id, n.kind, n.device_id FROM addressed l JOIN names n ON n.client = l.client AND n.first_seen <= l.queried_at
 ), moved AS (
-    SELECT ip FROM assignments WHERE observed_from <= (SELECT max(queried_at) FROM lookups) AND (observed_to IS NULL OR observed_to > (SELECT min(queried_at) FROM lookups)) GROUP BY 1 HAVING count(DISTINCT device_id) > 1
+    SELECT a.ip, d.day FROM assignments a JOIN (SELECT DISTINCT date_trunc('day', queried_at) AS day FROM lookups) d
+        ON a.observed_from < d.day + INTERVAL 1 DAY AND (a.observed_to IS NULL OR a.observed_to > d.day)
+    GROUP BY 1, 2 HAVING count(DISTINCT device_id) > 1
 ), summed AS (
     SELECT id, count(DISTINCT device_id) AS devices, min(device_id) AS lone, bool_or(kind = 'ip') AS i, bool_or(kind = 'dns_client') AS c, bool_or(kind = 'hostname') AS h, string_agg(kind || ':' || device_id, ',' ORDER BY kind, device_id) AS evidence FROM evidence GROUP BY 1
 ), scored AS (
     SELECT l.id, coalesce(s.evidence, '') AS evidence, m.ip IS NOT NULL AS moved, coalesce(devices > 1, false) AS several, lone,
         CASE WHEN i AND c THEN 0.95 WHEN i AND h THEN 0.9 WHEN i THEN 0.8 WHEN c THEN 0.6 WHEN h THEN 0.55 ELSE 0 END::DOUBLE AS score
-    FROM lookups l LEFT JOIN summed s ON s.id = l.id LEFT JOIN moved m ON m.ip = l.ip
+    FROM addressed l LEFT JOIN summed s ON s.id = l.id LEFT JOIN moved m ON m.ip = l.ip AND m.day = date_trunc('day', l.queried_at)
 ), attributed AS (
     SELECT id, CASE WHEN moved OR several THEN 'ambiguous' WHEN lone IS NOT NULL AND score >= 0.7 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN NOT moved AND NOT several AND score >= 0.7 THEN lone END AS device_id,
         CASE WHEN moved OR several THEN 0::DOUBLE ELSE score END AS confidence, evidence, CASE WHEN moved AND several THEN 'ip_reassigned_in_window,multiple_candidate_devices' WHEN moved THEN 'ip_reassigned_in_window' WHEN several THEN 'multiple_candidate_devices' ELSE '' END AS conflicts

@@ -34,11 +34,32 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("device_id"), F.col("c_nationkey").alias("person_id"), F.lit(True).alias("active"), F.col("c_custkey").alias("assigned_at"))
 
 
+def addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups with an address and a client name: addresses of a device that last some days, a few that guests share, names
+    of a device, names that several devices show, and no name. ``seen`` is the address that the controller reports then."""
+    k, device = F.col("ip").cast("int"), F.col("device_id").cast("string")
+    own = F.concat(F.lit("a"), device, F.lit("."), F.floor(F.day("queried_at") / 10).cast("string"))
+    guest = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    shown = F.concat(F.lit("x"), (F.col("device_id") % 7).cast("string"))
+    client = F.when(k % 4 == 0, F.concat(F.lit(" c"), device)).when(k % 4 == 1, F.concat(F.lit("h"), device, F.lit(" "))).when(k % 4 == 2, shown).otherwise("")
+    return lookups(spark, sf_dir).select(
+        "id", "queried_at", "device_id", "domain", "status", F.when(k < 15, guest(k)).otherwise(own).alias("ip"), F.when(k < 15, guest(k * 7 % 15)).otherwise(own).alias("seen"),
+        client.alias("client"), F.when(k % 4 == 0, "dns_client").otherwise("hostname").alias("kind"),
+    )
+
+
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from homelens.operators.identity import ip_history
 
-    signups = lookups(spark, sf_dir).filter("event_type = 'signup'").select("id", "device_id", "ip", F.col("queried_at").alias("observed_at"))
-    return ip_history(signups)
+    return ip_history(addressed(spark, sf_dir).select("id", "device_id", F.col("seen").alias("ip"), F.col("queried_at").alias("observed_at")))
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client names with their owners: the first device that shows one."""
+    from homelens.operators.identity import identifier_claims
+
+    shown = addressed(spark, sf_dir).filter("client <> ''").select(F.col("id").alias("seq"), "kind", F.trim("client").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
+    return identifier_claims(shown)
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +90,15 @@ WITH lookups AS (
     SELECT n_nationkey AS person_id, n_name AS name, CASE n_regionkey WHEN 0 THEN 'parent' WHEN 1 THEN 'child' ELSE 'other' END AS role FROM nation
 ), links AS (
     SELECT c_custkey AS device_id, c_nationkey AS person_id FROM customer WHERE c_custkey % 3 <> 0
-), signups AS (
-    SELECT *, lag(ip) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS before FROM lookups WHERE event_type = 'signup'
+), addressed AS (
+    SELECT id, queried_at, device_id, domain, status, CASE WHEN k < 15 THEN 's' || k ELSE own END AS ip, CASE WHEN k < 15 THEN 's' || (k * 7 % 15) ELSE own END AS seen,
+        CASE k % 4 WHEN 0 THEN 'c' || device_id WHEN 1 THEN 'h' || device_id WHEN 2 THEN 'x' || (device_id % 7) ELSE '' END AS client, CASE k % 4 WHEN 0 THEN 'dns_client' ELSE 'hostname' END AS kind
+    FROM (SELECT *, ip::INTEGER AS k, 'a' || device_id || '.' || (day(queried_at) // 10) AS own FROM lookups)
+), sightings AS (
+    SELECT *, lag(seen) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS before FROM addressed
 ), assignments AS (
-    SELECT device_id, ip, queried_at AS observed_from, lead(queried_at) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS observed_to
-    FROM signups WHERE before IS NULL OR before <> ip
+    SELECT device_id, seen AS ip, queried_at AS observed_from, lead(queried_at) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS observed_to
+    FROM sightings WHERE before IS NULL OR before <> seen
 ), transitions AS (
     SELECT id, queried_at AS seen_at, device_id, CASE event_type WHEN 'click' THEN 'connect' ELSE 'disconnect' END AS kind FROM lookups WHERE event_type IN ('click', 'signup')
 ), snapshots AS (
@@ -100,6 +125,6 @@ WITH lookups AS (
         count(DISTINCT CASE WHEN first_seen >= TIMESTAMP '{START}' THEN w.domain END) AS new_domain_count, count(DISTINCT date_trunc('hour', queried_at)) AS active_hour_count
     FROM win w JOIN first_seen f ON f.device_id = w.device_id AND f.domain = w.domain GROUP BY 1
 ), matches AS (
-    SELECT l.id, l.ip, a.device_id FROM lookups l JOIN assignments a ON a.ip = l.ip AND a.observed_from <= l.queried_at AND (a.observed_to IS NULL OR a.observed_to > l.queried_at)
+    SELECT l.id, l.ip, a.device_id FROM addressed l JOIN assignments a ON a.ip = l.ip AND a.observed_from <= l.queried_at AND (a.observed_to IS NULL OR a.observed_to > l.queried_at)
 )
 """
