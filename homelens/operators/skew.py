@@ -20,12 +20,12 @@ def hot_keys(rows: DataFrame, keys: list[str], hot: int = HOT) -> DataFrame:
     return found.select(*keys, F.ceil(F.col("_n") / F.col("_least")).cast("int").alias("_shares"))
 
 
-def dealt_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, hot: int = HOT) -> DataFrame:
-    """Inner join on ``keys``. Rows of ``large`` that hold a hot key are dealt over shares by a hash of ``by``, and the
+def dealt_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, hot: int = HOT, how: str = "inner") -> DataFrame:
+    """Inner or left join on ``keys``. Rows of ``large`` that hold a hot key are dealt over shares by a hash of ``by``, and the
     few rows of ``small`` with that key go to each share."""
     some = F.broadcast(hot_keys(large, keys, hot))
     share = F.coalesce(F.pmod(F.xxhash64(by), F.col("_shares")).cast("int"), F.lit(0))
     left = large.join(some, keys, "left").withColumn("_share", share).drop("_shares")
     shares = F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)
     right = small.join(some, keys, "left").withColumn("_share", F.explode(shares)).drop("_shares")
-    return left.join(right, [*keys, "_share"]).drop("_share")
+    return left.join(right, [*keys, "_share"], how).drop("_share")

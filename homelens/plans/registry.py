@@ -11,6 +11,7 @@ from homelens.functions import normalize as N
 from homelens.functions import phrasing
 from homelens.operators import activity, baseline, changes, correlate, dashboard, events, feedback, findings, health, identity
 from homelens.plans import views as V
+from homelens.session import shared_folder
 
 NOW, START = V.NOW, V.START
 DAY = 86400
@@ -370,14 +371,46 @@ def _(s, d):
     return identity.unknown_flag(V.lookups(s, d).select("device_id", F.when(F.col("event_type") == "signup", "mac").otherwise("ip").alias("kind")))
 
 
-@query("device_resolution")
+_RESOLVED = """observed AS (
+    SELECT id AS seq, CASE WHEN id % 7 <> 0 THEN 'm' || device_id || '.' || (id % 3) END AS mac,
+        CASE WHEN id % 3 <> 0 THEN 'u' || (CASE WHEN id % 11 = 0 THEN device_id + 1 ELSE device_id END) || '.' || (id % 5) END AS controller_id
+    FROM lookups
+), pairs AS (
+    SELECT mac, controller_id, min(seq) AS seq FROM observed WHERE mac IS NOT NULL OR controller_id IS NOT NULL GROUP BY 1, 2
+), pointers AS (
+    SELECT mac, controller_id, seq, CASE WHEN mac IS NOT NULL AND first_mac < seq THEN first_mac WHEN controller_id IS NOT NULL AND first_id < seq THEN first_id ELSE seq END AS up
+    FROM (SELECT *, min(seq) OVER (PARTITION BY mac) AS first_mac, min(seq) OVER (PARTITION BY controller_id) AS first_id FROM pairs)
+), walk AS (
+    SELECT seq AS leaf, up FROM pointers UNION ALL SELECT w.leaf, p.up FROM walk w JOIN pointers p ON p.seq = w.up WHERE p.up <> p.seq
+), ended AS (SELECT leaf, min(up) AS device_seq FROM walk GROUP BY 1),
+resolved AS (
+    SELECT o.seq, coalesce(e.device_seq, o.seq) AS device_seq FROM observed o
+    LEFT JOIN pointers p ON p.mac IS NOT DISTINCT FROM o.mac AND p.controller_id IS NOT DISTINCT FROM o.controller_id LEFT JOIN ended e ON e.leaf = p.seq
+)"""
+
+
+def _observed(s: SparkSession, d: str) -> DataFrame:
+    """A sighting for each lookup: parts of devices with identifiers of their own, some shown by the next device."""
+    shared_folder(s, "devices")  # sets the checkpoint folder where none is set
+    key = F.col("id")
+    other = F.when(key % 11 == 0, F.col("device_id") + 1).otherwise(F.col("device_id"))
+    mac = F.when(key % 7 != 0, F.concat(F.lit("m"), "device_id", F.lit("."), (key % 3).cast("string")))
+    return V.lookups(s, d).select(key.alias("seq"), mac.alias("mac"), F.when(key % 3 != 0, F.concat(F.lit("u"), other.cast("string"), F.lit("."), (key % 5).cast("string"))).alias("controller_id"))
+
+
+@query("device_resolution", f", {_RESOLVED} SELECT * FROM resolved")
 def _(s, d):
-    if not s.sparkContext.getCheckpointDir():
-        import tempfile
+    return identity.resolve_devices(_observed(s, d)).select("seq", "device_seq")
+
 
-        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    seen = V.lookups(s, d).filter("event_type = 'signup'").select(F.col("id").alias("seq"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("m"), "device_id")).alias("mac"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("u"), F.col("device_id"))).alias("controller_id"))
-    return identity.resolve_devices(seen).select("seq", "device_seq")
+@query("device_resolution_batches", f", {_RESOLVED} SELECT * FROM resolved")
+def _(s, d):
+    """The same devices from two batches, the second one against the claims of the first."""
+    seen = _observed(s, d)
+    middle = seen.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    early, claims = identity.resolve_batch(seen.filter(F.col("seq") <= middle))
+    late, _ = identity.resolve_batch(seen.filter(F.col("seq") > middle), claims)
+    return early.unionByName(late).select("seq", "device_seq")
 
 
 @query("online_devices", f"SELECT device_id FROM devices WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY")

@@ -79,7 +79,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH lookups AS (
+WITH RECURSIVE lookups AS (
     SELECT event_id AS id, ts AS queried_at, user_id AS device_id, 'd' || regexp_extract(props, '[0-9]+') || '.example' AS domain,
         CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'cached' ELSE 'allowed' END AS status, regexp_extract(props, '[0-9]+') AS ip, event_type, value
     FROM events
