@@ -29,7 +29,8 @@ SUCCEEDED, FAILED = "succeeded", "failed"
 ENTRY = "batch_id string, source string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, records long, error string, attempts array<string>"
 
 
-def _system(uri: str):
+def filesystem(uri: str):
+    """(file system, path in it) of a URI."""
     from pyarrow import fs
 
     if "://" not in uri and not uri.startswith("file:"):
@@ -58,7 +59,7 @@ class _Batch:
         import pyarrow.parquet as pq
 
         attempt = uuid.uuid4().hex  # a task that runs twice leaves two files, of which the ledger names one
-        system, folder = _system(f"{self.path}/data/attempt={attempt}")
+        system, folder = filesystem(f"{self.path}/data/attempt={attempt}")
         out, records, file = None, 0, f"{folder}/rows.parquet"
         try:
             for batch in batches:
@@ -83,7 +84,7 @@ class _Batch:
 
     def enter(self, status: str, messages: list[Written], error: str | None) -> None:
         """Write the ledger file of this batch, unless it succeeded before."""
-        system, folder = _system(f"{self.path}/ledger")
+        system, folder = filesystem(f"{self.path}/ledger")
         system.create_dir(folder, recursive=True)
         name = f"{folder}/{quote(self.batch_id, safe='')}.json"
         if system.get_file_info(name).is_file:
@@ -179,6 +180,9 @@ def batches(spark: SparkSession, path: str) -> DataFrame:
 
 def rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of all succeeded batches, with batch_id. Files of other attempts are pruned by the join."""
+    system, folder = filesystem(f"{path.rstrip('/')}/data")
+    if not system.get_file_info(folder).type:  # no batch has had a row
+        return spark.createDataFrame([], f"{schema}, batch_id string")
     data = spark.read.schema(f"{schema}, attempt string").option("basePath", f"{path.rstrip('/')}/data").parquet(f"{path.rstrip('/')}/data")
     good = batches(spark, path).filter(F.col("status") == SUCCEEDED).select("batch_id", F.explode("attempts").alias("attempt"))
     return data.join(good, "attempt").drop("attempt")
