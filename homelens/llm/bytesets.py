@@ -2,7 +2,8 @@
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 A word's hash is a polynomial in a fixed odd base over random byte values, taken from prefix sums, so
-hashing costs a few passes over the bytes whatever the number of words.
+hashing costs a few passes over the bytes whatever the number of words. Polynomials modulo 2^64 have systematic
+collisions among long words, so words over ``LONG`` bytes are hashed one by one with XXH3.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _RNG = np.random.default_rng(20240131)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -20,6 +22,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +87,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     np.cumsum(BYTE[LOWER[data] if lower else data] * powers(BASE, len(data)), out=sums[1:])
     back = powers(INVERSE, len(data))
     hashes = mix((sums[end] - sums[first]) * back[first])
+    for k in np.flatnonzero(end - first > LONG).tolist():
+        word = data[first[k] : end[k]]
+        hashes[k] = xxhash.xxh3_64_intdigest((LOWER[word] if lower else word).tobytes())
     return hashes, np.searchsorted(first, offsets)
 
 

@@ -25,34 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homelens.llm import bytesets, storage
+from homelens.llm import blocks, bytesets, storage
 from homelens.llm.sizing import text_bytes
 
 WINDOW, GRAM, HOT = 13, 6, 64
 BLOCK, RANGE, REFERENCE = 4 << 20, 48 << 20, 8 << 20
 STEP = 1 << 20
 U = np.uint64
-LAST = 2**63 - 1
 ANCHORS, CONTEXTS = 0, 1
-BLOCKS = "block long, ids binary, sizes binary, texts binary"
 NAMES = "shard int, block long, names binary, many binary"
 SENT = "shard int, block long, holders binary, size long, contexts binary"
 ANSWERS = "block long, kind int, shard int, codes binary"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long>>, kept string"
 
 
-def _squeezed(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
-
-
-def _opened(raw: bytes, size: int) -> bytes:
-    return pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b""
-
-
 def _numbers(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
@@ -63,9 +52,7 @@ class _Block:
     def __init__(self, table: pa.Table, window: int) -> None:
         self.window = window
         self.block = table.column("block")[0].as_py()
-        self.ids = _numbers(table.column("ids"), "<i8")
-        sizes = _numbers(table.column("sizes"), "<i8")
-        self.raw = _opened(table.column("texts")[0].as_py(), int(sizes.sum()))
+        self.ids, sizes, self.raw = blocks.opened(table)
         data, cuts = np.frombuffer(self.raw, np.uint8), np.cumsum(np.append(0, sizes))
         inside = ~bytesets.SPACE[data]
         edge = np.zeros(len(data) + 1, bool)  # a word can end only at white space or at a document's end
@@ -175,7 +162,7 @@ class _Contexts:
         last = self.low + self.count + block.window - 1
         self.of = np.array([known.setdefault(block.phrase(a, b), len(known)) for a, b in zip(self.low.tolist(), last.tolist(), strict=True)], np.int64)
         self.texts = list(known)
-        self.least = np.full(len(known), LAST, np.int64)
+        self.least = np.full(len(known), blocks.LAST, np.int64)
         np.minimum.at(self.least, self.of, self.holder)
         self.shard = np.zeros(len(known), np.int64)
         self.shard[self.of] = shard
@@ -188,7 +175,7 @@ class _Contexts:
         for s, i, j in zip(of.tolist(), cuts, cuts[1:], strict=False):
             some = self.order[i:j]
             raw = b"\n".join([self.texts[k] for k in some.tolist()])
-            rows.append((s, block, self.least[some].tobytes(), len(raw), _squeezed(raw)))
+            rows.append((s, block, self.least[some].tobytes(), len(raw), blocks.squeezed(raw)))
         return _table(rows, SENT)
 
     def matched(self, answers: pa.Table, window: int) -> np.ndarray:
@@ -227,7 +214,7 @@ def _reference(table: pa.Table, window: int) -> pa.Table:
     texts: list[bytes] = []
     cuts = [0]
     for size, raw in zip(table.column("size").to_pylist(), table.column("contexts").to_pylist(), strict=True):
-        texts += _opened(raw, size).split(b"\n")
+        texts += blocks.unsqueezed(raw, size).split(b"\n")
         cuts.append(len(texts))
     found = np.array(_factored(texts, _numbers(table.column("holders"), "<i8").tolist(), window), np.uint8)
     shard = table.column("shard")[0].as_py()
@@ -251,38 +238,12 @@ def _left(block: _Block, starts: np.ndarray) -> pa.Table:
         mine = list(zip(runs[of[k] : of[k + 1]].tolist(), ends[of[k] : of[k + 1]].tolist(), strict=True))
         spans.append([{"start": a - begin, "length": b - a} for a, b in mine if gone[a]])
         kept.append(b" ".join([block.phrase(a, b) for a, b in mine if not gone[a]]).decode())
-    doc_ids = pa.array(block.ids, pa.int64(), mask=block.ids == LAST)
+    doc_ids = pa.array(block.ids, pa.int64(), mask=block.ids == blocks.LAST)
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     columns = [doc_ids, pa.array(np.diff(block.bounds)), pa.array(np.diff(total[block.bounds])), pa.array(spans, kinds), pa.array(kept, pa.string())]
     return pa.table(columns, names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole documents, about ``most`` bytes each, numbered by task."""
-    task, made = TaskContext.get().partitionId() << 32, 0
-    texts: list[bytes] = []
-    ids: list[int] = []
-    size = 0
-
-    def closed() -> pa.RecordBatch:
-        nonlocal made
-        made += 1
-        sizes = np.array([len(t) for t in texts], "<i8")
-        row = (task + made, np.array(ids, "<i8").tobytes(), sizes.tobytes(), _squeezed(b"".join(texts)))
-        return _table([row], BLOCKS).to_batches()[0]
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            texts.append(text.as_py().encode())
-            ids.append(LAST if doc_id is None else doc_id)
-            size += len(texts[-1]) + 16
-            if size > most:
-                yield closed()
-                texts, ids, size = [], [], 0
-    if texts:
-        yield closed()
-
-
 def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept): each text without the words of passages of ``window`` words and more that
     a document with a smaller doc_id has as well; spans count words. The window is 7 to 13 words long."""
@@ -291,9 +252,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = text_bytes(docs)
     bits = max(6, min(24, (total // RANGE).bit_length()))
     references = max(64, total // REFERENCE)
-    most = int(min(16 * BLOCK, max(BLOCK, 64 * total**0.5)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = storage.materialize(texts.mapInArrow(lambda batches: _packed(batches, most), BLOCKS), "text-blocks", {"parquet.block.size": str(16 << 20)})
+    packed = blocks.pack(docs, int(min(16 * BLOCK, max(BLOCK, 64 * total**0.5))), "text-blocks")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,8 +267,8 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         block = _Block(rows, window)
         return _left(block, _Contexts(block, answers, bits, references).matched(answers, window))
 
-    by_block = blocks.groupBy("block")
-    shared = storage.materialize(blocks.mapInArrow(names, NAMES).groupBy("shard").applyInArrow(_meet, ANSWERS), "shared-anchors")
+    by_block = packed.groupBy("block")
+    shared = storage.materialize(packed.mapInArrow(names, NAMES).groupBy("shard").applyInArrow(_meet, ANSWERS), "shared-anchors")
     contexts = by_block.cogroup(shared.groupBy("block")).applyInArrow(ask, SENT)
     factors = contexts.groupBy("shard").applyInArrow(lambda table: _reference(table, window), ANSWERS)
     return by_block.cogroup(shared.unionByName(factors).groupBy("block")).applyInArrow(cut, RESULT)

@@ -1,10 +1,12 @@
 """Removal of repeated byte strings by bucket-pointer refinement over sampled suffixes.
 
-Every suffix starts in the bucket of its q-gram, 8 bytes, whose code is the bucket's identifier. A bucket
+Every suffix starts in the bucket of its q-gram, 8 bytes, whose mixed code is the bucket's identifier. A bucket
 is refined by the identifiers at later offsets: the identifier of depth 2h at a place is made of those of
 depth h there and h bytes on, and each round takes up what the round before has made (``_Buckets``).
 Equality is all that is asked for, so an identifier is a 64-bit name, the same in every task, in place of a
-rank that only a global sort could give.
+rank that only a global sort could give. Identifiers are drawn in two lanes, each from q-grams mixed with a number of
+its own that the driver draws for each run: buckets are named in one lane and whole windows in the other, so a match rests on
+two independent names, and nobody can write texts whose names agree, since the numbers are not known before.
 
 Buckets are sorted across tasks only where a match can begin. Each window of ``window`` bytes owns the
 leftmost smallest 64-byte bucket in it, so equal windows own equal buckets at equal offsets. The buckets of
@@ -12,10 +14,10 @@ these places meet by ranges of identifiers, and a range sorts its buckets on the
 of the first and the last window that the place owns. A bucket with one place is done: none of its
 windows occurs again. Places that agree on both identifiers share all their windows. The rest stays open,
 and is refined once more by the full-depth identifiers of each of its windows; where a bucket has several
-contexts, one holder of each shared context takes part for all of them. Every match rests on two 64-bit
-names, of the 64-byte bucket and of the whole string.
+contexts, one holder of each shared context takes part for all of them.
 
-Tasks send each distinct name once per block of documents, in packed arrays by range, and get one code
+Documents are packed into blocks and written once, so that all steps see the same blocks whatever is run again. Tasks
+send each distinct name once per block of documents, in packed arrays by range, and get one code
 back for each; a passage in every document costs one name a block. Blocks and ranges follow from the
 size of the corpus.
 
@@ -32,9 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from homelens.llm import bytesets
+from homelens.llm import blocks, bytesets
 from homelens.llm.sizing import text_bytes
 
 GRAM = 64
@@ -62,11 +63,11 @@ def _pair(here: np.ndarray, later: np.ndarray) -> np.ndarray:
 
 
 class _Buckets:
-    """Bucket identifiers of all suffixes of a byte array: the q-gram's 8 bytes, then depths 16, 32 and 64."""
+    """Bucket identifiers, in one lane, of all suffixes of a byte array: the q-gram's 8 bytes, then depths 16, 32 and 64."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, lane: int) -> None:
         data = np.ascontiguousarray(data)
-        names = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,)).copy()
+        names = bytesets.mix(np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,)) ^ U(lane))
         depth = 8
         while depth < GRAM:
             names = _pair(names[:-depth], names[depth:]) if len(names) > depth else names[:0]
@@ -96,12 +97,10 @@ def _owners(names: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     return (np.minimum(behind[starts], ahead[starts + span - 1]) & ((U(1) << bits) - U(1))).astype(np.int64)
 
 
-def _whole(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """(rows in an order of their own, all their bytes, offsets)."""
-    table = table.sort_by([("doc_id", "ascending"), ("tid", "ascending")])
-    text = table.column("text").cast(pa.large_string()).combine_chunks()
-    data, offsets = bytesets.text_buffers(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
-    return table, data, offsets
+def _whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, all bytes, offsets) of a block."""
+    ids, sizes, raw = blocks.opened(table)
+    return ids, np.frombuffer(raw, np.uint8), np.cumsum(np.append(0, sizes))
 
 
 def _windows_out(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
@@ -136,19 +135,20 @@ def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)
 
 
-def _places(data: np.ndarray, offsets: np.ndarray, window: int, piece: int = PIECE) -> list[np.ndarray]:
+def _places(data: np.ndarray, offsets: np.ndarray, window: int, lanes: tuple[int, int], piece: int = PIECE) -> list[np.ndarray]:
     """[place, first and last window that owns it, 64-byte bucket, context] of all places that windows own."""
     found = []
     for begin, first, count in _cuts(offsets, window, piece):
         starts = _runs(first, count)
-        buckets = _Buckets(data[begin : begin + int(starts[-1]) + window])
+        some = data[begin : begin + int(starts[-1]) + window]
+        buckets, strings = _Buckets(some, lanes[0]), _Buckets(some, lanes[1])
         owner = _owners(buckets.names, starts, window - GRAM + 1)
         new = np.ones(len(starts), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)
         head = np.flatnonzero(new)
         at, low, high = owner[head], starts[head], starts[np.append(head[1:], len(starts)) - 1]
         offset = (at - low).astype(U) << U(32) | (at - high).astype(U)
-        context = _pair(_pair(buckets.at(low, window), buckets.at(high, window)), offset)
+        context = _pair(_pair(strings.at(low, window), strings.at(high, window)), offset)
         found.append((at + begin, low + begin, high + begin, bytesets.mix(buckets.at(at, GRAM)), context))  # mixed: the least names are no even ranges
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, U)]
 
@@ -221,7 +221,7 @@ def _states(places: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array([places.column("block")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in kept)], names=["block", "at", "back", "gram", "state"])
 
 
-def _open_windows(data: np.ndarray, states: pa.Table, window: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_windows(data: np.ndarray, states: pa.Table, window: int, lane: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, identifiers at full depth, buckets) of the windows that are open or stand for a shared context."""
     _, first, last = _windows_in(states)
     gram, asks = _array(states, "gram", U), _array(states, "state", np.uint8) != SETTLED
@@ -238,9 +238,9 @@ def _open_windows(data: np.ndarray, states: pa.Table, window: int, piece: int =
         begin, stop = low[head], high[np.append(head[1:], j - i) - 1] + window
         moved = np.cumsum(stop - begin) - (stop - begin) - begin
         starts = _runs(low, high - low + 1)
-        buckets = _Buckets(data[_runs(begin, stop - begin)])
+        strings = _Buckets(data[_runs(begin, stop - begin)], lane)
         group = np.repeat(np.cumsum(new) - 1, high - low + 1)
-        found.append((starts, buckets.at(starts + moved[group], window), np.repeat(gram[i:j], high - low + 1)))
+        found.append((starts, strings.at(starts + moved[group], window), np.repeat(gram[i:j], high - low + 1)))
         i = j
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, U), np.empty(0, U))
 
@@ -249,17 +249,14 @@ def remove_repeats(docs: DataFrame, window: int = 200, piece: int = PIECE) -> Da
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): each text without the bytes of any
     ``window``-byte string that starts anywhere else as well."""
     total = text_bytes(docs)
-    blocks = max(64, total // int(min(16 * BLOCK, max(BLOCK, 64 * total**0.5))))
     bits = max(6, (total // RANGE).bit_length())
     ranges = 1 << bits
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tid = F.xxhash64(text)
-    block = F.pmod(F.xxhash64("doc_id", tid, F.spark_partition_id()), F.lit(blocks))  # the partition parts rows that repeat
-    by_block = docs.select(block.alias("block"), F.col("doc_id").cast("long"), tid.alias("tid"), text.alias("text")).groupBy("block")
+    lanes = tuple(int(x) for x in np.random.default_rng().integers(0, 2**63, 2))
+    by_block = blocks.pack(docs, int(min(16 * BLOCK, max(BLOCK, 64 * total**0.5))), "repeat-blocks").groupBy("block")
 
     def places(table: pa.Table) -> pa.Table:
         _, data, offsets = _whole(table)
-        *windows, gram, context = _places(data, offsets, window, piece)
+        *windows, gram, context = _places(data, offsets, window, lanes, piece)
         found = [*_windows_out(*windows), gram.tobytes(), context.tobytes()]
         return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in found)], names=["block", "at", "back", "gram", "context"])
 
@@ -277,19 +274,19 @@ def remove_repeats(docs: DataFrame, window: int = 200, piece: int = PIECE) -> Da
         if not table.num_rows or not states.num_rows:
             return _packed(0, [], bits)
         _, data, _ = _whole(table)
-        _, names, grams = _open_windows(data, states, window, piece)
+        _, names, grams = _open_windows(data, states, window, lanes[1], piece)
         return _packed(table.column("block")[0].as_py(), [(ranges, *_distinct(names, grams))], bits)
 
     def answer(states: pa.Table, answers: pa.Table) -> pa.Table:
         return states.append_column("codes", pa.array([_codes(answers).tobytes() if answers.num_rows else b""] * states.num_rows, pa.binary()))
 
     def cut(table: pa.Table, states: pa.Table) -> pa.Table:
-        rows, data, offsets = _whole(table)
+        ids, data, offsets = _whole(table)
         starts = np.empty(0, np.int64)
         if states.num_rows:
             _, first, last = _windows_in(states)
             done = _array(states, "state", np.uint8) != OPEN
-            asked, names, _ = _open_windows(data, states, window, piece)
+            asked, names, _ = _open_windows(data, states, window, lanes[1], piece)
             again = _array(states, "codes", np.uint8)[np.unique(names, return_inverse=True)[1]] > 0
             starts = np.union1d(_runs(first[done], last[done] - first[done] + 1), asked[again])
         doc = np.searchsorted(offsets, starts, "right") - 1
@@ -307,7 +304,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, piece: int = PIECE) -> Da
             kept.append(b"".join(raw[x:y] for x, y in left))
         digest = [hashlib.sha256(x).hexdigest() for x in kept]
         return pa.table(
-            [rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(bound)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+            [pa.array(ids, pa.int64(), mask=ids == blocks.LAST), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(bound)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 

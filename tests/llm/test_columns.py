@@ -88,3 +88,19 @@ def test_files_are_closed_when_full(spark, monkeypatch):
     assert [r[1] for r in got] == np.append(0, np.cumsum([r[2] for r in got]))[:-1].tolist()
     assert [r[0] for r in got] == sorted((r[0] for r in got), key=lambda d: (d is not None, d or 0))
     assert got == [tuple(r) for r in tokenfiles.token_files(docs.repartition(3)).orderBy("start").collect()]
+
+
+def test_long_words_have_names_of_their_own():
+    """The Thue-Morse word and its complement, which collide under any polynomial modulo 2^64."""
+    import numpy as np
+
+    from homelens.llm import bytesets
+
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    for n in (512, 1024, 2048, 4096):
+        raw = "".join("ab"[b] for b in bits[:n]) + " " + "".join("ba"[b] for b in bits[:n])
+        names, _ = bytesets.word_hashes(np.frombuffer(raw.encode(), np.uint8), np.array([0, len(raw)]))
+        assert len(set(names.tolist())) == 2
+    upper = ("A" * 300 + " " + "a" * 300).encode()
+    names, _ = bytesets.word_hashes(np.frombuffer(upper, np.uint8), np.array([0, len(upper)]))
+    assert names[0] == names[1]

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from homelens.llm import factors
+from homelens.llm import blocks, factors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,7 +55,7 @@ def test_passages_of_hard_rows(spark, monkeypatch, window, block, hot):
     rows = hard_rows()
     docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, block int, shard string, ids int").repartition(3)
     monkeypatch.setattr(factors, "HOT", hot)
-    monkeypatch.setattr(factors, "_packed", lambda batches, most, whole=factors._packed: whole(batches, block))
+    monkeypatch.setattr(blocks, "_packed", lambda batches, most, whole=blocks._packed: whole(batches, block))
     found = factors.remove_passages(docs, window).collect()
     assert Counter((r[0], r[1], r[2], tuple((s["start"], s["length"]) for s in r[3]), r[4]) for r in found) == Counter(plain(rows, window))
 

@@ -60,6 +60,22 @@ def test_no_task_depends_on_where_pieces_end():
     draw = np.random.default_rng(3)
     data = draw.integers(97, 101, 5000).astype(np.uint8)
     offsets = np.array([0, 1200, 1200, 1350, 5000])
-    whole = suffixes._places(data, offsets, 200)
+    whole = suffixes._places(data, offsets, 200, (5, 7))
     assert (np.concatenate([np.arange(a, b + 1) for a, b in zip(whole[1], whole[2])]) == np.concatenate([np.arange(1001), np.arange(1350, 4801)])).all()
     assert all(low <= at <= high + 136 for at, low, high in zip(*whole[:3]))
+
+
+def test_texts_that_were_written_to_have_equal_names(spark):
+    draw = random.Random(8)
+    tail = "".join(draw.choices("abcdefgh ", k=400))
+    texts = ["T4U}^+cwozvthar" + "x", "'`wKgdMl%tjmogsok", "other sixteen by"]
+    docs = spark.createDataFrame([(i, t + tail) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert [r["n_removed"] for r in suffixes.remove_repeats(docs).orderBy("doc_id").collect()] == [400] * 3
+
+
+def test_blocks_of_a_shuffled_input_with_repeated_rows(spark):
+    draw = random.Random(10)
+    rows = [(k % 5, "".join(draw.choices("abcdef", k=300))) for k in range(40)] * 3 + [(None, "q" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    found = suffixes.remove_repeats(docs).drop("kept")
+    assert Counter(tuple(r) for r in found.collect()) == Counter((i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], 200)))
