@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import normalize_domain, percent
@@ -11,27 +11,32 @@ Z_CUT, PERCENTILE, SAMPLES, HOUR_SHARE = 2.0, 0.95, 14, 0.5
 
 
 def window_samples(lookups: DataFrame, end: str, seconds: int = 86400, samples: int = SAMPLES, subject: str = "device_id") -> DataFrame:
-    """One row for each subject and trailing window with lookups: (subject, idx, metrics), in one pass.
+    """One row for each subject and trailing window with lookups: (subject, idx, metrics).
 
     Window i ends i windows before ``end``. Windows are closed at both ends, so a lookup on a border counts
     in both. A domain is new in the window that holds its first lookup ever.
     """
-    age = F.unix_micros(F.lit(end).cast("timestamp")) - F.unix_micros(F.col("queried_at").cast("timestamp"))
-    step = seconds * 1_000_000
-    first = F.min("queried_at").over(Window.partitionBy(subject, "domain"))
-    aged = lookups.withColumn("domain", normalize_domain(F.col("domain"))).withColumn("first_seen", first).withColumn("age", age).filter("age >= 0")
+    end_at, step = F.unix_micros(F.lit(end).cast("timestamp")), seconds * 1_000_000
+    aged = lookups.withColumn("domain", normalize_domain(F.col("domain"))).withColumn("age", end_at - F.unix_micros(F.col("queried_at").cast("timestamp"))).filter("age >= 0")
     at = F.floor(F.col("age") / step).cast("int")
     both = F.when((F.col("age") % step == 0) & (F.col("age") > 0), F.array(at, at - 1)).otherwise(F.array(at))
-    placed = aged.withColumn("idx", F.explode(both)).filter(F.col("idx") < samples)
-    start = F.timestamp_micros(F.unix_micros(F.lit(end).cast("timestamp")) - (F.col("idx") + 1) * F.lit(step)).cast("timestamp_ntz")
-    volume, blocked = F.count("*"), F.count_if(F.col("status") == "blocked")
-    return placed.groupBy(subject, "idx").agg(
+    # by hour and by domain first: both groupings shrink before the shuffle
+    hourly = aged.withColumn("idx", F.explode(both)).filter(F.col("idx") < samples).groupBy(subject, "idx", F.date_trunc("hour", "queried_at").alias("hour"))
+    hourly = hourly.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "blocked").alias("blocked"))
+    seen = aged.groupBy(subject, "domain").agg(F.min("queried_at").alias("first_seen"), F.array_distinct(F.flatten(F.collect_set(both))).alias("idxs"))
+    start = F.timestamp_micros(end_at - (F.col("idx") + 1) * F.lit(step)).cast("timestamp_ntz")
+    named = seen.withColumn("idx", F.explode("idxs")).filter(F.col("idx") < samples).groupBy(subject, "idx")
+    named = named.agg(F.count("domain").alias("domains"), F.count_if(F.col("domain").isNotNull() & (F.col("first_seen") >= start)).alias("new_domains"))
+    none = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
+    parts = hourly.select(subject, "idx", "hour", "n", "blocked", *none("domains", "new_domains")).unionByName(named.select(subject, "idx", F.lit(None).cast("timestamp_ntz").alias("hour"), *none("n", "blocked"), "domains", "new_domains"))
+    volume, blocked = F.sum("n"), F.sum("blocked")
+    return parts.groupBy(subject, "idx").agg(
         volume.alias("dns_query_volume"),
         percent(blocked, volume).alias("blocked_query_pct"),
-        F.count_distinct("domain").alias("unique_domain_count"),
-        F.count_distinct(F.when(F.col("first_seen") >= start, F.col("domain"))).alias("new_domain_count"),
-        F.count_distinct(F.date_trunc("hour", "queried_at")).alias("active_hour_count"),
-        F.array_sort(F.collect_set(F.hour("queried_at"))).alias("hours"),
+        F.sum("domains").alias("unique_domain_count"),
+        F.sum("new_domains").alias("new_domain_count"),
+        F.count("hour").alias("active_hour_count"),
+        F.array_sort(F.collect_set(F.hour("hour"))).alias("hours"),
     )
 
 

@@ -28,6 +28,19 @@ def domain_pattern(domains: Column) -> Column:
     return F.when(F.size(clean) == 1, F.element_at(clean, 1)).when((F.size(clean) > 1) & (F.size(suffixes) == 1), F.concat(F.lit("*."), F.get(suffixes, F.lit(0)))).otherwise("*")
 
 
+def pattern_bounds(domain: Column) -> list[Column]:
+    """Aggregates of a group's domains that tell its pattern: the least and greatest domain and suffix, whatever the number of domains."""
+    clean = F.nullif(normalize_domain(domain), F.lit(""))
+    suffix = registrable_suffix(clean)
+    return [F.min(clean).alias("least_domain"), F.max(clean).alias("last_domain"), F.min(suffix).alias("least_suffix"), F.max(suffix).alias("last_suffix")]
+
+
+def bounded_pattern() -> Column:
+    """``domain_pattern`` from the columns of ``pattern_bounds``."""
+    one, suffix = F.col("least_domain") == F.col("last_domain"), F.col("least_suffix") == F.col("last_suffix")
+    return F.when(one, F.col("least_domain")).when(suffix, F.concat(F.lit("*."), F.col("least_suffix"))).otherwise("*")
+
+
 def suppression_key(rule: Column, device: Column, person: Column, pattern: Column) -> Column:
     subject = F.coalesce(F.concat(F.lit("device:"), device.cast("string")), F.concat(F.lit("person:"), person.cast("string")), F.lit("unattributed"))
     return F.concat_ws("|", rule, subject, pattern)
@@ -53,6 +66,26 @@ def finding_upsert(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     return joined.filter(F.col("_old").isNull() | ~F.col("_old").isin("dismissed", "resolved")).withColumn("status", F.coalesce("_old", F.lit("open"))).withColumn("created", F.col("_old").isNull()).drop("_old")
 
 
+def feedback_write(said: DataFrame, current: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """One write for ``said`` (fingerprint, classification) on current findings: rows of kind ``finding`` with the new status, of
+    kind ``suppression`` for a classification that suppresses, unless its key is there, and of kind ``audit`` for each.
+
+    Columns are those of the findings with kind, matching_key, before and after. Fingerprints without a finding are left out; of
+    several classifications for one finding all must agree.
+    """
+    known = current.join(said.select("fingerprint", "classification").distinct(), "fingerprint")
+    key = suppression_key(F.col("rule_id"), F.col("device_id"), F.lit(None), F.col("pattern"))
+    judged = known.withColumn("before", F.to_json(F.struct("status"))).withColumn("status", feedback_status(F.col("classification"))).withColumn("matching_key", key)
+    judged = judged.withColumn("after", F.to_json(F.struct("status", "classification"))).withColumn("created", F.lit(False))
+    muting = judged.filter(F.col("classification") == "suppress_similar").join(suppressions.select("matching_key").distinct(), "matching_key", "left_anti")
+    mute = muting.withColumn("after", F.to_json(F.struct("matching_key", "rule_id", F.col("pattern").alias("domain_pattern"))))
+    muted = mute.groupBy("matching_key").agg(F.min_by(F.struct(*[c for c in mute.columns if c != "matching_key"]), "fingerprint").alias("_m")).select("matching_key", "_m.*")
+    columns = [*current.columns, "matching_key", "before", "after"]
+    of_kind = lambda frame, kind: frame.select(F.lit(kind).alias("kind"), *[c for c in columns if c != "kind"])
+    audit = of_kind(judged, "audit").unionByName(of_kind(muted.withColumn("before", F.lit(None).cast("string")), "audit"))
+    return of_kind(judged, "finding").unionByName(of_kind(muted, "suppression")).unionByName(audit)
+
+
 def activity_upsert(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     """Fresh correlation rows but for queries that a person resolved."""
     manual = existing.filter("manual").select("id").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import fingerprint, general_number, window_floor
+from homelens.operators import feedback, skew
 
 BURST_COUNT, BURST_SECONDS = 5, 15 * 60
 FLAP_COUNT, FLAP_SECONDS = 6, 30 * 60
@@ -17,17 +18,27 @@ NEW_COUNT, NEW_RATIO = 8, 3.0
 OUTSIDE_LEAST = 3
 ONLINE_SECONDS = 300
 CHUNK = 16
-DRAFT = ["rule_id", "severity", "confidence", "subject_label", "fingerprint", "device_id", "occurred_at", "n", "summary"]
+DRAFT = ["rule_id", "severity", "confidence", "subject_label", "fingerprint", "device_id", "occurred_at", "n", "summary", "domains", "pattern"]
+DOMAINS = 20
 
 
-def _draft(rows: DataFrame, rule: str, severity: Column | str, confidence: Column | str, label: Column, mark: Column, device: Column, at: Column, n: Column, summary: Column) -> DataFrame:
+def _draft(rows: DataFrame, rule: str, severity: Column | str, confidence: Column | str, label: Column, mark: Column, device: Column, at: Column, n: Column, summary: Column, named: bool = False) -> DataFrame:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return rows.select(
         F.lit(rule).alias("rule_id"), as_column(severity).alias("severity"), as_column(confidence).alias("confidence"), label.alias("subject_label"), mark.alias("fingerprint"),
         device.cast("long").alias("device_id"), at.cast("timestamp_ntz").alias("occurred_at"), n.cast("long").alias("n"), summary.alias("summary"),
+        F.col("domains") if named else F.lit(None).cast("array<string>").alias("domains"), F.col("pattern") if named else F.lit("*").alias("pattern"),
     )
 
 
+def named_domains(rows: DataFrame, key: str, most: int = DOMAINS) -> DataFrame:
+    """(key, domains, pattern): the first ``most`` domains of each key, by name, and the pattern of all of them."""
+    each = rows.filter("domain IS NOT NULL").select(key, "domain").distinct()
+    bounds = each.groupBy(key).agg(*feedback.pattern_bounds(F.col("domain"))).select(key, feedback.bounded_pattern().alias("pattern"))
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("domain"))).filter(F.col("_r") <= most)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list("domain")).alias("domains")).join(bounds, key)
+
+
 def burst_spans(events: DataFrame, key: str, ts: str, tie: str, seconds: int, least: int) -> DataFrame:
     """(key, n, first, last) of each key's largest span of ``seconds``, the earliest one of equals.
 
@@ -46,9 +57,9 @@ def burst_spans(events: DataFrame, key: str, ts: str, tie: str, seconds: int, le
     return best.filter(F.col("b.n") >= least).select(key, "b.n", "b.first", "b.last")
 
 
-def burst_members(events: DataFrame, spans: DataFrame, key: str, ts: str) -> DataFrame:
-    """The events of each key's span."""
-    return events.join(spans.select(key, "first", "last"), key).filter(F.col(ts).between(F.col("first"), F.col("last"))).drop("first", "last")
+def burst_members(events: DataFrame, spans: DataFrame, key: str, ts: str, tie: str = "id") -> DataFrame:
+    """The events of each key's span; keys with a great many events are dealt over several tasks."""
+    return skew.dealt_join(events, spans.select(key, "first", "last"), [key], tie).filter(F.col(ts).between(F.col("first"), F.col("last"))).drop("first", "last")
 
 
 def rule_unknown_device(devices: DataFrame, now: str, online: int = ONLINE_SECONDS) -> DataFrame:
@@ -63,9 +74,10 @@ def rule_blocked_burst(lookups: DataFrame, seconds: int = BURST_SECONDS, least:
     """Many blocked lookups of one device, or of those without a device, within ``seconds``."""
     blocked = lookups.filter("status = 'blocked'").withColumn("subject", F.coalesce(F.col("device_id").cast("string"), F.lit("unattributed")))
     spans = burst_spans(blocked, "subject", "queried_at", "id", seconds, least)
+    spans = spans.join(named_domains(burst_members(blocked, spans, "subject", "queried_at"), "subject"), "subject", "left")
     mark = fingerprint(F.lit("blocked_query_burst"), F.col("subject"), window_floor(F.col("first").cast("timestamp"), BURST_SECONDS))
     label = F.when(F.col("subject") == "unattributed", F.col("subject")).otherwise(F.concat(F.lit("device "), F.col("subject")))
-    return _draft(spans, "blocked_query_burst", "medium", "high", label, mark, F.col("subject").try_cast("long"), F.col("last"), F.col("n"), F.concat(F.col("n"), F.lit(" blocked DNS lookups for "), label))
+    return _draft(spans, "blocked_query_burst", "medium", "high", label, mark, F.col("subject").try_cast("long"), F.col("last"), F.col("n"), F.concat(F.col("n"), F.lit(" blocked DNS lookups for "), label), named=True)
 
 
 def rule_flapping(transitions: DataFrame, seconds: int = FLAP_SECONDS, least: int = FLAP_COUNT) -> DataFrame:
@@ -105,13 +117,15 @@ def rule_outside_hours(lookups: DataFrame, hours: DataFrame, start: str, least:
     return _draft(outside, "activity_outside_expected_hours", "low", "medium", label, mark, F.col("device_id"), F.col("last"), F.col("n"), text)
 
 
-def rule_new_domains(stats: DataFrame, baselines: DataFrame, start: str, end: str, least: int = NEW_COUNT) -> DataFrame:
-    """Many new domains, unless the subject's mean is positive and not exceeded three times."""
+def rule_new_domains(stats: DataFrame, baselines: DataFrame, start: str, end: str, least: int = NEW_COUNT, fresh: DataFrame | None = None) -> DataFrame:
+    """Many new domains, unless the subject's mean is positive and not exceeded three times. ``fresh``: (device_id, domain) of the new ones."""
     joined = stats.filter(F.col("new_domain_count") >= least).join(baselines.filter("sample_count >= 1").select("device_id", "mean"), "device_id", "left")
     hit = joined.filter(F.col("mean").isNull() | (F.col("mean") <= 0) | (F.col("new_domain_count") >= NEW_RATIO * F.col("mean")))
+    if fresh is not None:
+        hit = hit.join(named_domains(fresh.join(hit.select("device_id"), "device_id", "left_semi"), "device_id", 30), "device_id", "left")
     mark = fingerprint(F.lit("new_domain_burst"), F.col("device_id"), F.lit(start))
     label = F.concat(F.lit("device "), F.col("device_id"))
-    return _draft(hit, "new_domain_burst", "low", "medium", label, mark, F.col("device_id"), F.lit(end), F.col("new_domain_count"), F.concat(F.col("new_domain_count"), F.lit(" new domains in DNS lookups for "), label))
+    return _draft(hit, "new_domain_burst", "low", "medium", label, mark, F.col("device_id"), F.lit(end), F.col("new_domain_count"), F.concat(F.col("new_domain_count"), F.lit(" new domains in DNS lookups for "), label), named=fresh is not None)
 
 
 def rule_security(lines: DataFrame) -> DataFrame:
@@ -122,12 +136,17 @@ def rule_security(lines: DataFrame) -> DataFrame:
     return _draft(hit, "controller_security_event", "high", "high", label, mark, F.col("device_id"), F.col("seen_at"), F.lit(1), F.concat(F.lit("security event "), F.col("event_name")))
 
 
-def evaluate(*drafts: DataFrame) -> DataFrame:
-    """All drafts as one table, by (occurred_at, rule_id, fingerprint)."""
+def all_drafts(*drafts: DataFrame) -> DataFrame:
+    """The drafts of all rules as one table."""
     first, *rest = drafts
     for d in rest:
         first = first.unionByName(d)
-    return first.orderBy("occurred_at", "rule_id", "fingerprint")
+    return first
+
+
+def evaluate(*drafts: DataFrame) -> DataFrame:
+    """All drafts by (occurred_at, rule_id, fingerprint), for readers who want them in this order."""
+    return all_drafts(*drafts).orderBy("occurred_at", "rule_id", "fingerprint")
 
 
 def expected_hours(schedules: DataFrame, typical: DataFrame, links: DataFrame, weekday: int) -> DataFrame:

@@ -31,11 +31,14 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
     return add
 
 
-def _volume_baseline(s: SparkSession, d: str, metric: str = "dns_query_volume") -> DataFrame:
-    samples = baseline.window_samples(V.lookups(s, d), NOW)
+def _mean_of(samples: DataFrame, metric: str = "dns_query_volume") -> DataFrame:
     return baseline.metric_baseline(samples.select("device_id", F.col(metric).cast("double").alias("value")), ["device_id"])
 
 
+def _volume_baseline(s: SparkSession, d: str, metric: str = "dns_query_volume") -> DataFrame:
+    return _mean_of(baseline.window_samples(V.lookups(s, d), NOW), metric)
+
+
 def _stats(s: SparkSession, d: str) -> DataFrame:
     return activity.dns_window_summary(V.lookups(s, d), START, NOW)
 
@@ -495,24 +498,56 @@ def _(s, d):
 _VOLUME = "SELECT s.device_id, s.dns_query_volume AS n, CASE WHEN s.dns_query_volume / mean < 4 THEN 'low' ELSE 'medium' END AS severity, CASE WHEN sample_count >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM stats s JOIN volume_baseline b ON b.device_id = s.device_id WHERE s.dns_query_volume >= 10 AND (s.dns_query_volume >= 2 * mean OR (stddev > 0 AND (s.dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND s.dns_query_volume > mean) OR s.dns_query_volume > p95)"
 
 
-def _volume_drafts(s: SparkSession, d: str) -> DataFrame:
-    stats, usual = _stats(s, d), _volume_baseline(s, d)
+def _volume_drafts(stats: DataFrame, usual: DataFrame, start: str = START, now: str = NOW) -> DataFrame:
     high = baseline.deviations(stats.select("device_id", F.col("dns_query_volume").cast("double").alias("value")), usual, ["device_id"])
-    return findings.rule_volume(stats, usual, START, NOW, least=10, deviating=high)
+    return findings.rule_volume(stats, usual, start, now, least=10, deviating=high)
 
 
 @query("rule_volume", _VOLUME)
 def _(s, d):
-    return _volume_drafts(s, d).select("device_id", "n", "severity", "confidence")
+    return _volume_drafts(_stats(s, d), _volume_baseline(s, d)).select("device_id", "n", "severity", "confidence")
 
 
-def _outside_hours(s: SparkSession, d: str) -> DataFrame:
-    window = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW))
-    hours = window.select("device_id").distinct().withColumn("hour", F.explode(F.sequence(F.lit(8), F.lit(20))))
-    return findings.rule_outside_hours(window, hours, START)
+def _schedules(s: SparkSession, d: str) -> DataFrame:
+    """Schedules of every fourth device and of people with number 5 and 6, with hours that are none and days that are not today."""
+    c, p = V.table(s, d, "customer"), V.people(s, d)
+    hours = lambda *h: F.array(*map(F.lit, h)).alias("expected_hours_utc")
+    none = F.lit(None).cast("long")
+    days = F.when(F.col("c_custkey") % 4 == 1, F.array(F.lit(5))).when(F.col("c_custkey") % 8 == 0, F.array(F.lit(2)))
+    of_devices = c.filter("c_custkey % 4 < 2").select(F.col("c_custkey").alias("device_id"), none.alias("person_id"), hours(8, 9, 10, 11, 99), days.alias("days_of_week"), F.lit(True).alias("active"), F.col("c_custkey").alias("updated_at"))
+    people = p.filter("person_id IN (5, 6)").withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    of_people = people.select(none.alias("device_id"), F.col("person_id").cast("long").alias("person_id"), F.when(F.col("turn") == 1, hours(17, 18)).otherwise(hours(3)).alias("expected_hours_utc"), F.lit(None).cast("array<int>").alias("days_of_week"), (F.col("person_id") == 5).alias("active"), F.col("turn").cast("long").alias("updated_at"))
+    return of_devices.unionByName(of_people)
+
+
+def _expected(s: SparkSession, d: str, weekday: int, samples: DataFrame | None = None) -> DataFrame:
+    typical = baseline.typical_hours(samples if samples is not None else baseline.window_samples(V.lookups(s, d), NOW))
+    links = V.links(s, d).select("device_id", F.col("person_id").cast("long").alias("person_id"))
+    return findings.expected_hours(_schedules(s, d), typical, links, weekday).withColumn("hour", F.col("hour").cast("long"))
+
+
+_TYPICAL = "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n"
+_EXPECTED = "{person} UNION ALL SELECT c_custkey, unnest(range(8, 12)), 'schedule' FROM customer WHERE {device} AND c_custkey NOT IN (SELECT device_id FROM links WHERE person_id = 5) UNION ALL SELECT device_id, hour, 'baseline' FROM ({typical}) WHERE NOT {device_id} AND device_id NOT IN (SELECT device_id FROM links WHERE person_id = 5)"
+_OF_PERSON = "SELECT device_id, unnest([17, 18])::BIGINT AS hour, 'schedule' AS source FROM links WHERE person_id = 5"
+
+
+TODAY = 2  # the weekday of NOW
+_EXPECTED_TODAY = _EXPECTED.format(person=_OF_PERSON, device="c_custkey % 4 = 0", typical=_TYPICAL, device_id="device_id % 4 = 0")
+
+
+def _outside_hours(s: SparkSession, d: str, lookups: DataFrame | None = None, samples: DataFrame | None = None, start: str = START, now: str = NOW) -> DataFrame:
+    """Lookups outside the hours of the schedule of their device's person, else of the device, else of its own habit."""
+    window = (V.lookups(s, d) if lookups is None else lookups).filter(activity.in_window(F.col("queried_at"), start, now))
+    return findings.rule_outside_hours(window, _expected(s, d, TODAY, samples), start)
 
 
-@query("rule_outside_hours", f"SELECT w.device_id, count(*) AS n, max(queried_at) AS occurred_at FROM win w WHERE hour(queried_at) NOT BETWEEN 8 AND 20 GROUP BY 1 HAVING count(*) >= 3")
+_OUTSIDE = f"""SELECT w.device_id, count(*) AS n, max(queried_at) AS occurred_at FROM win w
+    WHERE w.device_id IN (SELECT c0 FROM ({_EXPECTED_TODAY}) x(c0, c1, c2))
+        AND NOT EXISTS (SELECT 1 FROM ({_EXPECTED_TODAY}) x(c0, c1, c2) WHERE c0 = w.device_id AND c1 = hour(w.queried_at))
+    GROUP BY 1 HAVING count(*) >= 3"""
+
+
+@query("rule_outside_hours", _OUTSIDE)
 def _(s, d):
     return _outside_hours(s, d).select("device_id", "n", "occurred_at")
 
@@ -539,19 +574,31 @@ def _(s, d):
     return _security_lines(s, d).filter(F.lower("category") == "security").select("id", "device_id", "seen_at")
 
 
-def _drafts(s: SparkSession, d: str) -> DataFrame:
-    """Drafts of all seven rules, with the values of their own queries."""
-    return findings.evaluate(
-        findings.rule_blocked_burst(V.lookups(s, d), 72 * 3600, 5),
-        findings.rule_new_domains(_stats(s, d), _volume_baseline(s, d, "new_domain_count"), START, NOW),
-        findings.rule_unknown_device(V.devices(s, d), NOW, DAY),
-        findings.rule_flapping(V.transitions(s, d), 72 * 3600, 6),
-        _volume_drafts(s, d),
-        _outside_hours(s, d),
+def drafts_at(s: SparkSession, d: str, lookups: DataFrame, start: str, now: str) -> DataFrame:
+    """Drafts of all seven rules for the window up to ``now``, from the lookups so far.
+
+    Samples and window statistics are written once; every rule that asks for them reads these.
+    """
+    shared_folder(s, "rules")  # sets the checkpoint folder where none is set
+    samples = baseline.window_samples(lookups, now).checkpoint()
+    stats = activity.dns_window_summary(lookups, start, now).drop("active_hours_utc").checkpoint()
+    last = lookups.groupBy("device_id").agg(F.max("queried_at").alias("last_seen"))
+    devices = V.devices(s, d).drop("last_seen").join(last, "device_id", "left")
+    return findings.all_drafts(
+        findings.rule_blocked_burst(lookups, 72 * 3600, 5),
+        findings.rule_new_domains(stats, _mean_of(samples, "new_domain_count"), start, now, fresh=activity.new_domains(lookups, start, now)),
+        findings.rule_unknown_device(devices, now, DAY),
+        findings.rule_flapping(V.transitions_of(lookups), 72 * 3600, 6),
+        _volume_drafts(stats, _mean_of(samples), start, now),
+        _outside_hours(s, d, lookups, samples, start, now),
         findings.rule_security(_security_lines(s, d)),
     )
 
 
+def _drafts(s: SparkSession, d: str) -> DataFrame:
+    return drafts_at(s, d, V.lookups(s, d), START, NOW)
+
+
 _FLAPS = _FLAP.replace("burst AS", "flap AS").replace("FROM burst", "FROM flap").replace("spans AS", "flaps AS")
 _DRAFTS = f"""{_BURST}, {_FLAPS}, drafts AS (
     SELECT 'blocked_query_burst' AS rule_id, 'medium' AS severity, device_id, n FROM spans WHERE n >= 5
@@ -559,7 +606,7 @@ _DRAFTS = f"""{_BURST}, {_FLAPS}, drafts AS (
     UNION ALL SELECT 'unknown_device_online', 'medium', device_id, 1 FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY
     UNION ALL SELECT 'connection_flapping', 'low', f.device_id, any_value(n) FROM flaps f JOIN transitions t ON t.device_id = f.device_id AND t.seen_at BETWEEN first AND last WHERE n >= 6 GROUP BY f.device_id HAVING count(DISTINCT kind) = 2
     UNION ALL SELECT 'dns_volume_increase', severity, device_id, n FROM ({_VOLUME})
-    UNION ALL SELECT 'activity_outside_expected_hours', 'low', device_id, count(*) FROM win WHERE hour(queried_at) NOT BETWEEN 8 AND 20 GROUP BY device_id HAVING count(*) >= 3
+    UNION ALL SELECT 'activity_outside_expected_hours', 'low', device_id, n FROM ({_OUTSIDE})
     UNION ALL SELECT 'controller_security_event', 'high', device_id, 1 FROM findings WHERE severity = 'high'
 )"""
 
@@ -579,8 +626,8 @@ def _(s, d):
 @query("suppression_key", "SELECT device_id, 'rule|device:' || device_id || '|' || CASE WHEN count(DISTINCT domain) = 1 THEN min(domain) WHEN count(DISTINCT domain) > 1 AND count(DISTINCT array_to_string(string_split(domain, '.')[-2:], '.')) = 1 THEN '*.' || array_to_string(string_split(min(domain), '.')[-2:], '.') ELSE '*' END AS key FROM win GROUP BY 1")
 def _(s, d):
     window = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW))
-    named = window.groupBy("device_id").agg(F.collect_set("domain").alias("domains"))
-    return named.select("device_id", feedback.suppression_key(F.lit("rule"), F.col("device_id"), F.lit(None), feedback.domain_pattern(F.col("domains"))).alias("key"))
+    named = window.groupBy("device_id").agg(*feedback.pattern_bounds(F.col("domain")))
+    return named.select("device_id", feedback.suppression_key(F.lit("rule"), F.col("device_id"), F.lit(None), feedback.bounded_pattern()).alias("key"))
 
 
 @query("finding_upsert", f", {_DRAFTS} SELECT rule_id, device_id, CASE WHEN device_id % 5 = 1 THEN 'acknowledged' ELSE 'open' END AS status, device_id % 5 > 1 AS created FROM drafts WHERE device_id % 5 <> 0")
@@ -595,32 +642,9 @@ def _(s, d):
     return _stats(s, d).select("device_id", "dns_query_volume", "new_domain_count")
 
 
-def _schedules(s: SparkSession, d: str) -> DataFrame:
-    """Schedules of every fourth device and of people with number 5 and 6, with hours that are none and days that are not today."""
-    c, p = V.table(s, d, "customer"), V.people(s, d)
-    hours = lambda *h: F.array(*map(F.lit, h)).alias("expected_hours_utc")
-    none = F.lit(None).cast("long")
-    days = F.when(F.col("c_custkey") % 4 == 1, F.array(F.lit(5))).when(F.col("c_custkey") % 8 == 0, F.array(F.lit(2)))
-    of_devices = c.filter("c_custkey % 4 < 2").select(F.col("c_custkey").alias("device_id"), none.alias("person_id"), hours(8, 9, 10, 11, 99), days.alias("days_of_week"), F.lit(True).alias("active"), F.col("c_custkey").alias("updated_at"))
-    people = p.filter("person_id IN (5, 6)").withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
-    of_people = people.select(none.alias("device_id"), F.col("person_id").cast("long").alias("person_id"), F.when(F.col("turn") == 1, hours(17, 18)).otherwise(hours(3)).alias("expected_hours_utc"), F.lit(None).cast("array<int>").alias("days_of_week"), (F.col("person_id") == 5).alias("active"), F.col("turn").cast("long").alias("updated_at"))
-    return of_devices.unionByName(of_people)
-
-
-def _expected(s: SparkSession, d: str, weekday: int) -> DataFrame:
-    typical = baseline.typical_hours(baseline.window_samples(V.lookups(s, d), NOW))
-    links = V.links(s, d).select("device_id", F.col("person_id").cast("long").alias("person_id"))
-    return findings.expected_hours(_schedules(s, d), typical, links, weekday).withColumn("hour", F.col("hour").cast("long"))
-
-
-_TYPICAL = "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n"
-_EXPECTED = "{person} UNION ALL SELECT c_custkey, unnest(range(8, 12)), 'schedule' FROM customer WHERE {device} AND c_custkey NOT IN (SELECT device_id FROM links WHERE person_id = 5) UNION ALL SELECT device_id, hour, 'baseline' FROM ({typical}) WHERE NOT {device_id} AND device_id NOT IN (SELECT device_id FROM links WHERE person_id = 5)"
-_OF_PERSON = "SELECT device_id, unnest([17, 18])::BIGINT AS hour, 'schedule' AS source FROM links WHERE person_id = 5"
-
-
-@query("schedule_active", _EXPECTED.format(person=_OF_PERSON, device="c_custkey % 4 = 0", typical=_TYPICAL, device_id="device_id % 4 = 0"))
+@query("schedule_active", _EXPECTED_TODAY)
 def _(s, d):
-    return _expected(s, d, 2)
+    return _expected(s, d, TODAY)
 
 
 @query("expected_hours", _EXPECTED.format(person=_OF_PERSON, device="(c_custkey % 8 = 4 OR c_custkey % 4 = 1)", typical=_TYPICAL, device_id="(device_id % 8 = 4 OR device_id % 4 = 1)"))

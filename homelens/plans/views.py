@@ -62,9 +62,14 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifier_claims(shown)
 
 
-def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transitions_of(rows: DataFrame) -> DataFrame:
+    """Connections and disconnections among some lookups."""
     kind = F.when(F.col("event_type") == "click", "connect").otherwise("disconnect")
-    return lookups(spark, sf_dir).filter("event_type IN ('click', 'signup')").select("id", F.col("queried_at").alias("seen_at"), "device_id", F.lit(None).cast("string").alias("mac"), kind.alias("kind"))
+    return rows.filter("event_type IN ('click', 'signup')").select("id", F.col("queried_at").alias("seen_at"), "device_id", F.lit(None).cast("string").alias("mac"), kind.alias("kind"))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitions_of(lookups(spark, sf_dir))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
