@@ -600,7 +600,7 @@ def _drafts(s: SparkSession, d: str) -> DataFrame:
 
 
 _FLAPS = _FLAP.replace("burst AS", "flap AS").replace("FROM burst", "FROM flap").replace("spans AS", "flaps AS")
-_DRAFTS = f"""{_BURST}, {_FLAPS}, drafts AS (
+DRAFTS_SQL = _DRAFTS = f"""{_BURST}, {_FLAPS}, drafts AS (
     SELECT 'blocked_query_burst' AS rule_id, 'medium' AS severity, device_id, n FROM spans WHERE n >= 5
     UNION ALL SELECT 'new_domain_burst', 'low', device_id, n FROM ({_NEW})
     UNION ALL SELECT 'unknown_device_online', 'medium', device_id, 1 FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY
@@ -690,26 +690,26 @@ def _(s, d):
     return dashboard.active_children(views, recent).select("person_id", "devices", "last_activity")
 
 
-def _attempts(s: SparkSession, d: str) -> DataFrame:
+def attempts(s: SparkSession, d: str) -> DataFrame:
     return V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("tried_at"), (F.col("status") != "blocked").alias("ok"))
 
 
-_HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"
+HEALTH_SQL = _HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"
 
 
 @query("source_health_status", f", {_HEALTH} SELECT * FROM judged")
 def _(s, d):
-    return health.source_health(_attempts(s, d), NOW, stale=90000).select("source", "consecutive_failures", "status")
+    return health.source_health(attempts(s, d), NOW, stale=90000).select("source", "consecutive_failures", "status")
 
 
 @query("source_health_all", f", {_HEALTH} SELECT a.source, coalesce(status, 'down') AS status FROM (SELECT unnest(['1', '2', 'never']) AS source) a LEFT JOIN judged j ON j.source = a.source")
 def _(s, d):
-    return health.all_sources(health.source_health(_attempts(s, d), NOW, stale=90000), ("1", "2", "never")).select("source", "status")
+    return health.all_sources(health.source_health(attempts(s, d), NOW, stale=90000), ("1", "2", "never")).select("source", "status")
 
 
 @query("incomplete_sources", f", {_HEALTH} SELECT source FROM judged WHERE status = 'down'")
 def _(s, d):
-    return health.source_health(_attempts(s, d), NOW, stale=90000).filter("status = 'down'").select("source")
+    return health.source_health(attempts(s, d), NOW, stale=90000).filter("status = 'down'").select("source")
 
 
 def _batches(s: SparkSession, d: str) -> DataFrame:
@@ -728,18 +728,18 @@ def _(s, d):
 
 @query("system_status", f", {_HEALTH} SELECT CASE max(CASE status WHEN 'down' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE CASE WHEN any_value(n) > 0 THEN 'degraded' ELSE 'ok' END END AS status, any_value(n) AS failed_batches FROM judged, (SELECT count(*) AS n FROM findings WHERE status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01')")
 def _(s, d):
-    return health.system_status(health.source_health(_attempts(s, d), NOW, stale=90000), health.failed_batches(_batches(s, d), "2000-01-01 00:00:00"))
+    return health.system_status(health.source_health(attempts(s, d), NOW, stale=90000), health.failed_batches(_batches(s, d), "2000-01-01 00:00:00"))
 
 
 @query("attention_items", f", {_HEALTH}, {_ATTRIBUTED} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 1::INTEGER, 'review' FROM attributed WHERE status <> 'attributed' HAVING count(*) > 0 UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
-    return dashboard.attention_items(health.source_health(_attempts(s, d), NOW, stale=90000), correlate.review_queue(_attributed(s, d)), views).select("tier", "item")
+    return dashboard.attention_items(health.source_health(attempts(s, d), NOW, stale=90000), correlate.review_queue(_attributed(s, d)), views).select("tier", "item")
 
 
 @query("household_status", f", {_HEALTH} SELECT CASE WHEN count(*) FILTER (status = 'down') > 0 THEN 'incomplete' WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'attention' ELSE 'ok' END AS status FROM judged")
 def _(s, d):
-    sources = health.source_health(_attempts(s, d), NOW, stale=90000)
+    sources = health.source_health(attempts(s, d), NOW, stale=90000)
     items = sources.filter("status <> 'ok'").select(F.lit(0).alias("tier"), F.col("source").alias("item"), "status", F.col("source").alias("summary"))
     return dashboard.household_status(sources, items, items.agg(F.count("*").alias("n"))).select("status")
 
@@ -932,4 +932,6 @@ def _(s, d):
     return changes.baseline_history(full, "24h", NOW).select("device_id", "sample_count", F.size("metrics").cast("long").alias("metrics"))
 
 
+from homelens.plans import stateful  # noqa: E402, F401  registers its queries
+
 ORACLES = {name: V.SQL + (sql() if callable(sql) else sql) for name, sql in SQL_OF.items()}

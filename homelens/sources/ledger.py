@@ -173,6 +173,12 @@ def record_failure(path: str, batch_id: str, source: str, error: str, started_at
     _Batch({"path": path, "source": source, "started_at": started_at}, batch_id).fail(error)
 
 
+def exists(path: str) -> bool:
+    """Whether any batch was ever tried."""
+    system, folder = filesystem(f"{path.rstrip('/')}/ledger")
+    return bool(system.get_file_info(folder).type)
+
+
 def batches(spark: SparkSession, path: str) -> DataFrame:
     """One row for each batch that was ever tried."""
     return spark.read.schema(ENTRY).option("pathGlobFilter", "*.json").json(f"{path.rstrip('/')}/ledger")
@@ -181,7 +187,7 @@ def batches(spark: SparkSession, path: str) -> DataFrame:
 def rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of all succeeded batches, with batch_id. Files of other attempts are pruned by the join."""
     system, folder = filesystem(f"{path.rstrip('/')}/data")
-    if not system.get_file_info(folder).type:  # no batch has had a row
+    if not exists(path) or not system.get_file_info(folder).type:  # no batch has had a row
         return spark.createDataFrame([], f"{schema}, batch_id string")
     data = spark.read.schema(f"{schema}, attempt string").option("basePath", f"{path.rstrip('/')}/data").parquet(f"{path.rstrip('/')}/data")
     good = batches(spark, path).filter(F.col("status") == SUCCEEDED).select("batch_id", F.explode("attempts").alias("attempt"))
