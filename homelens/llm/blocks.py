@@ -14,11 +14,12 @@ from homelens.llm import storage
 
 LAST = 2**63 - 1
 BLOCKS = "block long, ids binary, sizes binary, texts binary"
+_ZSTD = pa.Codec("zstd", compression_level=5)
 _SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
 
 
 def squeezed(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return _ZSTD.compress(raw, asbytes=True) if raw else b""
 
 
 def unsqueezed(raw: bytes, size: int) -> bytes:

@@ -6,7 +6,7 @@ depth h there and h bytes on, and each round takes up what the round before has
 Equality is all that is asked for, so an identifier is a 64-bit name, the same in every task, in place of a
 rank that only a global sort could give. Identifiers are drawn in two lanes, each from q-grams mixed with a number of
 its own that the driver draws for each run: buckets are named in one lane and whole windows in the other, so a match rests on
-two independent names, and nobody can write texts whose names agree, since the numbers are not known before.
+two independent names (96 bits), and nobody can write texts whose names agree, since the numbers are not known before.
 
 Buckets are sorted across tasks only where a match can begin. Each window of ``window`` bytes owns the
 leftmost smallest 64-byte bucket in it, so equal windows own equal buckets at equal offsets. The buckets of
@@ -165,8 +165,9 @@ def _packed(block: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarra
 
 
 def _distinct(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct names, first half of each one's bucket name, whether it occurs twice): a match of strings rests on 96 bits."""
     names, first, count = np.unique(names, return_index=True, return_counts=True)
-    return names, checks[first], (count > 1).astype(np.uint8)
+    return names, (checks[first] >> U(32)).astype(np.uint32), (count > 1).astype(np.uint8)
 
 
 def _array(table: pa.Table, column: str, dtype: type) -> np.ndarray:
@@ -178,7 +179,7 @@ def _meet(table: pa.Table, ranges: int) -> pa.Table:
     have in a block (0: several); ranges above hold strings with their bucket, and give the first block that holds a shared one another code."""
     table = table.sort_by("block")
     shard = table.column("shard")[0].as_py()
-    names, checks, many = _array(table, "names", U), _array(table, "checks", U), _array(table, "many", np.uint8)
+    names, checks, many = _array(table, "names", U), _array(table, "checks", U if shard < ranges else np.uint32), _array(table, "many", np.uint8)
     each = np.array([len(x) // 8 for x in table.column("names").to_pylist()])
     if shard < ranges:
         order = np.argsort(names, kind="stable")
