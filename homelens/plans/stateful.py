@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions import normalize as N
-from homelens.operators import feedback, health
+from homelens.operators import baseline, feedback, panes
 from homelens.plans import registry
 from homelens.plans import views as V
 from homelens.plans.registry import NOW, query
@@ -155,3 +155,37 @@ def _(s, d):
     by = F.when(F.col("device_id") % 3 == 0, "suppress_similar").when(F.col("device_id") % 3 == 1, "concerning").otherwise("resolve")
     none = s.createDataFrame([], "matching_key string")
     return feedback.feedback_write(current.select("fingerprint", by.alias("classification")), current, none).filter("kind <> 'audit'").select("kind", "rule_id", "device_id", "status")
+
+
+def _weeks(s: SparkSession, d: str) -> list[DataFrame]:
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    rows = V.lookups(s, d)
+    return [rows.filter(F.col("queried_at") < at(WEEKS[0])), rows.filter((F.col("queried_at") >= at(WEEKS[0])) & (F.col("queried_at") < at(WEEKS[1]))), rows.filter((F.col("queried_at") >= at(WEEKS[1])) & (F.col("queried_at") <= at(NOW)))]
+
+
+@query("first_seen_index", "SELECT device_id, domain, first_seen FROM first_seen WHERE first_seen >= TIMESTAMP '2024-01-24 00:00:00'")
+def _(s, d):
+    """New domains of the last window against an index that the windows before it have built."""
+    folder = shared_folder(s, "first-seen")
+    index = panes.FirstSeen(s, "first_seen_" + folder[-32:], folder, 16)
+    for week in _weeks(s, d):
+        fresh = index.extend(week)
+    return fresh
+
+
+def _panes(s: SparkSession, d: str) -> panes.Panes:
+    kept = panes.Panes(s, shared_folder(s, "panes"))
+    for k, week in enumerate([*_weeks(s, d), _weeks(s, d)[-1]]):  # the last one twice
+        kept.add(week, f"week-{min(k, 2)}")
+    return kept
+
+
+@query("pane_samples", "SELECT device_id, idx, dns_query_volume, blocked_query_pct, unique_domain_count, new_domain_count, active_hour_count FROM samples")
+def _(s, d):
+    return _panes(s, d).samples(NOW).drop("hours")
+
+
+@query("pane_baseline", "SELECT * FROM volume_baseline")
+def _(s, d):
+    samples = _panes(s, d).samples(NOW)
+    return baseline.metric_baseline(samples.select("device_id", F.col("dns_query_volume").cast("double").alias("value")), ["device_id"])
