@@ -40,6 +40,18 @@ def window_samples(lookups: DataFrame, end: str, seconds: int = 86400, samples:
     )
 
 
+def window_grid(lookups: DataFrame, end: str, seconds: int = 86400, samples: int = SAMPLES) -> DataFrame:
+    """(idx, start, stop, lookups): the trailing windows that end at ``end``, in epoch seconds, and what falls into each."""
+    stop = F.unix_timestamp(F.lit(end).cast("timestamp"))
+    grid = lookups.sparkSession.range(samples).select(F.col("id").alias("idx"), (stop - (F.col("id") + 1) * seconds).alias("start"), (stop - F.col("id") * seconds).alias("stop"))
+    age = stop * 1_000_000 - F.unix_micros(F.col("queried_at").cast("timestamp"))
+    step = seconds * 1_000_000
+    at = F.floor(age / step)
+    both = F.when((age % step == 0) & (age > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    counts = lookups.filter(age >= 0).select(F.explode(both).alias("idx")).filter(F.col("idx") < samples).groupBy("idx").agg(F.count("*").alias("n"))
+    return grid.join(counts, "idx", "left").select("idx", "start", "stop", F.coalesce("n", F.lit(0)).alias("lookups"))
+
+
 def metric_baseline(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """n, mean, standard deviation (0 for one sample), 95th percentile by nearest rank, and mean + 2 sd, to 6 places."""
     x = F.col(value)
@@ -85,7 +97,7 @@ def traffic_samples(snapshots: DataFrame, end: str, seconds: int = 86400, sample
 
 
 def deviations(values: DataFrame, baselines: DataFrame, keys: list[str]) -> DataFrame:
-    """Upward deviations of (keys, value) from their baseline: z score first, then a constant baseline, then p95.
+    """Upward deviations of (keys, value, ...) from their baseline: z score first, then a constant baseline, then p95. Other columns stay.
 
     The z score is compared as it is and shown to 4 places; ``threshold`` is what the value exceeds.
     """
@@ -93,7 +105,7 @@ def deviations(values: DataFrame, baselines: DataFrame, keys: list[str]) -> Data
     kind = F.when((F.col("stddev") > 0) & (z > Z_CUT), "z_score").when((F.col("stddev") == 0) & (F.col("value") > F.col("mean")), "above_constant_mean").when(F.col("value") > F.col("p95"), "percentile")
     joined = values.join(baselines.filter("sample_count >= 1"), keys).withColumn("kind", kind).filter("kind IS NOT NULL")
     threshold = F.when(F.col("kind") == "z_score", F.col("high_threshold")).when(F.col("kind") == "percentile", F.col("p95")).otherwise(F.col("mean"))
-    return joined.select(*keys, "value", "mean", "stddev", "p95", F.round(z, 4).alias("z_score"), F.round(F.col("value") - F.col("mean"), 6).alias("delta"), threshold.alias("threshold"), "kind")
+    return joined.select(*keys, *[c for c in values.columns if c not in (*keys, "value")], "value", "mean", "stddev", "p95", F.round(z, 4).alias("z_score"), F.round(F.col("value") - F.col("mean"), 6).alias("delta"), threshold.alias("threshold"), "kind")
 
 
 def latest_baseline(rows: DataFrame, keys: list[str], computed: str = "computed_at", tie: str = "id") -> DataFrame:

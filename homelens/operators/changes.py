@@ -53,3 +53,15 @@ def observations(clients: DataFrame) -> DataFrame:
     """Sightings of devices from normalized clients, with a hint of a name: the host name, else the DNS client."""
     name = F.coalesce(F.nullif("hostname", F.lit("")), F.col("dns_client")) if "dns_client" in clients.columns else F.nullif("hostname", F.lit(""))
     return clients.select("mac", "controller_id", "hostname", "ip", F.col("last_seen").alias("observed_at"), name.alias("display_name_hint"))
+
+
+def baseline_rows(history: DataFrame) -> DataFrame:
+    """The statistics of a history of baselines, one row for each subject, time and metric: what ``baseline_history`` packed."""
+    return history.select("device_id", "window", "computed_at", F.explode("metrics").alias("metric", "v")).select("device_id", "window", "computed_at", "metric", "v.*")
+
+
+def uplinks(clients: DataFrame, infrastructure: DataFrame) -> DataFrame:
+    """``clients`` with ap_name and switch_name: the infrastructure device (mac, name) whose MAC is the client's ap_mac or sw_mac."""
+    known = infrastructure.filter("mac IS NOT NULL").groupBy("mac").agg(F.min("name").alias("name"))
+    named = lambda mac, name: known.select(F.col("mac").alias(mac), F.col("name").alias(name))
+    return clients.join(named("ap_mac", "ap_name"), "ap_mac", "left").join(named("sw_mac", "switch_name"), "sw_mac", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOURCES = ("dns_log", "controller_api", "controller_syslog")
@@ -59,9 +59,27 @@ def system_status(components: DataFrame, failed: DataFrame) -> DataFrame:
     return worst.crossJoin(count).select(value.alias("status"), "failed_batches")  # one row each
 
 
-def status_changes(history: DataFrame) -> DataFrame:
-    """Rows of (source, checked_at, status) where a source goes down: the events of a lost source."""
-    from pyspark.sql import Window
-
-    before = F.lag("status").over(Window.partitionBy("source").orderBy("checked_at"))
-    return history.withColumn("before", before).filter("status = 'down' AND before IN ('ok', 'degraded')").drop("before")
+def system_report(parts: DataFrame, failed: DataFrame) -> DataFrame:
+    """(part, status) of every part (part, component, status) of the system, each the worst of its components, and ``system``, the
+    worst of all, degraded by a failed batch."""
+    each = parts.groupBy("part").agg(F.max(rank(F.col("status"))).alias("r"))
+    named = F.when(F.col("r") == 2, "down").when(F.col("r") == 1, "degraded").otherwise("ok")
+    whole = system_status(parts.select("component", "status"), failed).select(F.lit("system").alias("part"), "status")
+    return each.select("part", named.alias("status")).unionByName(whole)
+
+
+def status_changes(history: DataFrame, seconds: int = 7 * 86400, at: str = "checked_at", tie: str | None = None) -> DataFrame:
+    """Rows of (source, checked_at, status, ...) where a source goes down: the events of a lost source.
+
+    Each source's history is cut into chunks of ``seconds``; a chunk's first row is compared with the last row before the chunk, so that a
+    source's whole history is no single task.
+    """
+    order = ["_t", tie] if tie else ["_t"]
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    placed = history.withColumn("_t", micros).withColumn("_c", F.floor(F.col("_t") / (seconds * 1_000_000)))
+    last = placed.groupBy("source", "_c").agg(F.max_by("status", F.struct(*order)).alias("_last"))
+    by_chunk = Window.partitionBy("source").orderBy("_c")  # one row a chunk
+    ahead = last.select("source", "_c", F.lag("_last").over(by_chunk).alias("_ahead"))
+    inside = F.lag("status").over(Window.partitionBy("source", "_c").orderBy(*order))
+    judged = placed.withColumn("_b", inside).join(ahead, ["source", "_c"]).withColumn("_before", F.coalesce("_b", "_ahead"))
+    return judged.filter("status = 'down' AND _before IN ('ok', 'degraded')").select(*history.columns)

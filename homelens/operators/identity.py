@@ -114,3 +114,9 @@ def resolve_batch(observations: DataFrame, claims: DataFrame | None = None, most
 def resolve_devices(observations: DataFrame, most: int = 64) -> DataFrame:
     """``observations`` (seq, mac, controller_id, ...) with the device each belongs to; see ``resolve_batch``."""
     return resolve_batch(observations, None, most)[0]
+
+
+def new_devices(resolved: DataFrame) -> DataFrame:
+    """(device_seq, kind, is_unknown): an event for each sighting of ``resolve_batch`` that made a device of its own."""
+    own = resolved.filter(F.col("seq") == F.col("device_seq"))
+    return own.select("device_seq", F.lit("new_device").alias("kind"), (F.col("mac").isNull() & F.col("controller_id").isNull()).alias("is_unknown"))

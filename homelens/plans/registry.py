@@ -298,7 +298,7 @@ def _(s, d):
 _EIGHT = f"traffic AS (SELECT device_id, idx, upload_bytes, download_bytes, connection_duration_seconds FROM snapshots JOIN (SELECT unnest(range(0, 14)) AS idx) g ON observed_at BETWEEN TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER) AND TIMESTAMP '{NOW}' - to_days(idx::INTEGER) QUALIFY row_number() OVER (PARTITION BY device_id, idx ORDER BY observed_at DESC, id DESC) = 1), eight AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(s.idx, t.idx) AS idx, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(blocked_query_pct, 0) AS blocked_query_pct, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, coalesce(active_hour_count, 0) AS active_hour_count, upload_bytes, download_bytes, connection_duration_seconds FROM samples s FULL JOIN traffic t ON t.device_id = s.device_id AND t.idx = s.idx)"
 
 
-def _eight(s: SparkSession, d: str) -> DataFrame:
+def eight(s: SparkSession, d: str) -> DataFrame:
     """All eight metrics of every window that has lookups or traffic."""
     dns = baseline.window_samples(V.lookups(s, d), NOW).drop("hours")
     both = dns.join(baseline.traffic_samples(V.snapshots(s, d), NOW), ["device_id", "idx"], "full")
@@ -308,7 +308,7 @@ def _eight(s: SparkSession, d: str) -> DataFrame:
 
 @query("baseline_windows", f", {_EIGHT} SELECT * FROM eight")
 def _(s, d):
-    return _eight(s, d)
+    return eight(s, d)
 
 
 @query("metric_baseline", "SELECT * FROM volume_baseline")
@@ -316,12 +316,12 @@ def _(s, d):
     return _volume_baseline(s, d)
 
 
-_LONG = f"{_EIGHT}, long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count', 'upload_bytes', 'download_bytes', 'connection_duration_seconds']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE, upload_bytes::DOUBLE, download_bytes::DOUBLE, connection_duration_seconds::DOUBLE]) AS value FROM eight)"
+LONG_SQL = _LONG = f"{_EIGHT}, long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count', 'upload_bytes', 'download_bytes', 'connection_duration_seconds']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE, upload_bytes::DOUBLE, download_bytes::DOUBLE, connection_duration_seconds::DOUBLE]) AS value FROM eight)"
 
 
 @query("baseline_full", f", {_LONG} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold FROM long WHERE value IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
-    return baseline.metric_baseline(activity.metric_unpivot(_eight(s, d).drop("idx")), ["device_id", "metric"])
+    return baseline.metric_baseline(activity.metric_unpivot(eight(s, d).drop("idx")), ["device_id", "metric"])
 
 
 @query("typical_hours", "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n")
@@ -334,10 +334,14 @@ def _(s, d):
     return baseline.dow_pattern(baseline.window_samples(V.lookups(s, d), NOW), NOW).withColumn("weekday", F.col("weekday").cast("long"))
 
 
-@query("window_grid", f"SELECT i AS idx, epoch(TIMESTAMP '{NOW}')::BIGINT - (i + 1) * 86400 AS start, epoch(TIMESTAMP '{NOW}')::BIGINT - i * 86400 AS stop FROM (SELECT unnest(range(0, 14)) AS i)")
+@query(
+    "window_grid",
+    f"""SELECT idx, epoch(TIMESTAMP '{NOW}')::BIGINT - (idx + 1) * 86400 AS start, epoch(TIMESTAMP '{NOW}')::BIGINT - idx * 86400 AS stop,
+    (SELECT count(*) FROM lookups WHERE queried_at BETWEEN TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER) AND TIMESTAMP '{NOW}' - to_days(idx::INTEGER)) AS lookups
+    FROM (SELECT unnest(range(0, 14)) AS idx)""",
+)
 def _(s, d):
-    end = F.unix_timestamp(F.lit(NOW).cast("timestamp"))
-    return s.range(14).select(F.col("id").alias("idx"), (end - (F.col("id") + 1) * DAY).alias("start"), (end - F.col("id") * DAY).alias("stop"))
+    return baseline.window_grid(V.lookups(s, d), NOW).withColumn("idx", F.col("idx").cast("long"))
 
 
 @query("latest_baseline", "SELECT device_id, max(idx) AS idx, arg_max(dns_query_volume, idx) AS dns_query_volume FROM samples GROUP BY 1")
@@ -349,8 +353,7 @@ def _(s, d):
 @query("deviations", "SELECT s.device_id, idx, dns_query_volume::DOUBLE AS value, round(dns_query_volume - mean, 6) AS delta, round((dns_query_volume - mean) / nullif(stddev, 0), 4) AS z_score, CASE WHEN stddev > 0 AND (dns_query_volume - mean) / stddev > 2 THEN 'z_score' WHEN stddev = 0 AND dns_query_volume > mean THEN 'above_constant_mean' ELSE 'percentile' END AS kind FROM samples s JOIN volume_baseline b ON b.device_id = s.device_id WHERE (stddev > 0 AND (dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND dns_query_volume > mean) OR dns_query_volume > p95")
 def _(s, d):
     samples = baseline.window_samples(V.lookups(s, d), NOW).select("device_id", F.col("idx").cast("long").alias("idx"), F.col("dns_query_volume").cast("double").alias("value"))
-    found = baseline.deviations(samples, _volume_baseline(s, d), ["device_id"])
-    return found.join(samples, ["device_id", "value"]).select("device_id", "idx", "value", "delta", "z_score", "kind").distinct()
+    return baseline.deviations(samples, _volume_baseline(s, d), ["device_id"]).select("device_id", "idx", "value", "delta", "z_score", "kind")
 
 
 @query("identifier_claims", "SELECT ip AS value, device_id, min(queried_at) AS first_seen, max(queried_at) AS last_seen FROM (SELECT *, first_value(device_id) OVER (PARTITION BY ip ORDER BY id) AS owner FROM lookups) WHERE device_id = owner GROUP BY 1, 2")
@@ -374,7 +377,7 @@ def _(s, d):
     return identity.unknown_flag(V.lookups(s, d).select("device_id", F.when(F.col("event_type") == "signup", "mac").otherwise("ip").alias("kind")))
 
 
-_RESOLVED = """observed AS (
+RESOLVED_SQL = _RESOLVED = """observed AS (
     SELECT id AS seq, CASE WHEN id % 7 <> 0 THEN 'm' || device_id || '.' || (id % 3) END AS mac,
         CASE WHEN id % 3 <> 0 THEN 'u' || (CASE WHEN id % 11 = 0 THEN device_id + 1 ELSE device_id END) || '.' || (id % 5) END AS controller_id
     FROM lookups
@@ -392,7 +395,7 @@ resolved AS (
 )"""
 
 
-def _observed(s: SparkSession, d: str) -> DataFrame:
+def observed(s: SparkSession, d: str) -> DataFrame:
     """A sighting for each lookup: parts of devices with identifiers of their own, some shown by the next device."""
     shared_folder(s, "devices")  # sets the checkpoint folder where none is set
     key = F.col("id")
@@ -403,13 +406,13 @@ def _observed(s: SparkSession, d: str) -> DataFrame:
 
 @query("device_resolution", f", {_RESOLVED} SELECT * FROM resolved")
 def _(s, d):
-    return identity.resolve_devices(_observed(s, d)).select("seq", "device_seq")
+    return identity.resolve_devices(observed(s, d)).select("seq", "device_seq")
 
 
 @query("device_resolution_batches", f", {_RESOLVED} SELECT * FROM resolved")
 def _(s, d):
     """The same devices from two batches, the second one against the claims of the first."""
-    seen = _observed(s, d)
+    seen = observed(s, d)
     middle = seen.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
     early, claims = identity.resolve_batch(seen.filter(F.col("seq") <= middle))
     late, _ = identity.resolve_batch(seen.filter(F.col("seq") > middle), claims)
@@ -672,7 +675,7 @@ def _(s, d):
 
 @query("trend_delta", f", {_LONG}, today AS (SELECT metric, avg(value) AS value FROM long WHERE idx < 1 AND value IS NOT NULL GROUP BY 1), means AS (SELECT metric, avg(value) AS mean FROM long WHERE value IS NOT NULL GROUP BY 1) SELECT metric, round(value - mean, 6) AS delta FROM today JOIN means USING (metric)")
 def _(s, d):
-    rows = activity.metric_unpivot(_eight(s, d).withColumn("device_id", F.struct("device_id", "idx")))
+    rows = activity.metric_unpivot(eight(s, d).withColumn("device_id", F.struct("device_id", "idx")))
     today = rows.filter("device_id.idx < 1").groupBy("metric").agg(F.avg("value").alias("value"))
     return dashboard.trend_delta(today, rows.groupBy("metric").agg(F.avg("value").alias("mean"))).select("metric", "delta")
 
@@ -707,28 +710,28 @@ def _(s, d):
     return health.all_sources(health.source_health(attempts(s, d), NOW, stale=90000), ("1", "2", "never")).select("source", "status")
 
 
-@query("incomplete_sources", f", {_HEALTH} SELECT source FROM judged WHERE status = 'down'")
+@query("incomplete_sources", f", {_HEALTH.replace('failures >= 3', 'failures >= 2')} SELECT source FROM judged WHERE status = 'down'")
 def _(s, d):
-    return health.source_health(attempts(s, d), NOW, stale=90000).filter("status = 'down'").select("source")
+    return health.source_health(attempts(s, d), NOW, stale=90000, most=2).filter("status = 'down'").select("source")
 
 
-def _batches(s: SparkSession, d: str) -> DataFrame:
+def batch_rows(s: SparkSession, d: str) -> DataFrame:
     return V.findings(s, d).select("id", F.col("severity").alias("source"), F.col("occurred_at").alias("started_at"), F.when(F.col("status") == "open", "failed").otherwise("succeeded").alias("status"))
 
 
 @query("last_batches", "SELECT severity AS source, arg_max(id, (occurred_at, id)) AS id FROM findings GROUP BY 1")
 def _(s, d):
-    return health.last_batches(_batches(s, d)).select("source", "id")
+    return health.last_batches(batch_rows(s, d)).select("source", "id")
 
 
 @query("failed_batches", "SELECT severity AS source, count(*) FILTER (status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01') AS failed FROM findings GROUP BY 1")
 def _(s, d):
-    return health.failed_batches(_batches(s, d), "2000-01-01 00:00:00")
+    return health.failed_batches(batch_rows(s, d), "2000-01-01 00:00:00")
 
 
 @query("system_status", f", {_HEALTH} SELECT CASE max(CASE status WHEN 'down' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE CASE WHEN any_value(n) > 0 THEN 'degraded' ELSE 'ok' END END AS status, any_value(n) AS failed_batches FROM judged, (SELECT count(*) AS n FROM findings WHERE status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01')")
 def _(s, d):
-    return health.system_status(health.source_health(attempts(s, d), NOW, stale=90000), health.failed_batches(_batches(s, d), "2000-01-01 00:00:00"))
+    return health.system_status(health.source_health(attempts(s, d), NOW, stale=90000), health.failed_batches(batch_rows(s, d), "2000-01-01 00:00:00"))
 
 
 @query("attention_items", f", {_HEALTH}, {_ATTRIBUTED} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 1::INTEGER, 'review' FROM attributed WHERE status <> 'attributed' HAVING count(*) > 0 UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
@@ -833,8 +836,8 @@ def _(s, d):
 @query("status_changes", "SELECT device_id::VARCHAR AS source, queried_at AS checked_at FROM (SELECT *, lag(status) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS before FROM lookups) WHERE status = 'blocked' AND before <> 'blocked'")
 def _(s, d):
     state = F.when(F.col("status") == "blocked", "down").when(F.col("status") == "cached", "degraded").otherwise("ok")
-    history = V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.struct("queried_at", "id").alias("checked_at"), state.alias("status"))
-    return health.status_changes(history).select("source", "checked_at.queried_at").withColumnRenamed("queried_at", "checked_at")
+    history = V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("checked_at"), "id", state.alias("status"))
+    return health.status_changes(history, tie="id").select("source", "checked_at")
 
 
 @query("first_person_devices", "SELECT user_id AS device_id, min(event_id) AS id FROM events WHERE event_type <> 'error' GROUP BY 1")
@@ -928,7 +931,7 @@ def _(s, d):
 
 @query("baseline_history", f", {_LONG} SELECT device_id, max(k)::BIGINT AS sample_count, count(*) AS metrics FROM (SELECT device_id, metric, count(*) AS k FROM long WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    full = baseline.metric_baseline(activity.metric_unpivot(_eight(s, d).drop("idx")), ["device_id", "metric"])
+    full = baseline.metric_baseline(activity.metric_unpivot(eight(s, d).drop("idx")), ["device_id", "metric"])
     return changes.baseline_history(full, "24h", NOW).select("device_id", "sample_count", F.size("metrics").cast("long").alias("metrics"))
 
 

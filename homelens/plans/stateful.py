@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions import normalize as N
-from homelens.operators import baseline, feedback, panes
+from homelens.operators import activity, baseline, changes, feedback, health, identity, panes, people
 from homelens.plans import registry
 from homelens.plans import views as V
 from homelens.plans.registry import NOW, query
@@ -189,3 +189,116 @@ def _(s, d):
 def _(s, d):
     samples = _panes(s, d).samples(NOW)
     return baseline.metric_baseline(samples.select("device_id", F.col("dns_query_volume").cast("double").alias("value")), ["device_id"])
+
+
+_EDITS = """edits AS (
+    SELECT id AS seq, device_id, id % 5 AS person_id, queried_at AS made, CASE WHEN id % 4 = 0 THEN 'unassign' ELSE 'assign' END AS action FROM lookups
+), given AS (
+    SELECT *, last_value(CASE WHEN action = 'assign' THEN person_id END IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY made, seq) AS holder FROM edits
+), effective AS (
+    SELECT *, CASE WHEN action = 'assign' THEN person_id ELSE -1 END AS state FROM given WHERE action = 'assign' OR person_id = holder
+), turns AS (
+    SELECT *, lag(state) OVER (PARTITION BY device_id ORDER BY made, seq) AS before FROM effective
+), spans AS (
+    SELECT device_id, state AS person_id, made AS valid_from, lead(made) OVER (PARTITION BY device_id ORDER BY made, seq) AS valid_to FROM turns WHERE before IS NULL OR before <> state
+), held AS (SELECT * FROM spans WHERE person_id >= 0)"""
+
+
+def _edits(s: SparkSession, d: str) -> DataFrame:
+    """An edit for each lookup: its device is given to one of five people, or taken from one."""
+    action = F.when(F.col("id") % 4 == 0, people.UNASSIGN).otherwise(people.ASSIGN)
+    return V.lookups(s, d).select(F.col("id").alias("seq"), "device_id", (F.col("id") % 5).alias("person_id"), F.col("queried_at").alias("at"), action.alias("action"))
+
+
+@query("assignment_intervals", f", {_EDITS} SELECT device_id, person_id, valid_from, valid_to FROM held")
+def _(s, d):
+    """Intervals of a first half of the edits, merged with the other half."""
+    edits = _edits(s, d)
+    early, late = edits.filter("seq % 2 = 0"), edits.filter("seq % 2 = 1")
+    return people.merged_intervals(people.intervals(early), early, late)
+
+
+@query("held_at", f", {_EDITS} SELECT l.id, h.person_id FROM lookups l JOIN held h ON h.device_id = l.device_id AND h.valid_from <= l.queried_at AND (h.valid_to IS NULL OR h.valid_to > l.queried_at)")
+def _(s, d):
+    return people.held_at(V.lookups(s, d), people.intervals(_edits(s, d)))
+
+
+@query(
+    "people_devices",
+    f""", {_EDITS} SELECT p.person_id, p.name, coalesce(string_agg(d.display_name || ':' || h.device_id, ',' ORDER BY d.display_name, h.device_id), '') AS devices
+    FROM people p LEFT JOIN (SELECT * FROM held WHERE valid_to IS NULL) h ON h.person_id = p.person_id LEFT JOIN devices d ON d.device_id = h.device_id GROUP BY 1, 2""",
+)
+def _(s, d):
+    nested = people.with_devices(V.people(s, d), people.intervals(_edits(s, d)), V.devices(s, d))
+    told = F.array_join(F.transform("devices", lambda x: F.concat(x["display_name"], F.lit(":"), x["device_id"].cast("string"))), ",")
+    return nested.select("person_id", "name", told.alias("devices"))
+
+
+@query(
+    "schedule_faults",
+    """SELECT c_custkey AS id, array_to_string(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'one of device and person' END, CASE WHEN c_custkey % 5 = 0 THEN 'no hours' END,
+    CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 = 0 THEN 'hours of 0 to 23' END, CASE WHEN c_custkey % 11 = 0 THEN 'weekdays of 0 to 6' END], lambda x: x IS NOT NULL), ', ') AS faults
+    FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0""",
+)
+def _(s, d):
+    key = F.col("c_custkey")
+    hours = F.when(key % 5 == 0, F.array().cast("array<int>")).when(key % 7 == 0, F.array(F.lit(8), F.lit(24))).otherwise(F.array(F.lit(8)))
+    both = F.when(key % 2 == 0, key)
+    rows = V.table(s, d, "customer").select(key.alias("id"), hours.alias("expected_hours_utc"), F.when(key % 11 == 0, F.array(F.lit(7))).alias("days_of_week"), F.when(key % 3 == 0, both).otherwise(key).alias("device_id"), F.when(key % 3 == 0, both).alias("person_id"))
+    return people.checked_schedules(rows)[1].select("id", F.array_join("faults", ", ").alias("faults"))
+
+
+@query(
+    "settings_merge",
+    """SELECT 'k' || n AS key, coalesce(v, n * 1.0::DOUBLE) AS value, v IS NOT NULL AS changed FROM (SELECT n_nationkey AS n FROM nation)
+    LEFT JOIN (SELECT c_nationkey AS k, arg_max(c_acctbal, c_custkey) AS v FROM customer WHERE c_acctbal >= 0 AND c_nationkey % 2 = 0 GROUP BY 1) ON k = n""",
+)
+def _(s, d):
+    defaults = V.table(s, d, "nation").select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.col("n_nationkey").cast("double").alias("value"))
+    patches = V.table(s, d, "customer").filter("c_nationkey % 2 = 0").select(F.concat(F.lit("k"), "c_nationkey").alias("key"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("value"), F.col("c_custkey").alias("version"))
+    return people.merged_settings(defaults, patches)
+
+
+@query("new_device_events", f", {registry.RESOLVED_SQL} SELECT r.seq AS device_seq, 'new_device' AS kind, o.mac IS NULL AND o.controller_id IS NULL AS is_unknown FROM resolved r JOIN observed o ON o.seq = r.seq WHERE r.seq = r.device_seq")
+def _(s, d):
+    return identity.new_devices(identity.resolve_devices(registry.observed(s, d)))
+
+
+@query("baseline_rows", f", {registry.LONG_SQL} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold FROM long WHERE value IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    """Baselines written as history and read back."""
+    path = shared_folder(s, "baselines")
+    full = baseline.metric_baseline(activity.metric_unpivot(registry.eight(s, d).drop("idx")), ["device_id", "metric"])
+    history = changes.baseline_history(full, "24h", NOW)
+    history.write.parquet(path)
+    return changes.baseline_rows(s.read.schema(history.schema).parquet(path)).select("device_id", "metric", "sample_count", "mean", "high_threshold")
+
+
+@query(
+    "uplink_names",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN a.s_name END AS ap_name, w.s_name AS switch_name
+    FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey % 200 LEFT JOIN supplier w ON w.s_suppkey = c_custkey % 7""",
+)
+def _(s, d):
+    mac = lambda x: N.normalize_mac(F.lpad(F.hex(x), 12, "0"))
+    key = F.col("c_custkey")
+    clients = V.table(s, d, "customer").select("c_custkey", F.when(key % 3 != 0, mac(key % 200)).alias("ap_mac"), mac(key % 7).alias("sw_mac"))
+    known = V.table(s, d, "supplier").select(mac(F.col("s_suppkey")).alias("mac"), F.col("s_name").alias("name"))
+    return changes.uplinks(clients, known).select("c_custkey", "ap_name", "switch_name")
+
+
+@query(
+    "system_report",
+    f""", {registry.HEALTH_SQL},
+    beats AS (SELECT CASE WHEN epoch(TIMESTAMP '{NOW}') - floor(epoch(max(queried_at))) >= 86400 THEN 'down' ELSE 'ok' END AS status FROM lookups GROUP BY device_id),
+    parts AS (SELECT 'sources' AS part, status FROM judged UNION ALL SELECT 'workers', status FROM beats),
+    ranked AS (SELECT part, max(CASE status WHEN 'down' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) AS r FROM parts GROUP BY 1),
+    failed AS (SELECT count(*) AS n FROM findings WHERE status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01'),
+    every AS (SELECT part, r FROM ranked UNION ALL SELECT 'system', greatest(max(r), CASE WHEN (SELECT n FROM failed) > 0 THEN 1 ELSE 0 END) FROM ranked)
+    SELECT part, CASE r WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE 'ok' END AS status FROM every""",
+)
+def _(s, d):
+    beats = V.lookups(s, d).select(F.col("device_id").cast("string").alias("component"), F.col("queried_at").alias("seen_at"))
+    workers = changes.heartbeats(beats, NOW, 86400).select(F.lit("workers").alias("part"), "component", "status")
+    sources = health.source_health(registry.attempts(s, d), NOW, stale=90000).select(F.lit("sources").alias("part"), F.col("source").alias("component"), "status")
+    return health.system_report(workers.unionByName(sources), health.failed_batches(registry.batch_rows(s, d), "2000-01-01 00:00:00"))
