@@ -63,8 +63,7 @@ class Panes:
         """Compute the panes of new lookups only."""
         rows = pane_rows(lookups, self.seconds)
         kinds = [f.split(" ") for f in PANE.split(", ")]
-        if not ledger.append(rows.select(*[F.col(n).cast(k) for n, k in kinds]), self.path, batch_id, "panes"):
-            raise RuntimeError(f"panes of {batch_id} could not be written")
+        ledger.write(rows.select(*[F.col(n).cast(k) for n, k in kinds]), self.path, batch_id, "panes")
 
     def samples(self, end: str, panes: int = 1, samples: int = 14) -> DataFrame:
         """What ``baseline.window_samples`` gives for windows of ``panes`` panes up to ``end``, a border of panes, from the panes alone."""

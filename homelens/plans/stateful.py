@@ -12,7 +12,7 @@ from homelens.plans import views as V
 from homelens.plans.registry import NOW, query
 from homelens.session import shared_folder
 from homelens.sources import dns_log, keyset, ledger
-from homelens.streaming import finding_loop, keyed
+from homelens.streaming import attribution, finding_loop, keyed
 
 STORED = "source_id string, domain string, status string"
 
@@ -302,3 +302,27 @@ def _(s, d):
     workers = changes.heartbeats(beats, NOW, 86400).select(F.lit("workers").alias("part"), "component", "status")
     sources = health.source_health(registry.attempts(s, d), NOW, stale=90000).select(F.lit("sources").alias("part"), F.col("source").alias("component"), "status")
     return health.system_report(workers.unionByName(sources), health.failed_batches(registry.batch_rows(s, d), "2000-01-01 00:00:00"))
+
+
+@query(
+    "streaming_attribution",
+    """, alone AS (SELECT id, count(DISTINCT device_id) AS n, min(device_id) AS device_id FROM matches GROUP BY 1)
+    SELECT l.id, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN n = 1 THEN a.device_id END AS device_id
+    FROM addressed l LEFT JOIN alone a ON a.id = l.id""",
+)
+def _(s, d):
+    """Attribution by address from streams of lookups and claims; claims of the second half come after the lookups of the first."""
+    folder = shared_folder(s, "attribution")
+    asked = V.addressed(s, d).select("id", "ip", "queried_at")
+    claims = V.assignments(s, d).select("ip", "device_id", "observed_from", "observed_to")
+    store = attribution.AttributionStore(s, f"{folder}/store")
+    stamp = lambda day: F.lit(f"2024-{day} 00:00:00").cast("timestamp_ntz")
+    ends = [s.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("ip"), stamp(day).alias("queried_at")) for day in ("06-01", "09-01")]  # move the watermark past all others
+    last = [e.select("ip", "id", F.col("queried_at").alias("observed_from"), F.col("queried_at").alias("observed_to")).toDF(*claims.columns) for e in ends]
+    for k, (some, held) in enumerate([(asked.filter("id % 2 = 0"), claims.filter("device_id % 2 = 0")), (asked.filter("id % 2 = 1"), claims.filter("device_id % 2 = 1")), *zip(ends, last)]):
+        some.coalesce(1).write.mode("append").parquet(f"{folder}/lookups")
+        held.coalesce(1).write.mode("append").parquet(f"{folder}/claims")
+        if k:
+            stream = lambda frame, name: s.readStream.schema(frame.schema).parquet(f"{folder}/{name}")
+            attribution.start(attribution.evidence_stream(stream(asked, "lookups"), stream(claims, "claims"), "40 days", "60 days"), store, f"{folder}/marks", None, None).awaitTermination()
+    return store.activity().filter("id >= 0").select("id", "status", "device_id")

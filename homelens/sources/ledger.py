@@ -20,6 +20,7 @@ from datetime import datetime, timezone
 from urllib.parse import quote, urlparse
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
@@ -155,15 +156,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BatchLedger)
 
 
-def append(rows: DataFrame, path: str, batch_id: str, source: str, started_at: str | None = None) -> bool:
-    """Write a batch; False, with a failed row in the ledger that says why, if a row has an error or a task failed."""
+def write(rows: DataFrame, path: str, batch_id: str, source: str, started_at: str | None = None) -> None:
+    """Write a batch; if a row has an error or a task failed, leave a failed row in the ledger that says why, and raise."""
     register(rows.sparkSession)
     options = {"path": path, "batch_id": batch_id, "source": source} | ({"started_at": started_at} if started_at else {})
     try:
         rows.write.format(FORMAT).options(**options).mode("append").save()
-    except Exception as failed:  # the ledger has the batch as failed; any other fault of the session shows at the next action
+    except Exception as failed:
         said = re.search(r"rejected: ([^\n]*)", str(failed))
         record_failure(path, batch_id, source, said[1] if said else str(failed).split("\n")[0][:500], started_at)
+        raise
+
+
+def append(rows: DataFrame, path: str, batch_id: str, source: str, started_at: str | None = None) -> bool:
+    """``write``, but False where it raises: the ledger has the batch as failed."""
+    try:
+        write(rows, path, batch_id, source, started_at)
+    except PySparkException:
         return False
     return True
 

@@ -25,6 +25,7 @@ class FindingStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        ledger.register(spark)  # a stream works in a copy of the session, made when it starts
 
     def rows(self, kind: str) -> DataFrame:
         return ledger.rows(self.spark, self.path, ROW).filter(F.col("kind") == kind).drop("kind", "batch_id")
@@ -47,8 +48,7 @@ class FindingStore:
         known = {f.name for f in rows.schema}
         typed = [f.split(" ", 1) for f in ROW.split(", ")]
         full = [F.lit(version).cast("long").alias(n) if n == "version" else (F.col(n) if n in known else F.lit(None)).cast(kind).alias(n) for n, kind in typed]
-        if not ledger.append(rows.select(*full), self.path, batch_id, source):
-            raise RuntimeError(f"findings of {batch_id} could not be written")
+        ledger.write(rows.select(*full), self.path, batch_id, source)
 
     def refresh(self, drafts: DataFrame, batch_id: str, version: int) -> None:
         """Keep the drafts that are not suppressed: new ones open, known ones refreshed, closed ones as they are."""
