@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from homelens.llm import bytesets, storage, tokens
 
 SEQUENCE = 2048
+RANKED = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,7 +69,7 @@ def best_two_fit(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
             filled[length] = filled.get(length, 0) + times
             left[length] -= times
             gap -= times * length
-        if gap and len(filled) + max(filled.values()) > 2:
+        if gap and len(filled) + max(filled.values()) > 2:  # swaps of a lone document gave no fewer bins in trials
             smallest = min(filled)
             room = gap + smallest
             back = left[: room + 1].copy()
@@ -109,8 +110,12 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
-def pack(pieces: DataFrame, limit: int = SEQUENCE, salts: int = 256) -> DataFrame:
-    """``pieces`` with sequence_id and offset; only the histogram of lengths (``limit`` rows) reaches the driver."""
+def pack(pieces: DataFrame, limit: int = SEQUENCE, salts: int | None = None) -> DataFrame:
+    """``pieces`` with sequence_id and offset; only the histogram of lengths (``limit`` rows) reaches the driver.
+
+    Pieces of one length are ranked in ``salts`` parts, by default one for each ``RANKED`` pieces there are, since most may have one length.
+    """
+    salts = salts or max(256, pieces.count() // RANKED)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     groups = storage.materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-groups")
     histogram = np.zeros(limit + 1, np.int64)

@@ -1,7 +1,7 @@
 """Token-ID files with Elias-Fano document boundaries.
 
 A file holds the ids of its documents one after the other (16 bits each where the vocabulary allows),
-then the documents' ids, then their end offsets as a monotone sequence in Elias-Fano form: ``low_bits``
+then two monotone sequences in Elias-Fano form, the documents' ids as steps from the first one and their end offsets: ``low_bits``
 low bits of each offset packed, the rest as a unary bit string, and the place of every 256th one-bit so
 that ``select`` reads one offset without decoding the others; readers take the starts and ends of a batch of
 documents by one such select. Files are numbered in ascending order of doc_id, and so are the documents
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from homelens.llm import bytesets, storage, tokens
 from homelens.llm.sizing import partitions_for, text_bytes
 
-MAGIC = b"IDFILE01"
+MAGIC = b"IDFILE02"
 EVERY = 256
 HELD = 64 << 20
 FILES = 1 << 20
@@ -45,8 +45,10 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         low_bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
-        shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        bits = np.empty((n, low_bits), np.uint8)
+        for k in range(low_bits):
+            bits[:, k] = values >> np.uint64(k) & np.uint64(1)
+        low = np.packbits(bits.ravel(), bitorder="little")
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
@@ -88,11 +90,20 @@ class EliasFano:
         return (((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(0, self.n)).astype(np.int64)
 
 
+def _parts(coded: EliasFano) -> tuple[bytes, list[np.ndarray]]:
+    return struct.pack("<4q", coded.low_bits, len(coded.low), len(coded.high), len(coded.samples)), [coded.samples, coded.low, coded.high]
+
+
 def _write(uri: str, ids: list[np.ndarray], doc_ids: np.ndarray, ends: np.ndarray, width: int) -> None:
+    """A file of documents in ascending doc_id; those without one stand first and are only counted."""
     total = int(ends[-1]) if len(ends) else 0
-    coded = EliasFano.encode(ends, total + 1)
-    head = MAGIC + struct.pack("<7q", len(doc_ids), total, width, coded.low_bits, len(coded.low), len(coded.high), len(coded.samples))
-    storage.write_file(uri, head, *ids, b"\0" * (-total * width % 8), doc_ids.astype("<i8"), coded.samples, coded.low, coded.high)
+    known = doc_ids[doc_ids != _NULL_ID].astype(np.int64)
+    first = int(known[0]) if len(known) else 0
+    steps = known.view(np.uint64) - np.uint64(first % 2**64)  # exact modulo 2^64, as the ids ascend
+    names, places = EliasFano.encode(steps, int(steps[-1]) + 1 if len(steps) else 1), EliasFano.encode(ends, total + 1)
+    head = MAGIC + struct.pack("<5q", len(doc_ids), total, width, len(doc_ids) - len(known), first)
+    (name_head, name_parts), (place_head, place_parts) = _parts(names), _parts(places)
+    storage.write_file(uri, head, name_head, place_head, *ids, b"\0" * (-total * width % 8), name_parts[0], place_parts[0], *name_parts[1:], *place_parts[1:])
 
 
 class IdFile:
@@ -102,15 +113,27 @@ class IdFile:
         raw = storage.map_array(uri, "u1")
         if raw[:8].tobytes() != MAGIC:
             raise ValueError(f"not a token-ID file: {uri}")
-        n, total, width, low_bits, n_low, n_high, n_samples = struct.unpack("<7q", raw[8:64].tobytes())
-        at = 64 + total * width + (-total * width % 8)
+        n, total, width, nameless, first = struct.unpack("<5q", raw[8:48].tobytes())
+        codes = [struct.unpack("<4q", raw[48 + 32 * k : 80 + 32 * k].tobytes()) for k in range(2)]
+        at = 112 + total * width + (-total * width % 8)
         self.n_docs, self.n_ids = n, total
-        self.ids = raw[64 : 64 + total * width].view(f"<u{width}")
-        self.doc_ids = raw[at : at + 8 * n].view("<i8")
-        at += 8 * n
-        samples = raw[at : at + 8 * n_samples].view("<u8")
-        at += 8 * n_samples
-        self.ends = EliasFano(n, low_bits, raw[at : at + n_low], raw[at + n_low : at + n_low + n_high], samples)
+        self.nameless, self.first = nameless, first
+        self.ids = raw[112 : 112 + total * width].view(f"<u{width}")
+        samples = []
+        for _, _, _, n_samples in codes:
+            samples.append(raw[at : at + 8 * n_samples].view("<u8"))
+            at += 8 * n_samples
+        lists = []
+        for size, (low_bits, n_low, n_high, _), marks in zip((n - nameless, n), codes, samples, strict=True):
+            lists.append(EliasFano(size, low_bits, raw[at : at + n_low], raw[at + n_low : at + n_low + n_high], marks))
+            at += n_low + n_high
+        self.names, self.ends = lists
+
+    def doc_ids(self, first: int, last: int) -> np.ndarray:
+        """doc_id of documents first to last - 1, the least long where there is none."""
+        none = max(0, min(last, self.nameless) - first)
+        steps = self.names.between(max(0, first - self.nameless), max(0, last - self.nameless)).astype(np.uint64)
+        return np.append(np.full(none, _NULL_ID), (steps + np.uint64(self.first % 2**64)).view(np.int64))
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document i of this file, found by two selects."""
@@ -176,7 +199,7 @@ def read_token_files(manifest: DataFrame, per_row: int = 8192) -> DataFrame:
                     last = min(k + per_row, file.n_docs)
                     marks = file.bounds(k, last)
                     sums = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
-                    doc = file.doc_ids[k:last]
+                    doc = file.doc_ids(k, last)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc, pa.int64(), mask=doc == _NULL_ID), pa.array(before + marks[:-1]), pa.array(np.diff(marks)), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
