@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
+NAMED = 20
+
 
 def findings_by_severity(findings: DataFrame) -> DataFrame:
     """Open findings of every severity; those without any are 0."""
@@ -42,8 +44,11 @@ def attention_items(sources: DataFrame, reviews: DataFrame, devices: DataFrame,
 
 
 def household_status(sources: DataFrame, items: DataFrame, count: DataFrame) -> DataFrame:
-    """One row (status, reason) from incomplete sources, else from what wants attention, else ok."""
-    down = sources.filter("status = 'down'").agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("down"))
+    """One row (status, reason) from incomplete sources, the first ``NAMED`` by name, else from what wants attention, else ok."""
+    first = sources.filter("status = 'down'").select("source").orderBy("source").limit(NAMED + 1)
+    names = F.array_sort(F.collect_list("source"))
+    more = F.when(F.size(names) > NAMED, " and more").otherwise("")
+    down = first.agg(F.concat(F.array_join(F.slice(names, 1, NAMED), ", "), more).alias("down"))
     top = items.agg(F.min_by("summary", F.struct("tier", "item")).alias("top"))
     one = down.crossJoin(top).crossJoin(count.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))  # one row each
     status = F.when(F.col("down") != "", "incomplete").when(F.col("n") > 0, "attention").otherwise("ok")

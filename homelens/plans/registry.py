@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions import normalize as N
@@ -58,7 +58,11 @@ def _(s, d):
     return events.page_after(V.findings(s, d), "occurred_at", "id", "1997-01-01 00:00:00", 100).select("id", "severity")
 
 
-@query("normalize_domain", "SELECT page_id, regexp_replace(lower(regexp_replace('  ' || upper(regexp_extract(url, '://([^/]+)', 1)) || '.. ', '^\\s+|\\s+$', '', 'g')), '\\.+$', '') AS domain FROM pages")
+@query(
+    "normalize_domain",
+    "SELECT page_id, regexp_replace(lower(regexp_replace('  ' || upper(regexp_extract(url, '://([^/]+)', 1)) || '.. ', '^\\s+|\\s+$', '', 'g')), '\\.+$', '') AS domain "
+    "FROM pages",
+)
 def _(s, d):
     host = F.concat(F.lit("  "), F.upper(F.regexp_extract("url", "://([^/]+)", 1)), F.lit(".. "))
     return V.table(s, d, "pages").select("page_id", N.normalize_domain(host).alias("domain"))
@@ -69,14 +73,24 @@ def _(s, d):
     return V.table(s, d, "pages").select("page_id", N.registrable_suffix(F.regexp_extract("url", "://([^/]+)", 1)).alias("suffix"))
 
 
-@query("normalize_mac", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN regexp_replace(lpad(lower(hex(c_custkey)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') END AS mac FROM customer")
+@query(
+    "normalize_mac",
+    "SELECT c_custkey, "
+    "CASE WHEN c_custkey % 5 <> 0 THEN regexp_replace(lpad(lower(hex(c_custkey)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') END AS mac "
+    "FROM customer",
+)
 def _(s, d):
     raw = F.lpad(F.hex("c_custkey"), 12, "0")
     messy = F.when(F.col("c_custkey") % 5 == 0, F.substring(raw, 1, 11)).otherwise(F.regexp_replace(raw, "(....)(?=.)", "$1-"))
     return V.table(s, d, "customer").select("c_custkey", N.normalize_mac(messy).alias("mac"))
 
 
-@query("status_bucket", "SELECT code, CASE WHEN code IN ('GRAVITY', ' regex ') THEN 'blocked' WHEN code = 'Cache' THEN 'cached' ELSE 'allowed' END AS status, n FROM (SELECT CASE event_type WHEN 'error' THEN 'GRAVITY' WHEN 'view' THEN 'Cache' WHEN 'click' THEN ' regex ' WHEN 'signup' THEN '  ' ELSE 'FORWARDED' END AS code, count(*) AS n FROM events GROUP BY 1)")
+@query(
+    "status_bucket",
+    "SELECT code, CASE WHEN code IN ('GRAVITY', ' regex ') THEN 'blocked' WHEN code = 'Cache' THEN 'cached' ELSE 'allowed' END AS status, n FROM (SELECT "
+    "CASE event_type WHEN 'error' THEN 'GRAVITY' WHEN 'view' THEN 'Cache' WHEN 'click' THEN ' regex ' WHEN 'signup' THEN '  ' ELSE 'FORWARDED' END AS code, "
+    "count(*) AS n FROM events GROUP BY 1)",
+)
 def _(s, d):
     code = F.when(F.col("event_type") == "error", "GRAVITY").when(F.col("event_type") == "view", "Cache").when(F.col("event_type") == "click", " regex ").when(F.col("event_type") == "signup", "  ").otherwise("FORWARDED")
     return V.table(s, d, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n")).select("code", N.status_bucket(F.col("code")).alias("status"), "n")
@@ -96,7 +110,11 @@ def _(s, d):
     return V.lookups(s, d).withColumn("payload", payload).select("id", N.client_fields(F.col("payload"))[2].alias("identifier"))
 
 
-@query("interval_overlap_seconds", f"SELECT device_id, observed_from, greatest(0, epoch(least(coalesce(observed_to, TIMESTAMP '{NOW}'), TIMESTAMP '{NOW}')) - epoch(greatest(observed_from, TIMESTAMP '{START}'))) AS seconds FROM assignments")
+@query(
+    "interval_overlap_seconds",
+    f"SELECT device_id, observed_from, greatest(0, epoch(least(coalesce(observed_to, TIMESTAMP '{NOW}'), TIMESTAMP '{NOW}')) - epoch(greatest(observed_from, TIMESTAMP '{START}'))) AS seconds "
+    f"FROM assignments",
+)
 def _(s, d):
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     return V.assignments(s, d).select("device_id", "observed_from", N.overlap_seconds(F.col("observed_from"), F.coalesce("observed_to", at(NOW)), at(START), at(NOW)).alias("seconds"))
@@ -108,7 +126,11 @@ def _(s, d):
     return V.transitions(s, d).groupBy(N.classify_transition(name, F.lit("associated or not")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("subject_label", "SELECT d.device_id, coalesce(p.name, 'device ' || d.device_id) AS label FROM devices d LEFT JOIN links l ON l.device_id = d.device_id LEFT JOIN people p ON p.person_id = l.person_id")
+@query(
+    "subject_label",
+    "SELECT d.device_id, coalesce(p.name, 'device ' || d.device_id) AS label FROM devices d LEFT JOIN links l ON l.device_id = d.device_id LEFT "
+    "JOIN people p ON p.person_id = l.person_id",
+)
 def _(s, d):
     joined = V.devices(s, d).select("device_id").join(V.links(s, d).select("device_id", "person_id"), "device_id", "left").join(V.people(s, d), "person_id", "left")
     return joined.select("device_id", N.subject_label(F.col("name"), F.lit("  "), F.col("device_id")).alias("label"))
@@ -135,7 +157,12 @@ def _(s, d):
     return V.table(s, d, "documents").groupBy("lang").agg(F.count_if(N.claims_content(F.col("text"))).alias("hits"), F.count("*").alias("n"))
 
 
-@query("dns_window_summary", "SELECT device_id, dns_query_volume, blocked_query_count, round(100.0::DOUBLE * blocked_query_count / dns_query_volume, 4) AS blocked_query_pct, unique_domain_count, new_domain_count, active_hour_count FROM stats")
+@query(
+    "dns_window_summary",
+    "SELECT device_id, dns_query_volume, blocked_query_count, "
+    "round(100.0::DOUBLE * blocked_query_count / dns_query_volume, 4) AS blocked_query_pct, unique_domain_count, new_domain_count, active_hour_count "
+    "FROM stats",
+)
 def _(s, d):
     return _stats(s, d).drop("active_hours_utc")
 
@@ -155,12 +182,21 @@ def _(s, d):
     return activity.latest_per_key(V.snapshots(s, d), "device_id", "observed_at", "id").select("device_id", "id", "upload_bytes")
 
 
-@query("traffic_latest_sum", "SELECT sum(upload_bytes)::BIGINT AS upload_bytes, sum(download_bytes)::BIGINT AS download_bytes, round(sum(connection_duration_seconds), 3) AS connection_duration_seconds, count(*) AS traffic_device_count FROM (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1)")
+@query(
+    "traffic_latest_sum",
+    "SELECT sum(upload_bytes)::BIGINT AS upload_bytes, sum(download_bytes)::BIGINT AS download_bytes, "
+    "round(sum(connection_duration_seconds), 3) AS connection_duration_seconds, count(*) AS traffic_device_count FROM (SELECT * FROM snapshots "
+    "QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1)",
+)
 def _(s, d):
     return activity.traffic_latest_sum(V.snapshots(s, d))
 
 
-_SUMMARY = "summary AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, upload_bytes, download_bytes FROM stats s FULL JOIN (SELECT device_id, upload_bytes, download_bytes FROM snapshots QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1) t ON t.device_id = s.device_id)"
+_SUMMARY = (
+    "summary AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, upload_bytes, download_bytes "
+    "FROM stats s FULL JOIN (SELECT device_id, upload_bytes, download_bytes FROM snapshots QUALIFY row_number() OVER (PARTITION BY device_id "
+    "ORDER BY observed_at DESC, id DESC) = 1) t ON t.device_id = s.device_id)"
+)
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
@@ -172,7 +208,11 @@ def _(s, d):
     return _summary(s, d)
 
 
-@query("metric_unpivot", f", {_SUMMARY} SELECT device_id, metric, value::DOUBLE AS value FROM (UNPIVOT summary ON dns_query_volume, unique_domain_count, new_domain_count, upload_bytes, download_bytes INTO NAME metric VALUE value)")
+@query(
+    "metric_unpivot",
+    f", {_SUMMARY} SELECT device_id, metric, value::DOUBLE AS value "
+    f"FROM (UNPIVOT summary ON dns_query_volume, unique_domain_count, new_domain_count, upload_bytes, download_bytes INTO NAME metric VALUE value)",
+)
 def _(s, d):
     return activity.metric_unpivot(_summary(s, d))
 
@@ -236,13 +276,23 @@ def _(s, d):
     return correlate.identifier_join(V.addressed(s, d), V.names(s, d)).select("id", "kind", "device_id")
 
 
-@query("ip_reassignment", f"SELECT ip, count(DISTINCT device_id) AS devices FROM assignments WHERE observed_from <= TIMESTAMP '{NOW}' AND (observed_to IS NULL OR observed_to > TIMESTAMP '{START}') GROUP BY 1 HAVING count(DISTINCT device_id) > 1")
+@query(
+    "ip_reassignment",
+    f"SELECT ip, count(DISTINCT device_id) AS devices FROM assignments "
+    f"WHERE observed_from <= TIMESTAMP '{NOW}' AND (observed_to IS NULL OR observed_to > TIMESTAMP '{START}') GROUP BY 1 HAVING "
+    f"count(DISTINCT device_id) > 1",
+)
 def _(s, d):
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     return correlate.ip_reassignment(V.assignments(s, d), at(START), at(NOW))
 
 
-@query("confidence_score", "SELECT ip, client, hostname, CASE WHEN ip AND client THEN 0.95 WHEN ip AND hostname THEN 0.9 WHEN ip THEN 0.8 WHEN client THEN 0.6 WHEN hostname THEN 0.55 ELSE 0 END::DECIMAL(5,4)::DOUBLE AS score FROM (SELECT DISTINCT event_id % 2 = 0 AS ip, event_id // 2 % 2 = 0 AS client, event_id // 4 % 2 = 0 AS hostname FROM events)")
+@query(
+    "confidence_score",
+    "SELECT ip, client, hostname, "
+    "CASE WHEN ip AND client THEN 0.95 WHEN ip AND hostname THEN 0.9 WHEN ip THEN 0.8 WHEN client THEN 0.6 WHEN hostname THEN 0.55 ELSE 0 END::DECIMAL(5,4)::DOUBLE AS score "
+    "FROM (SELECT DISTINCT event_id % 2 = 0 AS ip, event_id // 2 % 2 = 0 AS client, event_id // 4 % 2 = 0 AS hostname FROM events)",
+)
 def _(s, d):
     bit = lambda k: F.floor(F.col("event_id") / k) % 2 == 0
     kinds = V.table(s, d, "events").select(bit(1).alias("ip"), bit(2).alias("client"), bit(4).alias("hostname")).distinct()
@@ -285,7 +335,11 @@ def _(s, d):
     return correlate.review_queue(_attributed(s, d)).agg(F.count("*").alias("n"))
 
 
-@query("review_candidates", f", {_ATTRIBUTED} SELECT DISTINCT a.id, e.device_id, d.display_name FROM attributed a JOIN evidence e ON e.id = a.id LEFT JOIN devices d ON d.device_id = e.device_id WHERE a.status <> 'attributed'")
+@query(
+    "review_candidates",
+    f", {_ATTRIBUTED} SELECT DISTINCT a.id, e.device_id, d.display_name FROM attributed a JOIN evidence e ON e.id = a.id LEFT "
+    f"JOIN devices d ON d.device_id = e.device_id WHERE a.status <> 'attributed'",
+)
 def _(s, d):
     return correlate.review_candidates(correlate.review_queue(_attributed(s, d)), V.devices(s, d))
 
@@ -295,7 +349,13 @@ def _(s, d):
     return baseline.window_samples(V.lookups(s, d), NOW).drop("hours").withColumn("idx", F.col("idx").cast("long"))
 
 
-_EIGHT = f"traffic AS (SELECT device_id, idx, upload_bytes, download_bytes, connection_duration_seconds FROM snapshots JOIN (SELECT unnest(range(0, 14)) AS idx) g ON observed_at BETWEEN TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER) AND TIMESTAMP '{NOW}' - to_days(idx::INTEGER) QUALIFY row_number() OVER (PARTITION BY device_id, idx ORDER BY observed_at DESC, id DESC) = 1), eight AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(s.idx, t.idx) AS idx, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(blocked_query_pct, 0) AS blocked_query_pct, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, coalesce(active_hour_count, 0) AS active_hour_count, upload_bytes, download_bytes, connection_duration_seconds FROM samples s FULL JOIN traffic t ON t.device_id = s.device_id AND t.idx = s.idx)"
+_EIGHT = (
+    f"traffic AS (SELECT device_id, idx, upload_bytes, download_bytes, connection_duration_seconds FROM snapshots "
+    f"JOIN (SELECT unnest(range(0, 14)) AS idx) g ON observed_at BETWEEN TIMESTAMP '{NOW}' - to_days((idx + 1)::INTEGER) AND TIMESTAMP '{NOW}' - to_days(idx::INTEGER) "
+    f"QUALIFY row_number() OVER (PARTITION BY device_id, idx "
+    f"ORDER BY observed_at DESC, id DESC) = 1), eight AS (SELECT coalesce(s.device_id, t.device_id) AS device_id, coalesce(s.idx, t.idx) AS idx, coalesce(dns_query_volume, 0) AS dns_query_volume, coalesce(blocked_query_pct, 0) AS blocked_query_pct, coalesce(unique_domain_count, 0) AS unique_domain_count, coalesce(new_domain_count, 0) AS new_domain_count, coalesce(active_hour_count, 0) AS active_hour_count, upload_bytes, download_bytes, connection_duration_seconds "
+    f"FROM samples s FULL JOIN traffic t ON t.device_id = s.device_id AND t.idx = s.idx)"
+)
 
 
 def eight(s: SparkSession, d: str) -> DataFrame:
@@ -316,20 +376,38 @@ def _(s, d):
     return _volume_baseline(s, d)
 
 
-LONG_SQL = _LONG = f"{_EIGHT}, long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count', 'upload_bytes', 'download_bytes', 'connection_duration_seconds']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE, upload_bytes::DOUBLE, download_bytes::DOUBLE, connection_duration_seconds::DOUBLE]) AS value FROM eight)"
+LONG_SQL = _LONG = (
+    f"{_EIGHT}, long AS (SELECT device_id, idx, unnest(['dns_query_volume', 'blocked_query_pct', 'unique_domain_count', 'new_domain_count', 'active_hour_count', 'upload_bytes', 'download_bytes', 'connection_duration_seconds']) AS metric, unnest([dns_query_volume::DOUBLE, blocked_query_pct, unique_domain_count::DOUBLE, new_domain_count::DOUBLE, active_hour_count::DOUBLE, upload_bytes::DOUBLE, download_bytes::DOUBLE, connection_duration_seconds::DOUBLE]) AS value "
+    f"FROM eight)"
+)
 
 
-@query("baseline_full", f", {_LONG} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold FROM long WHERE value IS NOT NULL GROUP BY 1, 2")
+@query(
+    "baseline_full",
+    f", {_LONG} SELECT device_id, metric, count(*) AS sample_count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, "
+    f"round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(avg(value) + 2 * coalesce(stddev_samp(value), 0), 6) AS high_threshold "
+    f"FROM long WHERE value IS NOT NULL GROUP BY 1, 2",
+)
 def _(s, d):
     return baseline.metric_baseline(activity.metric_unpivot(eight(s, d).drop("idx")), ["device_id", "metric"])
 
 
-@query("typical_hours", "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n")
+@query(
+    "typical_hours",
+    "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples "
+    "GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n",
+)
 def _(s, d):
     return baseline.typical_hours(baseline.window_samples(V.lookups(s, d), NOW)).withColumn("hour", F.col("hour").cast("long"))
 
 
-@query("dow_pattern", f"SELECT a.device_id, a.weekday, count(dns_query_volume) AS sample_count, round(avg(dns_query_volume), 6) AS mean_volume FROM (SELECT * FROM (SELECT DISTINCT device_id FROM samples), (SELECT unnest(range(0, 7)) AS weekday)) a LEFT JOIN (SELECT *, isodow(TIMESTAMP '{NOW}' - to_days(idx::INTEGER)) - 1 AS weekday FROM samples) s ON s.device_id = a.device_id AND s.weekday = a.weekday GROUP BY 1, 2")
+@query(
+    "dow_pattern",
+    f"SELECT a.device_id, a.weekday, count(dns_query_volume) AS sample_count, round(avg(dns_query_volume), 6) AS mean_volume FROM (SELECT * "
+    f"FROM (SELECT DISTINCT device_id FROM samples), (SELECT unnest(range(0, 7)) AS weekday)) a LEFT "
+    f"JOIN (SELECT *, isodow(TIMESTAMP '{NOW}' - to_days(idx::INTEGER)) - 1 AS weekday "
+    f"FROM samples) s ON s.device_id = a.device_id AND s.weekday = a.weekday GROUP BY 1, 2",
+)
 def _(s, d):
     return baseline.dow_pattern(baseline.window_samples(V.lookups(s, d), NOW), NOW).withColumn("weekday", F.col("weekday").cast("long"))
 
@@ -350,13 +428,24 @@ def _(s, d):
     return baseline.latest_baseline(samples, ["device_id"], "idx", "idx").select("device_id", "idx", "dns_query_volume")
 
 
-@query("deviations", "SELECT s.device_id, idx, dns_query_volume::DOUBLE AS value, round(dns_query_volume - mean, 6) AS delta, round((dns_query_volume - mean) / nullif(stddev, 0), 4) AS z_score, CASE WHEN stddev > 0 AND (dns_query_volume - mean) / stddev > 2 THEN 'z_score' WHEN stddev = 0 AND dns_query_volume > mean THEN 'above_constant_mean' ELSE 'percentile' END AS kind FROM samples s JOIN volume_baseline b ON b.device_id = s.device_id WHERE (stddev > 0 AND (dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND dns_query_volume > mean) OR dns_query_volume > p95")
+@query(
+    "deviations",
+    "SELECT s.device_id, idx, dns_query_volume::DOUBLE AS value, round(dns_query_volume - mean, 6) AS delta, "
+    "round((dns_query_volume - mean) / nullif(stddev, 0), 4) AS z_score, "
+    "CASE WHEN stddev > 0 AND (dns_query_volume - mean) / stddev > 2 THEN 'z_score' WHEN stddev = 0 AND dns_query_volume > mean THEN 'above_constant_mean' ELSE 'percentile' END AS kind "
+    "FROM samples s JOIN volume_baseline b ON b.device_id = s.device_id "
+    "WHERE (stddev > 0 AND (dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND dns_query_volume > mean) OR dns_query_volume > p95",
+)
 def _(s, d):
     samples = baseline.window_samples(V.lookups(s, d), NOW).select("device_id", F.col("idx").cast("long").alias("idx"), F.col("dns_query_volume").cast("double").alias("value"))
     return baseline.deviations(samples, _volume_baseline(s, d), ["device_id"]).select("device_id", "idx", "value", "delta", "z_score", "kind")
 
 
-@query("identifier_claims", "SELECT ip AS value, device_id, min(queried_at) AS first_seen, max(queried_at) AS last_seen FROM (SELECT *, first_value(device_id) OVER (PARTITION BY ip ORDER BY id) AS owner FROM lookups) WHERE device_id = owner GROUP BY 1, 2")
+@query(
+    "identifier_claims",
+    "SELECT ip AS value, device_id, min(queried_at) AS first_seen, max(queried_at) AS last_seen "
+    "FROM (SELECT *, first_value(device_id) OVER (PARTITION BY ip ORDER BY id) AS owner FROM lookups) WHERE device_id = owner GROUP BY 1, 2",
+)
 def _(s, d):
     sightings = V.lookups(s, d).select(F.col("id").alias("seq"), F.lit("hostname").alias("kind"), F.col("ip").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
     return identity.identifier_claims(sightings).drop("kind")
@@ -425,13 +514,21 @@ def _(s, d):
     return dashboard.filter_devices(views, online=True).select("device_id")
 
 
-@query("device_filter", f"SELECT d.device_id FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND is_unknown AND l.person_id IS NULL")
+@query(
+    "device_filter",
+    f"SELECT d.device_id FROM devices d LEFT JOIN links l ON l.device_id = d.device_id "
+    f"WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND is_unknown AND l.person_id IS NULL",
+)
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
     return dashboard.filter_devices(views, online=True, unknown=True, unassigned=True).select("device_id")
 
 
-@query("device_views", f"SELECT d.device_id, p.name AS person_name, p.role, coalesce(last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY, false) AS online, l.person_id IS NULL AS unassigned FROM devices d LEFT JOIN links l ON l.device_id = d.device_id LEFT JOIN people p ON p.person_id = l.person_id")
+@query(
+    "device_views",
+    f"SELECT d.device_id, p.name AS person_name, p.role, coalesce(last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY, false) AS online, l.person_id IS NULL AS unassigned "
+    f"FROM devices d LEFT JOIN links l ON l.device_id = d.device_id LEFT JOIN people p ON p.person_id = l.person_id",
+)
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
     return views.select("device_id", "person_name", "role", "online", "unassigned")
@@ -462,12 +559,21 @@ def _(s, d):
     return events.recent_events(V.findings(s, d), 50).select("id", "severity")
 
 
-@query("recent_activity", "SELECT id, tier FROM (SELECT id, queried_at, CASE WHEN status = 'blocked' THEN 0 WHEN id % 2 = 0 THEN 1 ELSE 2 END::INTEGER AS tier FROM lookups) ORDER BY tier, queried_at DESC, id DESC LIMIT 2000")
+@query(
+    "recent_activity",
+    "SELECT id, tier FROM (SELECT id, queried_at, CASE WHEN status = 'blocked' THEN 0 WHEN id % 2 = 0 THEN 1 ELSE 2 END::INTEGER AS tier FROM lookups) "
+    "ORDER BY tier, queried_at DESC, id DESC LIMIT 2000",
+)
 def _(s, d):
     return dashboard.recent_activity(V.lookups(s, d).withColumn("needs_review", F.col("id") % 2 == 0), 2000).select("id", "tier")
 
 
-_BURST = "burst AS (SELECT device_id, queried_at, id, count(*) OVER w AS n, min(queried_at) OVER w AS first FROM lookups WHERE status = 'blocked' WINDOW w AS (PARTITION BY device_id ORDER BY queried_at RANGE BETWEEN INTERVAL 72 HOURS PRECEDING AND CURRENT ROW)), spans AS (SELECT device_id, n, first, queried_at AS last FROM burst QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY n DESC, queried_at, id) = 1)"
+_BURST = (
+    "burst AS (SELECT device_id, queried_at, id, count(*) OVER w AS n, min(queried_at) OVER w AS first FROM lookups "
+    "WHERE status = 'blocked' WINDOW w AS (PARTITION BY device_id "
+    "ORDER BY queried_at RANGE BETWEEN INTERVAL 72 HOURS PRECEDING AND CURRENT ROW)), spans AS (SELECT device_id, n, first, queried_at AS last FROM burst "
+    "QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY n DESC, queried_at, id) = 1)"
+)
 
 
 @query("burst_blocked", f", {_BURST} SELECT device_id, n, first, last FROM spans WHERE n >= 5")
@@ -483,7 +589,13 @@ def _(s, d):
 _FLAP = _BURST.replace("lookups WHERE status = 'blocked'", "(SELECT *, seen_at AS queried_at FROM transitions)")
 
 
-@query("rule_flapping", f", {_FLAP} SELECT 'connection_flapping|' || s.device_id || '|' || (floor(epoch(first) / 1800) * 1800)::BIGINT AS fingerprint, s.device_id, any_value(n) AS n FROM spans s JOIN transitions t ON t.device_id = s.device_id AND t.seen_at BETWEEN first AND last WHERE n >= 6 GROUP BY 1, 2 HAVING count(DISTINCT kind) = 2")
+@query(
+    "rule_flapping",
+    f", {_FLAP} "
+    f"SELECT 'connection_flapping|' || s.device_id || '|' || (floor(epoch(first) / 1800) * 1800)::BIGINT AS fingerprint, s.device_id, any_value(n) AS n "
+    f"FROM spans s JOIN transitions t ON t.device_id = s.device_id AND t.seen_at BETWEEN first AND last WHERE n >= 6 GROUP BY 1, 2 HAVING "
+    f"count(DISTINCT kind) = 2",
+)
 def _(s, d):
     return findings.rule_flapping(V.transitions(s, d), 72 * 3600, 6).select("fingerprint", "device_id", "n")
 
@@ -493,12 +605,20 @@ def _(s, d):
     return findings.burst_spans(V.transitions(s, d), "device_id", "seen_at", "id", 72 * 3600, 6)
 
 
-@query("rule_unknown_device", f"SELECT device_id, 'unknown_device_online|' || device_id || '|' || epoch(TIMESTAMP '{NOW}')::BIGINT AS fingerprint, last_seen AS occurred_at FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY")
+@query(
+    "rule_unknown_device",
+    f"SELECT device_id, 'unknown_device_online|' || device_id || '|' || epoch(TIMESTAMP '{NOW}')::BIGINT AS fingerprint, last_seen AS occurred_at "
+    f"FROM devices WHERE is_unknown AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY",
+)
 def _(s, d):
     return findings.rule_unknown_device(V.devices(s, d), NOW, DAY).select("device_id", "fingerprint", "occurred_at")
 
 
-_VOLUME = "SELECT s.device_id, s.dns_query_volume AS n, CASE WHEN s.dns_query_volume / mean < 4 THEN 'low' ELSE 'medium' END AS severity, CASE WHEN sample_count >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM stats s JOIN volume_baseline b ON b.device_id = s.device_id WHERE s.dns_query_volume >= 10 AND (s.dns_query_volume >= 2 * mean OR (stddev > 0 AND (s.dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND s.dns_query_volume > mean) OR s.dns_query_volume > p95)"
+_VOLUME = (
+    "SELECT s.device_id, s.dns_query_volume AS n, CASE WHEN s.dns_query_volume / mean < 4 THEN 'low' ELSE 'medium' END AS severity, "
+    "CASE WHEN sample_count >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM stats s JOIN volume_baseline b ON b.device_id = s.device_id "
+    "WHERE s.dns_query_volume >= 10 AND (s.dns_query_volume >= 2 * mean OR (stddev > 0 AND (s.dns_query_volume - mean) / nullif(stddev, 0) > 2) OR (stddev = 0 AND s.dns_query_volume > mean) OR s.dns_query_volume > p95)"
+)
 
 
 def _volume_drafts(stats: DataFrame, usual: DataFrame, start: str = START, now: str = NOW) -> DataFrame:
@@ -529,8 +649,15 @@ def _expected(s: SparkSession, d: str, weekday: int, samples: DataFrame | None =
     return findings.expected_hours(_schedules(s, d), typical, links, weekday).withColumn("hour", F.col("hour").cast("long"))
 
 
-_TYPICAL = "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n"
-_EXPECTED = "{person} UNION ALL SELECT c_custkey, unnest(range(8, 12)), 'schedule' FROM customer WHERE {device} AND c_custkey NOT IN (SELECT device_id FROM links WHERE person_id = 5) UNION ALL SELECT device_id, hour, 'baseline' FROM ({typical}) WHERE NOT {device_id} AND device_id NOT IN (SELECT device_id FROM links WHERE person_id = 5)"
+_TYPICAL = (
+    "SELECT device_id, hour FROM (SELECT device_id, unnest(hours) AS hour FROM samples) JOIN (SELECT device_id, count(*) AS n FROM samples "
+    "GROUP BY 1) USING (device_id) GROUP BY device_id, hour, n HAVING count(*) >= 0.5 * n"
+)
+_EXPECTED = (
+    "{person} UNION ALL SELECT c_custkey, unnest(range(8, 12)), 'schedule' FROM customer WHERE {device} AND c_custkey NOT IN (SELECT device_id FROM links "
+    "WHERE person_id = 5) UNION ALL SELECT device_id, hour, 'baseline' FROM ({typical}) WHERE NOT {device_id} AND device_id NOT IN (SELECT device_id "
+    "FROM links WHERE person_id = 5)"
+)
 _OF_PERSON = "SELECT device_id, unnest([17, 18])::BIGINT AS hour, 'schedule' AS source FROM links WHERE person_id = 5"
 
 
@@ -555,7 +682,10 @@ def _(s, d):
     return _outside_hours(s, d).select("device_id", "n", "occurred_at")
 
 
-_NEW = "SELECT s.device_id, s.new_domain_count AS n FROM stats s LEFT JOIN (SELECT device_id, round(avg(new_domain_count), 6) AS mean FROM samples GROUP BY 1) b ON b.device_id = s.device_id WHERE s.new_domain_count >= 8 AND NOT (coalesce(mean, 0) > 0 AND s.new_domain_count < 3 * mean)"
+_NEW = (
+    "SELECT s.device_id, s.new_domain_count AS n FROM stats s LEFT JOIN (SELECT device_id, round(avg(new_domain_count), 6) AS mean FROM samples "
+    "GROUP BY 1) b ON b.device_id = s.device_id WHERE s.new_domain_count >= 8 AND NOT (coalesce(mean, 0) > 0 AND s.new_domain_count < 3 * mean)"
+)
 
 
 @query("rule_new_domains", _NEW)
@@ -626,14 +756,23 @@ def _(s, d):
     return feedback.suppress(_drafts(s, d).withColumn("matching_key", key), muted).select("rule_id", "device_id")
 
 
-@query("suppression_key", "SELECT device_id, 'rule|device:' || device_id || '|' || CASE WHEN count(DISTINCT domain) = 1 THEN min(domain) WHEN count(DISTINCT domain) > 1 AND count(DISTINCT array_to_string(string_split(domain, '.')[-2:], '.')) = 1 THEN '*.' || array_to_string(string_split(min(domain), '.')[-2:], '.') ELSE '*' END AS key FROM win GROUP BY 1")
+@query(
+    "suppression_key",
+    "SELECT device_id, 'rule|device:' || device_id || '|' || CASE WHEN count(DISTINCT domain) = 1 THEN min(domain) WHEN count(DISTINCT domain) > 1 AND "
+    "count(DISTINCT array_to_string(string_split(domain, '.')[-2:], '.')) = 1 THEN '*.' || array_to_string(string_split(min(domain), '.')[-2:], '.') ELSE '*' END AS key "
+    "FROM win GROUP BY 1",
+)
 def _(s, d):
     window = V.lookups(s, d).filter(activity.in_window(F.col("queried_at"), START, NOW))
     named = window.groupBy("device_id").agg(*feedback.pattern_bounds(F.col("domain")))
     return named.select("device_id", feedback.suppression_key(F.lit("rule"), F.col("device_id"), F.lit(None), feedback.bounded_pattern()).alias("key"))
 
 
-@query("finding_upsert", f", {_DRAFTS} SELECT rule_id, device_id, CASE WHEN device_id % 5 = 1 THEN 'acknowledged' ELSE 'open' END AS status, device_id % 5 > 1 AS created FROM drafts WHERE device_id % 5 <> 0")
+@query(
+    "finding_upsert",
+    f", {_DRAFTS} SELECT rule_id, device_id, CASE WHEN device_id % 5 = 1 THEN 'acknowledged' ELSE 'open' END AS status, device_id % 5 > 1 AS created "
+    f"FROM drafts WHERE device_id % 5 <> 0",
+)
 def _(s, d):
     drafts = _drafts(s, d)
     known = drafts.filter("device_id % 5 < 2").select("fingerprint", F.when(F.col("device_id") % 5 == 0, "dismissed").otherwise("acknowledged").alias("status"))
@@ -655,7 +794,11 @@ def _(s, d):
     return _expected(s, d, 5)
 
 
-@query("findings_by_severity", "SELECT severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity) LEFT JOIN (SELECT * FROM findings WHERE status = 'open') f USING (severity) GROUP BY 1")
+@query(
+    "findings_by_severity",
+    "SELECT severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity) LEFT JOIN (SELECT * FROM findings "
+    "WHERE status = 'open') f USING (severity) GROUP BY 1",
+)
 def _(s, d):
     return dashboard.findings_by_severity(V.findings(s, d))
 
@@ -665,7 +808,15 @@ def _(s, d):
     return V.lookups(s, d).groupBy("device_id").agg(F.max("queried_at").alias("last_activity"))
 
 
-@query("household_today", f"SELECT count(*) AS dns_query_volume, count(DISTINCT domain) AS unique_domain_count, count(*) FILTER (status = 'blocked') AS blocked_query_count, round(100.0::DOUBLE * count(*) FILTER (status = 'blocked') / count(*), 4) AS blocked_query_pct, count(DISTINCT domain) FILTER (domain NOT IN (SELECT domain FROM lookups WHERE queried_at < TIMESTAMP '{START}')) AS new_domain_count, count(DISTINCT date_trunc('hour', queried_at)) AS active_hour_count, (SELECT sum(upload_bytes)::BIGINT FROM (SELECT upload_bytes FROM snapshots WHERE observed_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{NOW}' QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, id DESC) = 1)) AS upload_bytes FROM win")
+@query(
+    "household_today",
+    f"SELECT count(*) AS dns_query_volume, count(DISTINCT domain) AS unique_domain_count, count(*) FILTER (status = 'blocked') AS blocked_query_count, "
+    f"round(100.0::DOUBLE * count(*) FILTER (status = 'blocked') / count(*), 4) AS blocked_query_pct, "
+    f"count(DISTINCT domain) FILTER (domain NOT IN (SELECT domain FROM lookups WHERE queried_at < TIMESTAMP '{START}')) AS new_domain_count, "
+    f"count(DISTINCT date_trunc('hour', queried_at)) AS active_hour_count, (SELECT sum(upload_bytes)::BIGINT FROM (SELECT upload_bytes FROM snapshots "
+    f"WHERE observed_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{NOW}' QUALIFY row_number() OVER (PARTITION BY device_id "
+    f"ORDER BY observed_at DESC, id DESC) = 1)) AS upload_bytes FROM win",
+)
 def _(s, d):
     dns = activity.dns_window_summary(V.lookups(s, d).withColumn("household", F.lit(0)), START, NOW, "household")
     traffic = activity.traffic_latest_sum(V.snapshots(s, d).filter(activity.in_window(F.col("observed_at"), START, NOW))).withColumn("household", F.lit(0))
@@ -673,7 +824,12 @@ def _(s, d):
     return whole.select("dns_query_volume", "unique_domain_count", "blocked_query_count", "blocked_query_pct", "new_domain_count", "active_hour_count", "upload_bytes")
 
 
-@query("trend_delta", f", {_LONG}, today AS (SELECT metric, avg(value) AS value FROM long WHERE idx < 1 AND value IS NOT NULL GROUP BY 1), means AS (SELECT metric, avg(value) AS mean FROM long WHERE value IS NOT NULL GROUP BY 1) SELECT metric, round(value - mean, 6) AS delta FROM today JOIN means USING (metric)")
+@query(
+    "trend_delta",
+    f", {_LONG}, today AS (SELECT metric, avg(value) AS value FROM long WHERE idx < 1 AND value IS NOT NULL "
+    f"GROUP BY 1), means AS (SELECT metric, avg(value) AS mean FROM long WHERE value IS NOT NULL GROUP BY 1) SELECT metric, round(value - mean, 6) AS delta "
+    f"FROM today JOIN means USING (metric)",
+)
 def _(s, d):
     rows = activity.metric_unpivot(eight(s, d).withColumn("device_id", F.struct("device_id", "idx")))
     today = rows.filter("device_id.idx < 1").groupBy("metric").agg(F.avg("value").alias("value"))
@@ -686,7 +842,11 @@ def _(s, d):
     return _volume_baseline(s, d).join(children, "device_id").agg(F.round(F.avg("mean"), 6).alias("mean"))
 
 
-@query("active_children", f"SELECT l.person_id, count(*) AS devices, max(last_seen) AS last_activity FROM devices d JOIN links l ON l.device_id = d.device_id JOIN people p ON p.person_id = l.person_id WHERE role = 'child' AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY GROUP BY 1")
+@query(
+    "active_children",
+    f"SELECT l.person_id, count(*) AS devices, max(last_seen) AS last_activity FROM devices d JOIN links l ON l.device_id = d.device_id "
+    f"JOIN people p ON p.person_id = l.person_id WHERE role = 'child' AND last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY GROUP BY 1",
+)
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
     recent = V.lookups(s, d).filter(F.col("queried_at") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).groupBy("device_id").agg(F.max("queried_at").alias("last_activity"))
@@ -697,7 +857,14 @@ def attempts(s: SparkSession, d: str) -> DataFrame:
     return V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("tried_at"), (F.col("status") != "blocked").alias("ok"))
 
 
-HEALTH_SQL = _HEALTH = f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok FROM lookups), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status FROM health)"
+HEALTH_SQL = _HEALTH = (
+    f"tries AS (SELECT device_id::VARCHAR AS source, queried_at, status <> 'blocked' AS ok "
+    f"FROM lookups), lasts AS (SELECT source, max(queried_at) FILTER (ok) AS good FROM tries GROUP BY 1), health AS (SELECT t.source, "
+    f"count(*) FILTER (NOT ok AND (good IS NULL OR queried_at > good)) AS failures, any_value(good) AS good FROM tries t JOIN lasts USING (source) "
+    f"GROUP BY 1), judged AS (SELECT source, failures AS consecutive_failures, "
+    f"CASE WHEN good IS NULL OR failures >= 3 THEN 'down' WHEN epoch(TIMESTAMP '{NOW}') - epoch(good) >= 90000 OR failures > 0 THEN 'degraded' ELSE 'ok' END AS status "
+    f"FROM health)"
+)
 
 
 @query("source_health_status", f", {_HEALTH} SELECT * FROM judged")
@@ -729,18 +896,33 @@ def _(s, d):
     return health.failed_batches(batch_rows(s, d), "2000-01-01 00:00:00")
 
 
-@query("system_status", f", {_HEALTH} SELECT CASE max(CASE status WHEN 'down' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE CASE WHEN any_value(n) > 0 THEN 'degraded' ELSE 'ok' END END AS status, any_value(n) AS failed_batches FROM judged, (SELECT count(*) AS n FROM findings WHERE status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01')")
+@query(
+    "system_status",
+    f", {_HEALTH} SELECT CASE max(CASE status WHEN 'down' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'down' WHEN 1 THEN 'degraded' ELSE "
+    f"CASE WHEN any_value(n) > 0 THEN 'degraded' ELSE 'ok' END END AS status, any_value(n) AS failed_batches FROM judged, (SELECT count(*) AS n "
+    f"FROM findings WHERE status = 'open' AND occurred_at >= TIMESTAMP '2000-01-01')",
+)
 def _(s, d):
     return health.system_status(health.source_health(attempts(s, d), NOW, stale=90000), health.failed_batches(batch_rows(s, d), "2000-01-01 00:00:00"))
 
 
-@query("attention_items", f", {_HEALTH}, {_ATTRIBUTED} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL SELECT 1::INTEGER, 'review' FROM attributed WHERE status <> 'attributed' HAVING count(*) > 0 UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR FROM devices d LEFT JOIN links l ON l.device_id = d.device_id WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5")
+@query(
+    "attention_items",
+    f", {_HEALTH}, {_ATTRIBUTED} SELECT tier, item FROM (SELECT 0::INTEGER AS tier, source AS item FROM judged WHERE status <> 'ok' UNION ALL "
+    f"SELECT 1::INTEGER, 'review' FROM attributed WHERE status <> 'attributed' HAVING count(*) > 0 UNION ALL SELECT 2::INTEGER, d.device_id::VARCHAR "
+    f"FROM devices d LEFT JOIN links l ON l.device_id = d.device_id "
+    f"WHERE last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND (is_unknown OR l.person_id IS NULL)) ORDER BY tier, item LIMIT 5",
+)
 def _(s, d):
     views = dashboard.device_views(V.devices(s, d).drop("person_id"), V.links(s, d), V.people(s, d), NOW, DAY)
     return dashboard.attention_items(health.source_health(attempts(s, d), NOW, stale=90000), correlate.review_queue(_attributed(s, d)), views).select("tier", "item")
 
 
-@query("household_status", f", {_HEALTH} SELECT CASE WHEN count(*) FILTER (status = 'down') > 0 THEN 'incomplete' WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'attention' ELSE 'ok' END AS status FROM judged")
+@query(
+    "household_status",
+    f", {_HEALTH} SELECT CASE WHEN count(*) FILTER (status = 'down') > 0 THEN 'incomplete' WHEN "
+    f"count(*) FILTER (status <> 'ok') > 0 THEN 'attention' ELSE 'ok' END AS status FROM judged",
+)
 def _(s, d):
     sources = health.source_health(attempts(s, d), NOW, stale=90000)
     items = sources.filter("status <> 'ok'").select(F.lit(0).alias("tier"), F.col("source").alias("item"), "status", F.col("source").alias("summary"))
@@ -776,7 +958,14 @@ def _(s, d):
     return out.select(F.col("source_id").cast("long").alias("id"), N.normalize_domain(F.col("domain")).alias("domain"), "status", "client_identifier")
 
 
-@query("normalize_client", f"SELECT c_custkey AS device_id, c_name AS hostname, 'controller-' || c_custkey AS controller_id, CASE WHEN c_custkey % 5 <> 0 THEN regexp_replace(lpad(lower(hex(c_custkey)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') END AS mac, CASE WHEN c_custkey % 3 <> 0 THEN 1700000000 + c_custkey ELSE epoch(TIMESTAMP '{NOW}')::BIGINT END AS first_seen, CASE WHEN c_custkey % 3 <> 0 THEN 1700000600 + c_custkey ELSE epoch(TIMESTAMP '{NOW}')::BIGINT END AS last_seen, c_custkey * 10 AS download_bytes, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 3 END AS upload_bytes, c_mktsegment AS ssid, c_custkey % 2 = 1 AS is_wired FROM customer")
+@query(
+    "normalize_client",
+    f"SELECT c_custkey AS device_id, c_name AS hostname, 'controller-' || c_custkey AS controller_id, "
+    f"CASE WHEN c_custkey % 5 <> 0 THEN regexp_replace(lpad(lower(hex(c_custkey)), 12, '0'), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') END AS mac, "
+    f"CASE WHEN c_custkey % 3 <> 0 THEN 1700000000 + c_custkey ELSE epoch(TIMESTAMP '{NOW}')::BIGINT END AS first_seen, "
+    f"CASE WHEN c_custkey % 3 <> 0 THEN 1700000600 + c_custkey ELSE epoch(TIMESTAMP '{NOW}')::BIGINT END AS last_seen, c_custkey * 10 AS download_bytes, "
+    f"CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 3 END AS upload_bytes, c_mktsegment AS ssid, c_custkey % 2 = 1 AS is_wired FROM customer",
+)
 def _(s, d):
     from homelens.sources import controller
 
@@ -813,19 +1002,32 @@ def _syslog(s: SparkSession, d: str) -> DataFrame:
     return syslog.parse_lines(V.lookups(s, d).select("id", line.alias("value")))
 
 
-@query("parse_syslog", f"SELECT id, {_OF_TYPE("'firewall'", "'event'", "'cef'")} AS format, {_OF_TYPE("'WAN_IN-D'", "'EVT_WU_Connected'", "'Client Joined'")} AS event_name, {_OF_TYPE("'Security'", "'Monitoring'", "'Monitoring'")} AS category, {_OF_TYPE('NULL', _MAC, _MAC)} AS mac, {_OF_TYPE('ip', 'NULL', 'ip')} AS client_ip, {_OF_TYPE("'1.1.1.1'", 'NULL', 'NULL')} AS dst_ip, {_OF_TYPE('NULL', "'home'", "'guest net'")} AS ssid, {_OF_TYPE("'deny'", f"'EVT_WU_Connected: User[' || {_MAC} || '] SSID[home]'", "'a=b' || chr(92) || 'c' || chr(10) || 'd'")} AS msg, {_OF_TYPE('4', 'NULL', '30')}::INTEGER AS pri, {_OF_TYPE('NULL', 'NULL', "'2'")} AS severity FROM lookups")
+@query(
+    "parse_syslog",
+    f"SELECT id, {_OF_TYPE("'firewall'", "'event'", "'cef'")} AS format, {_OF_TYPE("'WAN_IN-D'", "'EVT_WU_Connected'", "'Client Joined'")} AS event_name, {_OF_TYPE("'Security'", "'Monitoring'", "'Monitoring'")} AS category, {_OF_TYPE('NULL', _MAC, _MAC)} AS mac, {_OF_TYPE('ip', 'NULL', 'ip')} AS client_ip, {_OF_TYPE("'1.1.1.1'", 'NULL', 'NULL')} AS dst_ip, {_OF_TYPE('NULL', "'home'", "'guest net'")} AS ssid, {_OF_TYPE("'deny'", f"'EVT_WU_Connected: User[' || {_MAC} || '] SSID[home]'", "'a=b' || chr(92) || 'c' || chr(10) || 'd'")} AS msg, {_OF_TYPE('4', 'NULL', '30')}::INTEGER AS pri, {_OF_TYPE('NULL', 'NULL', "'2'")} AS severity "
+    f"FROM lookups",
+)
 def _(s, d):
     return _syslog(s, d).select("id", "format", "event_name", "category", "mac", "client_ip", "dst_ip", "ssid", "msg", "pri", "severity")
 
 
-@query("parse_counts", "SELECT count(*) AS lines, count(*) FILTER (event_type IN ('error', 'click', 'purchase')) AS parsed, count(*) FILTER (event_type NOT IN ('error', 'click', 'purchase')) AS unparsed FROM lookups")
+@query(
+    "parse_counts",
+    "SELECT count(*) AS lines, count(*) FILTER (event_type IN ('error', 'click', 'purchase')) AS parsed, "
+    "count(*) FILTER (event_type NOT IN ('error', 'click', 'purchase')) AS unparsed FROM lookups",
+)
 def _(s, d):
     from homelens.sources import syslog
 
     return syslog.parse_counts(_syslog(s, d))
 
 
-@query("confirm_identifiers", "SELECT ip AS value, coalesce(CASE WHEN ip::INTEGER % 2 = 0 THEN 900 + ip::INTEGER END, device_id)::BIGINT AS device_id, CASE WHEN ip::INTEGER % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT ip, arg_min(device_id, id) AS device_id FROM lookups GROUP BY 1)")
+@query(
+    "confirm_identifiers",
+    "SELECT ip AS value, coalesce(CASE WHEN ip::INTEGER % 2 = 0 THEN 900 + ip::INTEGER END, device_id)::BIGINT AS device_id, "
+    "CASE WHEN ip::INTEGER % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT ip, arg_min(device_id, id) AS device_id FROM lookups "
+    "GROUP BY 1)",
+)
 def _(s, d):
     seen = V.lookups(s, d).select(F.col("id").alias("seq"), F.lit("hostname").alias("kind"), F.col("ip").alias("value"), "device_id", F.col("queried_at").alias("seen_at"))
     said = V.lookups(s, d).filter("CAST(ip AS INT) % 2 = 0").select(F.lit("hostname").alias("kind"), F.col("ip").alias("value"), (F.lit(900) + F.col("ip").cast("long")).alias("device_id"), F.col("id").alias("seq"))
@@ -833,7 +1035,11 @@ def _(s, d):
     return found.select("value", "device_id", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("status_changes", "SELECT device_id::VARCHAR AS source, queried_at AS checked_at FROM (SELECT *, lag(status) OVER (PARTITION BY device_id ORDER BY queried_at, id) AS before FROM lookups) WHERE status = 'blocked' AND before <> 'blocked'")
+@query(
+    "status_changes",
+    "SELECT device_id::VARCHAR AS source, queried_at AS checked_at FROM (SELECT *, lag(status) OVER (PARTITION BY device_id "
+    "ORDER BY queried_at, id) AS before FROM lookups) WHERE status = 'blocked' AND before <> 'blocked'",
+)
 def _(s, d):
     state = F.when(F.col("status") == "blocked", "down").when(F.col("status") == "cached", "degraded").otherwise("ok")
     history = V.lookups(s, d).select(F.col("device_id").cast("string").alias("source"), F.col("queried_at").alias("checked_at"), "id", state.alias("status"))
@@ -876,14 +1082,23 @@ def _(s, d):
     return feedback.latest_version(rows, ["device_id"], deleted="deleted").select("device_id", "version")
 
 
-@query("phrases", "SELECT id, CASE status WHEN 'blocked' THEN 'Blocked DNS lookup for ' ELSE 'DNS lookup for ' END || domain || CASE WHEN id % 2 = 0 THEN ' attributed to device ' || device_id ELSE '' END AS text FROM lookups")
+@query(
+    "phrases",
+    "SELECT id, CASE status WHEN 'blocked' THEN 'Blocked DNS lookup for ' ELSE 'DNS lookup for ' END || domain || "
+    "CASE WHEN id % 2 = 0 THEN ' attributed to device ' || device_id ELSE '' END AS text FROM lookups",
+)
 def _(s, d):
     who = F.when(F.col("id") % 2 == 0, F.concat(F.lit("device "), F.col("device_id"))).otherwise("unattributed")
     rows = V.lookups(s, d).select("id", phrasing.dns_lookup(F.col("domain"), who, F.col("status") == "blocked").alias("text"))
     return phrasing.honest(rows, "text")
 
 
-@query("volume_phrases", "SELECT device_id, n || CASE WHEN n = 1 THEN ' DNS lookup' ELSE ' DNS lookups' END || ' attributed to device ' || device_id AS volume, n || ' blocked DNS lookups attributed to device ' || device_id || ' within 15 minutes' AS burst FROM (SELECT device_id, count(*) AS n FROM lookups GROUP BY 1)")
+@query(
+    "volume_phrases",
+    "SELECT device_id, n || "
+    "CASE WHEN n = 1 THEN ' DNS lookup' ELSE ' DNS lookups' END || ' attributed to device ' || device_id AS volume, n || ' blocked DNS lookups attributed to device ' || device_id || ' within 15 minutes' AS burst "
+    "FROM (SELECT device_id, count(*) AS n FROM lookups GROUP BY 1)",
+)
 def _(s, d):
     who = F.concat(F.lit("device "), F.col("device_id"))
     counts = V.lookups(s, d).groupBy("device_id").agg(F.count("*").alias("n"))
@@ -903,7 +1118,13 @@ def _(s, d):
     return changes.tombstones(rows, rows.filter("id % 5 = 0"), "id", F.lit(2)).filter("deleted AND version = 2").select("id")
 
 
-@query("review_resolution", lambda: f", {_ATTRIBUTED} SELECT id, CASE WHEN id % 2 = 0 THEN 'attributed' ELSE 'unattributed' END AS status, CASE WHEN id % 2 = 0 THEN 1::BIGINT END AS device_id FROM attributed WHERE status <> 'attributed' AND id % 3 = 0")
+@query(
+    "review_resolution",
+    lambda: (
+        f", {_ATTRIBUTED} SELECT id, CASE WHEN id % 2 = 0 THEN 'attributed' ELSE 'unattributed' END AS status, "
+        f"CASE WHEN id % 2 = 0 THEN 1::BIGINT END AS device_id FROM attributed WHERE status <> 'attributed' AND id % 3 = 0"
+    ),
+)
 def _(s, d):
     said = V.lookups(s, d).filter("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.lit(1).cast("long")).alias("device_id"))
     return changes.resolved_reviews(_attributed(s, d), said).select("id", "status", "device_id")
@@ -923,13 +1144,21 @@ def _(s, d):
     return live.silent_sources(lines, NOW, 90000).select("source", "silent")
 
 
-@query("batch_rows", "SELECT 'dns_log' AS source, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END::BIGINT AS records FROM lookups GROUP BY event_type")
+@query(
+    "batch_rows",
+    "SELECT 'dns_log' AS source, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN event_type = 'error' THEN 0 ELSE "
+    "count(*) END::BIGINT AS records FROM lookups GROUP BY event_type",
+)
 def _(s, d):
     counts = V.lookups(s, d).groupBy("event_type").agg(F.count("*").alias("records"))
     return changes.batch_row(counts, "dns_log", NOW, F.when(F.col("event_type") == "error", "no answer")).select("source", "status", "records")
 
 
-@query("baseline_history", f", {_LONG} SELECT device_id, max(k)::BIGINT AS sample_count, count(*) AS metrics FROM (SELECT device_id, metric, count(*) AS k FROM long WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+@query(
+    "baseline_history",
+    f", {_LONG} SELECT device_id, max(k)::BIGINT AS sample_count, count(*) AS metrics FROM (SELECT device_id, metric, count(*) AS k FROM long "
+    f"WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
+)
 def _(s, d):
     full = baseline.metric_baseline(activity.metric_unpivot(eight(s, d).drop("idx")), ["device_id", "metric"])
     return changes.baseline_history(full, "24h", NOW).select("device_id", "sample_count", F.size("metrics").cast("long").alias("metrics"))

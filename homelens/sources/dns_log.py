@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from homelens.functions.normalize import client_fields, parse_time, status_bucket, text_or_null
+from homelens.session import shared_folder
 
 LOGIC_VERSION = "dns_query.v1"
 
@@ -44,7 +45,8 @@ def append_batch(rows: DataFrame, path: str, on_error: str = "fail", once: bool
 
     With ``once``, rows that repeat a source id within the batch are written once. Returns the rows written.
     """
-    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+    shared_folder(rows.sparkSession, "batch")  # sets the checkpoint folder where none is set
+    rows = rows.checkpoint()
     counts = rows.agg(F.count("error").alias("bad"), F.min("error").alias("why")).first()
     if on_error == "fail" and counts["bad"]:
         raise ValueError(f"batch rejected: {counts['why']}")
