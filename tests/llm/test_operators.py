@@ -364,7 +364,7 @@ def test_shingles_of_short_and_empty_texts():
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_large_groups_of_near_copies(spark):
