@@ -45,11 +45,12 @@ def test_batches_give_what_one_replay_gives(spark, seed, cuts, hot):
 
 
 def test_a_chain_over_two_batches(spark):
-    chain = [(2 * k, f"m{k}", f"u{k}", "") for k in range(60)] + [(2 * k + 1, f"m{k + 1}", f"u{k}", "") for k in range(59)]
+    chain = [(2 * k, f"m{k}", f"u{k}", "") for k in range(20)] + [(2 * k + 1, f"m{k + 1}", f"u{k}", "") for k in range(19)]
     rows = sorted(chain)
     device, _ = replay(rows)
-    early, claims = identity.resolve_batch(spark.createDataFrame(rows[:50], SCHEMA))
-    late, fresh = identity.resolve_batch(spark.createDataFrame(rows[50:], SCHEMA), claims)
+    early, claims = identity.resolve_batch(spark.createDataFrame(rows[:15], SCHEMA))
+    claims = claims.checkpoint()
+    late, fresh = identity.resolve_batch(spark.createDataFrame(rows[15:], SCHEMA), claims)
     assert {r["seq"]: r["device_seq"] for r in early.unionByName(late).collect()} == device
     assert not set(map(tuple, claims.select("kind", "value").collect())) & set(map(tuple, fresh.select("kind", "value").collect()))
 
