@@ -316,13 +316,9 @@ def _(s, d):
     asked = V.addressed(s, d).select("id", "ip", "queried_at")
     claims = V.assignments(s, d).select("ip", "device_id", "observed_from", "observed_to")
     store = attribution.AttributionStore(s, f"{folder}/store")
-    stamp = lambda day: F.lit(f"2024-{day} 00:00:00").cast("timestamp_ntz")
-    ends = [s.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("ip"), stamp(day).alias("queried_at")) for day in ("06-01", "09-01")]  # move the watermark past all others
-    last = [e.select("ip", "id", F.col("queried_at").alias("observed_from"), F.col("queried_at").alias("observed_to")).toDF(*claims.columns) for e in ends]
-    for k, (some, held) in enumerate([(asked.filter("id % 2 = 0"), claims.filter("device_id % 2 = 0")), (asked.filter("id % 2 = 1"), claims.filter("device_id % 2 = 1")), *zip(ends, last)]):
-        some.coalesce(1).write.mode("append").parquet(f"{folder}/lookups")
-        held.coalesce(1).write.mode("append").parquet(f"{folder}/claims")
-        if k:
-            stream = lambda frame, name: s.readStream.schema(frame.schema).parquet(f"{folder}/{name}")
-            attribution.start(attribution.evidence_stream(stream(asked, "lookups"), stream(claims, "claims"), "40 days", "60 days"), store, f"{folder}/marks", None, None).awaitTermination()
-    return store.activity().filter("id >= 0").select("id", "status", "device_id")
+    stream = lambda frame, name: s.readStream.schema(frame.schema).parquet(f"{folder}/{name}")
+    for half in (0, 1):
+        asked.filter(f"id % 2 = {half}").write.mode("append").parquet(f"{folder}/lookups")
+        claims.filter(f"device_id % 2 = {half}").write.mode("append").parquet(f"{folder}/claims")
+        attribution.start(attribution.evidence_stream(stream(asked, "lookups"), stream(claims, "claims"), "40 days", "60 days"), store, f"{folder}/marks", None, None).awaitTermination()
+    return store.activity().select("id", "status", "device_id")
