@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +50,12 @@ def _(s, d):
     return ledger.batches(s, _ingested(s, d)).select("batch_id", "status", "records", "error")
 
 
-def _slices(s: SparkSession, rows: DataFrame, column: str, cuts: list[str], name: str) -> str:
-    """``rows`` in files by time, written one slice after the other."""
-    folder = shared_folder(s, name)
+def _slices(folder: str, rows: DataFrame, column: str, cuts: list[str]) -> Iterator[None]:
+    """Append ``rows`` to ``folder`` one slice of time after the other, each by as many tasks as it is read by."""
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(F.col(column) >= at(low))
-        (part if high is None else part.filter(F.col(column) < at(high))).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        yield (part if high is None else part.filter(F.col(column) < at(high))).write.mode("append").parquet(folder)
 
 
 CUTS = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
@@ -64,10 +64,10 @@ ATTEMPT = "source string, tried_at timestamp_ntz, ok boolean"
 
 def _health_stream(s: SparkSession, d: str) -> DataFrame:
     """Health after each of three slices of all sources' attempts, read as a stream."""
-    folder = _slices(s, registry.attempts(s, d), "tried_at", CUTS, "attempts")
-    out, marks = shared_folder(s, "health"), shared_folder(s, "health-marks")
-    stream = s.readStream.schema(ATTEMPT).option("maxFilesPerTrigger", 1).parquet(folder)
-    keyed.source_health(stream, 90000, 3).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    folder, out, marks = (shared_folder(s, x) for x in ("attempts", "health", "health-marks"))
+    for _ in _slices(folder, registry.attempts(s, d), "tried_at", CUTS):
+        stream = s.readStream.schema(ATTEMPT).parquet(folder)  # a slice is a batch, whatever its files
+        keyed.source_health(stream, 90000, 3).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(keyed.HEALTH).parquet(out)
 
 
@@ -114,7 +114,7 @@ SPAN = {"2024-01-17 00:00:00": "2024-01-10 00:00:00", "2024-01-24 00:00:00": "20
 def _found(s: SparkSession, d: str) -> finding_loop.FindingStore:
     """All seven rules on a stream of lookups, a week at a time: each batch is judged with all lookups before its end."""
     lookups = V.lookups(s, d)
-    folder = _slices(s, lookups, "queried_at", WEEKS, "lookups")
+    folder, marks = shared_folder(s, "lookups"), shared_folder(s, "finding-marks")
     store = finding_loop.FindingStore(s, shared_folder(s, "findings"))
 
     def evaluate(batch: DataFrame, number: int) -> DataFrame:
@@ -123,8 +123,9 @@ def _found(s: SparkSession, d: str) -> finding_loop.FindingStore:
         upto = s.read.schema(lookups.schema).parquet(folder).filter(F.col("queried_at") < F.lit(now).cast("timestamp_ntz"))
         return registry.drafts_at(s, d, upto, SPAN[now], now)
 
-    stream = s.readStream.schema(lookups.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    finding_loop.start(stream, store, evaluate, shared_folder(s, "finding-marks"), None).awaitTermination()
+    for _ in _slices(folder, lookups, "queried_at", WEEKS):
+        stream = s.readStream.schema(lookups.schema).parquet(folder)  # a slice is a batch, whatever its files
+        finding_loop.start(stream, store, evaluate, marks, None).awaitTermination()
     return store
 
 
