@@ -8,6 +8,7 @@ collisions among long words, so words over ``LONG`` bytes are hashed one by one
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LONG = 256
+PIECE = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,6 +46,16 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out[:n]
 
 
+@functools.lru_cache(maxsize=2)
+def _short_powers(base: np.uint64) -> np.ndarray:
+    return powers(base, PIECE)
+
+
+def known_powers(base: np.uint64, n: int) -> np.ndarray:
+    """``powers``, kept for the length of a piece."""
+    return _short_powers(base)[:n] if n <= PIECE else powers(base, n)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; null is empty."""
     if column.null_count:
@@ -55,7 +67,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(column) else data[:0], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of whole rows of about ``most`` bytes of text: (rows, bytes, offsets). One row is never cut."""
     if not batch.num_rows:
         return
@@ -84,8 +96,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     stop[last] |= inside[last]
     first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[LOWER[data] if lower else data] * powers(BASE, len(data)), out=sums[1:])
-    back = powers(INVERSE, len(data))
+    np.cumsum(BYTE[LOWER[data] if lower else data] * known_powers(BASE, len(data)), out=sums[1:])
+    back = known_powers(INVERSE, len(data))
     hashes = mix((sums[end] - sums[first]) * back[first])
     for k in np.flatnonzero(end - first > LONG).tolist():
         word = data[first[k] : end[k]]
