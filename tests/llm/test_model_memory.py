@@ -1,6 +1,8 @@
 """What a task of the language model holds and sends: counts of many pieces, in batches of bounded size."""
 
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,3 +44,16 @@ def test_places_in_ranges():
     for g, w, p in zip(group, wanted, place):
         inside = lasts[bounds[g] : bounds[g + 1]]
         assert p == bounds[g] + min(np.searchsorted(inside, w), len(inside) - 1)
+
+
+def test_shuffles_of_training_leave_the_disk(spark):
+    """Each count's shuffle goes when it is done; the setting is as before afterwards."""
+    blocks = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    there = lambda: {x.name for x in blocks.rglob("shuffle_*.data")}
+    kept, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None), there()
+    lm.train(spark.createDataFrame([(f"a b c{k} d",) for k in range(40)], "text string"))
+    for _ in range(40):
+        if not (left := there() - before):
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == kept
