@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,9 +49,9 @@ def parse_time(x: Column, milliseconds: bool = False) -> Column:
     return F.coalesce(F.timestamp_micros(F.round(seconds * 1e6).cast("long")), F.when(number.isNull(), F.try_to_timestamp(x)))
 
 
-def client_fields(payload: Column) -> tuple[Column, Column, Column]:
-    """(ip, name, identifier) of a log row whose ``client`` is an object, plain text, or absent."""
-    get = lambda path: text_or_null(F.get_json_object(payload, path))
+def client_fields(payload: Column, field: Callable[[str], Column] | None = None) -> tuple[Column, Column, Column]:
+    """(ip, name, identifier) of a log row whose ``client`` is an object, plain text, or absent; ``field`` gives paths taken out before."""
+    get = lambda path: text_or_null(field(path) if field else F.get_json_object(payload, path))
     raw = get("$.client")
     is_object = F.coalesce(raw.startswith("{"), F.lit(False))
     ip = F.coalesce(F.when(is_object, get("$.client.ip")), F.when(~is_object, raw), get("$.client_ip"), get("$.ip"))

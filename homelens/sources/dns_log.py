@@ -9,6 +9,7 @@ from homelens.functions.normalize import client_fields, parse_time, status_bucke
 from homelens.session import shared_folder
 
 LOGIC_VERSION = "dns_query.v1"
+FIELDS = ("time", "timestamp", "client", "client.ip", "client.name", "client_ip", "ip", "client_name", "name", "domain", "type", "status", "upstream", "id", "legacy_row")
 
 
 def envelope_rows(texts: DataFrame, keys: tuple[str, ...] = ("queries", "data")) -> DataFrame:
@@ -29,10 +30,14 @@ def read_envelopes(spark: SparkSession, path: str, keys: tuple[str, ...] = ("que
 
 
 def normalize_queries(payloads: DataFrame) -> DataFrame:
-    """Typed lookups of (payload), with ``error`` where time, domain or client is missing."""
-    get = lambda k: F.get_json_object("payload", f"$.{k}")
-    ip, _, identifier = client_fields(F.col("payload"))
-    out = payloads.select(
+    """Typed lookups of (payload), with ``error`` where time, domain or client is missing.
+
+    The fields are taken out of the JSON by a generator of one row, so each is parsed once and not again wherever it is used.
+    """
+    get = lambda k: F.col(f"`$.{k}`")
+    ip, _, identifier = client_fields(F.col("payload"), lambda path: F.col(f"`{path}`"))
+    taken = F.inline(F.array(F.struct(*[F.get_json_object("payload", f"$.{k}").alias(f"$.{k}") for k in FIELDS])))
+    out = payloads.select("payload", taken).select(
         F.lit(LOGIC_VERSION).alias("logic_version"), parse_time(F.coalesce(get("time"), get("timestamp"))).alias("queried_at"), identifier.alias("client_identifier"), ip.alias("client_ip"), text_or_null(get("domain")).alias("domain"),
         F.coalesce(text_or_null(get("type")), F.lit("UNKNOWN")).alias("query_type"), status_bucket(get("status")).alias("status"), text_or_null(get("upstream")).alias("upstream"), get("id").alias("source_id"), get("legacy_row").isNotNull().alias("legacy"), "payload",
     )
