@@ -60,3 +60,33 @@ def test_holders_of_one_address_are_counted_not_paired(spark):
     assert {tuple(r) for r in out.select("status", "holders").distinct().collect()} == {("ambiguous", 2000)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("seed, seconds", [(4, 3600), (5, 1800), (6, 900), (7, 86400), (8, 5000)])
+def test_text_and_holders_are_those_of_pairs_in_slots_of_any_length(spark, seed, seconds):
+    q, a, n = tables(spark, seed)
+    named, spans = correlate.identifier_join(q, n), correlate.merged_spans(a)
+    pairs = {(r["id"], "ip", r["device_id"]) for r in correlate.interval_join(q, a).collect()}
+    pairs |= {(r["id"], r["kind"], r["device_id"]) for r in named.collect()}
+    want = {r["id"]: [] for r in q.select("id").collect()}
+    for i, kind, device in sorted(p for p in pairs if p[2] is not None):
+        want[i].append(f"{kind}:{device}")
+    counted = correlate.verdicts(correlate.windowed(q), spans, named)
+    got = correlate.with_text(counted, spans, seconds).select("id", "evidence").collect()
+    assert len(got) == len(want) and {r["id"]: r["evidence"] for r in got} == {i: ",".join(texts) for i, texts in want.items()}
+    names = spans.withColumn("name", F.concat(F.lit("d"), "device_id"))
+    for r in correlate.with_holders(counted.filter("holders > 1"), names, seconds, ("name",)).select("id", "held").collect():
+        held = sorted(p[2] for p in pairs if p[:2] == (r["id"], "ip") and p[2] is not None)
+        assert [(e["device_id"], e["name"]) for e in r["held"] if e["device_id"] is not None] == [(d, f"d{d}") for d in held]
+
+
+def test_spans_that_hold_a_whole_slot_are_not_asked_for_each_lookup(spark):
+    """2,000 spans of one address, of which 3 start or end within an hour: its lookups meet at most 4 runs in place of 2,000 spans."""
+    at = lambda m: f"TIMESTAMP_NTZ '2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {m}, 0)"
+    begin, end = at("IF(id = 7, 90, 0)"), at("CASE id WHEN 1000 THEN 100 WHEN 1999 THEN 110 ELSE 240 END")
+    a = spark.range(2000).selectExpr("'hot' AS ip", "id AS device_id", f"{begin} AS observed_from", f"{end} AS observed_to")
+    q = spark.range(240).selectExpr("id", "'hot' AS ip", f"{at('CAST(id AS int)')} AS queried_at")
+    runs = correlate.held_runs(q, a, F.col("device_id")).select("_slot", F.size("_runs").alias("n"), F.aggregate("_runs", F.lit(0), lambda t, x: t + F.size(x["rest"])).alias("whole")).orderBy("_slot").collect()
+    assert [(r["n"], r["whole"]) for r in runs] == [(1, 1999), (4, 1997), (1, 1998), (1, 1998)]
+    texts = {r["id"]: r["evidence"].split(",") for r in correlate.with_text(correlate.verdicts(q, correlate.merged_spans(a), None), correlate.merged_spans(a)).collect()}
+    assert {i: len(t) for i, t in texts.items()} == {m: 1999 + (m >= 90) - (m >= 100) - (m >= 110) for m in range(240)}
