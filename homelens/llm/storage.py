@@ -3,11 +3,17 @@
 The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
 temporary one is made. Files are written under a name of their own and renamed, so a task that runs
 twice leaves the same file. Other than local file systems are reached through pyarrow.fs.
+
+Maps hold no file open (from Python 3.13 on), and a process keeps ``MAPS`` files of arrays mapped at most, whatever the number
+of files: systems allow it about 65,000 maps, and often far fewer open files.
 """
 
 from __future__ import annotations
 
+import functools
+import mmap
 import os
+import sys
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -15,6 +21,9 @@ from urllib.parse import urlparse
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+MAPS = 16_384
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder for ``name`` below the shared folder of this session."""
@@ -72,7 +81,23 @@ def map_array(uri: str, dtype: str) -> np.ndarray:
 def _mapped(path: str, dtype: str) -> np.ndarray:
     if os.path.getsize(path) == 0:
         return np.empty(0, dtype)
-    return np.memmap(path, dtype=dtype, mode="r")
+    with open(path, "rb") as file:
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED), dtype)
+
+
+def write_arrays(uri: str, *arrays: np.ndarray) -> None:
+    """Write arrays as one file: their sizes in bytes, then each of them from a multiple of 8 bytes."""
+    write_file(uri, np.array([a.nbytes for a in arrays], "<i8"), *(part for a in arrays for part in (a, b"\0" * (-a.nbytes % 8))))
+
+
+@functools.lru_cache(maxsize=MAPS)
+def map_arrays(uri: str, dtypes: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of a file written by ``write_arrays``, as parts of one memory map. Maps used last are kept for the process."""
+    raw, at, out = map_array(uri, "u1"), 8 * len(dtypes), []
+    for size, dtype in zip(raw[:at].view("<i8").tolist(), dtypes, strict=True):
+        out.append(raw[at : at + size].view(dtype))
+        at += size + -size % 8
+    return out
 
 
 def read_range(uri: str, offset: int, length: int) -> bytes:

@@ -1,5 +1,9 @@
 """What a task of the language model holds and sends: counts of many pieces, in batches of bounded size."""
 
+import functools
+import os
+import pickle
+import sys
 import time
 from collections import Counter
 from pathlib import Path
@@ -8,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from homelens.llm import bytesets, lm
+from homelens.llm import bytesets, lm, storage
 
 
 def drawn(rows=300, words=200):
@@ -57,3 +61,32 @@ def test_shuffles_of_training_leave_the_disk(spark):
             break
         time.sleep(0.25)
     assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == kept
+
+
+def test_maps_of_a_model_are_few_and_hold_no_file_open(spark, monkeypatch):
+    """A worker maps one file for each shard and kind, keeps a bounded number of them mapped and none open."""
+    texts = [f"a b c{k} d{k % 7} a c{k % 3} b" for k in range(300)]
+    model = lm.train(spark.createDataFrame([(x,) for x in texts], "text string"))
+    joined = "\n".join(texts).encode()
+    bounds = np.cumsum([0] + [len(x) + 1 for x in texts])
+    bounds[-1] -= 1
+    words = bytesets.word_hashes(np.frombuffer(joined, np.uint8), bounds)
+    maps = lambda: Path("/proc/self/maps").read_text().count(model.folder.removeprefix("file://"))
+    opened = lambda: sum(model.folder.removeprefix("file://") in os.path.realpath(x) for x in Path("/proc/self/fd").iterdir())
+    want = [x.tolist() for x in model.score(*words)]
+    kinds = 7  # words, n-grams of orders 2 and 3, their sums, and what comes before words and bigrams
+    assert 0 < maps() <= kinds << model.bits
+    if sys.version_info >= (3, 13):
+        assert opened() == 0
+    monkeypatch.setattr(storage, "map_arrays", functools.lru_cache(maxsize=5)(storage.map_arrays.__wrapped__))
+    again = pickle.loads(pickle.dumps(model))
+    kept = maps()
+    assert [x.tolist() for x in again.score(*words)] == want
+    assert maps() <= kept + 5
+
+
+def test_arrays_of_a_file(tmp_path):
+    arrays = [np.arange(5, dtype="<u4"), np.empty(0, "<i8"), np.arange(3, dtype="u1"), np.array([2**40], "<u8")]
+    storage.write_arrays(f"file://{tmp_path}/x", *arrays)
+    got = storage.map_arrays(f"file://{tmp_path}/x", tuple(a.dtype.str for a in arrays))
+    assert [(a.dtype, a.tolist()) for a in got] == [(a.dtype, a.tolist()) for a in arrays]
