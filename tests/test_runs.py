@@ -33,3 +33,32 @@ def test_pairs_of_a_crowd_come_in_runs_from_many_tasks(spark):
     assert sum(a["device_id"] != b["device_id"] for a, b in zip(out, out[1:])) < 2 * 50
     dealt = correlate.crowded_join(q, n, most=3000).withColumn("task", F.spark_partition_id()).collect()
     assert len({(r["id"], r["device_id"]) for r in dealt}) == len(dealt) == 30_000 and len({r["task"] for r in dealt}) > 4
+
+
+CLAIM = "ip string, device_id long, observed_from timestamp_ntz, observed_to timestamp_ntz"
+
+
+@pytest.mark.parametrize("width, run", [(86400, 512), (7200, 3), (1800, 1)])
+def test_candidates_in_runs_are_those_of_pairs(spark, width, run):
+    draw = random.Random(width)
+    at = lambda: T0 + dt.timedelta(minutes=30 * draw.randrange(90))
+    asked = spark.createDataFrame([(i, draw.choice(["hot", "a", None]), draw.choice(["n1", "n2", ""]), at()) for i in range(200)], "id long, ip string, client string, queried_at timestamp_ntz")
+    held = [(draw.choice(["hot", "a"]), draw.choice([None, *range(6)]), b, draw.choice([None, b, b + dt.timedelta(hours=draw.randrange(9))])) for b in (at() for _ in range(60))]
+    spans = correlate.merged_spans(spark.createDataFrame(held, CLAIM))
+    named = correlate.identifier_join(asked, spark.createDataFrame([("n1", "hostname", 1, T0), ("n2", "dns_client", 9, at())], NAMED))
+    pairs = correlate.interval_join(asked, spans).select("id", "device_id", F.lit("ip").alias("kind")).unionByName(named)
+    devices = spark.createDataFrame([(k, f"d{k}") for k in range(5)], "device_id long, display_name string")
+    rows = lambda df: sorted(map(str, df.select("id", "device_id", "display_name").collect()))
+    want = rows(correlate.review_candidates(correlate.review_queue(correlate.attribution(asked, pairs)), devices))
+    queue = correlate.review_queue(correlate.verdicts(asked, spans, named))
+    assert rows(correlate.queued_candidates(queue, spans, devices, width, run, 3)) == want and len(want) > 300
+
+
+def test_candidates_of_a_crowd_come_in_runs(spark):
+    """200 lookups of an address that 40 devices hold: a device's rows stand together."""
+    q = spark.range(200).selectExpr("id", "'hot' AS ip", "TIMESTAMP_NTZ '2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 1, id) AS queried_at")
+    spans = correlate.merged_spans(spark.range(40).selectExpr("'hot' AS ip", "id AS device_id", "TIMESTAMP_NTZ '2024-02-01 00:00:00' AS observed_from", "CAST(NULL AS timestamp_ntz) AS observed_to"))
+    devices = spark.range(40).selectExpr("id AS device_id", "concat('d', id) AS display_name")
+    out = correlate.queued_candidates(correlate.review_queue(correlate.verdicts(q, spans, None)), spans, devices).collect()
+    assert len({(r["id"], r["device_id"]) for r in out}) == len(out) == 8000 and {r["display_name"] for r in out} == {f"d{k}" for k in range(40)}
+    assert sum(a["device_id"] != b["device_id"] for a, b in zip(out, out[1:])) < 2 * 40
