@@ -1,9 +1,9 @@
 """A stream over a Parquet table by the pair (created, id): each batch is the next ``rows`` rows after the last pair.
 
 The offset is the pair itself, so rows with one time are told apart by id, and a row is neither lost nor read twice over restarts.
-Batches are planned from the files' statistics: only row groups whose times reach past the offset are opened, in the
-order of their least time, and only as many as hold the next ``rows`` pairs; a batch's tasks read the row
-groups that overlap it. The pair that was handed out last is also kept in the file ``mark`` before Spark hears of it, since Spark does not tell
+Batches are planned from the files' statistics: only row groups whose times reach past the offset are opened, and
+only those that can hold one of the next ``rows`` pairs; a batch's tasks read the row groups that overlap it. Where a page ends is found by
+counting pairs in ranges of times, then of ids, until few are left to be sorted, so the driver's memory does not follow the page. The pair that was handed out last is also kept in the file ``mark`` before Spark hears of it, since Spark does not tell
 a restarted source where it stood.
 
 Options: ``path``; ``created`` and ``id``, a time (or whole number) and a whole number; ``rows``; ``mark``; ``lag`` seconds that rows must be old, for
@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
@@ -26,7 +27,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from homelens.sources.ledger import filesystem
 
 FORMAT = "keyset"
-FIRST = {"created": -(2**63), "id": -(2**63)}
+LEAST, MOST = -(2**63), 2**63 - 1
+FIRST = {"created": LEAST, "id": LEAST}
+HELD, AT_ONCE, RANGES = 1 << 20, 1 << 18, 1 << 16
 
 
 @dataclass
@@ -55,7 +58,7 @@ class KeysetStream(DataSourceStreamReader):
         self.options, self.columns = options, schema.names
         self.most = int(options.get("rows", 10_000))
         self.lag = float(options.get("lag", 0))
-        self.known: dict[str, list[tuple[int, int, int]]] = {}
+        self.known: dict[str, list[tuple[int, int, int, int, int]]] = {}
         self.last: dict | None = None
 
     def _files(self) -> Iterator[str]:
@@ -70,27 +73,78 @@ class KeysetStream(DataSourceStreamReader):
 
         return pq.ParquetFile(filesystem(self.options["path"])[0].open_input_file(file))
 
-    def _groups(self) -> list[tuple[int, int, str, int]]:
-        """(least time, greatest time, file, row group) of all row groups, from their statistics; a file's footer is read once."""
+    def _groups(self) -> list[tuple[int, int, str, int, int, int]]:
+        """(least time, greatest time, file, row group, rows, rows known to have a pair) of all row groups, from their statistics; a
+        file's footer is read once."""
         for file in self._files():
             if file not in self.known:
                 found = []
                 with self._open(file) as opened:
-                    at = opened.schema_arrow.names.index(self.options["created"])
+                    at, number = (opened.schema_arrow.names.index(self.options[c]) for c in ("created", "id"))
                     for k in range(opened.num_row_groups):
-                        some = opened.metadata.row_group(k).column(at).statistics
-                        if some is None or not some.has_min_max:
-                            found.append((-(2**63), 2**63 - 1, k))
-                        else:
-                            found.append((_number(some.min), _number(some.max), k))
+                        group = opened.metadata.row_group(k)
+                        some, other = group.column(at).statistics, group.column(number).statistics
+                        counted = all(x is not None and x.has_null_count for x in (some, other))
+                        sure = max(0, group.num_rows - some.null_count - other.null_count) if counted else 0
+                        ends = (LEAST, MOST) if some is None or not some.has_min_max else (_number(some.min), _number(some.max))
+                        found.append((*ends, k, group.num_rows, sure))
                 self.known[file] = found
-        return sorted((low, high, file, k) for file, groups in self.known.items() for low, high, k in groups)
+        return sorted((low, high, file, k, rows, sure) for file, groups in self.known.items() for low, high, k, rows, sure in groups)
 
-    def _keys(self, file: str, group: int, start: tuple[int, int]) -> list[tuple[int, int]]:
+    def _keys(self, file: str, group: int, start: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Times and ids of the rows after ``start``, some at once."""
+        created, number = self.options["created"], self.options["id"]
         with self._open(file) as opened:
-            table = opened.read_row_group(group, [self.options["created"], self.options["id"]])
-        table = self._within(table, start, (2**63 - 1, 2**63 - 1))
-        return list(zip(_micros(table.column(self.options["created"])).to_pylist(), table.column(self.options["id"]).to_pylist(), strict=True))
+            for batch in opened.iter_batches(AT_ONCE, row_groups=[group], columns=list(dict.fromkeys([created, number]))):
+                table = self._within(pa.Table.from_batches([batch]), start, (MOST, MOST))
+                yield _micros(table.column(created)).to_numpy(), table.column(number).cast(pa.int64()).to_numpy()
+
+    def _between(self, groups: list[tuple], start: tuple[int, int], end: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low, high, file, k, *_ in groups:
+            if low <= end[0] and high >= start[0]:
+                for at, number in self._keys(file, k, start):
+                    some = (at < end[0]) | ((at == end[0]) & (number <= end[1]))
+                    yield at[some], number[some]
+
+    def _page_end(self, start: tuple[int, int], newest: int) -> tuple[int, int] | None:
+        """The last of the next ``rows`` pairs after ``start`` with times up to ``newest``; None if there is none."""
+        groups = [g for g in self._groups() if g[1] >= start[0] and g[0] <= newest]
+        if not groups:
+            return None
+        reach, sure = max(g[1] for g in groups), 0
+        for high, rows in sorted((g[1], g[5]) for g in groups if g[0] > start[0] and g[1] <= newest):
+            sure += rows
+            if sure >= self.most:
+                reach = high  # the page ends here at the latest
+                break
+        least, end, wanted = min(g[0] for g in groups), (min(reach, newest), MOST), self.most
+        size = sum(g[4] for g in groups if g[0] <= end[0])
+        while size > HELD:
+            low, high, by = max(least, start[0] + (start[1] == MOST)), end[0], 0
+            if low >= high:  # one time is left
+                low, high, by = start[1] + 1 if start[0] == end[0] else LEAST, end[1], 1
+                if low >= high:
+                    return end  # one pair is left
+            width = -(-(high - low + 1) // RANGES)
+            counts = np.zeros(RANGES, np.int64)
+            for keys in self._between(groups, start, end):
+                counts += np.bincount(((keys[by].view(np.uint64) - np.uint64(low % 2**64)) // np.uint64(width)).astype(np.int64), minlength=RANGES)
+            upto = np.cumsum(counts)
+            if not upto[-1]:
+                return None
+            wanted = min(wanted, int(upto[-1]))
+            k = int(np.searchsorted(upto, wanted))
+            size, wanted = int(counts[k]), wanted - int(upto[k] - counts[k])
+            first, last = low + k * width, min(high, low + (k + 1) * width - 1)
+            if k:
+                start = (end[0], first - 1) if by else (first - 1, MOST)
+            end = (end[0], last) if by else min(end, (last, MOST))
+        found = list(self._between(groups, start, end))
+        at, number = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        if not len(at):
+            return None
+        last = np.lexsort((number, at))[min(wanted, len(at)) - 1]
+        return int(at[last]), int(number[last])
 
     def _within(self, table: pa.Table, start: tuple[int, int], end: tuple[int, int]) -> pa.Table:
         at, number = _micros(table.column(self.options["created"])), table.column(self.options["id"]).cast(pa.int64())
@@ -110,15 +164,9 @@ class KeysetStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         last = self.last or self._marked()
-        start, newest = _pair(last), (time.time() - self.lag) * 1e6
-        keys: list[tuple[int, int]] = []
-        for low, high, file, k in self._groups():
-            if len(keys) >= self.most and low > keys[self.most - 1][0]:
-                break  # no later group can hold one of the next rows
-            if high >= start[0]:
-                keys = sorted(keys + [key for key in self._keys(file, k, start) if not self.lag or key[0] <= newest])[: self.most]
-        if keys:
-            last = {"created": keys[-1][0], "id": keys[-1][1]}
+        end = self._page_end(_pair(last), int((time.time() - self.lag) * 1e6) if self.lag else MOST)
+        if end:
+            last = {"created": end[0], "id": end[1]}
             system, mark = filesystem(self.options["mark"])
             draft = f"{mark}.{uuid.uuid4().hex}"
             with system.open_output_stream(draft) as out:
@@ -129,7 +177,7 @@ class KeysetStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Group]:
         a, b = _pair(start), _pair(end)
-        return [Group(file, k, a, b) for low, high, file, k in self._groups() if low <= b[0] and high >= a[0]] if a < b else []
+        return [Group(file, k, a, b) for low, high, file, k, *_ in self._groups() if low <= b[0] and high >= a[0]] if a < b else []
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         with self._open(partition.file) as opened:

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,38 @@ def test_nulls_and_no_rows(spark, tmp_path, rows):
     run(spark, folder)
     batches = os.listdir(f"{folder}/out")
     assert [r["id"] for r in (seen(spark, folder) if batches else [])] == [2] * bool(rows)
+
+
+@pytest.mark.parametrize("held, ranges, most", [(1, 4, 10), (3, 2, 17), (5, 1 << 16, 60), (1, 3, 1), (2, 8, 500)])
+def test_the_end_of_a_page_is_found_by_counting(spark, tmp_path, monkeypatch, held, ranges, most):
+    """As many keys as ``HELD`` are sorted at once, whatever the page; pages are those of all keys in order."""
+    folder, draw = str(tmp_path), random.Random(most)
+    rows = [(draw.choice([None, *(T0 + dt.timedelta(seconds=9 ** draw.randrange(6)) for _ in range(9))]), draw.choice([None, -(2**63), 2**63 - 1, *range(-40, 40)]), "x") for _ in range(150)]
+    add(spark, folder, rows + [(T0, 5, "x")] * 30, 3)
+    monkeypatch.setattr(keyset, "HELD", held, raising=False)
+    monkeypatch.setattr(keyset, "RANGES", ranges, raising=False)
+    stream = keyset.KeysetStream({"path": f"{folder}/in", "created": "created_at", "id": "id", "rows": str(most), "mark": f"{folder}/mark"}, spark.createDataFrame([], SCHEMA).schema)
+    micros = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    keys = sorted((micros(t), i) for t, i, _ in rows + [(T0, 5, "x")] * 30 if t is not None and i is not None)
+    last = (-(2**63), -(2**63))
+    while left := [k for k in keys if k > last]:
+        end = stream.latestOffset()
+        assert (end["created"], end["id"]) == left[:most][-1]
+        last = left[:most][-1]
+    assert stream.latestOffset() == end
+
+
+def test_memory_of_the_driver_does_not_follow_the_page(spark, tmp_path):
+    """Two million keys in one page: what the driver holds at once stays far below them."""
+    folder = str(tmp_path)
+    at = "TIMESTAMP_NTZ '2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, pmod(id * 7919, 2000))"
+    spark.range(2_000_000).selectExpr(f"{at} AS created_at", "id", "'x' AS name").repartition(2).write.parquet(f"{folder}/in")
+    stream = keyset.KeysetStream({"path": f"{folder}/in", "created": "created_at", "id": "id", "rows": "1500000", "mark": f"{folder}/mark"}, spark.createDataFrame([], SCHEMA).schema)
+    tracemalloc.start()
+    try:
+        end = stream.latestOffset()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert end["created"] == (1706745600 + 1499) * 1_000_000 and end["id"] == max(i for i in range(1_990_000, 2_000_000) if i * 7919 % 2000 == 1499)
+    assert most < 60e6
